@@ -40,29 +40,33 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
     stats = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     stats = stats.withColumn("_below", F.lit(0).cast("long"))
     cand = base
-    eps = 1e-3
-    for _ in range(6):
+    grid = 1000
+    probs = [i / grid for i in range(grid + 1)]
+    spark = df.sparkSession
+    for _ in range(8):
         b = cand.join(F.broadcast(stats), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         size = b.count()
         if size <= max_candidates:
             break
-        # narrow: approximate quantiles of the bracket rows around the target rank
-        h = (F.col("_n") - 1) * F.lit(q)
-        frac_lo = F.greatest((h - F.col("_below")) / F.col("_m") - F.lit(2 * eps), F.lit(0.0))
-        frac_hi = F.least((h - F.col("_below") + 1) / F.col("_m") + F.lit(2 * eps), F.lit(1.0))
-        m = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
-        st2 = stats.join(m, key)
-        approx = b.join(F.broadcast(st2.select(*key, frac_lo.alias("_fl"), frac_hi.alias("_fh"))), key).groupBy(*key).agg(
-            F.percentile_approx("_v", F.first("_fl"), int(1 / eps)).alias("_nlo"),
-            F.percentile_approx("_v", F.first("_fh"), int(1 / eps)).alias("_nhi"))
-        # exact count below the new lower edge
-        below = base.join(F.broadcast(approx), key).groupBy(*key).agg(
-            F.sum(F.when(F.col("_v") < F.col("_nlo"), 1).otherwise(0)).cast("long").alias("_nb"))
-        stats = (stats.join(approx, key).join(below, key)
-                 .select(*key, "_n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
-                         F.col("_nb").alias("_below")))
-        # reliable checkpoint (spark.checkpoint.dir): cuts the growing lineage
-        stats = stats.checkpoint(eager=True)
+        # narrow each group's bracket with a fixed percentile grid of the
+        # bracket rows (groups x 1001 numbers reach the driver)
+        summ = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"),
+                                   F.first("_below").alias("_below"),
+                                   F.percentile_approx("_v", probs, 20 * grid).alias("_q")).collect()
+        rows = []
+        for r in summ:
+            h = (r["_n"] - 1) * q
+            f_lo = max((h - r["_below"]) / r["_m"] - 2.0 / grid, 0.0)
+            f_hi = min((h + 1 - r["_below"]) / r["_m"] + 2.0 / grid, 1.0)
+            qs = r["_q"]
+            rows.append(tuple(r[k] for k in key) + (r["_n"], float(qs[int(math.floor(f_lo * grid))]),
+                                                     float(qs[int(math.ceil(f_hi * grid))])))
+        schema = b.select(*key).schema.add("_n", "long").add("_lo", "double").add("_hi", "double")
+        edges = spark.createDataFrame(rows, schema)
+        below = base.join(F.broadcast(edges), key).groupBy(*key).agg(
+            F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("long").alias("_below"))
+        # reliable checkpoint (spark.checkpoint.dir): keeps the loop's lineage short
+        stats = edges.join(below, key).checkpoint(eager=True)
         cand = b.select(*key, "_v")
     w = Window.partitionBy(*key).orderBy("_v")
     ranked = b.select(*key, "_v", "_n", "_below", (F.col("_below") + F.row_number().over(w) - 1).alias("_r"))
