@@ -51,4 +51,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from flowlab.plans import q_eval, q_flows, q_embed, q_train  # noqa: F401
+    from flowlab.plans import q_eval, q_flows, q_embed, q_train, q_stream  # noqa: F401
