@@ -123,3 +123,17 @@ def q_score_flows(spark, sf_dir):
     s = scored.select("flow_id", hp.alias("heads"), A.anomaly_score(F.col("err"), float(thr)).alias("anomaly"))
     _ = pd
     return AL.alerts(s, "flow_id", F.col("heads"), F.col("anomaly"), with_timestamp=False)
+
+
+@register("flow_pipeline")
+def q_flow_pipeline(spark, sf_dir):
+    """PL1 on lineitem flows: split -> features -> contrastive encoder ->
+    intrusion / dos / port-scan heads with gradient projection -> metrics.
+    State tables go under the session's checkpoint folder."""
+    import uuid
+
+    from flowlab.plans import pipelines as PL
+    from flowlab.session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flow_pipeline/{uuid.uuid4().hex}"
+    train, test = PL.flow_tables(spark, sf_dir)
+    return PL.run_pipeline(train, test, out, ssl_epochs=2, task_epochs=3)
