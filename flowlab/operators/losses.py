@@ -40,7 +40,11 @@ def focal_loss(logits: Column, y: Column, weight: Column | None = None, gamma: f
 
 def pseudo_label(weak_logits: Column, confidence: float = CONFIDENCE) -> tuple[Column, Column]:
     """PR18: (argmax, mask) where mask = max prob >= per-class cut."""
-    p = A.softmax(weak_logits)
+    return pseudo_label_from_probs(A.softmax(weak_logits), confidence)
+
+
+def pseudo_label_from_probs(p: Column, confidence: float = CONFIDENCE) -> tuple[Column, Column]:
+    """PR18 on already computed weak-view probabilities."""
     lab = A.argmax(p)
     cut = F.when(lab == 0, F.lit(confidence + CUT_DELTA[0])).otherwise(F.lit(confidence + CUT_DELTA[1]))
     mask = (F.array_max(p) >= cut).cast("double")
@@ -51,7 +55,8 @@ def fixmatch_batch_losses(df: DataFrame, labeled: str, logits_l: str, y: str, we
                           logits_weak: str, logits_strong: str, lambda_u: Column) -> DataFrame:
     """AG21: per (epoch, batch): mean focal loss over labeled rows, mean
     masked CE over unlabeled rows, total = Ls + lambda * Lu, mask rate."""
-    lab, mask = pseudo_label(F.col(logits_weak))
+    df = df.withColumn("_pw", A.softmax(F.col(logits_weak)))
+    lab, mask = pseudo_label_from_probs(F.col("_pw"))
     rows = df.select("epoch", "batch_id", F.col(labeled).alias("_lab"), lambda_u.alias("_lam"),
                      F.when(F.col(labeled), focal_loss(F.col(logits_l), F.col(y), F.col(weight))).alias("_ls"),
                      F.when(~F.col(labeled), cross_entropy(F.col(logits_strong), lab) * mask).alias("_lu"),

@@ -147,6 +147,14 @@ def _logits_cols(vec: Column) -> dict[str, Column]:
     return {h: MO.linear_logits(vec, HEAD_W[h]) for h in MO.HEADS}
 
 
+def _with_heads(spark, df: DataFrame, vec: str, keep: list[str]) -> DataFrame:
+    """Stage per-head logits as columns, then the heads array (each array
+    expression is evaluated once per row, not re-inlined)."""
+    lg = df.select(*keep, *[MO.linear_logits(F.col(vec), HEAD_W[h]).alias(f"lg_{h}") for h in MO.HEADS])
+    heads = AL.head_probs({h: F.col(f"lg_{h}") for h in MO.HEADS}, _resolved(spark))
+    return lg.select(*keep, heads.alias("heads"))
+
+
 def _sql_logits(vec: str, head: str) -> str:
     return MO.sql_linear_logits(vec, HEAD_W[head])
 
@@ -181,9 +189,8 @@ HP_SQL, HP_PARAMS = _sql_head_table()
 @register("head_probs", f"WITH {HP_SQL}\nSELECT vec_id, " + ", ".join(f"round(p_{h}, 6) AS p_{h}" for h in MO.HEADS)
           + " FROM hp")
 def q_head_probs(spark, sf_dir):
-    e = emb(spark, sf_dir)
-    heads = AL.head_probs(_logits_cols(F.col("embedding")), _resolved(spark))
-    return rounded(e.select("vec_id", *[heads[i]["p"].alias(f"p_{h}") for i, h in enumerate(MO.HEADS)]))
+    h = _with_heads(spark, emb(spark, sf_dir), "embedding", ["vec_id"])
+    return rounded(h.select("vec_id", *[F.col("heads")[i]["p"].alias(f"p_{n}") for i, n in enumerate(MO.HEADS)]))
 
 
 def _chain_sum(terms: list[str]) -> str:
@@ -195,9 +202,8 @@ def _chain_sum(terms: list[str]) -> str:
           f"AS ensemble FROM (SELECT vec_id, {_chain_sum([f'p_{h}' for h in MO.HEADS])} AS s, "
           f"{_chain_sum([f'p_{h} * p_{h}' for h in MO.HEADS])} AS ss FROM hp)")
 def q_head_ensemble(spark, sf_dir):
-    e = emb(spark, sf_dir)
-    heads = AL.head_probs(_logits_cols(F.col("embedding")), _resolved(spark))
-    return rounded(e.select("vec_id", AL.head_ensemble(heads).alias("ensemble")))
+    h = _with_heads(spark, emb(spark, sf_dir), "embedding", ["vec_id"])
+    return rounded(h.select("vec_id", AL.head_ensemble(F.col("heads")).alias("ensemble")))
 
 
 # ---------------------------------------------------------------- anomaly
@@ -310,9 +316,9 @@ def q_iforest(spark, sf_dir):
 def _alert_frame(spark, sf_dir) -> DataFrame:
     err, thr = _errors(spark, sf_dir)
     e = emb(spark, sf_dir).join(err.select("vec_id", "err"), "vec_id")
-    heads = AL.head_probs(_logits_cols(F.col("embedding")), _resolved(spark))
-    x = e.select(F.concat(F.lit("flow_"), F.col("vec_id").cast("string")).alias("flow_id"),
-                 heads.alias("heads"), A.anomaly_score(F.col("err"), thr).alias("anomaly"))
+    h = _with_heads(spark, e, "embedding", ["vec_id", "err"])
+    x = h.select(F.concat(F.lit("flow_"), F.col("vec_id").cast("string")).alias("flow_id"),
+                 "heads", A.anomaly_score(F.col("err"), thr).alias("anomaly"))
     return AL.alerts(x, "flow_id", F.col("heads"), F.col("anomaly"), with_timestamp=False)
 
 
@@ -435,10 +441,11 @@ _PL, _PM = _sql_pseudo(_WEAK_LG)
 
 @register("pseudo_labels", f"SELECT vec_id, CAST({_PL} AS INTEGER) AS pseudo, {_PM} AS mask FROM embeddings")
 def q_pseudo_labels(spark, sf_dir):
-    e = emb(spark, sf_dir)
-    lg = MO.linear_logits(AU.weak(F.col("embedding"), F.col("vec_id"), "w"), HEAD_W["dos"])
-    lab, mask = LO.pseudo_label(lg)
-    return e.select("vec_id", lab.alias("pseudo"), mask.alias("mask"))
+    e = emb(spark, sf_dir).select("vec_id", AU.weak(F.col("embedding"), F.col("vec_id"), "w").alias("weak"))
+    lg = e.select("vec_id", MO.linear_logits(F.col("weak"), HEAD_W["dos"]).alias("lg"))
+    p = lg.select("vec_id", A.softmax(F.col("lg")).alias("p"))
+    lab, mask = LO.pseudo_label_from_probs(F.col("p"))
+    return p.select("vec_id", lab.alias("pseudo"), mask.alias("mask"))
 
 
 def _sql_sharpen(lg: str) -> tuple[str, str]:
@@ -475,13 +482,12 @@ def _fixmatch_frame(spark, sf_dir) -> DataFrame:
     vid = F.col("vec_id")
     w = HEAD_W["dos"]
     ep = F.col("epoch").cast("string")
-    x = e.select("epoch", F.floor(vid / 64).cast("long").alias("batch_id"), "labeled", "y", "weight",
-                 MO.linear_logits(AU.weak(F.col("embedding"), F.concat(vid.cast("string"), F.lit(":"), ep), "w"), w)
-                 .alias("lg_l"),
-                 MO.linear_logits(AU.weak(F.col("embedding"), F.concat(vid.cast("string"), F.lit(":"), ep), "uw"), w)
-                 .alias("lg_w"),
-                 MO.linear_logits(AU.strong(F.col("embedding"), F.concat(vid.cast("string"), F.lit(":"), ep), "us"), w)
-                 .alias("lg_s"))
+    rid = F.concat(vid.cast("string"), F.lit(":"), ep)
+    v = e.select("epoch", F.floor(vid / 64).cast("long").alias("batch_id"), "labeled", "y", "weight",
+                 AU.weak(F.col("embedding"), rid, "w").alias("v_l"), AU.weak(F.col("embedding"), rid, "uw").alias("v_w"),
+                 AU.strong(F.col("embedding"), rid, "us").alias("v_s"))
+    x = v.select("epoch", "batch_id", "labeled", "y", "weight", MO.linear_logits(F.col("v_l"), w).alias("lg_l"),
+                 MO.linear_logits(F.col("v_w"), w).alias("lg_w"), MO.linear_logits(F.col("v_s"), w).alias("lg_s"))
     lam = F.when(F.col("epoch") < WARMUP, F.lit(0.0)).otherwise(F.lit(1.0))
     return LO.fixmatch_batch_losses(x, "labeled", "lg_l", "y", "weight", "lg_w", "lg_s", lam)
 
@@ -555,14 +561,18 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, round(avg(ls), 6) AS loss_s, round(
 def q_mixmatch_loss(spark, sf_dir):
     e = emb(spark, sf_dir)
     vid = F.col("vec_id")
-    weak = AU.weak(F.col("embedding"), vid, "w")
-    strong = AU.strong(F.col("embedding"), vid, "s")
     w = HEAD_W["dos"]
-    pseudo = A.sharpen(A.softmax(MO.linear_logits(A.average(weak, strong), w)), 0.5)
-    probs_u = A.softmax(MO.linear_logits(weak, w))
-    x = e.select(F.floor(vid / 64).cast("long").alias("batch_id"), _labeled(vid).alias("labeled"),
-                 LO.cross_entropy(MO.linear_logits(F.col("embedding"), w), _dos_y()).alias("ce"),
-                 LO.mixmatch_terms(probs_u, pseudo).alias("mse"))
+    v = e.select("vec_id", "embedding", "label", AU.weak(F.col("embedding"), vid, "w").alias("weak"),
+                 AU.strong(F.col("embedding"), vid, "s").alias("strong"))
+    lg = v.select("vec_id", "label", MO.linear_logits(F.col("embedding"), w).alias("lg_x"),
+                  MO.linear_logits(A.average(F.col("weak"), F.col("strong")), w).alias("lg_avg"),
+                  MO.linear_logits(F.col("weak"), w).alias("lg_u"))
+    pr = lg.select("vec_id", "label", "lg_x", A.softmax(F.col("lg_avg")).alias("p_avg"),
+                   A.softmax(F.col("lg_u")).alias("probs_u"))
+    pr = pr.select("vec_id", "label", "lg_x", "probs_u", A.sharpen(F.col("p_avg"), 0.5).alias("pseudo"))
+    x = pr.select(F.floor(vid / 64).cast("long").alias("batch_id"), _labeled(vid).alias("labeled"),
+                  LO.cross_entropy(F.col("lg_x"), _dos_y()).alias("ce"),
+                  LO.mixmatch_terms(F.col("probs_u"), F.col("pseudo")).alias("mse"))
     g = x.groupBy("batch_id").agg(F.avg(F.when(F.col("labeled"), F.col("ce"))).alias("loss_s"),
                                   F.avg(F.when(~F.col("labeled"), F.col("mse"))).alias("loss_u"))
     return rounded(g.select("batch_id", "loss_s", "loss_u", (F.col("loss_s") + F.lit(1.0) * F.col("loss_u"))

@@ -116,7 +116,8 @@ def q_score_flows(spark, sf_dir):
             yield out
 
     cols = ",".join(f"lg_{h} array<double>" for h in heads)
-    scored = z.mapInPandas(run, f"flow_id string,{cols},err double")
+    # the forward passes feed both the percentile and the alerts: keep them
+    scored = z.mapInPandas(run, f"flow_id string,{cols},err double").persist()
     thr = AN.exact_percentile(scored, "err", 0.95).first()[0]
     params = AL.resolve_params(spark, list(heads), AL.head_params(spark, [("dos", 0.6, 1.5)]))
     hp = AL.head_probs({h: F.col(f"lg_{h}") for h in heads}, params)
