@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlab.operators.prefix import rank_by_value
+
 # Label / leakage columns never used as features.
 KNOWN_LABEL_COLUMNS = ["Label", "label", "attack_cat", "AttackLabel", "AttackCategory"]
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -152,8 +154,8 @@ def vocabularies(df: DataFrame, categorical: list[str]) -> DataFrame:
                       for c in categorical])
     kv = df.select(F.explode(pairs).alias("kv")).select("kv.column", "kv.value")
     d = kv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy("value")
-    return d.select("column", (F.row_number().over(w) - 1).cast("int").alias("position"), "value")
+    r = rank_by_value(d.select("column", "value"), ["column"], "value", "position")
+    return r.select("column", F.col("position").cast("int").alias("position"), "value")
 
 
 def fit(df: DataFrame, label_col: str | None = "Label", drop_cols: list[str] | None = None) -> FeatureState:

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.prefix import running_totals
+from flowlab.operators.prefix import global_rank, running_totals
 
 EPS_F1 = 1e-8
 
@@ -183,10 +183,22 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                   .alias("avg_precision"))
 
 
-def roc_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", p: str = "p", drop_intermediate: bool = False) -> DataFrame:
     """AG11: (threshold, fpr, tpr) at every distinct score plus the (0, 0)
-    anchor (threshold null)."""
+    anchor (threshold null).  ``drop_intermediate`` keeps only the first,
+    the last and the corner points (non-zero second difference of fps or
+    tps), as the reference's default; neighbours come from equi-joins on a
+    global rank (unique keys), not from a single-partition window."""
     cp = curve_points(df, y, p)
+    if drop_intermediate:
+        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r")
+        nb = r.select("_r", "tps", "fps")
+        prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
+        nxt = nb.select((F.col("_r") - 1).alias("_r"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))
+        j = r.join(prev, "_r", "left").join(nxt, "_r", "left")
+        corner = ((F.col("_fp0") - 2 * F.col("fps") + F.col("_fp2")) != 0) | \
+                 ((F.col("_tp0") - 2 * F.col("tps") + F.col("_tp2")) != 0)
+        cp = j.where(F.col("_tp0").isNull() | F.col("_tp2").isNull() | corner)
     pts = cp.select(F.col("score").alias("threshold"), F.col("fpr"),
                     F.when(F.col("n_pos") > 0, F.col("tps") / F.col("n_pos")).alias("tpr"))
     anchor = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")

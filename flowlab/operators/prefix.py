@@ -73,3 +73,21 @@ def global_rank(df: DataFrame, order_col: str, *, tiebreak: list[str] | None = N
     r = running_totals(df.withColumn(one, F.lit(1)), order_col, [one], inclusive=False,
                        prefix="_r", n_buckets=n_buckets, tiebreak=tiebreak)
     return r.withColumnRenamed(f"_r{one}", out_col).drop(one)
+
+
+def rank_by_value(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "rank",
+                  n_parts: int | None = None) -> DataFrame:
+    """0-based rank of ``order_col`` inside each group for any sortable type
+    (strings included).  Rows are range-partitioned on (group, value), each
+    task ranks its own contiguous slice, and per-(task, group) counts -- a
+    small table -- give the offsets.  No task sorts a whole group."""
+    n = n_parts or _default_buckets(df)
+    pid = "_fl_pid"
+    r = df.repartitionByRange(n, *group_cols, order_col).withColumn(pid, F.spark_partition_id())
+    counts = r.groupBy(pid, *group_cols).agg(F.count(F.lit(1)).alias("_c"))
+    w_off = Window.partitionBy(*group_cols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(pid, *group_cols, F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(pid, *group_cols).orderBy(order_col)
+    local = r.withColumn("_loc", F.row_number().over(w) - 1)
+    out = local.join(F.broadcast(offs), [pid, *group_cols])
+    return out.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long")).drop(pid, "_loc", "_off")

@@ -194,6 +194,25 @@ def q_roc_curve(spark, sf_dir):
     return rounded(M.roc_curve(scored_documents(spark, sf_dir)))
 
 
+ROC_DROP_SQL = _with(SCORED_DOCS) + """,
+nb AS (SELECT *, lag(tps) OVER w AS tp0, lag(fps) OVER w AS fp0, lead(tps) OVER w AS tp2, lead(fps) OVER w AS fp2
+       FROM pts WINDOW w AS (ORDER BY score DESC))
+SELECT round(score, 6) AS threshold, round(fpr, 6) AS fpr,
+       round(CASE WHEN n_pos > 0 THEN CAST(tps AS DOUBLE) / CAST(n_pos AS DOUBLE) END, 6) AS tpr FROM nb
+WHERE tp0 IS NULL OR tp2 IS NULL OR fp0 - 2 * fps + fp2 <> 0 OR tp0 - 2 * tps + tp2 <> 0
+UNION ALL SELECT NULL, 0.0, 0.0"""
+
+
+@register("roc_curve_dropped", ROC_DROP_SQL)
+def q_roc_curve_dropped(spark, sf_dir):
+    return rounded(M.roc_curve(scored_documents(spark, sf_dir), drop_intermediate=True))
+
+
+@register("flow_roc_curve_dropped", ROC_DROP_SQL.replace(SCORED_DOCS, SCORED_FLOWS))
+def q_flow_roc_curve_dropped(spark, sf_dir):
+    return rounded(M.roc_curve(scored_flows(spark, sf_dir), drop_intermediate=True))
+
+
 PR_CURVE_SQL = _with(SCORED_DOCS) + """
 SELECT round(score, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pts
 UNION ALL SELECT NULL, 1.0, 0.0"""

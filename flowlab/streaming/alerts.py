@@ -60,25 +60,32 @@ def alert_sessions(alerts: DataFrame, gap: str = "30 minutes", key: str = "user_
 
 def batch_sessions(alerts: DataFrame, gap_seconds: int = 1800, key: str = "user_id",
                    bucket_seconds: int = 86400) -> DataFrame:
-    """ST4 (batch form), skew-safe: sessions are cut inside (key, time
-    bucket) partitions, so a key with a third of all rows is spread over
-    its buckets; partial sessions touching a bucket edge are stitched in a
-    second pass over the (far smaller) partial-session table."""
+    """ST4 (batch form), skew-safe: rows are ordered only inside (key, time
+    bucket) partitions, so a key holding a third of all rows is spread over
+    its buckets.  What crosses bucket edges -- the previous event time and
+    the number of sessions opened earlier -- comes from a per-(key, bucket)
+    summary table, i.e. a two-level prefix sum; the result is exact."""
     t = F.unix_micros(F.col("ts"))
     gap_us, bucket_us = gap_seconds * 1_000_000, bucket_seconds * 1_000_000
-    a = alerts.select(key, F.col("ts"), t.alias("_t"), F.floor(t / bucket_us).alias("_b"))
+    a = alerts.select(key, t.alias("_t"), F.floor(t / bucket_us).alias("_b"))
+    # per (key, bucket): first / last event time (one row per bucket)
+    summ = a.groupBy(key, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    wk = Window.partitionBy(key).orderBy("_b")
+    summ = summ.withColumn("_prev_last", F.lag("_last").over(wk))
+    summ = summ.withColumn("_first_new", F.when(F.col("_prev_last").isNull()
+                                                | (F.col("_first") - F.col("_prev_last") >= gap_us), 1).otherwise(0))
     w = Window.partitionBy(key, "_b").orderBy("_t")
-    a = a.withColumn("_new", F.when(F.lag("_t").over(w).isNull() | ((F.col("_t") - F.lag("_t").over(w)) >= gap_us), 1)
-                     .otherwise(0))
-    a = a.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    part = a.groupBy(key, "_b", "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"),
-                                             F.count(F.lit(1)).alias("n"))
-    # stitch: a partial session continues the previous one when the gap is short
-    w2 = Window.partitionBy(key).orderBy("_s")
-    part = part.withColumn("_new", F.when(F.lag("_e").over(w2).isNull() | ((F.col("_s") - F.lag("_e").over(w2)) >= gap_us), 1)
-                           .otherwise(0))
-    part = part.withColumn("_gid", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    s = part.groupBy(key, "_gid").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("n").alias("n"))
+    j = a.join(summ.select(key, "_b", "_first_new"), [key, "_b"])
+    prev = F.lag("_t").over(w)
+    j = j.withColumn("_new", F.when(prev.isNull(), F.col("_first_new"))
+                     .when(F.col("_t") - prev >= gap_us, 1).otherwise(0))
+    j = j.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # sessions opened in earlier buckets of the same key
+    opened = j.groupBy(key, "_b").agg(F.sum("_new").alias("_k"))
+    offs = opened.select(key, "_b", F.coalesce(F.sum("_k").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                               F.lit(0)).alias("_off"))
+    g = j.join(offs, [key, "_b"]).withColumn("_sid", F.col("_off") + F.col("_local"))
+    s = g.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n"))
     return s.select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("session_start"),
                     F.timestamp_micros(F.col("_e") + gap_us).cast("timestamp_ntz").alias("session_end"),
                     F.col("n").cast("long").alias("n"))
