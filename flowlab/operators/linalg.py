@@ -71,6 +71,10 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
     block on executors, re-orthonormalise by Cholesky-QR (k x k).  An
     all-zero input gives an empty basis."""
     spark = df.sparkSession
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n_rows, dim = int(stats["n"] or 0), int(stats["d"] or 0)
+    if n_rows > dim > 0:
+        return _svd_tall(df, vec, threshold, block)
     blocks = to_blocks(df.select(row_id, vec), row_id, vec, block).cache()
     g = gram(blocks, row_id).collect()
     ids = sorted({r["i"] for r in g})
@@ -119,6 +123,28 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
     return basis, s
 
 
+def _svd_tall(df: DataFrame, vec: str, threshold: float, block: int) -> tuple[DataFrame, np.ndarray]:
+    """N > D: eigen-decompose G^T G (D x D partial sums per partition,
+    reduced by Spark); its eigenvectors are the basis directly."""
+    from flowlab.operators.anomaly import moments
+    spark = df.sparkSession
+    clean = df.select(F.transform(vec, lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), 0.0)
+                                  .otherwise(x.cast("double"))).alias(vec))
+    _, _, gtg = moments(clean, vec)
+    w, u = np.linalg.eigh(gtg)
+    order = np.argsort(w)[::-1]
+    w, u = np.maximum(w[order], 0.0), u[:, order]
+    keep = w > 1e-12
+    s, u = np.sqrt(w[keep]), u[:, keep]
+    if s.size == 0:
+        return spark.createDataFrame([], "component int, block_id int, vec array<double>"), s
+    k = _energy_rank(s, threshold)
+    u = u[:, :k]
+    rows = [(c, b, u[b * block:(b + 1) * block, c].tolist()) for c in range(k)
+            for b in range(math.ceil(u.shape[0] / block))]
+    return spark.createDataFrame(rows, "component int, block_id int, vec array<double>"), s[:k]
+
+
 def _component_gram(basis: DataFrame) -> np.ndarray:
     """U^T U for a blocked basis: per-block k x k partials summed by Spark."""
 

@@ -289,6 +289,60 @@ def train_head(df: DataFrame, x: str, y: str, sizes: list[int], epochs: int = 10
     return layers, hist
 
 
+def softmax_mse_grad(z, q):
+    """sum over rows of mean_c (softmax(z) - q)^2 and its gradient."""
+    p = softmax(z)
+    c = p.shape[1]
+    diff = p - q
+    loss = float((diff ** 2).sum() / c)
+    g = 2.0 * diff / c
+    dz = p * (g - (p * g).sum(axis=1, keepdims=True))
+    return loss, dz
+
+
+def sharpen_np(p, t=0.5):
+    e = p ** (1.0 / t)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def train_mixmatch(df: DataFrame, x: str, y: str, sizes: list[int], unlabeled: DataFrame, weak: str, strong: str,
+                   epochs: int = 10, lr: float = 0.03, lambda_u: float = 1.0, temperature: float = 0.5,
+                   n_classes: int = 2, seed: int = 0, bases: list[np.ndarray] | None = None):
+    """TR3: CE on one-hot labeled rows + lambda * MSE between unlabeled
+    probabilities and sharpened pseudo labels from the averaged two views
+    (pseudo labels carry no gradient).  Returns weights and history."""
+    layers = init(sizes, seed)
+    opt = NesterovSGD(lr)
+
+    def sup(pdf, params):
+        z, acts = forward(_stack(pdf, x), params)
+        l, d = ce_grad(z, pdf[y].to_numpy().astype(int))
+        g, _ = backward(acts, params, d)
+        return flatten(g), l, len(pdf), 0.0
+
+    def unsup(pdf, params):
+        xw, xs = _stack(pdf, weak), _stack(pdf, strong)
+        za, _ = forward((xw + xs) / 2.0, params)
+        q = sharpen_np(softmax(za), temperature)
+        z, acts = forward(xw, params)
+        l, d = softmax_mse_grad(z, q)
+        g, _ = backward(acts, params, d)
+        return flatten(g), l, len(pdf), 0.0
+
+    w, hist = flatten(layers), []
+    for ep in range(epochs):
+        gs, ls, ns, _ = gradient_pass(df, [x, y], layers, sup)
+        gu, lu, nu, _ = gradient_pass(unlabeled, [weak, strong], layers, unsup)
+        g = gs / max(ns, 1.0) + lambda_u * gu / max(nu, 1.0)
+        loss_s, loss_u = ls / max(ns, 1.0), lu / max(nu, 1.0)
+        if np.all(np.isfinite(g)):
+            w = opt.step(w, project(g, bases))
+            layers = unflatten(w, layers)
+        hist.append({"epoch": ep, "loss_s": loss_s, "loss_u": loss_u, "total_loss": loss_s + lambda_u * loss_u,
+                     "mask_rate": 1.0})
+    return layers, hist
+
+
 def train_autoencoder(df: DataFrame, x: str, sizes: list[int], epochs: int = 20, lr: float = 1e-3,
                       seed: int = 0) -> tuple[list[dict[str, np.ndarray]], list[float]]:
     """TR4: reconstruction MSE on (benign) rows, Adam."""

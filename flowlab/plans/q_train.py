@@ -39,6 +39,17 @@ def q_train_head(spark, sf_dir):
     return TR.history_frame(spark, "dos", hist)
 
 
+@register("train_mixmatch")
+def q_train_mixmatch(spark, sf_dir):
+    """TR3: MixMatch head on the dos task; returns the epoch history."""
+    e = _task_frame(spark, sf_dir)
+    lab = e.where("labeled").select(F.col("embedding").alias("x"), "y")
+    unl = e.where("NOT labeled").select(AU.weak(F.col("embedding"), F.col("vec_id"), "uw").alias("xw"),
+                                        AU.strong(F.col("embedding"), F.col("vec_id"), "us").alias("xs"))
+    _, hist = TR.train_mixmatch(lab, "x", "y", [64, 32, 2], unl, "xw", "xs", epochs=5)
+    return TR.history_frame(spark, "dos", hist)
+
+
 @register("train_autoencoder")
 def q_train_autoencoder(spark, sf_dir):
     """TR4 + AG18: autoencoder on benign rows, then the p95 error cut."""

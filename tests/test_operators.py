@@ -12,6 +12,7 @@ from flowlab.operators import anomaly as AN
 from flowlab.operators import calibrate as CA
 from flowlab.operators import features as FT
 from flowlab.operators import linalg as LA
+from flowlab.operators import metrics as M
 from flowlab.operators import losses as LO
 from flowlab.operators import split as SP
 
@@ -223,3 +224,53 @@ def test_pseudo_label_cuts(spark):
     lab, mask = LO.pseudo_label(F.col("l"))
     got = [(r[0], r[1]) for r in df.select(lab, mask).collect()]
     assert got[0] == (0, 1.0) and got[1] == (0, 0.0) and got[2][0] == 1 and got[2][1] == 1.0
+
+
+def test_svd_basis_tall_matrix(spark):
+    rng = np.random.default_rng(9)
+    g = rng.normal(size=(40, 6)) @ np.diag([5, 4, 3, 0.1, 0.05, 0.01])
+    df = spark.createDataFrame([(i, g[i].tolist()) for i in range(40)], "row_id long, vec array<double>")
+    basis, s = LA.svd_basis(df, "row_id", "vec", block=4)
+    ref = np.linalg.svd(g.T, full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(ref[1] ** 2) / np.sum(ref[1] ** 2), 0.97)) + 1
+    assert np.allclose(s, ref[1][:k])
+    u = np.zeros((6, k))
+    for r in basis.collect():
+        u[r["block_id"] * 4: r["block_id"] * 4 + len(r["vec"]), r["component"]] = r["vec"]
+    assert np.allclose(u @ u.T, ref[0][:, :k] @ ref[0][:, :k].T, atol=1e-8)
+
+
+def test_rank_by_value_strings_any_layout(spark):
+    from flowlab.operators.prefix import rank_by_value
+    rows = [(g, f"v{i:04d}") for g in ("a", "b") for i in range(300)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "g string, v string").repartition(parts)
+        out = rank_by_value(df, ["g"], "v", n_parts=7).collect()
+        assert all(r["rank"] == int(r["v"][1:]) for r in out)
+
+
+def test_roc_drop_intermediate_matches_bruteforce(spark):
+    rng = np.random.default_rng(10)
+    ys = rng.integers(0, 2, 300)
+    ps = np.round(rng.random(300), 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(ys, ps)], "y int, p double")
+    got = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in M.roc_curve(df, drop_intermediate=True).collect()
+                 if r["threshold"] is not None)
+    thr = np.unique(ps)[::-1]
+    tps = np.array([np.sum((ps >= t) & (ys == 1)) for t in thr])
+    fps = np.array([np.sum((ps >= t) & (ys == 0)) for t in thr])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    exp = sorted((float(thr[i]), fps[i] / fps[-1], tps[i] / tps[-1]) for i in keep)
+    assert len(got) == len(exp) and all(np.allclose(a, b) for a, b in zip(got, exp))
+
+
+def test_batch_sessions_small_buckets_equal_large(spark):
+    from flowlab.streaming import alerts as ST
+    rng = np.random.default_rng(11)
+    ts = np.sort(rng.integers(0, 3 * 86400, 400))
+    users = rng.integers(0, 3, 400)
+    df = spark.createDataFrame([(int(u), int(t)) for u, t in zip(users, ts)], "user_id long, t long").select(
+        "user_id", F.timestamp_seconds("t").alias("ts"))
+    a = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=600).collect())
+    b = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=10 ** 7).collect())
+    assert a == b

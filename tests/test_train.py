@@ -76,3 +76,23 @@ def test_capture_gradients_one_per_batch(spark):
                                 (F.col("id") % 2).cast("int").alias("y"))
     g = TR.capture_gradients(df, "x", "y", TR.init([2, 2], 0)).collect()
     assert sorted(r["batch_id"] for r in g) == [0, 1, 2] and all(len(r["vec"]) == 6 for r in g)
+
+
+def test_softmax_mse_gradient():
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(5, 3))
+    q = TR.sharpen_np(TR.softmax(rng.normal(size=(5, 3))))
+    _, d = TR.softmax_mse_grad(z, q)
+    err = TR.numeric_gradient_check(lambda w: TR.softmax_mse_grad(w.reshape(5, 3), q)[0], z.ravel(), d.ravel())
+    assert err < 1e-5
+
+
+def test_mixmatch_loss_decreases(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] > 0).astype(int)
+    lab = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(100)], "x array<double>, y int")
+    unl = spark.createDataFrame([(x[i].tolist(), (x[i] + 0.05).tolist()) for i in range(100, 300)],
+                                "xw array<double>, xs array<double>")
+    _, hist = TR.train_mixmatch(lab, "x", "y", [4, 8, 2], unl, "xw", "xs", epochs=30, lr=0.3)
+    assert hist[-1]["loss_s"] < hist[0]["loss_s"]
