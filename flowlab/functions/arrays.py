@@ -25,18 +25,23 @@ def norm(v: Column) -> Column:
     return F.sqrt(vsum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def _per_row(v: Column, value: Column) -> Column:
+    """``value`` repeated to the length of ``v``: a row-level scalar is
+    computed once per row and zipped in, instead of being re-evaluated
+    inside an element lambda (which would make the work O(D^2))."""
+    return F.array_repeat(value, F.size(v))
+
+
 def l2_normalize(v: Column) -> Column:
     """PR15: v / ||v||; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    return F.zip_with(v, _per_row(v, norm(v)),
+                      lambda x, n: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
 
 
 def softmax(logits: Column) -> Column:
     """PR13: max-shifted softmax in double."""
-    m = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - m))
-    s = vsum(e)
-    return F.transform(e, lambda x: x / s)
+    e = F.zip_with(logits, _per_row(logits, F.array_max(logits)), lambda x, m: F.exp(x.cast("double") - m))
+    return F.zip_with(e, _per_row(e, vsum(e)), lambda x, s: x / s)
 
 
 def scale(v: Column, t: Column | float) -> Column:
@@ -54,8 +59,7 @@ def temperature_probs(logits: Column, temperature: Column) -> Column:
 def sharpen(p: Column, t: float = 0.5) -> Column:
     """PR16: p^(1/T) / sum."""
     e = F.transform(p, lambda x: F.pow(x.cast("double"), F.lit(1.0 / t)))
-    s = vsum(e)
-    return F.transform(e, lambda x: x / s)
+    return F.zip_with(e, _per_row(e, vsum(e)), lambda x, s: x / s)
 
 
 def argmax(v: Column) -> Column:
