@@ -114,3 +114,94 @@ def apply_mlp(df: DataFrame, vec: str, layers: list[dict[str, np.ndarray]], keep
 
     schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
     return df.select(*keep, vec).mapInPandas(run, f"{schema},{out_col} array<double>")
+
+
+# ------------------------------------------------ reference architectures
+# Layer specs: dense (W, b), activation, optional batch-norm (inference
+# statistics), ``save`` marks a residual source, ``add`` adds it back.
+
+BN_EPS = 1e-3
+
+
+def _dense(rng, a: int, b: int, act: str | None, bn: bool, save: bool = False, add: bool = False) -> dict:
+    layer = {"W": rng.normal(0, math.sqrt(2.0 / a), (a, b)), "b": np.zeros(b), "act": act, "save": save, "add": add}
+    if bn:
+        layer.update({"gamma": np.ones(b), "beta": np.zeros(b), "mean": np.zeros(b), "var": np.ones(b)})
+    return layer
+
+
+def flow_encoder(input_dim: int, hidden: int = 512, embed: int = 256, seed: int = 0) -> list[dict]:
+    """MO1: [Dense(hidden) relu, BN, Dropout] x 2, Dense(embed) linear."""
+    rng = np.random.default_rng(seed)
+    return [_dense(rng, input_dim, hidden, "relu", True), _dense(rng, hidden, hidden, "relu", True),
+            _dense(rng, hidden, embed, None, False)]
+
+
+def projection_head(in_dim: int = 256, out_dim: int = 128, seed: int = 0) -> list[dict]:
+    """MO2: Dense(in_dim) relu, BN, Dense(out_dim) linear."""
+    rng = np.random.default_rng(seed)
+    return [_dense(rng, in_dim, in_dim, "relu", True), _dense(rng, in_dim, out_dim, None, False)]
+
+
+def classifier_head(embed_dim: int = 256, n_classes: int = 2, seed: int = 0) -> list[dict]:
+    """MO3: Dense128 relu+BN (+dropout) -> residual Dense128 relu+BN block
+    -> Dense64 relu+BN -> logits."""
+    rng = np.random.default_rng(seed)
+    return [_dense(rng, embed_dim, 128, "relu", True, save=True), _dense(rng, 128, 128, "relu", True, add=True),
+            _dense(rng, 128, 64, "relu", True), _dense(rng, 64, n_classes, None, False)]
+
+
+def autoencoder(embed: int = 256, latent: int = 64, seed: int = 0) -> list[dict]:
+    """MO5: 256 -> 128 (relu, BN) -> 64 (relu) -> 128 (relu, BN) -> 256."""
+    rng = np.random.default_rng(seed)
+    return [_dense(rng, embed, 128, "relu", True), _dense(rng, 128, latent, "relu", False),
+            _dense(rng, latent, 128, "relu", True), _dense(rng, 128, embed, None, False)]
+
+
+def trainable_params(net: list[dict]) -> int:
+    return int(sum(L["W"].size + L["b"].size + (L["gamma"].size + L["beta"].size if "gamma" in L else 0)
+                   for L in net))
+
+
+def net_forward(x: np.ndarray, net: list[dict]) -> np.ndarray:
+    """Inference forward pass (dropout off, BN with moving statistics)."""
+    h, saved = x, None
+    for L in net:
+        h = h @ L["W"] + L["b"]
+        if L.get("act") == "relu":
+            h = np.maximum(h, 0.0)
+        if "gamma" in L:
+            h = (h - L["mean"]) / np.sqrt(L["var"] + BN_EPS) * L["gamma"] + L["beta"]
+        if L.get("add"):
+            h = h + saved
+        if L.get("save"):
+            saved = h
+    return h
+
+
+def apply_nets(df: DataFrame, vec: str, nets: dict[str, list[dict]], keep: list[str],
+               encoder: list[dict] | None = None) -> DataFrame:
+    """Encoder (optional) then every named net on the embedding, one pass
+    per Arrow batch with all parameters broadcast once; one output column
+    per net (``<name>``) plus ``embedding`` when an encoder is given."""
+    bc = df.sparkSession.sparkContext.broadcast((encoder, nets))
+
+    def run(it):
+        enc, ns = bc.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            z = net_forward(x, enc) if enc is not None else x
+            out = pdf[keep].copy()
+            if enc is not None:
+                out["embedding"] = list(z)
+            for name, net in ns.items():
+                out[name] = list(net_forward(z, net))
+            yield out
+
+    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
+    extra = ("embedding array<double>," if encoder is not None else "") + ",".join(
+        f"`{n}` array<double>" for n in nets)
+    cols = keep + ([vec] if vec not in keep else [])
+    return df.select(*cols).mapInPandas(run, f"{schema},{extra}")

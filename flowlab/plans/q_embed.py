@@ -717,14 +717,16 @@ def q_basis_coverage(spark, sf_dir):
 
 @register("embed")
 def q_embed(spark, sf_dir):
-    """MO1/MO3: encoder (64 -> 128 -> 64) then a classifier head, applied
-    per Arrow batch with broadcast parameters."""
+    """MO1-MO5 forward: the reference-sized encoder (64 -> 512 -> 512 ->
+    256), the four named classifier heads (58,434 weights each at 256 -> 2)
+    and the autoencoder, in one Arrow pass with broadcast parameters."""
     e = emb(spark, sf_dir)
-    enc = MO.init_mlp([DIM, 128, 64], seed=1)
-    head = MO.init_mlp([64, 32, 2], seed=2)
-    z = MO.apply_mlp(e, "embedding", enc, ["vec_id"], "z")
-    out = MO.apply_mlp(z, "z", head, ["vec_id"], "logits")
-    return out.select("vec_id", "logits", A.softmax(F.col("logits")).alias("probs"))
+    enc = MO.flow_encoder(DIM, 512, 256, seed=1)
+    nets = {f"logits_{h}": MO.classifier_head(256, 2, seed=10 + i) for i, h in enumerate(MO.HEADS)}
+    nets["recon"] = MO.autoencoder(256, 64, seed=20)
+    out = MO.apply_nets(e, "embedding", nets, ["vec_id"], encoder=enc)
+    return out.select("vec_id", *[A.softmax(F.col(f"logits_{h}")).alias(f"p_{h}") for h in MO.HEADS],
+                      A.mse(F.col("embedding"), F.col("recon")).alias("recon_err"))
 
 
 def _log2(x: float) -> float:

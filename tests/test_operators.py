@@ -274,3 +274,15 @@ def test_batch_sessions_small_buckets_equal_large(spark):
     a = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=600).collect())
     b = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=10 ** 7).collect())
     assert a == b
+
+
+def test_reference_architecture_sizes_and_forward(spark):
+    from flowlab.operators import models as MO
+    assert MO.trainable_params(MO.classifier_head(256, 2)) == 58434
+    enc = MO.flow_encoder(10, 32, 16, seed=1)
+    head = MO.classifier_head(16, 2, seed=2)
+    x = np.random.default_rng(0).normal(size=(5, 10))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "id long, v array<double>")
+    out = {r["id"]: r for r in MO.apply_nets(df, "v", {"lg": head}, ["id"], encoder=enc).collect()}
+    ref = MO.net_forward(MO.net_forward(x, enc), head)
+    assert np.allclose([out[i]["lg"] for i in range(5)], ref)
