@@ -122,10 +122,13 @@ def resolve_kdd_path(spark: SparkSession, base: str, split: str) -> str:
     raise FileNotFoundError(f"Could not find the KDD Cup 99 {split} file. Checked:\n  - {expected}")
 
 
-def read_kdd(spark: SparkSession, path: str) -> DataFrame:
+def read_kdd(spark: SparkSession, path: str, null_label: str = "reject") -> DataFrame:
     """IO2 + PR1-PR3: headerless 41 features + label (``.gz`` read
-    transparently by extension); standard label columns added."""
+    transparently by extension); standard label columns added.  Rows
+    without a label are rejected by default (``null_label='attack'`` keeps
+    the single-machine behaviour)."""
     df = spark.read.schema(kdd_schema()).option("header", False).csv(path)
+    df = L.handle_null_labels(df, "AttackLabel", null_label)
     name = L.kdd_attack_name(F.col("AttackLabel"))
     df = df.withColumn("AttackLabel", name).withColumn("Label", L.kdd_binary(F.col("AttackLabel")))
     return L.with_kdd_family(df, "AttackLabel", "AttackCategory")
@@ -152,7 +155,7 @@ def find_csv_files(spark: SparkSession, base: str) -> list[str]:
 
 
 def read_cic(spark: SparkSession, base: str, split: str | None = None, test_size: float = 0.2,
-             seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
+             seed: int = 42, key_cols: list[str] | None = None, null_label: str = "reject") -> DataFrame:
     """IO5 + PR2/PR4 + SP1: every CSV (grouped by identical headers, one
     reader per group, appended by name), per-file provenance, standard
     labels, per-file stratified split on AttackLabel."""
@@ -165,7 +168,7 @@ def read_cic(spark: SparkSession, base: str, split: str | None = None, test_size
         if "Label" not in header:
             raise ValueError(f"CICIDS2017 label column not found in {paths[0]}")
         frames.append(_read_group(spark, paths, list(header)))
-    df = SP.append_frames(frames)
+    df = L.handle_null_labels(SP.append_frames(frames), "Label", null_label)
     kinds = {r["column"]: r["kind"] for r in FT.infer_column_kinds(df.drop("Label", "source_file")).collect()}
     df = FT.cast_by_kinds(df, kinds)
     raw = F.col("Label")

@@ -44,6 +44,13 @@ def test_kdd_columns_and_labels(spark, kdd_dir):
     assert rows["neptune"] == ("attack", "dos")
     assert rows["back"] == ("attack", "dos")
     assert rows["unknownattack"] == ("attack", "other")
+    assert None not in rows
+    parity = {r["AttackLabel"]: (r["Label"], r["AttackCategory"])
+              for r in S.read_kdd(spark, f"{kdd_dir}/kddcup.data_10_percent/kddcup.data_10_percent", "attack").collect()}
+    assert parity["nan"] == ("attack", "other")
+    from flowlab.functions.labels import quarantine
+    raw = spark.read.schema(S.kdd_schema()).csv(f"{kdd_dir}/kddcup.data_10_percent/kddcup.data_10_percent")
+    assert quarantine(raw, "AttackLabel").count() == 1
     test = S.load_dataset(spark, "kdd99", "test", kdd_dir)
     assert [r["AttackCategory"] for r in test.collect()] == ["probe"]
 
