@@ -21,6 +21,7 @@ from flowlab.functions import arrays as A
 MAX_ROWS = 512        # fixed value: gradient batches kept per capture
 MIN_NORM = 1e-12      # fixed value: rows at or below this norm are dropped
 ENERGY = 0.97         # fixed value: captured energy of the basis
+MAX_GRAM_ROWS = 8192  # N x N Gram matrices above this are refused (driver-side eigenproblem)
 
 
 def valid_gradient(vec: Column) -> Column:
@@ -75,6 +76,8 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
     n_rows, dim = int(stats["n"] or 0), int(stats["d"] or 0)
     if n_rows > dim > 0:
         return _svd_tall(df, vec, threshold, block)
+    if n_rows > MAX_GRAM_ROWS:
+        raise ValueError(f"{n_rows} gradient rows: cap them first (filter_gradients keeps {MAX_ROWS})")
     blocks = to_blocks(df.select(row_id, vec), row_id, vec, block).cache()
     g = gram(blocks, row_id).collect()
     ids = sorted({r["i"] for r in g})

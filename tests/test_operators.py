@@ -286,3 +286,13 @@ def test_reference_architecture_sizes_and_forward(spark):
     out = {r["id"]: r for r in MO.apply_nets(df, "v", {"lg": head}, ["id"], encoder=enc).collect()}
     ref = MO.net_forward(MO.net_forward(x, enc), head)
     assert np.allclose([out[i]["lg"] for i in range(5)], ref)
+
+
+def test_first_n_large_cap_uses_ranks(spark):
+    SP.TOP_K_IN_ONE_TASK, old = 10, SP.TOP_K_IN_ONE_TASK
+    try:
+        df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"))
+        got = sorted(r["k"] for r in SP.first_n(df, ["k"], 123).collect())
+        assert got == list(range(123))
+    finally:
+        SP.TOP_K_IN_ONE_TASK = old
