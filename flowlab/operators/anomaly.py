@@ -37,6 +37,8 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not g:
         base = base.withColumn("_fl_g", F.lit(0))
+    # the (group, value) projection is read by every pass: keep it (recomputable)
+    base = base.persist()
     stats = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     stats = stats.withColumn("_below", F.lit(0).cast("long"))
     cand = base
@@ -80,7 +82,11 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
     frac = hh - F.floor(hh)
     res = F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") + frac * (F.col("_b") - F.col("_a")))
     out = pick.select(*key, res.alias(out_col))
-    return out.drop("_fl_g") if not g else out
+    out = out.drop("_fl_g") if not g else out
+    # one row per group: materialise it and release the cached projection
+    rows, schema = out.collect(), out.schema
+    base.unpersist()
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # ------------------------------------------------- reconstruction scoring

@@ -179,29 +179,62 @@ def net_forward(x: np.ndarray, net: list[dict]) -> np.ndarray:
     return h
 
 
+def arrow_matrix(col) -> np.ndarray:
+    """A list<double> Arrow column of equal-length rows as an (n, d) matrix
+    (no per-row Python objects)."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def arrow_lists(m: np.ndarray):
+    """(n, d) matrix -> list<double> Arrow array."""
+    import pyarrow as pa
+    n, d = m.shape
+    offsets = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), type=pa.float64()))
+
+
 def apply_nets(df: DataFrame, vec: str, nets: dict[str, list[dict]], keep: list[str],
                encoder: list[dict] | None = None) -> DataFrame:
     """Encoder (optional) then every named net on the embedding, one pass
     per Arrow batch with all parameters broadcast once; one output column
-    per net (``<name>``) plus ``embedding`` when an encoder is given."""
+    per net (``<name>``) plus ``embedding`` when an encoder is given.
+    Runs on Arrow record batches directly (``mapInArrow``): the feature
+    column becomes one NumPy matrix per batch."""
+    import pyarrow as pa
     bc = df.sparkSession.sparkContext.broadcast((encoder, nets))
+    names = list(nets)
 
     def run(it):
         enc, ns = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
+        for rb in it:
+            if rb.num_rows == 0:
                 continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            x = arrow_matrix(rb.column(rb.schema.get_field_index(vec)))
             z = net_forward(x, enc) if enc is not None else x
-            out = pdf[keep].copy()
+            arrays = [rb.column(rb.schema.get_field_index(k)) for k in keep]
+            fields = list(keep)
             if enc is not None:
-                out["embedding"] = list(z)
-            for name, net in ns.items():
-                out[name] = list(net_forward(z, net))
-            yield out
+                arrays.append(arrow_lists(z))
+                fields.append("embedding")
+            for name in names:
+                arrays.append(arrow_lists(net_forward(z, ns[name])))
+                fields.append(name)
+            yield pa.RecordBatch.from_arrays(arrays, names=fields)
 
     schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
     extra = ("embedding array<double>," if encoder is not None else "") + ",".join(
-        f"`{n}` array<double>" for n in nets)
+        f"`{n}` array<double>" for n in names)
     cols = keep + ([vec] if vec not in keep else [])
-    return df.select(*cols).mapInPandas(run, f"{schema},{extra}")
+    src = df.select(*cols).withColumn(vec, F.transform(vec, lambda v: v.cast("double")))
+    return src.mapInArrow(run, f"{schema},{extra}")
+
+
+def from_dense(layers: list[dict[str, np.ndarray]]) -> list[dict]:
+    """Dense+ReLU layers (training format) -> layer specs for ``apply_nets``."""
+    n = len(layers)
+    return [{"W": L["W"], "b": L["b"], "act": "relu" if i < n - 1 else None} for i, L in enumerate(layers)]

@@ -96,45 +96,32 @@ def q_recapture_basis(spark, sf_dir):
     return basis
 
 
+def flow_models(dim: int, embed: int = 16):
+    """Small fixed networks for the end-to-end scoring query."""
+    from flowlab.operators import models as MO
+    enc = MO.from_dense(TR.init([dim, 32, embed], seed=1))
+    heads = {h: MO.from_dense(TR.init([embed, 8, 2], seed=10 + i))
+             for i, h in enumerate(["dos", "port_scan", "intrusion"])}
+    ae = MO.from_dense(TR.init([embed, 8, embed], seed=20))
+    return enc, heads, ae
+
+
 @register("score_flows")
 def q_score_flows(spark, sf_dir):
     """AL5 end to end on lineitem flows: fit feature state, encode, every
-    head, reconstruction anomaly, routing -> one alert per flow."""
+    head, reconstruction anomaly (p95 cut fitted on the same flows),
+    routing -> one alert per flow."""
+    from flowlab.operators import models as MO
+    from flowlab.streaming.alerts import model_alerts
     f = flows(spark, sf_dir).select("flow_id", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                                     "l_returnflag", "l_linestatus", "Label")
     st = FT.fit(FT.clean(f.drop("flow_id")), "Label")
-    x = FT.transform(f, st, "Label", keep=["flow_id"])
-    dim = st.dim
-    enc = TR.init([dim, 32, 16], seed=1)
-    z = TR.predict(x, "features", enc, ["flow_id", "y"], "z")
-    heads = {h: TR.init([16, 8, 2], seed=10 + i) for i, h in enumerate(["dos", "port_scan", "intrusion"])}
-    ae = TR.init([16, 8, 16], seed=20)
-    bc = spark.sparkContext.broadcast((heads, ae))
-    import numpy as np
-    import pandas as pd
-
-    def run(it):
-        hs, a = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            v = np.stack(pdf["z"].map(np.asarray).to_numpy())
-            out = pdf[["flow_id"]].copy()
-            for name, L in hs.items():
-                out[f"lg_{name}"] = list(TR.forward(v, L)[0])
-            rec = TR.forward(v, a)[0]
-            out["err"] = ((v - rec) ** 2).mean(axis=1)
-            yield out
-
-    cols = ",".join(f"lg_{h} array<double>" for h in heads)
-    # the forward passes feed both the percentile and the alerts: keep them
-    scored = z.mapInPandas(run, f"flow_id string,{cols},err double").persist()
-    thr = AN.exact_percentile(scored, "err", 0.95).first()[0]
+    enc, heads, ae = flow_models(st.dim)
+    x = FT.transform(f, st, None, keep=["flow_id"])
+    z = MO.apply_nets(x, "features", {"recon": ae}, ["flow_id"], encoder=enc)
+    thr = AN.exact_percentile(z.select(A.mse(F.col("embedding"), F.col("recon")).alias("err")), "err", 0.95).first()[0]
     params = AL.resolve_params(spark, list(heads), AL.head_params(spark, [("dos", 0.6, 1.5)]))
-    hp = AL.head_probs({h: F.col(f"lg_{h}") for h in heads}, params)
-    s = scored.select("flow_id", hp.alias("heads"), A.anomaly_score(F.col("err"), float(thr)).alias("anomaly"))
-    _ = pd
-    return AL.alerts(s, "flow_id", F.col("heads"), F.col("anomaly"), with_timestamp=False)
+    return model_alerts(f, st, enc, heads, ae, params, float(thr), "flow_id", with_timestamp=False)
 
 
 @register("flow_pipeline")
