@@ -289,6 +289,95 @@ def train_head(df: DataFrame, x: str, y: str, sizes: list[int], epochs: int = 10
     return layers, hist
 
 
+def local_sgd_round(df: DataFrame, cols: list[str], w0: np.ndarray, like, batch_grad: Callable,
+                    lr: float, batch_size: int, momentum: float = 0.9, bases: list[np.ndarray] | None = None,
+                    clip_norm: float | None = 1.0) -> tuple[np.ndarray, float, float, float]:
+    """One round of local SGD (parameter averaging): every partition starts
+    from the broadcast weights, runs Nesterov mini-batch steps over its own
+    rows (each step projected and clipped), and emits its weight change
+    times its row count; Spark sums those and the new weights are the
+    row-weighted average.  Projection is linear, so averaged deltas stay in
+    the allowed subspace.  ``batch_grad(pdf, layers) -> (grad_mean, loss_sum,
+    n_rows, aux_sum)``."""
+    bc = df.sparkSession.sparkContext.broadcast((w0, like, bases))
+
+    def run(it):
+        start, shapes, bs = bc.value
+        w = start.copy()
+        vel = np.zeros_like(w)
+        loss = n = aux = 0.0
+        for pdf in it:
+            for i in range(0, len(pdf), batch_size):
+                b = pdf.iloc[i:i + batch_size]
+                g, l, k, a = batch_grad(b, unflatten(w, shapes))
+                if k == 0 or not np.all(np.isfinite(g)) or not np.isfinite(l):
+                    continue  # a NaN step is skipped
+                g = clip(project(g, bs), clip_norm)
+                vel = momentum * vel - lr * g
+                w = w + momentum * vel - lr * g
+                loss, n, aux = loss + l, n + k, aux + a
+        if n:
+            yield _emit((w - start) * n, loss, n, aux)
+
+    parts = df.select(*cols).mapInPandas(run, SCHEMA)
+    dsum, loss, n, aux = _reduce(parts, len(w0))
+    return (w0 + dsum / n if n else w0), loss, n, aux
+
+
+def train_head_local(labeled: DataFrame, x: str, y: str, sizes: list[int], unlabeled: DataFrame | None = None,
+                     weak: str | None = None, strong: str | None = None, weight: str | None = None,
+                     epochs: int = 10, lr: float = 0.03, batch_size: int = 64, lambda_u: float = 1.0,
+                     warmup: int = 3, confidence: float = 0.90, clip_norm: float = 1.0,
+                     bases: list[np.ndarray] | None = None, seed: int = 0):
+    """TR2 with local mini-batch SGD: labeled and unlabeled rows are mixed
+    in one table; inside each mini-batch the focal loss is averaged over its
+    labeled rows and the masked consistency CE over its unlabeled rows."""
+    layers = init(sizes, seed)
+    lab = labeled.select(F.lit(True).alias("_lab"), F.col(x).alias("_x"), F.col(y).cast("int").alias("_y"),
+                         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    mixed = lab
+    if unlabeled is not None:
+        unl = unlabeled.select(F.lit(False).alias("_lab"), F.col(weak).alias("_xw"), F.col(strong).alias("_xs"))
+        mixed = lab.unionByName(unl, allowMissingColumns=True)
+    # deterministic interleaving: hash order inside every partition
+    mixed = mixed.withColumn("_o", F.rand(seed)).sortWithinPartitions("_o").drop("_o")
+    cols = [c for c in ["_lab", "_x", "_y", "_w", "_xw", "_xs"] if c in mixed.columns]
+    hist = []
+    w = flatten(layers)
+    for ep in range(epochs):
+        lam = 0.0 if ep < warmup else lambda_u
+
+        def batch_grad(pdf, params, lam=lam):
+            lab_rows = pdf[pdf["_lab"]]
+            total, loss, aux = None, 0.0, 0.0
+            if len(lab_rows):
+                z, acts = forward(_stack(lab_rows, "_x"), params)
+                l, d = focal_grad(z, lab_rows["_y"].to_numpy().astype(int), lab_rows["_w"].to_numpy())
+                g, _ = backward(acts, params, d / len(lab_rows))
+                total, loss = flatten(g), l / len(lab_rows)
+            un = pdf[~pdf["_lab"]]
+            if lam > 0 and len(un):
+                p = softmax(forward(_stack(un, "_xw"), params)[0])
+                pl = p.argmax(axis=1)
+                mask = (p.max(axis=1) >= np.where(pl == 0, confidence + 0.05, confidence - 0.20)).astype(float)
+                z, acts = forward(_stack(un, "_xs"), params)
+                l, d = ce_grad(z, pl, mask)
+                g, _ = backward(acts, params, lam * d / len(un))
+                gu = flatten(g)
+                total = gu if total is None else total + gu
+                loss, aux = loss + lam * l / len(un), float(mask.sum())
+            if total is None:
+                return np.zeros(len(flatten(params))), 0.0, 0, 0.0
+            return total, loss * len(pdf), len(pdf), aux
+
+        w, l, n, masked = local_sgd_round(mixed, cols, w, layers, batch_grad, lr, batch_size, bases=bases,
+                                          clip_norm=clip_norm)
+        layers = unflatten(w, layers)
+        hist.append({"epoch": ep, "loss_s": float("nan"), "loss_u": float("nan"), "total_loss": l / max(n, 1.0),
+                     "mask_rate": masked / max(n, 1.0)})
+    return layers, hist
+
+
 def softmax_mse_grad(z, q):
     """sum over rows of mean_c (softmax(z) - q)^2 and its gradient."""
     p = softmax(z)

@@ -39,6 +39,17 @@ def q_train_head(spark, sf_dir):
     return TR.history_frame(spark, "dos", hist)
 
 
+@register("train_head_local")
+def q_train_head_local(spark, sf_dir):
+    """TR2 by local mini-batch SGD rounds (parameter averaging)."""
+    e = _task_frame(spark, sf_dir)
+    lab = e.where("labeled").select(AU.weak(F.col("embedding"), F.col("vec_id"), "w").alias("x"), "y", "weight")
+    unl = e.where("NOT labeled").select(AU.weak(F.col("embedding"), F.col("vec_id"), "uw").alias("xw"),
+                                        AU.strong(F.col("embedding"), F.col("vec_id"), "us").alias("xs"))
+    _, hist = TR.train_head_local(lab, "x", "y", [64, 32, 2], unl, "xw", "xs", weight="weight", epochs=5, warmup=1)
+    return TR.history_frame(spark, "dos", hist)
+
+
 @register("train_mixmatch")
 def q_train_mixmatch(spark, sf_dir):
     """TR3: MixMatch head on the dos task; returns the epoch history."""

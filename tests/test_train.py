@@ -96,3 +96,19 @@ def test_mixmatch_loss_decreases(spark):
                                 "xw array<double>, xs array<double>")
     _, hist = TR.train_mixmatch(lab, "x", "y", [4, 8, 2], unl, "xw", "xs", epochs=30, lr=0.3)
     assert hist[-1]["loss_s"] < hist[0]["loss_s"]
+
+
+def test_local_sgd_head_learns_and_respects_projection(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 6))
+    y = (x[:, 0] - x[:, 2] > 0).astype(int)
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(800)], "x array<double>, y int").repartition(4)
+    layers, hist = TR.train_head_local(df, "x", "y", [6, 8, 2], epochs=12, lr=0.1, batch_size=32, warmup=100)
+    losses = [h["total_loss"] for h in hist]
+    assert all(b < a for a, b in zip(losses, losses[1:]))
+    assert TR.f1_binary(TR.predict(df, "x", layers, ["y"]), "y", "logits") > 0.9
+    n = len(TR.flatten(TR.init([6, 2], 0)))
+    basis = np.linalg.qr(rng.normal(size=(n, 4)))[0]
+    w0 = TR.flatten(TR.init([6, 2], 0))
+    l2, _ = TR.train_head_local(df, "x", "y", [6, 2], epochs=2, batch_size=32, warmup=100, bases=[basis])
+    assert np.allclose(basis.T @ (TR.flatten(l2) - w0), 0, atol=1e-9)
