@@ -488,6 +488,68 @@ def train_contrastive(pairs: DataFrame, enc_sizes: list[int], proj_sizes: list[i
     return enc, proj, hist
 
 
+def train_contrastive_local(pairs: DataFrame, enc_sizes: list[int], proj_sizes: list[int], epochs: int = 10,
+                            lr: float = 3e-4, temperature: float = 0.1, seed: int = 0):
+    """TR1 with local steps: batches are hash-partitioned whole to tasks;
+    each task takes one Adam step per batch it owns (rows of a batch are
+    contiguous after ``sortWithinPartitions``), and the tasks' weight
+    changes are averaged by batch count.  Returns (encoder, projection,
+    loss history)."""
+    enc, proj = init(enc_sizes, seed), init(proj_sizes, seed + 1)
+    n_enc = len(flatten(enc))
+    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    data = pairs.select("batch_id", "pos", "v1", "v2").repartition(parts, "batch_id").sortWithinPartitions(
+        "batch_id", "pos")
+    w = np.concatenate([flatten(enc), flatten(proj)])
+    hist = []
+    for _ in range(epochs):
+        bc = pairs.sparkSession.sparkContext.broadcast((w, enc, proj))
+
+        def run(it):
+            start, e_like, p_like = bc.value
+            wl = start.copy()
+            opt = Adam(lr)
+            loss_sum, nb = 0.0, 0
+            buf = []
+
+            def step(rows):
+                nonlocal wl, loss_sum, nb
+                pdf = pd.concat(rows)
+                e, p = unflatten(wl[:n_enc], e_like), unflatten(wl[n_enc:], p_like)
+                v1, v2 = _stack(pdf, "v1"), _stack(pdf, "v2")
+                h1, a1 = forward(v1, e)
+                h2, a2 = forward(v2, e)
+                z1, b1 = forward(h1, p)
+                z2, b2 = forward(h2, p)
+                loss, d1, d2 = nt_xent_grad(z1, z2, temperature)
+                gp1, dh1 = backward(b1, p, d1)
+                gp2, dh2 = backward(b2, p, d2)
+                ge1, _ = backward(a1, e, dh1)
+                ge2, _ = backward(a2, e, dh2)
+                g = np.concatenate([flatten(ge1) + flatten(ge2), flatten(gp1) + flatten(gp2)])
+                if np.all(np.isfinite(g)):
+                    wl = opt.step(wl, g)
+                    loss_sum, nb = loss_sum + loss, nb + 1
+
+            for pdf in it:
+                for bid, grp in pdf.groupby("batch_id", sort=False):
+                    if buf and buf[0]["batch_id"].iloc[0] != bid:
+                        step(buf)
+                        buf = []
+                    buf.append(grp)
+            if buf:
+                step(buf)
+            if nb:
+                yield _emit((wl - start) * nb, loss_sum, nb, 0.0)
+
+        red = data.mapInPandas(run, SCHEMA)
+        dsum, loss, nb, _ = _reduce(red, len(w))
+        if nb:
+            w = w + dsum / nb
+        hist.append(loss / max(nb, 1.0))
+    return unflatten(w[:n_enc], enc), unflatten(w[n_enc:], proj), hist
+
+
 def _pair_pass(pairs, params, step, n_params):
     bc = pairs.sparkSession.sparkContext.broadcast(params)
 

@@ -79,7 +79,8 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
     b = SP.batches(tr.select("_rid", "features"), ["_rid"], batch_size, seed=seed)
     pairs = b.select("batch_id", "pos", AU.strong(F.col("features"), F.col("_rid"), "s1").alias("v1"),
                      AU.strong(F.col("features"), F.col("_rid"), "s2").alias("v2"))
-    enc, _, ssl_hist = TR.train_contrastive(pairs, [dim, 32, embed_dim], [embed_dim, 16, 8], epochs=ssl_epochs)
+    enc, _, ssl_hist = TR.train_contrastive_local(pairs, [dim, 32, embed_dim], [embed_dim, 16, 8],
+                                                  epochs=ssl_epochs, lr=1e-3)
     z_tr = TR.predict(tr, "features", enc, keep, "z")
     z_te = TR.predict(te, "features", enc, keep, "z")
     bases: list[np.ndarray] = []
@@ -91,9 +92,9 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
         x = lab.select(AU.weak(F.col("z"), F.col("_rid"), f"w{i}").alias("x"), "y", "weight")
         unl = z_tr.select(AU.weak(F.col("z"), F.col("_rid"), f"uw{i}").alias("xw"),
                           AU.strong(F.col("z"), F.col("_rid"), f"us{i}").alias("xs"))
-        head, hist = TR.train_head(x, "x", "y", [embed_dim, 16, 2], epochs=task_epochs, weight="weight",
-                                   unlabeled=unl, weak="xw", strong="xs",
-                                   bases=bases if use_gpm else None, seed=seed + i)
+        head, hist = TR.train_head_local(x, "x", "y", [embed_dim, 16, 2], unl, "xw", "xs", weight="weight",
+                                         epochs=task_epochs, warmup=1, batch_size=batch_size,
+                                         bases=bases if use_gpm else None, seed=seed + i)
         TR.history_frame(spark, task, hist).write.mode("overwrite").parquet(f"{out_dir}/history/task={task}")
         if use_gpm:
             gb = SP.batches(lab.select("_rid", "z", "y", "weight"), ["_rid"], batch_size, seed=seed)

@@ -112,3 +112,13 @@ def test_local_sgd_head_learns_and_respects_projection(spark):
     w0 = TR.flatten(TR.init([6, 2], 0))
     l2, _ = TR.train_head_local(df, "x", "y", [6, 2], epochs=2, batch_size=32, warmup=100, bases=[basis])
     assert np.allclose(basis.T @ (TR.flatten(l2) - w0), 0, atol=1e-9)
+
+
+def test_contrastive_local_loss_decreases(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(256, 8))
+    rows = [(i // 32, i % 32, (base[i] + 0.05 * rng.normal(size=8)).tolist(), (base[i] + 0.05 * rng.normal(size=8)).tolist())
+            for i in range(256)]
+    pairs = spark.createDataFrame(rows, "batch_id long, pos int, v1 array<double>, v2 array<double>")
+    _, _, hist = TR.train_contrastive_local(pairs, [8, 16, 8], [8, 8, 4], epochs=4, lr=3e-3)
+    assert hist[-1] < hist[0]
