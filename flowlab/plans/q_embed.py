@@ -356,11 +356,12 @@ def q_alert_severity_counts(spark, sf_dir):
 # ------------------------------------------------------------------ losses
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    e = emb(spark, sf_dir)
-    z1 = e.where(F.col("vec_id") % 2 == 0).select((F.col("vec_id") / 2).cast("long").alias("k"), F.col("embedding").alias("z1"))
-    z2 = e.where(F.col("vec_id") % 2 == 1).select(((F.col("vec_id") - 1) / 2).cast("long").alias("k"),
-                                                 F.col("embedding").alias("z2"))
-    p = z1.join(z2, "k")
+    e = emb(spark, sf_dir).select(F.floor(F.col("vec_id") / 2).cast("long").alias("k"),
+                                  (F.col("vec_id") % 2).alias("view"), "embedding")
+    # vectors 2k and 2k+1 are the two views of pair k; an unpaired last vector is left out
+    g = e.groupBy("k").agg(F.max_by("embedding", -F.col("view")).alias("z1"),
+                           F.max_by("embedding", F.col("view")).alias("z2"), F.count(F.lit(1)).alias("n"))
+    p = g.where(F.col("n") == 2)
     return p.select(F.floor(F.col("k") / 32).cast("long").alias("batch_id"), (F.col("k") % 32).cast("int").alias("pos"),
                     "z1", "z2")
 
@@ -615,8 +616,7 @@ def q_forgetting_matrix(spark, sf_dir):
     f1 = f1.select("task", "task_ord", F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, F.lit(0.0)).otherwise(
         (2 * F.col("tp")).cast("double") / (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")).alias("f1"))
     # after training stage j every task trained so far (ord <= j) is re-evaluated
-    stages = spark.range(len(TASKS)).select(F.col("id").cast("int").alias("stage"))
-    res = f1.join(F.broadcast(stages), F.col("task_ord") <= F.col("stage"))
+    res = f1.withColumn("stage", F.explode(F.sequence(F.col("task_ord"), F.lit(len(TASKS) - 1))))
     return rounded(forgetting_matrix(res.select("task", "task_ord", F.col("stage").cast("string").alias("stage"),
                                                 "f1")))
 

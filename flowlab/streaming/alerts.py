@@ -62,12 +62,43 @@ def alert_sessions(alerts: DataFrame, gap: str = "30 minutes", key: str = "user_
 
 
 def batch_sessions(alerts: DataFrame, gap_seconds: int = 1800, key: str = "user_id",
-                   bucket_seconds: int = 86400) -> DataFrame:
-    """ST4 (batch form), skew-safe: rows are ordered only inside (key, time
-    bucket) partitions, so a key holding a third of all rows is spread over
-    its buckets.  What crosses bucket edges -- the previous event time and
-    the number of sessions opened earlier -- comes from a per-(key, bucket)
-    summary table, i.e. a two-level prefix sum; the result is exact."""
+                   bucket_seconds: int | None = None, n_parts: int | None = None) -> DataFrame:
+    """ST4 (batch form), exact and skew-proof.  Rows are range-partitioned on
+    (key, ts), so a key holding a third of all rows is spread over many
+    tasks; each task orders only its own contiguous slice.  What crosses a
+    task edge -- the previous event time and the sessions opened earlier --
+    comes from a per-(task, key) summary, i.e. a two-level prefix sum.
+    ``bucket_seconds`` selects the time-bucket variant instead."""
+    if bucket_seconds:
+        return _bucket_sessions(alerts, gap_seconds, key, bucket_seconds)
+    gap_us = gap_seconds * 1_000_000
+    n = n_parts or max(8, int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    a = alerts.select(key, F.unix_micros(F.col("ts")).alias("_t"))
+    a = a.repartitionByRange(n, key, "_t").withColumn("_p", F.spark_partition_id())
+    summ = a.groupBy("_p", key).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    wk = Window.partitionBy(key).orderBy("_p")
+    summ = summ.withColumn("_prev_last", F.lag("_last").over(wk))
+    summ = summ.withColumn("_first_new", F.when(F.col("_prev_last").isNull()
+                                                | (F.col("_first") - F.col("_prev_last") >= gap_us), 1).otherwise(0))
+    w = Window.partitionBy("_p", key).orderBy("_t")
+    j = a.join(summ.select("_p", key, "_first_new"), ["_p", key])
+    prev = F.lag("_t").over(w)
+    j = j.withColumn("_new", F.when(prev.isNull(), F.col("_first_new"))
+                     .when(F.col("_t") - prev >= gap_us, 1).otherwise(0))
+    j = j.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opened = j.groupBy("_p", key).agg(F.sum("_new").alias("_k"))
+    offs = opened.select("_p", key, F.coalesce(F.sum("_k").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                               F.lit(0)).alias("_off"))
+    g = j.join(offs, ["_p", key]).withColumn("_sid", F.col("_off") + F.col("_local"))
+    s = g.groupBy(key, "_sid").agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count(F.lit(1)).alias("n"))
+    return s.select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("session_start"),
+                    F.timestamp_micros(F.col("_e") + gap_us).cast("timestamp_ntz").alias("session_end"),
+                    F.col("n").cast("long").alias("n"))
+
+
+def _bucket_sessions(alerts: DataFrame, gap_seconds: int, key: str, bucket_seconds: int) -> DataFrame:
+    """Time-bucket variant: rows ordered inside (key, time bucket)
+    partitions, cross-bucket state from a per-(key, bucket) summary."""
     t = F.unix_micros(F.col("ts"))
     gap_us, bucket_us = gap_seconds * 1_000_000, bucket_seconds * 1_000_000
     a = alerts.select(key, t.alias("_t"), F.floor(t / bucket_us).alias("_b"))

@@ -273,7 +273,11 @@ def test_batch_sessions_small_buckets_equal_large(spark):
         "user_id", F.timestamp_seconds("t").alias("ts"))
     a = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=600).collect())
     b = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, bucket_seconds=10 ** 7).collect())
-    assert a == b
+    c = sorted(tuple(r) for r in ST.batch_sessions(df, 1800, n_parts=13).collect())
+    hot = df.withColumn("user_id", F.lit(7))        # one key holding every row
+    d = sorted(tuple(r)[1:] for r in ST.batch_sessions(hot, 1800, n_parts=13).collect())
+    e = sorted(tuple(r)[1:] for r in ST.batch_sessions(hot, 1800, bucket_seconds=10 ** 7).collect())
+    assert a == b == c and d == e
 
 
 def test_reference_architecture_sizes_and_forward(spark):
