@@ -118,11 +118,29 @@ def q_temperature_grid(spark, sf_dir):
     return rounded(CA.nll_grid(_doc_logits(spark, sf_dir), "logits", "y", TEMPS))
 
 
-@register("temperature_fit")
+def _temp_fit_sql(passes: int = 4, n: int = 64) -> str:
+    """The bracket-refinement fit unrolled: each pass is a CTE that scores
+    its candidates over all rows and brackets the argmin for the next."""
+    p0, p1 = _sql_softmax2("logit", "c.T")
+    py = f"CASE WHEN y = 1 THEN {p1} ELSE {p0} END"
+    clip = f"least(greatest({py}, CAST('1e-15' AS DOUBLE)), CAST(1 AS DOUBLE) - CAST('1e-15' AS DOUBLE))"
+    ctes = [SCORED_DOCS, f"b0 AS (SELECT {dlit(1e-3)} AS lo, {dlit(10.0)} AS hi)"]
+    for k in range(passes):
+        m = n if k == 0 else max(n // 4, 8)
+        ctes.append(f"""c{k} AS (SELECT CAST(r.j AS INTEGER) AS j, exp(ln(b.lo) + (ln(b.hi) - ln(b.lo)) * CAST(r.j AS DOUBLE)
+      / CAST({m - 1} AS DOUBLE)) AS T FROM b{k} b CROSS JOIN range({m}) r(j))""")
+        ctes.append(f"""n{k} AS (SELECT c.j, c.T, avg(-ln({clip})) AS nll FROM scored CROSS JOIN c{k} c GROUP BY c.j, c.T)""")
+        ctes.append(f"""a{k} AS (SELECT j, T FROM n{k} ORDER BY nll, T LIMIT 1)""")
+        ctes.append(f"""b{k + 1} AS (SELECT (SELECT T FROM c{k} WHERE j = greatest(a.j - 1, 0)) AS lo,
+      (SELECT T FROM c{k} WHERE j = least(a.j + 1, {m - 1})) AS hi FROM a{k} a)""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT round(T, 6) AS temperature FROM a{passes - 1}"
+
+
+@register("temperature_fit", _temp_fit_sql())
 def q_temperature_fit(spark, sf_dir):
     d = _doc_logits(spark, sf_dir)
     t = CA.fit_temperature(d, "logits", "y")
-    return spark.createDataFrame([(t,)], "temperature double")
+    return rounded(spark.createDataFrame([(t,)], "temperature double"))
 
 
 _P0, _P1 = _sql_softmax2("logit", dlit(1.5))
