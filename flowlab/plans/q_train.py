@@ -122,17 +122,16 @@ def q_score_flows(spark, sf_dir):
     """AL5 end to end on lineitem flows: fit feature state, encode, every
     head, reconstruction anomaly (p95 cut fitted on the same flows),
     routing -> one alert per flow."""
-    from flowlab.operators import models as MO
-    from flowlab.streaming.alerts import model_alerts
+    from flowlab.streaming.alerts import model_scores, route_scores
     f = flows(spark, sf_dir).select("flow_id", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                                     "l_returnflag", "l_linestatus", "Label")
     st = FT.fit(FT.clean(f.drop("flow_id")), "Label")
     enc, heads, ae = flow_models(st.dim)
-    x = FT.transform(f, st, None, keep=["flow_id"])
-    z = MO.apply_nets(x, "features", {"recon": ae}, ["flow_id"], encoder=enc)
-    thr = AN.exact_percentile(z.select(A.mse(F.col("embedding"), F.col("recon")).alias("err")), "err", 0.95).first()[0]
+    # one forward pass feeds both the p95 cut and the routing: keep it
+    z = model_scores(f, st, enc, heads, ae, "flow_id").persist()
+    thr = AN.exact_percentile(z, "err", 0.95).first()[0]
     params = AL.resolve_params(spark, list(heads), AL.head_params(spark, [("dos", 0.6, 1.5)]))
-    return model_alerts(f, st, enc, heads, ae, params, float(thr), "flow_id", with_timestamp=False)
+    return route_scores(z, list(heads), params, float(thr), "flow_id", with_timestamp=False)
 
 
 @register("flow_pipeline")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -49,3 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="flowlab-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Parallelism floor for expensive row-wise stages (Python forward
+    passes): when the input arrives in fewer partitions than the cluster has
+    cores (e.g. one large row group), spread it round-robin first.  On large
+    inputs -- thousands of splits -- this is a no-op."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df.repartition(cores)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,6 +15,7 @@ from flowlab.functions import arrays as A
 from flowlab.operators import alerts as AL
 from flowlab.operators import features as FT
 from flowlab.operators import models as MO
+from flowlab.session import ensure_parallelism
 
 EVENT_SCALE = 500.0   # events: anomaly score = clip(value / 500, 0, 1)
 
@@ -164,12 +165,25 @@ def model_alerts(flows: DataFrame, state: FT.FeatureState, encoder: list[dict],
     """ST1 / AL5: fitted feature state -> encoder -> every head and the
     autoencoder in one Arrow pass (parameters broadcast) -> routing.  Purely
     row-wise (no shuffle, no state), so it runs unchanged on a stream."""
-    x = FT.transform(flows, state, label_col=None, keep=[id_col])
+    z = model_scores(flows, state, encoder, heads, autoencoder, id_col)
+    return route_scores(z, list(heads), head_params, ae_threshold, id_col, with_timestamp)
+
+
+def model_scores(flows: DataFrame, state: FT.FeatureState, encoder: list[dict], heads: dict[str, list[dict]],
+                 autoencoder: list[dict], id_col: str = "flow_id") -> DataFrame:
+    """Per flow: every head's logits (``lg_<head>``) and the reconstruction
+    error, from one forward pass over Arrow batches."""
+    x = FT.transform(ensure_parallelism(flows), state, label_col=None, keep=[id_col])
     nets = {f"lg_{h}": net for h, net in heads.items()}
     nets["recon"] = autoencoder
     z = MO.apply_nets(x, "features", nets, [id_col], encoder=encoder)
-    z = z.select(id_col, *[F.col(f"lg_{h}") for h in heads],
-                 A.mse(F.col("embedding"), F.col("recon")).alias("err"))
+    return z.select(id_col, *[F.col(f"lg_{h}") for h in heads],
+                    A.mse(F.col("embedding"), F.col("recon")).alias("err"))
+
+
+def route_scores(z: DataFrame, heads: list[str], head_params: list[tuple[str, float, float | None]],
+                 ae_threshold: float, id_col: str = "flow_id", with_timestamp: bool = True) -> DataFrame:
+    """AL1-AL3 on scored flows."""
     hp = AL.head_probs({h: F.col(f"lg_{h}") for h in heads}, head_params)
     s = z.select(id_col, hp.alias("heads"), A.anomaly_score(F.col("err"), ae_threshold).alias("anomaly"))
     return AL.alerts(s, id_col, F.col("heads"), F.col("anomaly"), with_timestamp=with_timestamp)
