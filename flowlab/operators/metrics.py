@@ -74,13 +74,18 @@ def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def _per_class(cm: DataFrame) -> DataFrame:
-    """(class, tp, true_n, pred_n) from a completed confusion table."""
-    t = cm.groupBy(F.col("y_true").alias("class")).agg(
-        F.sum("n").alias("true_n"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("tp"))
-    p = cm.groupBy(F.col("y_pred").alias("class")).agg(F.sum("n").alias("pred_n"))
-    out = t.join(p, "class", "full")
-    return out.select("class", F.coalesce("tp", F.lit(0)).alias("tp"),
-                      F.coalesce("true_n", F.lit(0)).alias("true_n"), F.coalesce("pred_n", F.lit(0)).alias("pred_n"))
+    """(class, tp, true_n, pred_n) from a completed confusion table: every
+    cell counts once for its true class and once for its predicted class
+    (one aggregate over the k x k cells, no join)."""
+    n = F.col("n")
+    zero = F.lit(0).cast("long")
+    cell = F.explode(F.array(
+        F.struct(F.col("y_true").alias("class"), n.alias("true_n"),
+                 F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(zero).alias("tp"), zero.alias("pred_n")),
+        F.struct(F.col("y_pred").alias("class"), zero.alias("true_n"), zero.alias("tp"), n.alias("pred_n"))))
+    e = cm.select(cell.alias("c")).select("c.*")
+    return e.groupBy("class").agg(F.sum("tp").alias("tp"), F.sum("true_n").alias("true_n"),
+                                  F.sum("pred_n").alias("pred_n"))
 
 
 def per_class_prf(cm: DataFrame) -> DataFrame:
@@ -191,7 +196,9 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", drop_intermediate: bool
     global rank (unique keys), not from a single-partition window."""
     cp = curve_points(df, y, p)
     if drop_intermediate:
-        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r")
+        # the ranked points feed three branches: keep them
+        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r").persist(
+            StorageLevel.MEMORY_AND_DISK)
         nb = r.select("_r", "tps", "fps")
         prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
         nxt = nb.select((F.col("_r") - 1).alias("_r"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))
