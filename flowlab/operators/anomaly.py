@@ -22,6 +22,11 @@ from flowlab.functions.rand import uniform
 ANOMALY_CUT = 0.65  # fixed value: score at or above -> zero-day alert
 
 
+def _schema(df: DataFrame, keep: list[str], extra: str) -> str:
+    base = df.select(*keep).schema.simpleString()[len("struct<"):-1] if keep else ""
+    return f"{base},{extra}" if base else extra
+
+
 # ------------------------------------------------------------ exact quantile
 
 def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str] | None = None,
@@ -219,8 +224,7 @@ def score_isolation_forest(df: DataFrame, vec: str, forest: DataFrame, keep: lis
             out["if_score"] = np.clip(2.0 ** (-h / cpsi), 0.0, 1.0)
             yield out
 
-    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
-    return df.select(*keep, vec).mapInPandas(score, f"{schema},if_score double")
+    return df.select(*keep, vec).mapInPandas(score, _schema(df, keep, "if_score double"))
 
 
 # ------------------------------------------------------------ Mahalanobis
@@ -273,5 +277,11 @@ def mahalanobis(df: DataFrame, vec: str, mu: np.ndarray, inv: np.ndarray, keep:
             out["distance"] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, vinv, x), 0.0))
             yield out
 
-    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
-    return df.select(*keep, vec).mapInPandas(apply, f"{schema},distance double")
+    return df.select(*keep, vec).mapInPandas(apply, _schema(df, keep, "distance double"))
+
+
+def isolation_threshold(forest: DataFrame, train: DataFrame, vec: str, contamination: float = 0.05) -> float:
+    """MO6 cut: the (1 - contamination) quantile of the training scores;
+    a row is an outlier when its score is above it."""
+    scored = score_isolation_forest(train, vec, forest, [])
+    return float(exact_percentile(scored, "if_score", 1.0 - contamination).first()[0])

@@ -207,7 +207,10 @@ def project_frame(df: DataFrame, vec: str, bases: list[np.ndarray], out_col: str
         for i, col in enumerate(cols):
             term = _scaled(col, F.col(f"_c{i}"))
             proj = term if proj is None else F.zip_with(proj, term, lambda a, t: a + t)
-        cur = cur.select(*keep, F.zip_with("_g", proj, lambda a, p: a - p).alias("_g"))
+        # a basis of another dimension (different head layout) is skipped
+        same = F.size("_g") == F.lit(b.shape[0])
+        cur = cur.select(*keep, F.when(same, F.zip_with("_g", proj, lambda a, p: a - p)).otherwise(F.col("_g"))
+                         .alias("_g"))
     return cur.withColumnRenamed("_g", out_col)
 
 

@@ -324,9 +324,11 @@ def q_mahalanobis(spark, sf_dir):
 @register("iforest")
 def q_iforest(spark, sf_dir):
     e = emb(spark, sf_dir)
-    forest = AN.fit_isolation_forest(e.where(F.col("label") <= BENIGN_MAX_LABEL), "embedding", "vec_id")
-    forest = forest.cache()
-    return AN.score_isolation_forest(e, "embedding", forest, ["vec_id", "label"])
+    benign = e.where(F.col("label") <= BENIGN_MAX_LABEL)
+    forest = AN.fit_isolation_forest(benign, "embedding", "vec_id").cache()
+    cut = AN.isolation_threshold(forest, benign, "embedding")
+    s = AN.score_isolation_forest(e, "embedding", forest, ["vec_id", "label"])
+    return s.withColumn("is_anomaly", F.col("if_score") > F.lit(cut))
 
 
 # ------------------------------------------------------------------ alerts
