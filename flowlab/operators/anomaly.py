@@ -45,13 +45,15 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
     # the (group, value) projection is read by every pass: keep it (recomputable)
     base = base.persist()
     stats = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    stats = stats.withColumn("_below", F.lit(0).cast("long"))
+    stats = stats.withColumn("_below", F.lit(0).cast("long")).checkpoint(eager=True)
+    n_groups = stats.count()
     cand = base
     grid = 1000
     probs = [i / grid for i in range(grid + 1)]
     spark = df.sparkSession
     for _ in range(8):
-        b = cand.join(F.broadcast(stats), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        st = F.broadcast(stats) if n_groups <= 100_000 else stats   # one row per group, counted above
+        b = cand.join(st, key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         size = b.count()
         if size <= max_candidates:
             break
@@ -70,7 +72,7 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
                                                      float(qs[int(math.ceil(f_hi * grid))])))
         schema = b.select(*key).schema.add("_n", "long").add("_lo", "double").add("_hi", "double")
         edges = spark.createDataFrame(rows, schema)
-        below = base.join(F.broadcast(edges), key).groupBy(*key).agg(
+        below = base.join(F.broadcast(edges) if n_groups <= 100_000 else edges, key).groupBy(*key).agg(
             F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("long").alias("_below"))
         # reliable checkpoint (spark.checkpoint.dir): keeps the loop's lineage short
         stats = edges.join(below, key).checkpoint(eager=True)
@@ -108,9 +110,10 @@ def group_mean_vectors(df: DataFrame, vec: str, group: str, digits: int | None =
 
 
 def reconstruction_errors(df: DataFrame, vec: str, recon: DataFrame, on: str) -> DataFrame:
-    """PR19: per-row MSE against the joined reconstruction (the recon table
-    has one row per group: bounded, broadcast)."""
-    return df.join(F.broadcast(recon), on).withColumn("err", A.mse(F.col(vec), F.col("recon"))).drop("recon")
+    """PR19: per-row MSE against the joined reconstruction (one row per
+    group; broadcast after its size is measured)."""
+    from flowlab.session import broadcast_if_small
+    return df.join(broadcast_if_small(recon), on).withColumn("err", A.mse(F.col(vec), F.col("recon"))).drop("recon")
 
 
 def score_errors(err: Column, threshold: float) -> dict[str, Column]:

@@ -89,5 +89,6 @@ def rank_by_value(df: DataFrame, group_cols: list[str], order_col: str, out_col:
     offs = counts.select(pid, *group_cols, F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
     w = Window.partitionBy(pid, *group_cols).orderBy(order_col)
     local = r.withColumn("_loc", F.row_number().over(w) - 1)
-    out = local.join(F.broadcast(offs), [pid, *group_cols])
+    from flowlab.session import broadcast_if_small
+    out = local.join(broadcast_if_small(offs), [pid, *group_cols])
     return out.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long")).drop(pid, "_loc", "_off")

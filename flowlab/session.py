@@ -61,3 +61,16 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df.repartition(cores)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast a derived lookup table only after measuring it: the table is
+    kept (it is reused by the join), counted, and hinted for broadcast when
+    it has at most ``max_rows`` rows; larger tables are left to a shuffle
+    join."""
+    from pyspark.sql import functions as F
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
