@@ -378,6 +378,86 @@ def train_head_local(labeled: DataFrame, x: str, y: str, sizes: list[int], unlab
     return layers, hist
 
 
+def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], unlabeled: DataFrame | None = None,
+                         weak: str | None = None, strong: str | None = None, weight: str | None = None,
+                         epochs: int = 10, lr: float = 0.03, batch_size: int = 64, lambda_u: float = 1.0,
+                         warmup: int = 3, confidence: float = 0.90, clip_norm: float = 1.0,
+                         dropout: list[float] | None = None, bases: list[np.ndarray] | None = None, seed: int = 0):
+    """TR2 on a layer-spec network (e.g. ``models.classifier_head``): focal
+    loss on labeled mini-batches and masked consistency CE on unlabeled ones
+    (pseudo labels from the weak view in inference mode), batch-norm with
+    batch statistics and dropout while training, Nesterov SGD with clip-norm
+    and optional projection, run as local-SGD rounds.  Trainable weights and
+    the moving statistics are both averaged across tasks by row count."""
+    from flowlab.operators import netgrad as NG
+    lab = labeled.select(F.lit(True).alias("_lab"), F.col(x).alias("_x"), F.col(y).cast("int").alias("_y"),
+                         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    mixed = lab
+    if unlabeled is not None:
+        unl = unlabeled.select(F.lit(False).alias("_lab"), F.col(weak).alias("_xw"), F.col(strong).alias("_xs"))
+        mixed = lab.unionByName(unl, allowMissingColumns=True)
+    mixed = mixed.withColumn("_o", F.rand(seed)).sortWithinPartitions("_o").drop("_o")
+    cols = [c for c in ["_lab", "_x", "_y", "_w", "_xw", "_xs"] if c in mixed.columns]
+    rates = dropout or [0.3 if i < len(net) - 2 else (0.2 if i == len(net) - 2 else 0.0) for i in range(len(net))]
+    hist = []
+    for ep in range(epochs):
+        lam = 0.0 if ep < warmup else lambda_u
+        w0, m0 = NG.flatten(net), NG.flatten(net, NG.MOVING)
+        bc = mixed.sparkSession.sparkContext.broadcast((w0, m0, net, bases))
+
+        def run(it, lam=lam, ep=ep):
+            from pyspark import TaskContext
+            start, mstart, like, bs = bc.value
+            rng = np.random.default_rng([seed, ep, TaskContext.get().partitionId()])
+            w, vel = start.copy(), np.zeros_like(start)
+            cur = NG.unflatten(mstart, NG.unflatten(w, like), NG.MOVING)
+            loss = n = masked = 0.0
+            for pdf in it:
+                for i in range(0, len(pdf), batch_size):
+                    b = pdf.iloc[i:i + batch_size]
+                    total = None
+                    lsum = 0.0
+                    lr_rows = b[b["_lab"]]
+                    if len(lr_rows) > 1:
+                        z, cache = NG.forward(_stack(lr_rows, "_x"), cur, True, rng, rates)
+                        l, d = focal_grad(z, lr_rows["_y"].to_numpy().astype(int), lr_rows["_w"].to_numpy())
+                        g, _ = NG.backward(cache, cur, d / len(lr_rows))
+                        total, lsum = NG.grad_vector(cur, g), l / len(lr_rows)
+                        cur = NG.update_moving(cur, cache)
+                    un = b[~b["_lab"]]
+                    if lam > 0 and len(un) > 1:
+                        p = softmax(NG.forward(_stack(un, "_xw"), cur, False)[0])
+                        pl = p.argmax(axis=1)
+                        mask = (p.max(axis=1) >= np.where(pl == 0, confidence + 0.05, confidence - 0.20)).astype(float)
+                        z, cache = NG.forward(_stack(un, "_xs"), cur, True, rng, rates)
+                        l, d = ce_grad(z, pl, mask)
+                        g, _ = NG.backward(cache, cur, lam * d / len(un))
+                        gu = NG.grad_vector(cur, g)
+                        total = gu if total is None else total + gu
+                        lsum += lam * l / len(un)
+                        masked += float(mask.sum())
+                        cur = NG.update_moving(cur, cache)
+                    if total is None or not np.all(np.isfinite(total)) or not np.isfinite(lsum):
+                        continue   # a NaN step is skipped
+                    g = clip(project(total, bs), clip_norm)
+                    vel = 0.9 * vel - lr * g
+                    w = w + 0.9 * vel - lr * g
+                    cur = NG.unflatten(w, cur)
+                    loss, n = loss + lsum * len(b), n + len(b)
+            if n:
+                delta = np.concatenate([w - start, NG.flatten(cur, NG.MOVING) - mstart])
+                yield _emit(delta * n, loss, n, masked)
+
+        parts = mixed.select(*cols).mapInPandas(run, SCHEMA)
+        dsum, l, n, masked = _reduce(parts, len(w0) + len(m0))
+        if n:
+            net = NG.unflatten(w0 + dsum[:len(w0)] / n, net)
+            net = NG.unflatten(m0 + dsum[len(w0):] / n, net, NG.MOVING)
+        hist.append({"epoch": ep, "loss_s": float("nan"), "loss_u": float("nan"), "total_loss": l / max(n, 1.0),
+                     "mask_rate": masked / max(n, 1.0)})
+    return net, hist
+
+
 def softmax_mse_grad(z, q):
     """sum over rows of mean_c (softmax(z) - q)^2 and its gradient."""
     p = softmax(z)
@@ -578,6 +658,25 @@ def capture_gradients(df: DataFrame, x: str, y: str, layers, batch: str = "batch
     return df.select(*cols).groupBy(batch).applyInPandas(per_batch, "batch_id long, vec array<double>")
 
 
+def capture_gradients_net(df: DataFrame, x: str, y: str, net: list[dict], batch: str = "batch_id",
+                          weight: str | None = None) -> DataFrame:
+    """TR5 for layer-spec networks: one flattened gradient of the trainable
+    weights per ``batch`` group (batch-norm on the batch's statistics,
+    dropout off)."""
+    from flowlab.operators import netgrad as NG
+    bc = df.sparkSession.sparkContext.broadcast(net)
+    cols = [batch, x, y] + ([weight] if weight else [])
+
+    def per_batch(pdf):
+        nn = bc.value
+        z, cache = NG.forward(_stack(pdf, x), nn, training=len(pdf) > 1)
+        _, d = ce_grad(z, pdf[y].to_numpy().astype(int), pdf[weight].to_numpy() if weight else None)
+        g, _ = NG.backward(cache, nn, d / len(pdf))
+        return pd.DataFrame({"batch_id": [int(pdf[batch].iloc[0])], "vec": [NG.grad_vector(nn, g).tolist()]})
+
+    return df.select(*cols).groupBy(batch).applyInPandas(per_batch, "batch_id long, vec array<double>")
+
+
 def numeric_gradient_check(f: Callable[[np.ndarray], float], w: np.ndarray, g: np.ndarray, eps=1e-6,
                            idx=None) -> float:
     """Max relative error between analytic ``g`` and central differences."""

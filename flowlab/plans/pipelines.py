@@ -22,6 +22,7 @@ from flowlab.operators import calibrate as CA
 from flowlab.operators import features as FT
 from flowlab.operators import linalg as LA
 from flowlab.operators import metrics as M
+from flowlab.operators import models as MO
 from flowlab.operators import split as SP
 from flowlab.operators import train as TR
 from flowlab.sources import flows as SRC
@@ -92,17 +93,18 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
         x = lab.select(AU.weak(F.col("z"), F.col("_rid"), f"w{i}").alias("x"), "y", "weight")
         unl = z_tr.select(AU.weak(F.col("z"), F.col("_rid"), f"uw{i}").alias("xw"),
                           AU.strong(F.col("z"), F.col("_rid"), f"us{i}").alias("xs"))
-        head, hist = TR.train_head_local(x, "x", "y", [embed_dim, 16, 2], unl, "xw", "xs", weight="weight",
-                                         epochs=task_epochs, warmup=1, batch_size=batch_size,
-                                         bases=bases if use_gpm else None, seed=seed + i)
+        head, hist = TR.train_head_net_local(x, "x", "y", MO.classifier_head(embed_dim, 2, seed=seed + i), unl,
+                                             "xw", "xs", weight="weight", epochs=task_epochs, warmup=1,
+                                             batch_size=batch_size, bases=bases if use_gpm else None, seed=seed + i)
         TR.history_frame(spark, task, hist).write.mode("overwrite").parquet(f"{out_dir}/history/task={task}")
         if use_gpm:
             gb = SP.batches(lab.select("_rid", "z", "y", "weight"), ["_rid"], batch_size, seed=seed)
-            grads = LA.filter_gradients(TR.capture_gradients(gb, "z", "y", head, weight="weight"), "vec", "batch_id")
+            grads = LA.filter_gradients(TR.capture_gradients_net(gb, "z", "y", head, weight="weight"), "vec",
+                                        "batch_id")
             basis, _ = LA.svd_basis(grads.withColumnRenamed("batch_id", "row_id"), "row_id", "vec")
             STATE.save_basis(spark, f"{out_dir}/bases", i, task, basis)
             bases = STATE.basis_matrices(STATE.load_bases(spark, f"{out_dir}/bases"))
-        ev = TR.predict(_with_task_label(z_te, task), "z", head, ["y"], "logits")
+        ev = MO.apply_nets(_with_task_label(z_te, task).select("y", "z"), "z", {"logits": head}, ["y"])
         m = evaluate_head(ev).withColumn("task", F.lit(task))
         metrics.append(m)
     out = metrics[0]

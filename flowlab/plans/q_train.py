@@ -50,6 +50,20 @@ def q_train_head_local(spark, sf_dir):
     return TR.history_frame(spark, "dos", hist)
 
 
+@register("train_reference_head")
+def q_train_reference_head(spark, sf_dir):
+    """TR2 on the reference classifier-head layout (Dense128-BN-Dropout,
+    residual Dense128 block, Dense64-BN-Dropout, logits) by local SGD."""
+    from flowlab.operators import models as MO
+    e = _task_frame(spark, sf_dir)
+    lab = e.where("labeled").select(AU.weak(F.col("embedding"), F.col("vec_id"), "w").alias("x"), "y", "weight")
+    unl = e.where("NOT labeled").select(AU.weak(F.col("embedding"), F.col("vec_id"), "uw").alias("xw"),
+                                        AU.strong(F.col("embedding"), F.col("vec_id"), "us").alias("xs"))
+    _, hist = TR.train_head_net_local(lab, "x", "y", MO.classifier_head(64, 2, seed=5), unl, "xw", "xs",
+                                      weight="weight", epochs=5, warmup=1)
+    return TR.history_frame(spark, "dos", hist)
+
+
 @register("train_mixmatch")
 def q_train_mixmatch(spark, sf_dir):
     """TR3: MixMatch head on the dos task; returns the epoch history."""

@@ -122,3 +122,41 @@ def test_contrastive_local_loss_decreases(spark):
     pairs = spark.createDataFrame(rows, "batch_id long, pos int, v1 array<double>, v2 array<double>")
     _, _, hist = TR.train_contrastive_local(pairs, [8, 16, 8], [8, 8, 4], epochs=4, lr=3e-3)
     assert hist[-1] < hist[0]
+
+
+def test_spec_net_backward_matches_numeric_with_bn_and_residual():
+    from flowlab.operators import models as MO
+    from flowlab.operators import netgrad as NG
+    rng = np.random.default_rng(21)
+    net = MO.classifier_head(6, 2, seed=3)
+    for L in net:   # non-trivial BN parameters
+        if "gamma" in L:
+            L["gamma"] = rng.uniform(0.5, 1.5, L["gamma"].shape)
+            L["beta"] = rng.normal(0, 0.1, L["beta"].shape)
+    x = rng.normal(size=(9, 6))
+    y = rng.integers(0, 2, 9)
+
+    def loss_of(w):
+        z, _ = NG.forward(x, NG.unflatten(w, net), training=True)
+        return TR.ce_grad(z, y)[0]
+
+    z, cache = NG.forward(x, net, training=True)
+    _, d = TR.ce_grad(z, y)
+    g, _ = NG.backward(cache, net, d)
+    w = NG.flatten(net)
+    err = TR.numeric_gradient_check(loss_of, w, NG.grad_vector(net, g), idx=range(0, len(w), 7))
+    assert err < 1e-4
+
+
+def test_reference_head_trains_with_bn_dropout(spark):
+    from flowlab.operators import models as MO
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(1200, 8))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(1200)], "x array<double>, y int").repartition(4)
+    net, hist = TR.train_head_net_local(df, "x", "y", MO.classifier_head(8, 2, seed=1), epochs=8, lr=0.05,
+                                        batch_size=64, warmup=100)
+    assert hist[-1]["total_loss"] < hist[0]["total_loss"]
+    assert any(np.any(L["mean"] != 0) for L in net if "mean" in L)      # moving statistics were learned
+    scored = MO.apply_nets(df, "x", {"logits": net}, ["y"])
+    assert TR.f1_binary(scored, "y", "logits") > 0.85
