@@ -226,12 +226,11 @@ def apply_nets(df: DataFrame, vec: str, nets: dict[str, list[dict]], keep: list[
                 fields.append(name)
             yield pa.RecordBatch.from_arrays(arrays, names=fields)
 
-    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
-    extra = ("embedding array<double>," if encoder is not None else "") + ",".join(
-        f"`{n}` array<double>" for n in names)
+    fields = [df.select(*keep).schema.simpleString()[len("struct<"):-1]] if keep else []
+    fields += (["embedding array<double>"] if encoder is not None else []) + [f"`{n}` array<double>" for n in names]
     cols = keep + ([vec] if vec not in keep else [])
     src = df.select(*cols).withColumn(vec, F.transform(vec, lambda v: v.cast("double")))
-    return src.mapInArrow(run, f"{schema},{extra}")
+    return src.mapInArrow(run, ",".join(fields))
 
 
 def from_dense(layers: list[dict[str, np.ndarray]]) -> list[dict]:

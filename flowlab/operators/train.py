@@ -630,6 +630,84 @@ def train_contrastive_local(pairs: DataFrame, enc_sizes: list[int], proj_sizes:
     return unflatten(w[:n_enc], enc), unflatten(w[n_enc:], proj), hist
 
 
+def train_contrastive_net_local(pairs: DataFrame, encoder: list[dict], projection: list[dict], epochs: int = 10,
+                                lr: float = 3e-4, temperature: float = 0.1, enc_dropout: float = 0.1, seed: int = 0):
+    """TR1 on the reference layouts (encoder: [Dense relu, BN, Dropout] x 2 +
+    linear; projection: Dense relu, BN, linear) with batch statistics:
+    whole contrastive batches per task, one Adam step per batch, weight and
+    moving-statistic changes averaged by batch count."""
+    from flowlab.operators import netgrad as NG
+    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    data = pairs.select("batch_id", "pos", "v1", "v2").repartition(parts, "batch_id").sortWithinPartitions(
+        "batch_id", "pos")
+    enc_rates = [enc_dropout if "gamma" in L else 0.0 for L in encoder]
+    hist = []
+    for ep in range(epochs):
+        we, wp = NG.flatten(encoder), NG.flatten(projection)
+        me, mp = NG.flatten(encoder, NG.MOVING), NG.flatten(projection, NG.MOVING)
+        start = np.concatenate([we, wp, me, mp])
+        bc = pairs.sparkSession.sparkContext.broadcast((start, encoder, projection))
+
+        def run(it, ep=ep):
+            from pyspark import TaskContext
+            w0, e_like, p_like = bc.value
+            rng = np.random.default_rng([seed, ep, TaskContext.get().partitionId()])
+            ne, npj = len(NG.flatten(e_like)), len(NG.flatten(p_like))
+            nme = len(NG.flatten(e_like, NG.MOVING))
+            w = w0[:ne + npj].copy()
+            enc = NG.unflatten(w0[ne + npj:ne + npj + nme], NG.unflatten(w[:ne], e_like), NG.MOVING)
+            prj = NG.unflatten(w0[ne + npj + nme:], NG.unflatten(w[ne:], p_like), NG.MOVING)
+            opt = Adam(lr)
+            loss_sum, nb, buf = 0.0, 0, []
+
+            def step(rows):
+                nonlocal w, enc, prj, loss_sum, nb
+                pdf = pd.concat(rows)
+                if len(pdf) < 2:
+                    return
+                h1, c1 = NG.forward(_stack(pdf, "v1"), enc, True, rng, enc_rates)
+                h2, c2 = NG.forward(_stack(pdf, "v2"), enc, True, rng, enc_rates)
+                z1, q1 = NG.forward(h1, prj, True)
+                z2, q2 = NG.forward(h2, prj, True)
+                loss, d1, d2 = nt_xent_grad(z1, z2, temperature)
+                gp1, dh1 = NG.backward(q1, prj, d1)
+                gp2, dh2 = NG.backward(q2, prj, d2)
+                ge1, _ = NG.backward(c1, enc, dh1)
+                ge2, _ = NG.backward(c2, enc, dh2)
+                g = np.concatenate([NG.grad_vector(enc, ge1) + NG.grad_vector(enc, ge2),
+                                    NG.grad_vector(prj, gp1) + NG.grad_vector(prj, gp2)])
+                if not np.all(np.isfinite(g)):
+                    return
+                for c in (c1, c2):
+                    enc = NG.update_moving(enc, c)
+                for q in (q1, q2):
+                    prj = NG.update_moving(prj, q)
+                w = opt.step(w, g)
+                enc, prj = NG.unflatten(w[:ne], enc), NG.unflatten(w[ne:], prj)
+                loss_sum, nb = loss_sum + loss, nb + 1
+
+            for pdf in it:
+                for bid, grp in pdf.groupby("batch_id", sort=False):
+                    if buf and buf[0]["batch_id"].iloc[0] != bid:
+                        step(buf)
+                        buf = []
+                    buf.append(grp)
+            if buf:
+                step(buf)
+            if nb:
+                now = np.concatenate([w, NG.flatten(enc, NG.MOVING), NG.flatten(prj, NG.MOVING)])
+                yield _emit((now - w0) * nb, loss_sum, nb, 0.0)
+
+        dsum, loss, nb, _ = _reduce(data.mapInPandas(run, SCHEMA), len(start))
+        if nb:
+            new = start + dsum / nb
+            ne, npj, nme = len(we), len(wp), len(me)
+            encoder = NG.unflatten(new[ne + npj:ne + npj + nme], NG.unflatten(new[:ne], encoder), NG.MOVING)
+            projection = NG.unflatten(new[ne + npj + nme:], NG.unflatten(new[ne:ne + npj], projection), NG.MOVING)
+        hist.append(loss / max(nb, 1.0))
+    return encoder, projection, hist
+
+
 def _pair_pass(pairs, params, step, n_params):
     bc = pairs.sparkSession.sparkContext.broadcast(params)
 

@@ -80,10 +80,12 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
     b = SP.batches(tr.select("_rid", "features"), ["_rid"], batch_size, seed=seed)
     pairs = b.select("batch_id", "pos", AU.strong(F.col("features"), F.col("_rid"), "s1").alias("v1"),
                      AU.strong(F.col("features"), F.col("_rid"), "s2").alias("v2"))
-    enc, _, ssl_hist = TR.train_contrastive_local(pairs, [dim, 32, embed_dim], [embed_dim, 16, 8],
-                                                  epochs=ssl_epochs, lr=1e-3)
-    z_tr = TR.predict(tr, "features", enc, keep, "z")
-    z_te = TR.predict(te, "features", enc, keep, "z")
+    enc, _, ssl_hist = TR.train_contrastive_net_local(
+        pairs, MO.flow_encoder(dim, 4 * embed_dim, embed_dim, seed=seed), MO.projection_head(embed_dim, embed_dim // 2,
+                                                                                              seed=seed + 1),
+        epochs=ssl_epochs, lr=1e-3)
+    z_tr = MO.apply_nets(tr, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
+    z_te = MO.apply_nets(te, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
     bases: list[np.ndarray] = []
     metrics = []
     for i, task in enumerate(tasks):

@@ -96,7 +96,9 @@ def q_train_contrastive(spark, sf_dir):
                      (F.col("vec_id") % 32).cast("int").alias("pos"),
                      AU.strong(F.col("embedding"), F.col("vec_id"), "s1").alias("v1"),
                      AU.strong(F.col("embedding"), F.col("vec_id"), "s2").alias("v2"))
-    _, _, hist = TR.train_contrastive(pairs, [64, 64, 32], [32, 32, 16], epochs=3)
+    from flowlab.operators import models as MO
+    _, _, hist = TR.train_contrastive_net_local(pairs, MO.flow_encoder(64, 128, 32, seed=1),
+                                                MO.projection_head(32, 16, seed=2), epochs=3, lr=1e-3)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "epoch int, loss double")
 
 

@@ -160,3 +160,16 @@ def test_reference_head_trains_with_bn_dropout(spark):
     assert any(np.any(L["mean"] != 0) for L in net if "mean" in L)      # moving statistics were learned
     scored = MO.apply_nets(df, "x", {"logits": net}, ["y"])
     assert TR.f1_binary(scored, "y", "logits") > 0.85
+
+
+def test_contrastive_reference_layout_learns(spark):
+    from flowlab.operators import models as MO
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(512, 8))
+    rows = [(i // 64, i % 64, (base[i] + 0.05 * rng.normal(size=8)).tolist(), (base[i] + 0.05 * rng.normal(size=8)).tolist())
+            for i in range(512)]
+    pairs = spark.createDataFrame(rows, "batch_id long, pos int, v1 array<double>, v2 array<double>")
+    enc, proj, hist = TR.train_contrastive_net_local(pairs, MO.flow_encoder(8, 32, 16, seed=1),
+                                                     MO.projection_head(16, 8, seed=2), epochs=5, lr=3e-3)
+    assert hist[-1] < hist[0]
+    assert any(np.any(L["var"] != 1) for L in enc if "var" in L)
