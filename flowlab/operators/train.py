@@ -458,6 +458,50 @@ def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], un
     return net, hist
 
 
+def train_autoencoder_net_local(df: DataFrame, x: str, net: list[dict], epochs: int = 20, lr: float = 1e-3,
+                                batch_size: int = 256, seed: int = 0):
+    """TR4 on the reference autoencoder layout: reconstruction MSE with
+    mini-batch Adam steps inside each task (batch statistics), weights and
+    moving statistics averaged by row count after every epoch."""
+    from flowlab.operators import netgrad as NG
+    data = df.select(F.col(x).alias("_x")).withColumn("_o", F.rand(seed)).sortWithinPartitions("_o").drop("_o")
+    hist = []
+    for ep in range(epochs):
+        w0, m0 = NG.flatten(net), NG.flatten(net, NG.MOVING)
+        bc = df.sparkSession.sparkContext.broadcast((w0, m0, net))
+
+        def run(it):
+            start, mstart, like = bc.value
+            w = start.copy()
+            cur = NG.unflatten(mstart, NG.unflatten(w, like), NG.MOVING)
+            opt = Adam(lr)
+            loss = n = 0.0
+            for pdf in it:
+                for i in range(0, len(pdf), batch_size):
+                    v = _stack(pdf.iloc[i:i + batch_size], "_x")
+                    if len(v) < 2:
+                        continue
+                    out, cache = NG.forward(v, cur, True)
+                    l, d = mse_grad(out, v)
+                    g, _ = NG.backward(cache, cur, d / len(v))
+                    gv = NG.grad_vector(cur, g)
+                    if not np.all(np.isfinite(gv)):
+                        continue
+                    cur = NG.update_moving(cur, cache)
+                    w = opt.step(w, gv)
+                    cur = NG.unflatten(w, cur)
+                    loss, n = loss + l, n + len(v)
+            if n:
+                delta = np.concatenate([w - start, NG.flatten(cur, NG.MOVING) - mstart])
+                yield _emit(delta * n, loss, n, 0.0)
+
+        dsum, l, n, _ = _reduce(data.mapInPandas(run, SCHEMA), len(w0) + len(m0))
+        if n:
+            net = NG.unflatten(m0 + dsum[len(w0):] / n, NG.unflatten(w0 + dsum[:len(w0)] / n, net), NG.MOVING)
+        hist.append(l / max(n, 1.0))
+    return net, hist
+
+
 def softmax_mse_grad(z, q):
     """sum over rows of mean_c (softmax(z) - q)^2 and its gradient."""
     p = softmax(z)

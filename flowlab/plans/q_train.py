@@ -80,8 +80,9 @@ def q_train_autoencoder(spark, sf_dir):
     """TR4 + AG18: autoencoder on benign rows, then the p95 error cut."""
     e = emb(spark, sf_dir)
     benign = e.where(F.col("label") <= BENIGN_MAX_LABEL)
-    layers, hist = TR.train_autoencoder(benign, "embedding", [64, 32, 16, 32, 64], epochs=10)
-    rec = TR.predict(benign, "embedding", layers, ["vec_id", "embedding"], "recon")
+    from flowlab.operators import models as MO
+    net, hist = TR.train_autoencoder_net_local(benign, "embedding", MO.autoencoder(64, 16, seed=3), epochs=10)
+    rec = MO.apply_nets(benign, "embedding", {"recon": net}, ["vec_id", "embedding"])
     err = rec.select(A.mse(F.col("embedding"), F.col("recon")).alias("err"))
     thr = AN.exact_percentile(err, "err", 0.95).first()[0]
     return spark.createDataFrame([(i, float(v), float(thr)) for i, v in enumerate(hist)],

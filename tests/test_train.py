@@ -173,3 +173,13 @@ def test_contrastive_reference_layout_learns(spark):
                                                      MO.projection_head(16, 8, seed=2), epochs=5, lr=3e-3)
     assert hist[-1] < hist[0]
     assert any(np.any(L["var"] != 1) for L in enc if "var" in L)
+
+
+def test_autoencoder_reference_layout_learns(spark):
+    from flowlab.operators import models as MO
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(600, 3)) @ rng.normal(size=(3, 12))
+    df = spark.createDataFrame([(x[i].tolist(),) for i in range(600)], "x array<double>").repartition(3)
+    net, hist = TR.train_autoencoder_net_local(df, "x", MO.autoencoder(12, 4, seed=1), epochs=8, lr=3e-3,
+                                               batch_size=64)
+    assert hist[-1] < 0.5 * hist[0]
