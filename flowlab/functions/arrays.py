@@ -78,10 +78,6 @@ def average(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x.cast("double") + y.cast("double")) / 2)
 
 
-def axpy(alpha: Column | float, x: Column, y: Column) -> Column:
-    """y + alpha * x."""
-    a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return F.zip_with(x, y, lambda u, v: v.cast("double") + a * u.cast("double"))
 
 
 def attack_probability(p: Column) -> Column:

@@ -18,8 +18,6 @@ from flowlab.operators.prefix import global_rank, running_totals
 EPS_F1 = 1e-8
 
 
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def _div0(num: Column, den: Column) -> Column:

@@ -13,7 +13,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,65 +54,39 @@ def sql_linear_logits(vec_sql: str, w: np.ndarray) -> str:
 
 # ------------------------------------------------------------ MLP forward
 
-def init_mlp(sizes: list[int], seed: int = 0) -> list[dict[str, np.ndarray]]:
-    """He-initialised dense layers with identity batch-norm statistics."""
-    rng = np.random.default_rng(seed)
-    layers = []
-    for a, b in zip(sizes[:-1], sizes[1:]):
-        layers.append({"W": rng.normal(0, math.sqrt(2.0 / a), (a, b)), "b": np.zeros(b),
-                       "gamma": np.ones(b), "beta": np.zeros(b), "mean": np.zeros(b), "var": np.ones(b)})
-    return layers
 
 
-def mlp_forward(x: np.ndarray, layers: list[dict[str, np.ndarray]], batch_norm: bool = True) -> np.ndarray:
-    """Dense -> ReLU -> BN (inference) for hidden layers; last layer linear."""
-    h = x
-    for i, L in enumerate(layers):
-        h = h @ L["W"] + L["b"]
-        if i < len(layers) - 1:
-            h = np.maximum(h, 0.0)
-            if batch_norm:
-                h = (h - L["mean"]) / np.sqrt(L["var"] + 1e-3) * L["gamma"] + L["beta"]
-    return h
 
 
-def params_table(spark: SparkSession, model: str, layers: list[dict[str, np.ndarray]]) -> DataFrame:
-    """IO11: one row per tensor: (model, ord, name, shape, data)."""
+def params_table(spark: SparkSession, model: str, net: list[dict]) -> DataFrame:
+    """IO11: one row per tensor of a layer-spec network:
+    (model, ord, name, shape, data); layer flags travel as a 0/1 tensor."""
     rows = []
-    for i, L in enumerate(layers):
+    for i, L in enumerate(net):
         for k in ("W", "b", "gamma", "beta", "mean", "var"):
-            a = np.asarray(L[k], dtype=np.float64)
-            rows.append((model, i, k, list(a.shape), a.ravel().tolist()))
+            if k in L:
+                a = np.asarray(L[k], dtype=np.float64)
+                rows.append((model, i, k, list(a.shape), a.ravel().tolist()))
+        flags = [1.0 if L.get("act") == "relu" else 0.0, 1.0 if L.get("save") else 0.0, 1.0 if L.get("add") else 0.0]
+        rows.append((model, i, "flags", [3], flags))
     return spark.createDataFrame(rows, "model string, ord int, name string, shape array<int>, data array<double>")
 
 
-def layers_from_table(df: DataFrame, model: str) -> list[dict[str, np.ndarray]]:
+def layers_from_table(df: DataFrame, model: str) -> list[dict]:
+    """IO11 load: the network written by :func:`params_table` (bounded:
+    one model's tensors)."""
     rows = df.where(F.col("model") == model).collect()
     n = max(r["ord"] for r in rows) + 1
-    layers: list[dict[str, np.ndarray]] = [{} for _ in range(n)]
+    net: list[dict] = [{} for _ in range(n)]
     for r in rows:
-        layers[r["ord"]][r["name"]] = np.asarray(r["data"], dtype=np.float64).reshape(r["shape"])
-    return layers
+        a = np.asarray(r["data"], dtype=np.float64).reshape(r["shape"])
+        if r["name"] == "flags":
+            net[r["ord"]].update({"act": "relu" if a[0] else None, "save": bool(a[1]), "add": bool(a[2])})
+        else:
+            net[r["ord"]][r["name"]] = a
+    return net
 
 
-def apply_mlp(df: DataFrame, vec: str, layers: list[dict[str, np.ndarray]], keep: list[str],
-              out_col: str = "out", batch_norm: bool = True) -> DataFrame:
-    """MO1-MO3/MO5 forward pass: parameters broadcast once, one NumPy matmul
-    chain per Arrow batch, no shuffle."""
-    bc = df.sparkSession.sparkContext.broadcast(layers)
-
-    def run(it):
-        ls = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            out = pdf[keep].copy()
-            out[out_col] = list(mlp_forward(x, ls, batch_norm))
-            yield out
-
-    schema = df.select(*keep).schema.simpleString()[len("struct<"):-1]
-    return df.select(*keep, vec).mapInPandas(run, f"{schema},{out_col} array<double>")
 
 
 # ------------------------------------------------ reference architectures

@@ -4,7 +4,6 @@ gradient memory (LA0-2, AG23-25) and alert routing (AL1-4, IO13)."""
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -161,8 +160,6 @@ HEAD_W = {h: MO.linear_head_weights(h, DIM, 2, scale=1.0) for h in MO.HEADS}
 HEAD_PARAMS = [("dos", 0.6, 1.5), ("port_scan", 0.7, None), ("intrusion", 0.55, -1.0)]
 
 
-def _logits_cols(vec: Column) -> dict[str, Column]:
-    return {h: MO.linear_logits(vec, HEAD_W[h]) for h in MO.HEADS}
 
 
 def _with_heads(spark, df: DataFrame, vec: str, keep: list[str]) -> DataFrame:
@@ -748,6 +745,3 @@ def q_embed(spark, sf_dir):
     return out.select("vec_id", *[A.softmax(F.col(f"logits_{h}")).alias(f"p_{h}") for h in MO.HEADS],
                       A.mse(F.col("embedding"), F.col("recon")).alias("recon_err"))
 
-
-def _log2(x: float) -> float:
-    return math.log(x, 2)

@@ -8,7 +8,7 @@ stopped after a failure).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
@@ -155,8 +155,6 @@ def foreach_batch_alerts(df: DataFrame, out_path: str, checkpoint: str):
     return q
 
 
-def severity_col(score: Column) -> Column:
-    return A.severity(score)
 
 
 def model_alerts(flows: DataFrame, state: FT.FeatureState, encoder: list[dict], heads: dict[str, list[dict]],

@@ -42,3 +42,14 @@ def test_basis_bank_append_and_replace(spark):
     STATE.save_basis(spark, f"{d}/bank", 0, "dos", basis(3, 5))      # replace task 0 only
     mats = STATE.basis_matrices(STATE.load_bases(spark, f"{d}/bank"))
     assert [m.shape for m in mats] == [(4, 3), (4, 1)] and np.all(mats[1] == 2.0)
+
+
+def test_model_params_roundtrip(spark):
+    from flowlab.operators import models as MO
+    net = MO.classifier_head(8, 2, seed=4)
+    d = _tmp()
+    STATE.save_params(MO.params_table(spark, "dos", net), f"{d}/params")
+    back = MO.layers_from_table(spark.read.parquet(f"{d}/params"), "dos")
+    x = np.random.default_rng(1).normal(size=(3, 8))
+    assert np.allclose(MO.net_forward(x, back), MO.net_forward(x, net))
+    assert [L.get("save", False) for L in back] == [True, False, False, False]
