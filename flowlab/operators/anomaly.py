@@ -30,7 +30,7 @@ def _schema(df: DataFrame, keep: list[str], extra: str) -> str:
 # ------------------------------------------------------------ exact quantile
 
 def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str] | None = None,
-                     max_candidates: int = 2_000_000, out_col: str = "quantile") -> DataFrame:
+                     max_candidates: int = 500_000, out_col: str = "quantile") -> DataFrame:
     """numpy.percentile(linear) of ``value`` per group, exact.
 
     Pass 1 finds per group the count n and an approximate bracket around

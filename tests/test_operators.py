@@ -300,3 +300,13 @@ def test_first_n_large_cap_uses_ranks(spark):
         assert got == list(range(123))
     finally:
         SP.TOP_K_IN_ONE_TASK = old
+
+
+def test_split_needs_every_class_on_both_sides(spark):
+    rows = [(i, "a" if i < 3 else ("b" if i < 6 else "c")) for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    with pytest.raises(ValueError, match="number of classes"):
+        SP.stratified_split(df, ["k"], "s", test_size=0.2)        # 2 test rows < 3 classes
+    out = SP.stratified_split(df, ["k"], "s", test_size=0.34).where("split = 'test'").collect()
+    # ceil(0.34 * 9) = 4 test rows: one per class, the extra one to the first of the tied remainders
+    assert sorted(r["s"] for r in out) == ["a", "a", "b", "c"]
