@@ -21,7 +21,7 @@ from flowlab.functions import arrays as A
 MAX_ROWS = 512        # fixed value: gradient batches kept per capture
 MIN_NORM = 1e-12      # fixed value: rows at or below this norm are dropped
 ENERGY = 0.97         # fixed value: captured energy of the basis
-MAX_GRAM_ROWS = 8192  # N x N Gram matrices above this are refused (driver-side eigenproblem)
+MAX_GRAM_ROWS = 2048  # N x N Gram matrices above this are refused (driver-side eigenproblem)
 
 
 def valid_gradient(vec: Column) -> Column:
