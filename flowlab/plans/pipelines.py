@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
 from flowlab.functions import labels as L
+from flowlab.operators import alerts as AL
+from flowlab.operators import anomaly as AN
 from flowlab.operators import augment as AU
 from flowlab.operators import calibrate as CA
 from flowlab.operators import features as FT
@@ -62,10 +64,12 @@ def _with_task_label(df: DataFrame, task: str) -> DataFrame:
 
 def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[str] = TASKS,
                  ssl_epochs: int = 3, task_epochs: int = 5, embed_dim: int = 16, use_gpm: bool = True,
-                 batch_size: int = 64, seed: int = 42) -> DataFrame:
-    """PL1/PL2 core: features -> contrastive encoder -> per task FixMatch
-    head (projected against earlier tasks' bases) -> gradient capture ->
-    basis -> evaluation.  Returns the metrics table (also written)."""
+                 batch_size: int = 64, ae_epochs: int = 5, seed: int = 42) -> DataFrame:
+    """PL1/PL2 core: features -> contrastive encoder -> autoencoder on
+    benign embeddings (p95 cut) -> per task FixMatch head (projected against
+    earlier tasks' bases) -> gradient capture -> basis -> evaluation.
+    Writes the state a scoring job needs (feature state, model parameters,
+    head thresholds / temperatures, anomaly cut) and returns the metrics."""
     spark = train.sparkSession
     st = FT.fit(FT.clean(train.drop("AttackLabel", "AttackCategory")), "Label")
     st.save(spark, f"{out_dir}/feature_state")
@@ -86,6 +90,15 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
         epochs=ssl_epochs, lr=1e-3)
     z_tr = MO.apply_nets(tr, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
     z_te = MO.apply_nets(te, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
+    # anomaly model: first-class job on benign training embeddings
+    benign = z_tr.where(F.col("Label") == "normal")
+    ae, _ = TR.train_autoencoder_net_local(benign, "z", MO.autoencoder(embed_dim, max(embed_dim // 4, 2), seed=seed),
+                                           epochs=ae_epochs)
+    rec = MO.apply_nets(benign.select("z"), "z", {"recon": ae}, ["z"])
+    ae_cut = AN.exact_percentile(rec.select(A.mse(F.col("z"), F.col("recon")).alias("err")), "err", 0.95).first()[0]
+    STATE.save_anomaly_params(spark, f"{out_dir}/anomaly_params", "autoencoder", float(ae_cut or 0.0))
+    params = [MO.params_table(spark, "encoder", enc), MO.params_table(spark, "autoencoder", ae)]
+    head_rows = []
     bases: list[np.ndarray] = []
     metrics = []
     for i, task in enumerate(tasks):
@@ -109,13 +122,40 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
         ev = MO.apply_nets(_with_task_label(z_te, task).select("y", "z"), "z", {"logits": head}, ["y"])
         m = evaluate_head(ev).withColumn("task", F.lit(task))
         metrics.append(m)
+        params.append(MO.params_table(spark, f"head_{task}", head))
+        got = {r["metric"]: r["value"] for r in m.where("class IS NULL").select("metric", "value").collect()}
+        head_rows.append((task, got.get("optimal_threshold"), got.get("temperature")))
     out = metrics[0]
     for m in metrics[1:]:
         out = out.unionByName(m)
     STATE.write_report(out, f"{out_dir}/metrics", ["task"])
+    allp = params[0]
+    for p in params[1:]:
+        allp = allp.unionByName(p)
+    STATE.save_params(allp, f"{out_dir}/model_params")
+    AL.head_params(spark, head_rows).write.mode("overwrite").parquet(f"{out_dir}/head_params")
     return spark.read.json(f"{out_dir}/metrics")
 
 
+def score_flow_table(spark: SparkSession, flows: DataFrame, state_dir: str, id_col: str = "flow_id",
+                     with_timestamp: bool = True) -> DataFrame:
+    """Inference entry point (AL5 with persisted state): feature state,
+    encoder / head / autoencoder parameters, per-head threshold and
+    temperature (missing -> defaults) and the anomaly cut are read from
+    ``state_dir``; nothing is refit.  Works on a batch table or a stream."""
+    from flowlab.streaming.alerts import model_alerts
+    st = FT.FeatureState.load(spark, f"{state_dir}/feature_state")
+    ptab = spark.read.parquet(f"{state_dir}/model_params")
+    hp = STATE.read_head_params(spark, f"{state_dir}/head_params")
+    tasks = [r["head"] for r in hp.select("head").collect()]
+    heads = {t: MO.layers_from_table(ptab, f"head_{t}") for t in tasks}
+    enc = MO.layers_from_table(ptab, "encoder")
+    ae = MO.layers_from_table(ptab, "autoencoder")
+    cut = spark.read.parquet(f"{state_dir}/anomaly_params").first()["threshold"]
+    params = AL.resolve_params(spark, tasks, hp)
+    return model_alerts(flows, st, enc, heads, ae, params, float(cut), id_col, with_timestamp)
+
+
 def run_named_dataset(spark: SparkSession, dataset: str, base: str, out_dir: str, **kw) -> DataFrame:
     """PL1: a named dataset (KDD Cup 99 / CICIDS2017) end to end."""
     train = SRC.load_dataset(spark, dataset, "train", base)

@@ -48,3 +48,11 @@ def test_synthetic_benchmark_end_to_end(spark):
     res = synthetic_benchmark(spark, out, n_train=600, n_test=200, n_features=8)
     assert set(res["f1"]) == {"intrusion", "dos", "port_scan"} and res["elapsed"] > 0
     assert all(0.0 <= v <= 1.0 for v in res["f1"].values())
+    # the persisted state scores new flows without refitting anything
+    from flowlab.plans.pipelines import score_flow_table
+    flows = SRC.synthetic_flows(spark, 50, 8, seed=7).select(F.col("id").cast("string").alias("flow_id"),
+                                                              *[f"Feature_{i}" for i in range(8)])
+    alerts = score_flow_table(spark, flows, out).collect()
+    assert len(alerts) == 50
+    assert {a["attack_type"] for a in alerts} <= {None, "intrusion", "dos", "port_scan", "zero-day / unknown"}
+    assert all(0.0 <= a["anomaly_score"] <= 1.0 and a["ts"] is not None for a in alerts)
