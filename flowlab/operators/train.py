@@ -130,30 +130,35 @@ def _reduce(parts: DataFrame, n_params: int) -> tuple[np.ndarray, float, float,
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.sum(np.stack(pdf["g"].map(np.asarray).to_numpy()), axis=0)
+        aux = np.sum(np.stack(pdf["aux"].map(np.asarray).to_numpy()), axis=0)
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "g": [g.tolist()],
                              "loss": [float(pdf["loss"].sum())], "n": [float(pdf["n"].sum())],
-                             "aux": [float(pdf["aux"].sum())]})
+                             "aux": [aux.tolist()]})
 
     red = parts.groupBy("chunk").applyInPandas(add, SCHEMA).collect()
     grad = np.zeros(n_params)
-    loss = n = aux = 0.0
+    loss = n = 0.0
+    aux = np.zeros(1)
     for r in red:
         c = r["chunk"]
         grad[c * CHUNK: c * CHUNK + len(r["g"])] = r["g"]
         if c == 0:
-            loss, n, aux = r["loss"], r["n"], r["aux"]
+            loss, n, aux = r["loss"], r["n"], np.asarray(r["aux"], dtype=np.float64)
     return grad, loss, n, aux
 
 
-SCHEMA = "chunk int, g array<double>, loss double, n double, aux double"
+SCHEMA = "chunk int, g array<double>, loss double, n double, aux array<double>"
 
 
-def _emit(flat: np.ndarray, loss: float, n: float, aux: float = 0.0) -> pd.DataFrame:
+def _emit(flat: np.ndarray, loss: float, n: float, aux=0.0) -> pd.DataFrame:
+    """Chunk a flat vector into rows; ``aux`` is a small vector of side
+    statistics (summed like the gradient)."""
     k = math.ceil(len(flat) / CHUNK)
     z = [0.0] * (k - 1)
+    a = np.atleast_1d(np.asarray(aux, dtype=np.float64))
     return pd.DataFrame({"chunk": np.arange(k, dtype=np.int32),
                          "g": [flat[i * CHUNK:(i + 1) * CHUNK].tolist() for i in range(k)],
-                         "loss": [loss] + z, "n": [n] + z, "aux": [aux] + z})
+                         "loss": [loss] + z, "n": [n] + z, "aux": [a.tolist()] + [np.zeros_like(a).tolist()] * (k - 1)})
 
 
 def gradient_pass(df: DataFrame, cols: list[str], params, step: Callable, group: str | None = None):
@@ -274,7 +279,7 @@ def train_head(df: DataFrame, x: str, y: str, sizes: list[int], epochs: int = 10
         lam = 0.0 if ep < warmup else lambda_u
         if unlabeled is not None and lam > 0:
             gu, lu, nu, masked = gradient_pass(unlabeled, [weak, strong], layers, unsup_step)
-            mask_rate = masked / max(nu, 1.0)
+            mask_rate = float(masked[0]) / max(nu, 1.0)
             loss_u = lu / max(nu, 1.0)
             g = g + lam * gu / max(nu, 1.0)
         total = loss_s + lam * loss_u
@@ -305,7 +310,8 @@ def local_sgd_round(df: DataFrame, cols: list[str], w0: np.ndarray, like, batch_
         start, shapes, bs = bc.value
         w = start.copy()
         vel = np.zeros_like(w)
-        loss = n = aux = 0.0
+        loss = n = 0.0
+        aux = 0.0
         for pdf in it:
             for i in range(0, len(pdf), batch_size):
                 b = pdf.iloc[i:i + batch_size]
@@ -349,12 +355,15 @@ def train_head_local(labeled: DataFrame, x: str, y: str, sizes: list[int], unlab
 
         def batch_grad(pdf, params, lam=lam):
             lab_rows = pdf[pdf["_lab"]]
-            total, loss, aux = None, 0.0, 0.0
+            total, loss = None, 0.0
+            aux = np.zeros(6)   # masked, loss_s sum, loss_u sum, labeled batches, unlabeled batches, unlabeled rows
             if len(lab_rows):
                 z, acts = forward(_stack(lab_rows, "_x"), params)
                 l, d = focal_grad(z, lab_rows["_y"].to_numpy().astype(int), lab_rows["_w"].to_numpy())
                 g, _ = backward(acts, params, d / len(lab_rows))
                 total, loss = flatten(g), l / len(lab_rows)
+                aux[1] += l / len(lab_rows)
+                aux[3] += 1
             un = pdf[~pdf["_lab"]]
             if lam > 0 and len(un):
                 p = softmax(forward(_stack(un, "_xw"), params)[0])
@@ -365,16 +374,16 @@ def train_head_local(labeled: DataFrame, x: str, y: str, sizes: list[int], unlab
                 g, _ = backward(acts, params, lam * d / len(un))
                 gu = flatten(g)
                 total = gu if total is None else total + gu
-                loss, aux = loss + lam * l / len(un), float(mask.sum())
+                loss += lam * l / len(un)
+                aux += [float(mask.sum()), 0.0, l / len(un), 0.0, 1.0, len(un)]
             if total is None:
-                return np.zeros(len(flatten(params))), 0.0, 0, 0.0
+                return np.zeros(len(flatten(params))), 0.0, 0, np.zeros(6)
             return total, loss * len(pdf), len(pdf), aux
 
-        w, l, n, masked = local_sgd_round(mixed, cols, w, layers, batch_grad, lr, batch_size, bases=bases,
-                                          clip_norm=clip_norm)
+        w, l, n, aux = local_sgd_round(mixed, cols, w, layers, batch_grad, lr, batch_size, bases=bases,
+                                       clip_norm=clip_norm)
         layers = unflatten(w, layers)
-        hist.append({"epoch": ep, "loss_s": float("nan"), "loss_u": float("nan"), "total_loss": l / max(n, 1.0),
-                     "mask_rate": masked / max(n, 1.0)})
+        hist.append(_history(ep, l, n, aux))
     return layers, hist
 
 
@@ -411,7 +420,8 @@ def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], un
             rng = np.random.default_rng([seed, ep, TaskContext.get().partitionId()])
             w, vel = start.copy(), np.zeros_like(start)
             cur = NG.unflatten(mstart, NG.unflatten(w, like), NG.MOVING)
-            loss = n = masked = 0.0
+            loss = n = 0.0
+            aux = np.zeros(6)
             for pdf in it:
                 for i in range(0, len(pdf), batch_size):
                     b = pdf.iloc[i:i + batch_size]
@@ -424,6 +434,8 @@ def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], un
                         g, _ = NG.backward(cache, cur, d / len(lr_rows))
                         total, lsum = NG.grad_vector(cur, g), l / len(lr_rows)
                         cur = NG.update_moving(cur, cache)
+                        aux[1] += l / len(lr_rows)
+                        aux[3] += 1
                     un = b[~b["_lab"]]
                     if lam > 0 and len(un) > 1:
                         p = softmax(NG.forward(_stack(un, "_xw"), cur, False)[0])
@@ -435,7 +447,7 @@ def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], un
                         gu = NG.grad_vector(cur, g)
                         total = gu if total is None else total + gu
                         lsum += lam * l / len(un)
-                        masked += float(mask.sum())
+                        aux += [float(mask.sum()), 0.0, l / len(un), 0.0, 1.0, len(un)]
                         cur = NG.update_moving(cur, cache)
                     if total is None or not np.all(np.isfinite(total)) or not np.isfinite(lsum):
                         continue   # a NaN step is skipped
@@ -446,15 +458,14 @@ def train_head_net_local(labeled: DataFrame, x: str, y: str, net: list[dict], un
                     loss, n = loss + lsum * len(b), n + len(b)
             if n:
                 delta = np.concatenate([w - start, NG.flatten(cur, NG.MOVING) - mstart])
-                yield _emit(delta * n, loss, n, masked)
+                yield _emit(delta * n, loss, n, aux)
 
         parts = mixed.select(*cols).mapInPandas(run, SCHEMA)
-        dsum, l, n, masked = _reduce(parts, len(w0) + len(m0))
+        dsum, l, n, aux = _reduce(parts, len(w0) + len(m0))
         if n:
             net = NG.unflatten(w0 + dsum[:len(w0)] / n, net)
             net = NG.unflatten(m0 + dsum[len(w0):] / n, net, NG.MOVING)
-        hist.append({"epoch": ep, "loss_s": float("nan"), "loss_u": float("nan"), "total_loss": l / max(n, 1.0),
-                     "mask_rate": masked / max(n, 1.0)})
+        hist.append(_history(ep, l, n, aux))
     return net, hist
 
 
@@ -502,6 +513,17 @@ def train_autoencoder_net_local(df: DataFrame, x: str, net: list[dict], epochs:
     return net, hist
 
 
+def _history(epoch: int, loss_sum: float, n: float, aux: np.ndarray) -> dict[str, float]:
+    """AG22 row from summed batch statistics: mean supervised and
+    consistency losses over the batches that had them, mean total loss per
+    row, mask rate over unlabeled rows."""
+    a = np.zeros(6)
+    a[:len(aux)] = aux[:6]
+    nan = float("nan")
+    return {"epoch": epoch, "loss_s": a[1] / a[3] if a[3] else nan, "loss_u": a[2] / a[4] if a[4] else nan,
+            "total_loss": loss_sum / max(n, 1.0), "mask_rate": a[0] / a[5] if a[5] else 0.0}
+
+
 def softmax_mse_grad(z, q):
     """sum over rows of mean_c (softmax(z) - q)^2 and its gradient."""
     p = softmax(z)
@@ -813,8 +835,9 @@ def numeric_gradient_check(f: Callable[[np.ndarray], float], w: np.ndarray, g: n
 
 
 def history_frame(spark, task: str, hist: list[dict[str, float]]) -> DataFrame:
-    return spark.createDataFrame([(task, int(h["epoch"]), h["loss_s"], h["loss_u"], h["total_loss"], h["mask_rate"])
-                                  for h in hist], "task string, epoch int, loss_s double, loss_u double, "
+    f = lambda v: None if v is None else float(v)
+    return spark.createDataFrame([(task, int(h["epoch"]), f(h["loss_s"]), f(h["loss_u"]), f(h["total_loss"]),
+                                   f(h["mask_rate"])) for h in hist], "task string, epoch int, loss_s double, loss_u double, "
                                                   "total_loss double, mask_rate double")
 
 

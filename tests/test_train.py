@@ -183,3 +183,17 @@ def test_autoencoder_reference_layout_learns(spark):
     net, hist = TR.train_autoencoder_net_local(df, "x", MO.autoencoder(12, 4, seed=1), epochs=8, lr=3e-3,
                                                batch_size=64)
     assert hist[-1] < 0.5 * hist[0]
+
+
+def test_history_frame_from_local_rounds(spark):
+    rng = np.random.default_rng(30)
+    x = rng.normal(size=(200, 4))
+    y = (x[:, 0] > 0).astype(int)
+    lab = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(100)], "x array<double>, y int")
+    unl = spark.createDataFrame([(x[i].tolist(), (x[i] * 1.1).tolist()) for i in range(100, 200)],
+                                "xw array<double>, xs array<double>")
+    _, hist = TR.train_head_local(lab, "x", "y", [4, 8, 2], unl, "xw", "xs", epochs=3, warmup=1, batch_size=32)
+    h = TR.history_frame(spark, "t", hist).orderBy("epoch").collect()
+    assert h[0]["loss_s"] > 0 and h[0]["loss_u"] is not None
+    assert np.isnan(h[0]["loss_u"]) and not np.isnan(h[2]["loss_u"])   # no consistency loss during warm-up
+    assert 0.0 <= h[2]["mask_rate"] <= 1.0
