@@ -166,11 +166,22 @@ def run_named_dataset(spark: SparkSession, dataset: str, base: str, out_dir: str
 def run_csv_pair(spark: SparkSession, train_csv: str, test_csv: str, out_dir: str, label_col: str = "label",
                  category_col: str = "attack_cat", **kw) -> DataFrame:
     """PL2: a headered CSV pair (UNSW-style ``label`` 0/1 + ``attack_cat``)."""
-    def prep(path):
-        df = SRC.read_headered_csv(spark, path, label_col)
-        return df.select("*", F.when(F.col(label_col).cast("int") == 1, "attack").otherwise("normal").alias("Label"),
-                         F.col(category_col).cast("string").alias("AttackCategory")).drop(label_col, category_col)
-    return run_pipeline(prep(train_csv), prep(test_csv), out_dir, **kw)
+    return run_pipeline(labelled_csv(spark, train_csv, label_col, category_col),
+                        labelled_csv(spark, test_csv, label_col, category_col), out_dir, **kw)
+
+
+def labelled_csv(spark: SparkSession, path: str, label_col: str = "label", category_col: str = "attack_cat",
+                 id_col: str | None = "id") -> DataFrame:
+    """A headered capture with a 0/1 target and a family column as the
+    standard label columns (the id column is dropped as a feature later)."""
+    df = SRC.read_headered_csv(spark, path, label_col)
+    # exact-name selection: Spark resolves names case-insensitively, so a
+    # ``label`` column and a derived ``Label`` must never coexist
+    keep = [c for c in df.columns if c not in (label_col, category_col, id_col)]
+    out = df.select(*[F.col(f"`{c}`") for c in keep],
+                    F.when(F.col(f"`{label_col}`").cast("int") == 1, "attack").otherwise("normal").alias("_fl_label"),
+                    F.lower(F.trim(F.col(f"`{category_col}`").cast("string"))).alias("_fl_cat"))
+    return out.withColumnRenamed("_fl_label", "Label").withColumnRenamed("_fl_cat", "AttackCategory")
 
 
 def run_sequence(spark: SparkSession, jobs: list[tuple[str, str]], out_dir: str, **kw) -> DataFrame:

@@ -125,3 +125,16 @@ def test_synthetic_layout_invariant(spark):
     assert a == b
     mix = {r["Label"]: r["count"] for r in S.synthetic_flows(spark, 20000, 2).groupBy("Label").count().collect()}
     assert abs(mix["Benign"] / 20000 - 0.70) < 0.02 and abs(mix["Exfiltration"] / 20000 - 0.05) < 0.01
+
+
+def test_unsw_style_pair_labels(spark):
+    from flowlab.functions.labels import task_label
+    from flowlab.plans.pipelines import labelled_csv
+    d = _tmp()
+    with open(f"{d}/train.csv", "w") as f:
+        f.write("id,dur,proto,attack_cat,label\n1,0.1,tcp,Normal,0\n2,0.5,udp,DoS,1\n3,0.2,tcp,Reconnaissance,1\n")
+    df = labelled_csv(spark, f"{d}/train.csv")
+    assert "id" not in df.columns and "label" not in df.columns
+    rows = df.select("Label", task_label(F.col("AttackCategory"), "dos").alias("dos"),
+                     task_label(F.col("AttackCategory"), "port_scan").alias("scan")).collect()
+    assert [(r["Label"], r["dos"], r["scan"]) for r in rows] == [("normal", 0, 0), ("attack", 1, 0), ("attack", 0, 1)]
