@@ -114,7 +114,7 @@ def _doc_logits(spark, sf_dir) -> DataFrame:
 
 @register("temperature_grid", _temp_grid_sql())
 def q_temperature_grid(spark, sf_dir):
-    return rounded(CA.nll_grid(_doc_logits(spark, sf_dir), "logits", "y", TEMPS))
+    return rounded(CA.nll_grid(_doc_logits(spark, sf_dir), "logits", "y", TEMPS, n_classes=2))
 
 
 def _temp_fit_sql(passes: int = 4, n: int = 64) -> str:
@@ -138,7 +138,7 @@ def _temp_fit_sql(passes: int = 4, n: int = 64) -> str:
 @register("temperature_fit", _temp_fit_sql())
 def q_temperature_fit(spark, sf_dir):
     d = _doc_logits(spark, sf_dir)
-    t = CA.fit_temperature(d, "logits", "y")
+    t = CA.fit_temperature(d, "logits", "y", n_classes=2)
     return rounded(spark.createDataFrame([(t,)], "temperature double"))
 
 
