@@ -151,8 +151,8 @@ def q_score_flows(spark, sf_dir):
     return route_scores(z, list(heads), params, float(thr), "flow_id", with_timestamp=False)
 
 
-@register("flow_pipeline")
-def q_flow_pipeline(spark, sf_dir):
+@register("flow_train_evaluate")
+def q_flow_train_evaluate(spark, sf_dir):
     """PL1 on lineitem flows: split -> features -> contrastive encoder ->
     intrusion / dos / port-scan heads with gradient projection -> metrics.
     State tables go under the session's checkpoint folder."""
@@ -160,6 +160,6 @@ def q_flow_pipeline(spark, sf_dir):
 
     from flowlab.plans import pipelines as PL
     from flowlab.session import ensure_checkpoint_dir
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flow_pipeline/{uuid.uuid4().hex}"
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flow_train_evaluate/{uuid.uuid4().hex}"
     train, test = PL.flow_tables(spark, sf_dir)
     return PL.run_pipeline(train, test, out, ssl_epochs=2, task_epochs=3)
