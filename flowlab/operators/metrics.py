@@ -158,9 +158,9 @@ def curve_points(df: DataFrame, y: str = "y", p: str = "p", n_buckets: int | Non
     """Per distinct score s: pos/neg at s, tps/fps = counts with score >= s,
     total positives P and negatives N (as columns), precision, recall, fpr."""
     st = score_table(df, y, p).persist(StorageLevel.MEMORY_AND_DISK)
-    tot = st.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).first()
-    P, N = int(tot["n_pos"] or 0), int(tot["n_neg"] or 0)
-    cum = running_totals(st, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
+    tot: dict = {}
+    cum = running_totals(st, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets, grand_totals=tot)
+    P, N = int(tot.get("pos") or 0), int(tot.get("neg") or 0)
     tps, fps = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
         "score", "pos", "neg", tps.alias("tps"), fps.alias("fps"),

@@ -22,11 +22,16 @@ def _default_buckets(df: DataFrame) -> int:
     return max(64, 4 * parts)
 
 
-def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
-    """Add ``_fl_bkt``: a value-range id, increasing with ``order_col``."""
+def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                 totals: list[str] | None = None, _out: dict | None = None) -> DataFrame:
+    """Add ``_fl_bkt``: a value-range id, increasing with ``order_col``.
+    ``totals`` columns are summed in the same pass (into ``_out``)."""
     n = n_buckets or _default_buckets(df)
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("q")).first()
+    extra = [F.sum(c).alias(f"_sum_{c}") for c in (totals or [])]
+    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("q"), *extra).first()
+    if _out is not None:
+        _out.update({c: row[f"_sum_{c}"] for c in (totals or [])})
     qs = sorted({float(v) for v in (row["q"] or []) if v is not None})
     splits = [float("-inf")] + qs + [float("inf")]
     if len(splits) < 3:
@@ -40,13 +45,15 @@ def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) ->
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], *,
                    descending: bool = False, inclusive: bool = True,
                    prefix: str = "cum_", n_buckets: int | None = None,
-                   tiebreak: list[str] | None = None) -> DataFrame:
+                   tiebreak: list[str] | None = None, grand_totals: dict | None = None) -> DataFrame:
     """Append ``{prefix}{c}`` = sum of ``c`` over all rows ordered before the
     current row (and including it when ``inclusive``) by ``order_col``
     (then ``tiebreak``).  Exact; the only globally ordered data is the
-    bucket-total table of at most ``n_buckets`` rows."""
+    bucket-total table of at most ``n_buckets`` rows.  A ``grand_totals``
+    dict receives the column totals from the bucketing pass."""
     tiebreak = tiebreak or []
-    b = with_buckets(df, order_col, n_buckets)
+    b = with_buckets(df, order_col, n_buckets, totals=sum_cols if grand_totals is not None else None,
+                     _out=grand_totals)
     bucket_order = F.col(_BKT).desc() if descending else F.col(_BKT).asc()
     totals = b.groupBy(_BKT).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     # at most n_buckets rows: a global window here is bounded work
