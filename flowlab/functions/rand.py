@@ -51,3 +51,64 @@ def sql_normal(*parts: str) -> str:
     u1 = sql_uniform_open(*parts, "'a'")
     u2 = sql_uniform(*parts, "'b'")
     return f"(sqrt(CAST(-2.0 AS DOUBLE) * ln({u1})) * cos(CAST('{2.0 * math.pi!r}' AS DOUBLE) * {u2}))"
+
+
+# ---------------------------------------------------------------- streams
+# One md5 per row seeds three MINSTD (Park-Miller) streams; element i of a
+# stream is x_i = a^(i+1) * x_0 mod (2^31 - 1).  The jump-ahead multipliers
+# a^(i+1) mod m are precomputed, so each element costs one multiply and one
+# modulo on 62-bit integers (no overflow, so ANSI mode and DuckDB agree).
+
+MINSTD_M = 2 ** 31 - 1
+MINSTD_A = 16807
+MAX_DIM = 4096
+_JUMPS = [pow(MINSTD_A, i + 1, MINSTD_M) for i in range(MAX_DIM)]
+
+
+def row_seeds(*parts) -> list[Column]:
+    """Three stream seeds in [1, m - 1] from md5(concat_ws('|', parts))."""
+    h = F.md5(F.concat_ws("|", *_parts(parts)))
+    return [(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") % F.lit(MINSTD_M - 1) + F.lit(1))
+            for k in range(3)]
+
+
+def _jumps_literal() -> Column:
+    """The multiplier table as one array literal, parsed on the JVM in a
+    single call (building it element by element from Python would cost one
+    gateway round trip per element)."""
+    return F.expr("CAST(array(" + ",".join(str(j) for j in _JUMPS) + ") AS ARRAY<BIGINT>)")
+
+
+def stream_uniforms(seed: Column, n: Column) -> Column:
+    """The first ``n`` draws u_i in (0, 1) of the stream started at
+    ``seed``.  The seed enters through ``array_repeat`` so it is computed
+    once per row, not once per element."""
+    jumps = F.slice(_jumps_literal(), 1, n)
+    return F.zip_with(jumps, F.array_repeat(seed, n),
+                      lambda a, s: ((a * s) % F.lit(MINSTD_M)).cast("double") / F.lit(float(MINSTD_M)))
+
+
+def stream_normals(s1: Column, s2: Column, n: Column) -> Column:
+    """Box-Muller on two independent streams, ``n`` draws."""
+    return F.zip_with(stream_uniforms(s1, n), stream_uniforms(s2, n),
+                      lambda a, b: F.sqrt(F.lit(-2.0) * F.ln(a)) * F.cos(F.lit(2.0 * math.pi) * b))
+
+
+def sql_row_seed(k: int, *parts: str) -> str:
+    args = ", ".join(parts)
+    return (f"((CAST(('0x' || substr(md5(concat_ws('|', {args})), {1 + 8 * k}, 8)) AS BIGINT) % {MINSTD_M - 1}) + 1)")
+
+
+def sql_jumps(dim: int) -> str:
+    return "[" + ", ".join(str(j) for j in _JUMPS[:dim]) + "]"
+
+
+def sql_stream_uniform(seed: str, i1: str, dim: int = 128) -> str:
+    """``i1`` is the 1-based element index (DuckDB lambdas); vectors up to
+    ``dim`` elements."""
+    return f"(CAST(((({sql_jumps(dim)})[{i1}]) * ({seed})) % {MINSTD_M} AS DOUBLE) / CAST({MINSTD_M} AS DOUBLE))"
+
+
+def sql_stream_normal(s1: str, s2: str, i1: str, dim: int = 128) -> str:
+    return (f"(sqrt(CAST(-2.0 AS DOUBLE) * ln({sql_stream_uniform(s1, i1, dim)})) * "
+            f"cos(CAST('{2.0 * math.pi!r}' AS DOUBLE) * {sql_stream_uniform(s2, i1, dim)}))")

@@ -8,18 +8,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.rand import normal, uniform
+from flowlab.functions.rand import MAX_DIM, row_seeds, stream_normals, stream_uniforms
 
 
-def noise(v: Column, row_id: Column, stddev: float = 0.05, view: str = "n", seed: int = 42) -> Column:
-    """AU1: x + N(0, stddev) per element."""
-    return F.transform(v, lambda x, i: x.cast("double") + F.lit(stddev) * normal(F.lit(seed), row_id, i, F.lit(view)))
+def _guard(n: Column, out: Column) -> Column:
+    return F.when(n <= F.lit(MAX_DIM), out).otherwise(
+        F.raise_error(F.lit(f"augmentation supports vectors up to {MAX_DIM} elements")))
 
 
-def feature_mask(v: Column, row_id: Column, mask_prob: float = 0.1, view: str = "m", seed: int = 42) -> Column:
-    """AU2: keep an element where u > mask_prob, else 0."""
-    return F.transform(v, lambda x, i: F.when(uniform(F.lit(seed), row_id, i, F.lit(view)) > F.lit(mask_prob),
-                                              x.cast("double")).otherwise(F.lit(0.0)))
+def noise(v: Column, row_id: Column, stddev: float = 0.05, view: str = "n", seed: int = 42,
+          n: Column | None = None) -> Column:
+    """AU1: x + N(0, stddev) per element (one md5 per row, integer streams
+    per element).  ``n`` is the vector length when already known."""
+    n = n if n is not None else F.size(v)
+    s1, s2, _ = row_seeds(F.lit(seed), row_id, F.lit(view))
+    return _guard(n, F.zip_with(v, stream_normals(s1, s2, n), lambda x, e: x.cast("double") + F.lit(stddev) * e))
+
+
+def feature_mask(v: Column, row_id: Column, mask_prob: float = 0.1, view: str = "m", seed: int = 42,
+                 n: Column | None = None) -> Column:
+    """AU2: keep an element where u > mask_prob, else 0.  ``v`` is read
+    once (its length can be passed as ``n``), so masking an expression does
+    not evaluate that expression again."""
+    n = n if n is not None else F.size(v)
+    _, _, s3 = row_seeds(F.lit(seed), row_id, F.lit(view))
+    return _guard(n, F.zip_with(v, stream_uniforms(s3, n), lambda x, w: F.when(w > F.lit(mask_prob), x.cast("double"))
+                                .otherwise(F.lit(0.0))))
 
 
 def weak(v: Column, row_id: Column, view: str = "w", seed: int = 42) -> Column:
@@ -29,7 +43,8 @@ def weak(v: Column, row_id: Column, view: str = "w", seed: int = 42) -> Column:
 
 def strong(v: Column, row_id: Column, view: str = "s", seed: int = 42) -> Column:
     """AU4: sigma 0.1 noise, then masking with p = 0.2."""
-    return feature_mask(noise(v, row_id, 0.1, view, seed), row_id, 0.2, view + "m", seed)
+    n = F.size(v)
+    return feature_mask(noise(v, row_id, 0.1, view, seed, n), row_id, 0.2, view + "m", seed, n)
 
 
 def simclr_views(df: DataFrame, vec: str, row_id: str, seed: int = 42) -> DataFrame:

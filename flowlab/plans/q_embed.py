@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
-from flowlab.functions.rand import sql_normal, sql_uniform, uniform
+from flowlab.functions.rand import sql_row_seed, sql_stream_normal, sql_stream_uniform, sql_uniform, uniform
 from flowlab.operators import alerts as AL
 from flowlab.operators import anomaly as AN
 from flowlab.operators import augment as AU
@@ -37,18 +37,19 @@ def _r6_list(x: str) -> str:
 
 # ------------------------------------------------------------ augmentation
 
-def _sql_noise(vec: str, sigma: float, view: str) -> str:
-    n = sql_normal("42", "vec_id", "(i - 1)", f"'{view}'")
+def _sql_noise(vec: str, sigma: float, view: str, rid: str = "vec_id") -> str:
+    s1, s2 = sql_row_seed(0, "42", rid, f"'{view}'"), sql_row_seed(1, "42", rid, f"'{view}'")
+    n = sql_stream_normal(s1, s2, "i")
     return f"list_transform({vec}, lambda x, i: CAST(x AS DOUBLE) + {dlit(sigma)} * {n})"
 
 
-def _sql_mask(vec: str, p: float, view: str) -> str:
-    u = sql_uniform("42", "vec_id", "(i - 1)", f"'{view}'")
+def _sql_mask(vec: str, p: float, view: str, rid: str = "vec_id") -> str:
+    u = sql_stream_uniform(sql_row_seed(2, "42", rid, f"'{view}'"), "i")
     return f"list_transform({vec}, lambda x, i: CASE WHEN {u} > {dlit(p)} THEN CAST(x AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
 
 
-def _sql_strong(vec: str, view: str) -> str:
-    return _sql_mask(_sql_noise(vec, 0.1, view), 0.2, view + "m")
+def _sql_strong(vec: str, view: str, rid: str = "vec_id") -> str:
+    return _sql_mask(_sql_noise(vec, 0.1, view, rid), 0.2, view + "m", rid)
 
 
 @register("noise_weak", f"SELECT vec_id, {_r6_list(_sql_noise('embedding', 0.02, 'w'))} AS view FROM embeddings")
@@ -514,13 +515,10 @@ def _fixmatch_sql() -> str:
     rid = "(CAST(vec_id AS VARCHAR) || ':' || CAST(epoch AS VARCHAR))"
 
     def noise(view, sigma):
-        n = sql_normal("42", rid, "(i - 1)", f"'{view}'")
-        return f"list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + {dlit(sigma)} * {n})"
+        return _sql_noise("embedding", sigma, view, rid)
 
     def strong(view):
-        u = sql_uniform("42", rid, "(i - 1)", f"'{view}m'")
-        return (f"list_transform({noise(view, 0.1)}, lambda x, i: CASE WHEN {u} > {dlit(0.2)} THEN x "
-                f"ELSE CAST(0 AS DOUBLE) END)")
+        return _sql_strong("embedding", view, rid)
 
     lab = f"({sql_uniform('42', 'vec_id', chr(39) + 'lab' + chr(39))} < {dlit(0.25)})"
     lg_l, lg_w, lg_s = _sql_logits(noise("w", 0.02), "dos"), _sql_logits(noise("uw", 0.02), "dos"), \
