@@ -41,16 +41,6 @@ def sql_uniform(*parts: str) -> str:
             f"/ CAST(4503599627370496 AS DOUBLE))")
 
 
-def sql_uniform_open(*parts: str) -> str:
-    args = ", ".join(parts)
-    return (f"((CAST(('0x' || substr(md5(concat_ws('|', {args})), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) "
-            f"/ CAST(4503599627370496 AS DOUBLE))")
-
-
-def sql_normal(*parts: str) -> str:
-    u1 = sql_uniform_open(*parts, "'a'")
-    u2 = sql_uniform(*parts, "'b'")
-    return f"(sqrt(CAST(-2.0 AS DOUBLE) * ln({u1})) * cos(CAST('{2.0 * math.pi!r}' AS DOUBLE) * {u2}))"
 
 
 # ---------------------------------------------------------------- streams
