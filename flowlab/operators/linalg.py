@@ -79,15 +79,16 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
     if n_rows > MAX_GRAM_ROWS:
         raise ValueError(f"{n_rows} gradient rows: cap them first (filter_gradients keeps {MAX_ROWS})")
     blocks = to_blocks(df.select(row_id, vec), row_id, vec, block).cache()
-    g = gram(blocks, row_id).collect()
-    ids = sorted({r["i"] for r in g})
+    # one row per i holding its N Gram entries (N <= MAX_GRAM_ROWS)
+    g = gram(blocks, row_id).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
+    ids = sorted(r["i"] for r in g)
     empty = spark.createDataFrame([], "component int, block_id int, vec array<double>")
     if not ids:
         return empty, np.zeros(0)
     pos = {v: k for k, v in enumerate(ids)}
     m = np.zeros((len(ids), len(ids)))
     for r in g:
-        m[pos[r["i"]], pos[r["j"]]] = r["value"]
+        m[pos[r["i"]], [pos[e["j"]] for e in r["r"]]] = [e["value"] for e in r["r"]]
     w, v = np.linalg.eigh(m)
     order = np.argsort(w)[::-1]
     w, v = np.maximum(w[order], 0.0), v[:, order]
