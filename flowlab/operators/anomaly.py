@@ -45,6 +45,8 @@ def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str]
     # the (group, value) projection is read by every pass: keep it (recomputable)
     base = base.persist()
     stats = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    from flowlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)   # the session's reliable folder (set one only in local mode)
     stats = stats.withColumn("_below", F.lit(0).cast("long")).checkpoint(eager=True)
     n_groups = stats.count()
     cand = base
