@@ -189,9 +189,11 @@ def fit_isolation_forest(df: DataFrame, vec: str, row_id: str, n_trees: int = 20
         return pd.DataFrame({"tree_id": [tid], "feature": [f], "threshold": [t], "left": [l], "right": [r],
                              "size": [sz], "n_samples": [len(x)]})
 
-    return s.groupBy("tree_id").applyInPandas(
-        grow, "tree_id int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
+    schema = ("tree_id int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
               "size array<int>, n_samples int")
+    # the forest is bounded (n_trees x <= 2 * psi nodes): grow it once and keep it as a small local table
+    trees = s.groupBy("tree_id").applyInPandas(grow, schema).collect()
+    return df.sparkSession.createDataFrame(trees, schema)
 
 
 def _path_lengths(x: np.ndarray, tree) -> np.ndarray:

@@ -154,7 +154,7 @@ def vocabularies(df: DataFrame, categorical: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
                       for c in categorical])
     kv = df.select(F.explode(pairs).alias("kv")).select("kv.column", "kv.value")
-    d = kv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select("column", "value").persist()
+    d = kv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select("column", "value")
     if d.count() <= SMALL_VOCAB:
         # small vocabularies: one window task per column is cheaper than range partitioning
         w = Window.partitionBy("column").orderBy("value")

@@ -78,7 +78,7 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
         return _svd_tall(df, vec, threshold, block)
     if n_rows > MAX_GRAM_ROWS:
         raise ValueError(f"{n_rows} gradient rows: cap them first (filter_gradients keeps {MAX_ROWS})")
-    blocks = to_blocks(df.select(row_id, vec), row_id, vec, block).cache()
+    blocks = to_blocks(df.select(row_id, vec), row_id, vec, block)
     # one row per i holding its N Gram entries (N <= MAX_GRAM_ROWS)
     g = gram(blocks, row_id).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
     ids = sorted(r["i"] for r in g)
@@ -108,7 +108,11 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
         return pd.DataFrame({"component": np.arange(u.shape[1], dtype=np.int32),
                              "block_id": int(pdf["block_id"].iloc[0]), "vec": list(u.T)})
 
-    ub = blocks.groupBy("block_id").applyInPandas(ublock, "component int, block_id int, vec array<double>").cache()
+    from flowlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # U (k x D) feeds the Cholesky-QR Gram and the final basis: write it once
+    ub = blocks.groupBy("block_id").applyInPandas(ublock, "component int, block_id int, vec array<double>").checkpoint(
+        eager=True)
     # Cholesky-QR: R from U^T U (k x k partial sums per block)
     uu = _component_gram(ub)
     r = np.linalg.cholesky(uu + 1e-300 * np.eye(len(uu))).T

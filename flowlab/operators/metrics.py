@@ -9,7 +9,6 @@ come from the bucketed running-total helper (no single-partition window).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +59,6 @@ def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     column; the counts themselves are a partial+final aggregate."""
     counts = df.groupBy(F.col(y).alias("y_true"), F.col(pred).alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n"))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     classes = sorted({r[0] for r in counts.select("y_true").union(counts.select("y_pred")).distinct().collect()
                       if r[0] is not None})
     spark = df.sparkSession
@@ -157,7 +155,7 @@ def score_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def curve_points(df: DataFrame, y: str = "y", p: str = "p", n_buckets: int | None = None) -> DataFrame:
     """Per distinct score s: pos/neg at s, tps/fps = counts with score >= s,
     total positives P and negatives N (as columns), precision, recall, fpr."""
-    st = score_table(df, y, p).persist(StorageLevel.MEMORY_AND_DISK)
+    st = score_table(df, y, p)
     tot: dict = {}
     cum = running_totals(st, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets, grand_totals=tot)
     P, N = int(tot.get("pos") or 0), int(tot.get("neg") or 0)
@@ -194,9 +192,7 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", drop_intermediate: bool
     global rank (unique keys), not from a single-partition window."""
     cp = curve_points(df, y, p)
     if drop_intermediate:
-        # the ranked points feed three branches: keep them
-        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r")
         nb = r.select("_r", "tps", "fps")
         prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
         nxt = nb.select((F.col("_r") - 1).alias("_r"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))

@@ -323,7 +323,7 @@ def q_mahalanobis(spark, sf_dir):
 def q_iforest(spark, sf_dir):
     e = emb(spark, sf_dir)
     benign = e.where(F.col("label") <= BENIGN_MAX_LABEL)
-    forest = AN.fit_isolation_forest(benign, "embedding", "vec_id").cache()
+    forest = AN.fit_isolation_forest(benign, "embedding", "vec_id")
     cut = AN.isolation_threshold(forest, benign, "embedding")
     s = AN.score_isolation_forest(e, "embedding", forest, ["vec_id", "label"])
     return s.withColumn("is_anomaly", F.col("if_score") > F.lit(cut))

@@ -17,6 +17,7 @@ from flowlab.operators import train as TR
 from flowlab.operators.metrics import class_weights
 from flowlab.plans.bindings import flows
 from flowlab.plans.catalog import register
+from flowlab.session import ensure_checkpoint_dir
 from flowlab.plans.q_embed import BENIGN_MAX_LABEL, _labeled, emb
 
 
@@ -144,8 +145,10 @@ def q_score_flows(spark, sf_dir):
                                     "l_returnflag", "l_linestatus", "Label")
     st = FT.fit(FT.clean(f.drop("flow_id")), "Label")
     enc, heads, ae = flow_models(st.dim)
-    # one forward pass feeds both the p95 cut and the routing: keep it
-    z = model_scores(f, st, enc, heads, ae, "flow_id").persist()
+    # one forward pass feeds both the p95 cut and the routing: write it to the
+    # session's checkpoint folder (reliable, no executor memory held)
+    ensure_checkpoint_dir(spark)
+    z = model_scores(f, st, enc, heads, ae, "flow_id").checkpoint(eager=True)
     thr = AN.exact_percentile(z, "err", 0.95).first()[0]
     params = AL.resolve_params(spark, list(heads), AL.head_params(spark, [("dos", 0.6, 1.5)]))
     return route_scores(z, list(heads), params, float(thr), "flow_id", with_timestamp=False)

@@ -69,10 +69,9 @@ BROADCAST_MAX_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Broadcast a derived lookup table only when its size is bounded: a
     caller that already knows an upper bound passes ``known_rows``;
-    otherwise the table is kept (the join reuses it) and counted.  Tables
-    over ``max_rows`` rows are left to a shuffle join."""
+    otherwise the (small, aggregated) table is counted first.  Tables over
+    ``max_rows`` rows are left to a shuffle join."""
     from pyspark.sql import functions as F
     if known_rows is not None:
         return F.broadcast(df) if known_rows <= max_rows else df
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(df) if df.count() <= max_rows else df
