@@ -214,6 +214,15 @@ def _chain_sum(terms: list[str]) -> str:
     return "(" * len(terms) + "CAST(0 AS DOUBLE)" + "".join(f" + {t})" for t in terms)
 
 
+@register("head_scores", "SELECT vec_id, " + ", ".join(
+    f"{_r6_list(_sql_logits('embedding', h))} AS logits_{h}" for h in MO.HEADS) + " FROM embeddings")
+def q_head_scores(spark, sf_dir):
+    """MO3/MO4 raw logits of every named head (before temperature)."""
+    e = emb(spark, sf_dir)
+    return rounded(e.select("vec_id", *[MO.linear_logits(F.col("embedding"), HEAD_W[h]).alias(f"logits_{h}")
+                                        for h in MO.HEADS]))
+
+
 @register("head_ensemble", f"WITH {HP_SQL}\nSELECT vec_id, round(CASE WHEN s > 0 THEN ss / s ELSE 0.0 END, 6) "
           f"AS ensemble FROM (SELECT vec_id, {_chain_sum([f'p_{h}' for h in MO.HEADS])} AS s, "
           f"{_chain_sum([f'p_{h} * p_{h}' for h in MO.HEADS])} AS ss FROM hp)")
@@ -268,6 +277,20 @@ def q_anomaly_score(spark, sf_dir):
                               s["severity"].alias("severity")))
 
 
+@register("outlier_flag", f"WITH {RECON_SQL},\n{SCORE_SQL}\nSELECT vec_id, is_anomaly FROM scored_err")
+def q_outlier_flag(spark, sf_dir):
+    """PR21: err > fitted p95 (strict)."""
+    err, thr = _errors(spark, sf_dir)
+    return err.select("vec_id", AN.score_errors(F.col("err"), thr)["is_anomaly"].alias("is_anomaly"))
+
+
+@register("severity", f"WITH {RECON_SQL},\n{SCORE_SQL}\nSELECT vec_id, {SEV_SQL} AS severity FROM scored_err")
+def q_severity(spark, sf_dir):
+    """PR22: strict bands on the anomaly score."""
+    err, thr = _errors(spark, sf_dir)
+    return err.select("vec_id", AN.score_errors(F.col("err"), thr)["severity"].alias("severity"))
+
+
 @register("severity_counts", f"WITH {RECON_SQL},\n{SCORE_SQL}\nSELECT {SEV_SQL} AS severity, "
           f"CAST(COUNT(*) AS BIGINT) AS n FROM scored_err GROUP BY 1")
 def q_severity_counts(spark, sf_dir):
