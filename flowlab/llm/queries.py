@@ -6,22 +6,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import exact_dedup, mixing
+from flowlab.llm import exact_dedup, language_id, mixing, quality_rules, secret_scan
 from flowlab.llm.common import UPPER, table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base = quality_rules.passes("base")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        (~base).alias("base_failed"), (base & quality_rules.passes("v2")).alias("kept"), "fail_bits")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.BASE))
+    return found.select("doc_id", *[count(k) for k in secret_scan.BASE],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("text_digest").alias("text_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", F.coalesce(language_id.held_out("doc_id"), F.lit(False)).alias("held_out"),
+                        "lang_pred", "score", "ambiguous")
+
+
 def queries():
-    return {"op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup}
+    return {"op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, "op6_secret_scan": op6_secret_scan,
+            "op7_exact_dedup": op7_exact_dedup, "op10_language_id": op10_language_id}
 
 
 OP4_SQL = f"""
