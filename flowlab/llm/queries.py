@@ -6,10 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import exact_dedup, language_id, mixing, quality_rules, secret_scan
+from flowlab.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, secret_scan
 from flowlab.llm.common import UPPER, table
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The vocabulary of the packing queries: byte-level BPE of 50,257 ids."""
+    import public_tokenizers as P
+    return {"vocab": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), keep=["url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = quality_rules.passes("base")
@@ -50,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, "op6_secret_scan": op6_secret_scan,
+    return {"op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, "op6_secret_scan": op6_secret_scan,
             "op7_exact_dedup": op7_exact_dedup, "op10_language_id": op10_language_id}
 
 
