@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_rules, secret_scan
+from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, packing,
+                         quality_rules, secret_scan)
 from flowlab.llm.common import UPPER, table
 
 
@@ -37,6 +38,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 9))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("text_digest").alias("text_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -65,8 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, "op6_secret_scan": op6_secret_scan,
-            "op7_exact_dedup": op7_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, 
+            "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
+            "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup,
+            "op10_language_id": op10_language_id}
 
 
 OP4_SQL = f"""
@@ -112,5 +124,52 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+def license_sql() -> str:
+    """The licence scan over exploded words, with the same templates."""
+    from flowlab.llm.license_scan import SHARE, TEMPLATES, postings
+    listed = ", ".join(f"({t}, '{TEMPLATES[t].label}', {TEMPLATES[t].base}, '{w}', {i}, {m})"
+                       for t, w, i, m in postings(TEMPLATES))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+listed(template, label, base, word, pos, mandatory) AS (VALUES {listed}),
+hits AS (SELECT r, p, words[p + 1] AS word FROM (SELECT r, words, unnest(range(len(words))) AS p FROM docs)
+         WHERE words[p + 1] IN (SELECT word FROM listed)),
+df AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
+idx AS (SELECT listed.*, ln((1.0 + (SELECT count(*) FROM docs))::DOUBLE / (1.0 + coalesce(n, 0))) AS idf
+        FROM listed LEFT JOIN df USING (word)),
+anchored AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, pos) = 1 AS anchor FROM idx),
+whole AS (SELECT template, sum(idf) AS all_idf, sum(mandatory::INT) AS all_keys FROM idx GROUP BY template),
+met AS (SELECT r, template, label, base, p - pos AS start, sum(idf) AS idf, sum(mandatory::INT) AS keys, bool_or(anchor) AS anchor
+        FROM hits JOIN anchored USING (word) GROUP BY ALL),
+good AS (SELECT *, CASE WHEN all_idf > 0 THEN least(idf / all_idf, 1.0) ELSE 1.0 END AS share
+         FROM met JOIN whole USING (template) WHERE anchor AND keys = all_keys),
+per_row AS (
+  SELECT r, sum(base::INT) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM good WHERE share >= {SHARE} GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(coalesce(score, 0.0), 9) AS score
+FROM docs LEFT JOIN per_row USING (r)"""
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs),
+solid AS (SELECT r, doc_id, text, trim(line) AS l, i, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM lines WHERE trim(line) <> ''),
+w AS (SELECT a.r, a.doc_id, a.text, a.l AS l1, b.l AS l2, c.l AS l3, [a.i, b.i, c.i] AS covers
+      FROM solid a JOIN solid b ON a.r = b.r AND b.k = a.k + 1 JOIN solid c ON a.r = c.r AND c.k = a.k + 2),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS FIRST, text, covers[1]) AS nth FROM w),
+gone AS (SELECT DISTINCT r, unnest(covers) AS i FROM ranked WHERE nth > 1),
+kept AS (SELECT l.r, string_agg(line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM lines l ANTI JOIN gone g ON l.r = g.r AND l.i = g.i GROUP BY l.r)
+SELECT d.doc_id, coalesce(k.text, '') AS text, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
+       (len(string_split(d.text, chr(10))) - coalesce(k.n, 0))::BIGINT AS n_removed
+FROM docs d LEFT JOIN kept k ON d.r = k.r
+"""
+
+
 def oracle_sql():
-    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_license_scan": license_sql(), "op7_exact_dedup": OP7_SQL,
+            "op8_line_dedup": OP8_SQL}
