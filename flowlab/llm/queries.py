@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, packing,
+from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
                          quality_rules, secret_scan)
 from flowlab.llm.common import UPPER, table
 
@@ -67,6 +67,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -78,7 +82,7 @@ def queries():
     return {"op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, 
             "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
             "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup,
-            "op10_language_id": op10_language_id}
+            "op9_near_dedup": op9_near_dedup, "op10_language_id": op10_language_id}
 
 
 OP4_SQL = f"""
