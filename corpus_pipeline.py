@@ -1,2 +1,64 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Every stage is (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``.  All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowlab.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from flowlab.llm.common import table, tokenizer_files
+from flowlab.session import ensure_checkpoint_dir
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay (neither ``und`` nor ambiguous)."""
+    return language_id.accepted(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of equal texts stays."""
+    return exact_dedup.kept_rows(docs)
+
+
+def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates stays."""
+    return near_dedup.kept_rows(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, to reach the target weight of their source."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in the training sequences."""
+    return packing.packed_documents(docs, **tokenizer_files())
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", distinct_contents),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+# language identification and MinHash can't be said in SQL; tests/llm holds run() against a brute-force version
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared
+    checkpoint folder and read from there."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

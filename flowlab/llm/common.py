@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The vocabulary of the packing queries: byte-level BPE of 50,257 ids."""
+    import public_tokenizers as P
+    return {"vocab": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the cluster's shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,3 +56,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+
+
+BROADCAST_ROWS = 200_000
+
+
+def stay(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (id, kept; one row per row of
+    ``docs``) keeps.  Where ids are unique the dropped ids are taken out, from
+    a broadcast list when that is counted and small, else by a shuffle; where
+    ids repeat, one row stays for every kept id."""
+    found = cut(found.select(F.col(id_col).alias("_id"), "kept"))
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    if found.groupBy("_id").count().where("count > 1").isEmpty():
+        gone = found.where(~F.col("kept")).select("_id")
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        return docs.join(gone, own, "left_anti")
+    return docs.join(found.where("kept").select("_id").distinct(), own, "left_semi").dropDuplicates([id_col])

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import ascii_lower, cut
+from flowlab.llm.common import ascii_lower, cut, stay
 
 
 def sha256(text: Column) -> Column:
@@ -80,13 +80,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: rows are matched
-    on (id, digest); of repeated rows one is returned."""
-    keep = exact_dedup(docs, id_col, text_col, salts).where("kept").select(
-        F.col(id_col).alias("_keep"), F.col("text_digest").alias("_digest"))
+    """The rows of ``docs`` that stay, with all their columns: one a class."""
+    found = cut(exact_dedup(docs, id_col, text_col, salts))
+    repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return stay(docs, found, id_col)
+    # rows share an id: match them by id and text, and keep one of equal rows
+    keep = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_d"))
     norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    tagged = docs.withColumn("_digest", sha256(norm))
-    held = tagged.join(keep.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d"))
-                       & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
-    # a repeated winner (same id and text) would stay twice
+    held = docs.withColumn("_digest", sha256(norm)).join(
+        keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi")
     return held.dropDuplicates([id_col, "_digest"]).drop("_digest")

@@ -3,17 +3,12 @@ verification, exact verification on full sets, and connected components.
 
 A text's set is its distinct shingles of five words.  Texts of the same words
 form a class, and classes are what is compared.  The bands of a class's
-minima put it into buckets, whose classes are compared in three rounds:
-
-1. every class with the smallest one of its buckets (the ``STARS`` most alike);
-2. every class outside the largest component of a bucket with the class of
-   another component that is most like it;
-3. whatever shares a bucket and is still in different components.
-
-Rounds 2 and 3 look at signatures in blocks of bounded size and let out only
-pairs to verify.  Every link is confirmed on the full sets, so rounds 1 and 2
-only save work: no pair of classes that shares a bucket is left undecided
-unless a path joins it.
+minima put it into buckets.  Inside a bucket, classes that look alike by
+signature are compared on their full sets, all at once by a product of
+membership matrices, in blocks of bounded size that let out no more links than
+they join components.  Two rounds: the first few bands join most groups; then
+every bucket that still holds several components is compared in whole.  So a
+pair of classes that shares a bucket is left undecided only if a path joins it.
 """
 
 from __future__ import annotations
@@ -22,21 +17,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, utf8
+from flowlab.llm.common import cut, stay, utf8
 from flowlab.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75              # similarity of a link, in hundredths
 BANDS, ROWS = 32, 4       # a pair at 0.75 shares no band with probability 5e-6
 NEAR = 0.58               # share of equal minima below which a pair can't be a link (4.5 standard deviations)
-STARS = 4
-BLOCK = 1024              # classes of a bucket that are compared together
-CHUNK = 64                # partners of a class that are verified together
+FIRST = 4                 # bands of the first round
+BLOCK = 512               # classes of a bucket that are compared together
+CELLS = 1 << 24           # entries of a membership matrix held at once
 SMALL = 200_000           # classes whose (id, key) list may be broadcast
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -160,83 +154,125 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return held.mapInArrow(run, "node bigint, words binary")
 
 
-def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough, with ``est``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
-            est = (x == y).mean(axis=1) if batch.num_rows else np.zeros(0)
-            near = np.flatnonzero(est >= NEAR)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), batch.column(1).take(pa.array(near)),
-                                              pa.array(est[near])], ["a", "b", "est"])
-
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a bigint, b bigint, est double")
-
-
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets.  The partners of a
-    class are dealt into groups of about CHUNK; a set travels once per group."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.select("a", "b").join(sizes, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("g"))
-    groups = dealt.select("a", "g").distinct().select("a", "g", F.col("a").alias("node")).union(
-        dealt.select("a", "g", F.col("b").alias("node")))
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        own = {n: np.frombuffer(w, np.uint64) for n, w in zip(rows["node"], rows["words"])}
-        x = own[key[0]]
-        out = []
-        for n, y in own.items():
-            if n != key[0] and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    out.append(n)
-        return pd.DataFrame({"a": [key[0]] * len(out), "b": out})
-
-    return groups.join(sets, "node").groupBy("a", "g").applyInPandas(run, "a bigint, b bigint")
-
-
-def crossing(members: DataFrame, sigs: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs that share a bucket of ``members`` (key, node, label) with another
-    label and look alike by signature.  A bucket is cut into blocks of about
-    BLOCK classes and every two blocks meet in one bounded group; pairs are
-    compared there and only those that look alike leave it.  ``nearest``: only
-    the most alike one for each class that isn't in the group's main label."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by their first ``keys`` columns, many at a
+    time, with the borders of the groups."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        k = np.column_stack([rows.column(c).to_numpy() for c in range(keys)])
+        ends = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if len(ends):
+            yield rows.slice(0, int(ends[-1])), np.concatenate([[0], ends])
+            rows = rows.slice(int(ends[-1]))
+        held = rows
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def by_group(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run(batches)`` over rows whose groups are whole and sorted in each task."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def blocks_of(members: DataFrame) -> DataFrame:
+    """Rows (key, x, y, node, label) of the buckets of ``members`` that hold
+    several labels: a bucket is cut into blocks of about BLOCK classes, and
+    every two blocks x <= y of it meet in one group.  Bands often hold the same
+    classes; one bucket of them is taken."""
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"),
                                        F.min("node").alias("first")).where("lo < hi")
-    once = mixed.groupBy("n", "who", "first").agg(F.min("key").alias("key"))     # bands often hold the same classes
+    once = mixed.groupBy("n", "who", "first").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = members.join(once.select("key", "n"), "key").select(
         "key", "node", "label", blocks.alias("k"), F.pmod(F.xxhash64("node"), blocks).alias("i"))
     met = dealt.select("key", "node", "label", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
-    met = met.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "node", "label")
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        node, label, block = (rows[c].to_numpy() for c in ("node", "label", "i"))
-        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        if nearest:
-            names, count = np.unique(label, return_counts=True)
-            left = np.flatnonzero(label != names[count.argmax()])
-        a, b = [], []
-        for p in left:
-            other = (np.flatnonzero(block != block[p]) if key[1] != key[2] else np.arange(len(rows))) if nearest else right
-            other = other[label[other] != label[p]]
-            est = (sig[other] == sig[p]).mean(axis=1)
-            near = other[est >= NEAR]
-            if nearest:
-                near = near[:0] if not len(near) else other[[est.argmax()]]
-            elif key[1] == key[2]:
-                near = near[node[near] > node[p]]
-            a.extend(np.minimum(node[near], node[p]))
-            b.extend(np.maximum(node[near], node[p]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return met.join(sigs.select("node", "sig"), "node").groupBy("key", "x", "y").applyInPandas(
-        run, "a bigint, b bigint").distinct()
+    return met.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node", "label")
+
+
+def plausible(met: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of ``met`` whose signature is near one of another label in the group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, borders in grouped(batches, 3):
+            label = rows.column(4).to_numpy()
+            sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(len(label), -1)
+            keep = np.zeros(len(label), bool)
+            for a, b in zip(borders[:-1], borders[1:]):
+                s, own = sig[a:b], label[a:b]
+                for i in range(b - a):
+                    near = ((s[i + 1:] == s[i]).mean(axis=1) >= NEAR) & (own[i + 1:] != own[i])
+                    keep[a + i] |= near.any()
+                    keep[a + i + 1:b] |= near
+            yield from rows.filter(pa.array(keep)).drop_columns("sig").to_batches()
+
+    return by_group(met.join(sigs.select("node", "sig"), "node").select("key", "x", "y", "node", "label", "sig"),
+                    ["key", "x", "y"], run, "key bigint, x bigint, y bigint, node bigint, label bigint")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count >= 2                                   # the others are in no intersection
+    column = np.cumsum(shared) - 1
+    row, column = row[shared[where]], column[where][shared[where]]
+    total, width = np.zeros((len(sets), len(sets))), max(1, CELLS // len(sets))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(sets), min(width, int(shared.sum()) - at)), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        total += m @ m.T
+    return total
+
+
+def joins(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Links between different labels, as many as join components."""
+    size = np.array([len(s) for s in sets], float)
+    both = common(sets)
+    link = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    names, own = np.unique(label, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(link & (own[:, None] != own[None, :]), 1))):
+        a, b = find(int(own[i])), find(int(own[j]))
+        if a != b:
+            parent[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def links(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b), confirmed on the full sets, between classes of different
+    labels that share a bucket of ``members`` (key, node, label)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, borders in grouped(batches, 3):
+            node, label, words = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5)
+            a, b = [], []
+            for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                if hi - lo > 1:
+                    own = [np.frombuffer(w.as_buffer(), np.uint64) for w in words.slice(lo, hi - lo)]
+                    for i, j in joins(own, label[lo:hi]):
+                        a.append(node[lo + i])
+                        b.append(node[lo + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    near = plausible(blocks_of(members), sigs)
+    return by_group(near.join(sets, "node").select("key", "x", "y", "node", "label", "words"), ["key", "x", "y"],
+                    run, "a bigint, b bigint").distinct()
 
 
 def relabel(label: DataFrame, new: DataFrame) -> DataFrame:
@@ -259,31 +295,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"),
                                                          F.first("sig").alias("sig"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = cut(banded.join(shared.select("key", "leader"), "key"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(banded.join(shared.select("key"), "key"))
     label = cut(members.select("node").distinct().withColumn("label", F.col("node")))
     sets = cut(shingle_sets(docs, classes.select("node", "id", "key").join(label.select("node"), "node"),
                             id_col, text_col).dropDuplicates(["node"]))
     sigs = classes.select("node", "sig")
-    stars = alike(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sigs)
-    best = Window.partitionBy("b").orderBy(F.desc("est"), "a")            # at most one row a band
-    stars = cut(stars.withColumn("nth", F.row_number().over(best)).where(f"nth <= {STARS}").select("a", "b"))
-    label = relabel(label, cut(links(stars, sets)))
-    sizes = {"stars": stars}
-    for nearest in (True, False):
-        pairs = cut(crossing(members.select("key", "node").join(label, "node"), sigs, nearest))
-        sizes["nearest" if nearest else "rest"] = pairs
-        found = cut(links(pairs, sets))
+    for part in (members.where(F.col("band") < FIRST), members):
+        found = cut(links(part.select("key", "node").join(label, "node"), sigs, sets))
+        if trace is not None:
+            trace[f"links{len(trace)}"] = found.count()
         if not found.isEmpty():
             label = relabel(label, found)
-    if trace is not None:
-        sizes |= {"classes": classes, "members": members, "sets": sets, "found": found}
-        trace.update({k: v.count() for k, v in sizes.items()})
-    grouped = classes.select("node", "id", "key").join(label, "node", "left").select(
+    owned = classes.select("node", "id", "key").join(label, "node", "left").select(
         "key", "id", F.coalesce("label", "node").alias("label"))
-    component = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_key = grouped.join(component, "label").select(F.col("key").alias("k"), "component_id")
+    component = owned.groupBy("label").agg(F.min("id").alias("component_id"))
+    by_key = owned.join(component, "label").select(F.col("key").alias("k"), "component_id")
     out = rows.select("id", "n", "key").join(by_key, F.col("key") == F.col("k"), "left")
     owner = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), owner.alias("component_id"),
@@ -291,8 +319,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one a component
-    (of several rows with the component's id, one)."""
-    keep = near_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    held = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
-    return held.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns: one a component."""
+    return stay(docs, near_dedup(docs, id_col, text_col), id_col)

@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
                          quality_rules, secret_scan)
-from flowlab.llm.common import UPPER, table
-
-
-def tokenizer_files() -> dict[str, str]:
-    """The vocabulary of the packing queries: byte-level BPE of 50,257 ids."""
-    import public_tokenizers as P
-    return {"vocab": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
+from flowlab.llm.common import UPPER, table, tokenizer_files
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +72,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "ambiguous")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, 
+    return {"pipeline": pipeline, "op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, 
             "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
             "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup,
             "op9_near_dedup": op9_near_dedup, "op10_language_id": op10_language_id}
