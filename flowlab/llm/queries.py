@@ -78,10 +78,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"pipeline": pipeline, "op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, 
-            "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
-            "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup,
-            "op9_near_dedup": op9_near_dedup, "op10_language_id": op10_language_id}
+    return {
+        "op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules,
+        "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
+        "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_near_dedup": op9_near_dedup,
+        "op10_language_id": op10_language_id, "pipeline": pipeline,
+    }
 
 
 OP4_SQL = f"""
