@@ -46,13 +46,17 @@ def sql_uniform(*parts: str) -> str:
 # ---------------------------------------------------------------- streams
 # One md5 per row seeds three MINSTD (Park-Miller) streams; element i of a
 # stream is x_i = a^(i+1) * x_0 mod (2^31 - 1).  The jump-ahead multipliers
-# a^(i+1) mod m are precomputed, so each element costs one multiply and one
-# modulo on 62-bit integers (no overflow, so ANSI mode and DuckDB agree).
+# a^(i+1) mod m come from a table for the first LOW elements and from products
+# of two or three table entries beyond, so a vector may have any length; every
+# step is a multiply and a modulo on 62-bit integers (no overflow, so ANSI mode
+# and DuckDB agree).
 
 MINSTD_M = 2 ** 31 - 1
 MINSTD_A = 16807
-MAX_DIM = 4096
-_JUMPS = [pow(MINSTD_A, i + 1, MINSTD_M) for i in range(MAX_DIM)]
+LOW = 4096
+_JUMPS = [pow(MINSTD_A, i + 1, MINSTD_M) for i in range(LOW)]
+_HIGH = [pow(MINSTD_A, i * LOW, MINSTD_M) for i in range(LOW)]            # a^(LOW * i)
+_TOP = [pow(MINSTD_A, i * LOW * LOW, MINSTD_M) for i in range(128)]       # up to 2^31 elements
 
 
 def row_seeds(*parts) -> list[Column]:
@@ -62,19 +66,32 @@ def row_seeds(*parts) -> list[Column]:
             for k in range(3)]
 
 
-def _jumps_literal() -> Column:
-    """The multiplier table as one array literal, parsed on the JVM in a
+def _literal(table: list[int]) -> Column:
+    """A multiplier table as one array literal, parsed on the JVM in a
     single call (building it element by element from Python would cost one
     gateway round trip per element)."""
-    return F.expr("CAST(array(" + ",".join(str(j) for j in _JUMPS) + ") AS ARRAY<BIGINT>)")
+    return F.expr("CAST(array(" + ",".join(str(j) for j in table) + ") AS ARRAY<BIGINT>)")
+
+
+def _jumps(n: Column) -> Column:
+    """a^(i+1) mod m for i in 0 .. n-1."""
+    m = F.lit(MINSTD_M)
+
+    def block(b: Column) -> Column:
+        """LOW multipliers from element LOW * b on."""
+        high = (F.get(_literal(_HIGH), (b % LOW).cast("int")) * F.get(_literal(_TOP), F.floor(b / LOW).cast("int"))) % m
+        return F.transform(_literal(_JUMPS), lambda low: (low * high) % m)
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / LOW))
+    return F.when(n <= LOW, F.slice(_literal(_JUMPS), 1, n)).otherwise(
+        F.slice(F.flatten(F.transform(blocks, block)), 1, n))
 
 
 def stream_uniforms(seed: Column, n: Column) -> Column:
     """The first ``n`` draws u_i in (0, 1) of the stream started at
     ``seed``.  The seed enters through ``array_repeat`` so it is computed
     once per row, not once per element."""
-    jumps = F.slice(_jumps_literal(), 1, n)
-    return F.zip_with(jumps, F.array_repeat(seed, n),
+    return F.zip_with(_jumps(n), F.array_repeat(seed, n),
                       lambda a, s: ((a * s) % F.lit(MINSTD_M)).cast("double") / F.lit(float(MINSTD_M)))
 
 

@@ -1,7 +1,7 @@
 """Anomaly scoring in embedding space (AG18, PR19-PR23, MO6, TR6, DO1, DO3).
 
-* exact quantiles without one task holding a whole group: approximate
-  quantiles bracket the target rank, only rows inside the bracket are ranked;
+* exact quantiles without one task holding a whole group: (group, value)
+  counts and running totals over value ranges;
 * isolation forest: one sampling pass (no row explosion), trees grown per
   ``tree_id`` group of <= 256 rows, scored with the broadcast forest;
 * Mahalanobis: partial moment sums per partition, reduced by Spark.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
 from flowlab.functions.rand import uniform
+from flowlab.operators.prefix import value_ranges
 
 ANOMALY_CUT = 0.65  # fixed value: score at or above -> zero-day alert
 
@@ -30,72 +31,44 @@ def _schema(df: DataFrame, keep: list[str], extra: str) -> str:
 # ------------------------------------------------------------ exact quantile
 
 def exact_percentile(df: DataFrame, value: str, q: float, group_cols: list[str] | None = None,
-                     max_candidates: int = 500_000, out_col: str = "quantile") -> DataFrame:
-    """numpy.percentile(linear) of ``value`` per group, exact.
-
-    Pass 1 finds per group the count n and an approximate bracket around
-    rank h = (n-1)q; rows inside the bracket (a small slice of each group)
-    are ranked exactly, and the bracket is narrowed again while it holds
-    more than ``max_candidates`` rows."""
+                     out_col: str = "quantile", n_parts: int | None = None) -> DataFrame:
+    """numpy.percentile(linear) of ``value`` per group, exact; null values are
+    left out, groups without a value give no row.
+
+    Rows collapse to (group, value, count) first, so a value that fills most of
+    a group is one row.  Running counts come from value ranges: ranges are
+    ordered on their own and the per-range totals give the offsets.  Nothing
+    per group reaches the driver, and no task holds a whole group."""
     g = list(group_cols or [])
     key = g or ["_fl_g"]
     base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not g:
         base = base.withColumn("_fl_g", F.lit(0))
-    # the (group, value) projection is read by every pass: keep it (recomputable)
-    base = base.persist()
-    stats = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     from flowlab.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)   # the session's reliable folder (set one only in local mode)
-    stats = stats.withColumn("_below", F.lit(0).cast("long")).checkpoint(eager=True)
-    n_groups = stats.count()
-    cand = base
-    grid = 1000
-    probs = [i / grid for i in range(grid + 1)]
-    spark = df.sparkSession
-    for _ in range(8):
-        st = F.broadcast(stats) if n_groups <= 100_000 else stats   # one row per group, counted above
-        b = cand.join(st, key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        size = b.count()
-        if size <= max_candidates:
-            break
-        # narrow each group's bracket with a fixed percentile grid of the
-        # bracket rows (groups x 1001 numbers reach the driver)
-        summ = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"),
-                                   F.first("_below").alias("_below"),
-                                   F.percentile_approx("_v", probs, 20 * grid).alias("_q")).collect()
-        rows = []
-        for r in summ:
-            h = (r["_n"] - 1) * q
-            f_lo = max((h - r["_below"]) / r["_m"] - 2.0 / grid, 0.0)
-            f_hi = min((h + 1 - r["_below"]) / r["_m"] + 2.0 / grid, 1.0)
-            qs = r["_q"]
-            rows.append(tuple(r[k] for k in key) + (r["_n"], float(qs[int(math.floor(f_lo * grid))]),
-                                                     float(qs[int(math.ceil(f_hi * grid))])))
-        schema = b.select(*key).schema.add("_n", "long").add("_lo", "double").add("_hi", "double")
-        edges = spark.createDataFrame(rows, schema)
-        below = base.join(F.broadcast(edges) if n_groups <= 100_000 else edges, key).groupBy(*key).agg(
-            F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("long").alias("_below"))
-        # reliable checkpoint (spark.checkpoint.dir): keeps the loop's lineage short
-        stats = edges.join(below, key).checkpoint(eager=True)
-        cand = b.select(*key, "_v")
-    w = Window.partitionBy(*key).orderBy("_v")
-    ranked = b.select(*key, "_v", "_n", "_below", (F.col("_below") + F.row_number().over(w) - 1).alias("_r"))
+    counted = base.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    ranged = value_ranges(counted, ["_v"], "_p", n_parts)
+    totals = ranged.groupBy("_p", *key).agg(F.sum("_c").alias("_t"))
+    every = Window.partitionBy(*key)
+    before = every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", *key, F.sum("_t").over(every).alias("_n"),
+                            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"), "_t")
+    # only the ranges that hold rank h or the next one are ordered
     h = (F.col("_n") - 1) * F.lit(q)
     k = F.floor(h)
-    pick = ranked.where((F.col("_r") == k) | (F.col("_r") == k + 1)).groupBy(*key).agg(
-        F.first("_n").alias("_n"),
-        F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(q)), F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(q)) + 1, F.col("_v"))).alias("_b"))
-    hh = (F.col("_n") - 1) * F.lit(q)
-    frac = hh - F.floor(hh)
+    wanted = offsets.where((F.col("_off") <= k + 1) & (F.col("_off") + F.col("_t") > k)).drop("_t")
+    near = ranged.alias("r").join(wanted.alias("o"), [F.col(f"r.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in ["_p", *key]])
+    near = near.select(*[F.col(f"r.`{c}`").alias(c) for c in ["_p", *key]], "_v", "_c", "_n", "_off")
+    local = Window.partitionBy("_p", *key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = near.withColumn("_r", F.col("_off") + F.coalesce(F.sum("_c").over(local), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_r") <= rank) & (F.col("_r") + F.col("_c") > rank), F.col("_v")))
+
+    pick = first.groupBy(*key).agg(F.first("_n").alias("_n"), at(k).alias("_a"), at(k + 1).alias("_b"))
+    frac = h - k
     res = F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") + frac * (F.col("_b") - F.col("_a")))
-    out = pick.select(*key, res.alias(out_col))
-    out = out.drop("_fl_g") if not g else out
-    # one row per group: materialise it and release the cached projection
-    rows, schema = out.collect(), out.schema
-    base.unpersist()
-    return df.sparkSession.createDataFrame(rows, schema)
+    return pick.select(*g, res.alias(out_col))
 
 
 # ------------------------------------------------- reconstruction scoring

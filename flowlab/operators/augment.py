@@ -8,12 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.functions.rand import MAX_DIM, row_seeds, stream_normals, stream_uniforms
-
-
-def _guard(n: Column, out: Column) -> Column:
-    return F.when(n <= F.lit(MAX_DIM), out).otherwise(
-        F.raise_error(F.lit(f"augmentation supports vectors up to {MAX_DIM} elements")))
+from flowlab.functions.rand import row_seeds, stream_normals, stream_uniforms
 
 
 def noise(v: Column, row_id: Column, stddev: float = 0.05, view: str = "n", seed: int = 42,
@@ -22,7 +17,7 @@ def noise(v: Column, row_id: Column, stddev: float = 0.05, view: str = "n", seed
     per element).  ``n`` is the vector length when already known."""
     n = n if n is not None else F.size(v)
     s1, s2, _ = row_seeds(F.lit(seed), row_id, F.lit(view))
-    return _guard(n, F.zip_with(v, stream_normals(s1, s2, n), lambda x, e: x.cast("double") + F.lit(stddev) * e))
+    return F.zip_with(v, stream_normals(s1, s2, n), lambda x, e: x.cast("double") + F.lit(stddev) * e)
 
 
 def feature_mask(v: Column, row_id: Column, mask_prob: float = 0.1, view: str = "m", seed: int = 42,
@@ -32,8 +27,8 @@ def feature_mask(v: Column, row_id: Column, mask_prob: float = 0.1, view: str =
     not evaluate that expression again."""
     n = n if n is not None else F.size(v)
     _, _, s3 = row_seeds(F.lit(seed), row_id, F.lit(view))
-    return _guard(n, F.zip_with(v, stream_uniforms(s3, n), lambda x, w: F.when(w > F.lit(mask_prob), x.cast("double"))
-                                .otherwise(F.lit(0.0))))
+    return F.zip_with(v, stream_uniforms(s3, n), lambda x, w: F.when(w > F.lit(mask_prob), x.cast("double"))
+                      .otherwise(F.lit(0.0)))
 
 
 def weak(v: Column, row_id: Column, view: str = "w", seed: int = 42) -> Column:

@@ -18,7 +18,6 @@ from flowlab.operators.prefix import rank_by_value
 
 # Label / leakage columns never used as features.
 KNOWN_LABEL_COLUMNS = ["Label", "label", "attack_cat", "AttackLabel", "AttackCategory"]
-SMALL_VOCAB = 1_000_000  # distinct (column, value) pairs ranked by a per-column window
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -155,10 +154,6 @@ def vocabularies(df: DataFrame, categorical: list[str]) -> DataFrame:
                       for c in categorical])
     kv = df.select(F.explode(pairs).alias("kv")).select("kv.column", "kv.value")
     d = kv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select("column", "value")
-    if d.count() <= SMALL_VOCAB:
-        # small vocabularies: one window task per column is cheaper than range partitioning
-        w = Window.partitionBy("column").orderBy("value")
-        return d.select("column", (F.row_number().over(w) - 1).cast("int").alias("position"), "value")
     r = rank_by_value(d, ["column"], "value", "position")
     return r.select("column", F.col("position").cast("int").alias("position"), "value")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
 
-MAX_ROWS = 512        # fixed value: gradient batches kept per capture
+MAX_ROWS = 512        # fixed value: usual cap of a capture, for callers that want one
 MIN_NORM = 1e-12      # fixed value: rows at or below this norm are dropped
 ENERGY = 0.97         # fixed value: captured energy of the basis
 MAX_GRAM_ROWS = 2048  # N x N Gram matrices above this are refused (driver-side eigenproblem)
@@ -30,9 +30,9 @@ def valid_gradient(vec: Column) -> Column:
     return finite & (A.norm(vec) > F.lit(MIN_NORM))
 
 
-def filter_gradients(df: DataFrame, vec: str, order: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """LA0: drop invalid rows, keep the first ``max_rows`` valid ones by
-    capture order (0 = no cap).  The cap is the operator's feature."""
+def filter_gradients(df: DataFrame, vec: str, order: str, max_rows: int = 0) -> DataFrame:
+    """LA0: drop invalid rows.  A caller may cap the capture to the first
+    ``max_rows`` valid rows by ``order``; 0, the default, keeps all."""
     ok = df.where(valid_gradient(F.col(vec)))
     return ok.orderBy(order).limit(max_rows) if max_rows else ok
 

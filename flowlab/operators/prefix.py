@@ -82,20 +82,51 @@ def global_rank(df: DataFrame, order_col: str, *, tiebreak: list[str] | None = N
     return r.withColumnRenamed(f"_r{one}", out_col).drop(one)
 
 
-def rank_by_value(df: DataFrame, group_cols: list[str], order_col: str, out_col: str = "rank",
+SAMPLE_PER_SPLIT = 64
+MAX_SPLITS = 256
+
+
+def value_ranges(df: DataFrame, cols: list[str], out_col: str, n_parts: int | None = None) -> DataFrame:
+    """Add ``out_col``: a range number that does not decrease with the order of
+    ``cols`` (any sortable types, nulls first).  The split points come from a
+    bounded random sample and enter the plan as literals, so every scan of
+    the result gives a row the same range."""
+    n = min(n_parts or _default_buckets(df), MAX_SPLITS)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    sample = df.select(row.alias("r")).orderBy(F.rand(11)).limit(n * SAMPLE_PER_SPLIT)
+    # at most MAX_SPLITS * SAMPLE_PER_SPLIT rows; sorted by Spark, so its order of values holds
+    points = [r[0] for r in sample.distinct().orderBy("r").collect()]
+    step = max(1, len(points) // n)
+    splits = points[step::step]
+    types = [df.schema[c].dataType for c in cols]
+
+    def literal(point):
+        return F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(point, types))])
+
+    def search(lo: int, hi: int):
+        """Number of splits at or below the row, between lo and hi."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(row < literal(splits[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return df.withColumn(out_col, search(0, len(splits)))
+
+
+def rank_by_value(df: DataFrame, group_cols: list[str], order_col: str | list[str], out_col: str = "rank",
                   n_parts: int | None = None) -> DataFrame:
-    """0-based rank of ``order_col`` inside each group for any sortable type
-    (strings included).  Rows are range-partitioned on (group, value), each
-    task ranks its own contiguous slice, and per-(task, group) counts -- a
-    small table -- give the offsets.  No task sorts a whole group."""
-    n = n_parts or _default_buckets(df)
+    """0-based rank of ``order_col`` (one or more columns) inside each group
+    for any sortable type.  Rows are cut into ranges of (group, value) at
+    literal split points, each range of a group is ranked on its own, and the
+    per-range counts give the offsets.  No task sorts a whole group."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
     pid = "_fl_pid"
-    r = df.repartitionByRange(n, *group_cols, order_col).withColumn(pid, F.spark_partition_id())
+    r = value_ranges(df, [*group_cols, *order], pid, n_parts)
     counts = r.groupBy(pid, *group_cols).agg(F.count(F.lit(1)).alias("_c"))
     w_off = Window.partitionBy(*group_cols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(pid, *group_cols, F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(pid, *group_cols).orderBy(order_col)
+    w = Window.partitionBy(pid, *group_cols).orderBy(*order)
     local = r.withColumn("_loc", F.row_number().over(w) - 1)
-    from flowlab.session import broadcast_if_small
-    out = local.join(broadcast_if_small(offs), [pid, *group_cols])
-    return out.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long")).drop(pid, "_loc", "_off")
+    out = local.alias("l").join(offs.alias("o"), [F.col(f"l.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in [pid, *group_cols]])
+    return out.select(*[F.col(f"l.`{c}`").alias(c) for c in df.columns],
+                      (F.col("_off") + F.col("_loc")).cast("long").alias(out_col))

@@ -693,9 +693,9 @@ def _dirty_means(spark, sf_dir) -> DataFrame:
           "ELSE vec END AS vec FROM bm),\nn AS (SELECT row_id, sqrt(list_reduce(list_transform(vec, lambda x: x * x), "
           "lambda a, b: a + b)) AS norm, list_bool_or(list_transform(vec, lambda x: isnan(x) OR isinf(x))) AS bad FROM d)\n"
           "SELECT CAST(row_id AS BIGINT) AS row_id, round(norm, 6) AS norm FROM n WHERE NOT bad AND norm > "
-          "CAST('1e-12' AS DOUBLE) ORDER BY row_id LIMIT 512")
+          "CAST('1e-12' AS DOUBLE)")
 def q_grad_filter(spark, sf_dir):
-    f = LA.filter_gradients(_dirty_means(spark, sf_dir), "vec", "row_id", LA.MAX_ROWS)
+    f = LA.filter_gradients(_dirty_means(spark, sf_dir), "vec", "row_id")
     return rounded(f.select(F.col("row_id").cast("long").alias("row_id"), A.norm(F.col("vec")).alias("norm")))
 
 

@@ -60,7 +60,7 @@ def q_alert_dedup(spark, sf_dir):
 @register("alert_sessions", f"""WITH {ALERTS_SQL},
 a AS (SELECT user_id, ts FROM alerts WHERE attack_type IS NOT NULL),
 g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
-        OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 minutes THEN 1 ELSE 0 END AS nw FROM a),
+        OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 minutes THEN 1 ELSE 0 END AS nw FROM a),
 s AS (SELECT user_id, ts, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
       AS sid FROM g)
 SELECT user_id, min(ts) AS session_start,

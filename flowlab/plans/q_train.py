@@ -108,7 +108,7 @@ def _captured(spark, sf_dir):
     e = _task_frame(spark, sf_dir).withColumn("batch_id", F.floor(F.col("vec_id") / 32).cast("long"))
     layers = TR.init([64, 16, 2], seed=3)
     g = TR.capture_gradients(e, "embedding", "y", layers, "batch_id", weight="weight")
-    return LA.filter_gradients(g, "vec", "batch_id", LA.MAX_ROWS)
+    return LA.filter_gradients(g, "vec", "batch_id")
 
 
 @register("gradient_capture")

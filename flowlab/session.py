@@ -63,15 +63,16 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast a derived lookup table only when its size is bounded: a
-    caller that already knows an upper bound passes ``known_rows``;
-    otherwise the (small, aggregated) table is counted first.  Tables over
-    ``max_rows`` rows are left to a shuffle join."""
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, known_rows: int | None = None) -> DataFrame:
+    """Broadcast a derived lookup table only when its size is bounded: its
+    rows are measured (as JSON text, all columns) and tables over
+    ``max_bytes`` are left to a shuffle join.  A caller that already knows an
+    upper bound of narrow rows passes ``known_rows``."""
     from pyspark.sql import functions as F
     if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    return F.broadcast(df) if df.count() <= max_rows else df
+        return F.broadcast(df) if known_rows * 16 * len(df.columns) <= max_bytes else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

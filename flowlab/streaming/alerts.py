@@ -15,6 +15,7 @@ from flowlab.functions import arrays as A
 from flowlab.operators import alerts as AL
 from flowlab.operators import features as FT
 from flowlab.operators import models as MO
+from flowlab.operators.prefix import value_ranges
 from flowlab.session import ensure_parallelism
 
 EVENT_SCALE = 500.0   # events: anomaly score = clip(value / 500, 0, 1)
@@ -64,28 +65,30 @@ def alert_sessions(alerts: DataFrame, gap: str = "30 minutes", key: str = "user_
 
 def batch_sessions(alerts: DataFrame, gap_seconds: int = 1800, key: str = "user_id",
                    bucket_seconds: int | None = None, n_parts: int | None = None) -> DataFrame:
-    """ST4 (batch form), exact and skew-proof.  Rows are range-partitioned on
-    (key, ts), so a key holding a third of all rows is spread over many
-    tasks; each task orders only its own contiguous slice.  What crosses a
-    task edge -- the previous event time and the sessions opened earlier --
-    comes from a per-(task, key) summary, i.e. a two-level prefix sum.
+    """ST4 (batch form), exact and skew-proof.  Rows are cut into ranges of
+    (key, ts) at literal split points, so a key holding a third of all rows is
+    spread over many tasks; each task orders only its own slice.  What crosses
+    a range edge -- the previous event time and the sessions opened earlier --
+    comes from a per-(range, key) summary, i.e. a two-level prefix sum.  An
+    event exactly ``gap_seconds`` after the last one still belongs to its
+    session, as in ``session_window``.
     ``bucket_seconds`` selects the time-bucket variant instead."""
     if bucket_seconds:
         return _bucket_sessions(alerts, gap_seconds, key, bucket_seconds)
     gap_us = gap_seconds * 1_000_000
     n = n_parts or max(8, int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
     a = alerts.select(key, F.unix_micros(F.col("ts")).alias("_t"))
-    a = a.repartitionByRange(n, key, "_t").withColumn("_p", F.spark_partition_id())
+    a = value_ranges(a, [key, "_t"], "_p", n)
     summ = a.groupBy("_p", key).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     wk = Window.partitionBy(key).orderBy("_p")
     summ = summ.withColumn("_prev_last", F.lag("_last").over(wk))
     summ = summ.withColumn("_first_new", F.when(F.col("_prev_last").isNull()
-                                                | (F.col("_first") - F.col("_prev_last") >= gap_us), 1).otherwise(0))
+                                                | (F.col("_first") - F.col("_prev_last") > gap_us), 1).otherwise(0))
     w = Window.partitionBy("_p", key).orderBy("_t")
     j = a.join(summ.select("_p", key, "_first_new"), ["_p", key])
     prev = F.lag("_t").over(w)
     j = j.withColumn("_new", F.when(prev.isNull(), F.col("_first_new"))
-                     .when(F.col("_t") - prev >= gap_us, 1).otherwise(0))
+                     .when(F.col("_t") - prev > gap_us, 1).otherwise(0))
     j = j.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     opened = j.groupBy("_p", key).agg(F.sum("_new").alias("_k"))
     offs = opened.select("_p", key, F.coalesce(F.sum("_k").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
@@ -108,12 +111,12 @@ def _bucket_sessions(alerts: DataFrame, gap_seconds: int, key: str, bucket_secon
     wk = Window.partitionBy(key).orderBy("_b")
     summ = summ.withColumn("_prev_last", F.lag("_last").over(wk))
     summ = summ.withColumn("_first_new", F.when(F.col("_prev_last").isNull()
-                                                | (F.col("_first") - F.col("_prev_last") >= gap_us), 1).otherwise(0))
+                                                | (F.col("_first") - F.col("_prev_last") > gap_us), 1).otherwise(0))
     w = Window.partitionBy(key, "_b").orderBy("_t")
     j = a.join(summ.select(key, "_b", "_first_new"), [key, "_b"])
     prev = F.lag("_t").over(w)
     j = j.withColumn("_new", F.when(prev.isNull(), F.col("_first_new"))
-                     .when(F.col("_t") - prev >= gap_us, 1).otherwise(0))
+                     .when(F.col("_t") - prev > gap_us, 1).otherwise(0))
     j = j.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # sessions opened in earlier buckets of the same key
     opened = j.groupBy(key, "_b").agg(F.sum("_new").alias("_k"))
@@ -144,11 +147,12 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "ap
 
 
 def foreach_batch_alerts(df: DataFrame, out_path: str, checkpoint: str):
-    """IO14 streaming sink: each micro-batch appended, partitioned by
-    severity (idempotent by batch id through the checkpoint)."""
+    """IO14 streaming sink: each micro-batch is written to its own
+    ``batch_id`` partition, by severity.  A batch that is replayed after a
+    failure replaces that partition, so nothing is written twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("severity").parquet(out_path)
+        batch.write.mode("overwrite").partitionBy("severity").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

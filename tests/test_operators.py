@@ -88,7 +88,7 @@ def test_exact_percentile_matches_numpy(spark):
     rng = np.random.default_rng(0)
     vals = rng.normal(size=5000)
     df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vals)], "g int, v double")
-    got = {r["g"]: r["quantile"] for r in AN.exact_percentile(df, "v", 0.95, ["g"], max_candidates=300).collect()}
+    got = {r["g"]: r["quantile"] for r in AN.exact_percentile(df, "v", 0.95, ["g"], n_parts=40).collect()}
     for g in range(3):
         assert got[g] == pytest.approx(np.percentile(vals[g::3], 95), abs=1e-12)
     one = AN.exact_percentile(df, "v", 0.95).first()[0]
@@ -292,14 +292,40 @@ def test_reference_architecture_sizes_and_forward(spark):
     assert np.allclose([out[i]["lg"] for i in range(5)], ref)
 
 
-def test_first_n_large_cap_uses_ranks(spark):
-    SP.TOP_K_IN_ONE_TASK, old = 10, SP.TOP_K_IN_ONE_TASK
-    try:
-        df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"))
-        got = sorted(r["k"] for r in SP.first_n(df, ["k"], 123).collect())
-        assert got == list(range(123))
-    finally:
-        SP.TOP_K_IN_ONE_TASK = old
+def test_first_n_is_exact_on_a_large_wide_table(spark):
+    n, cap = 2_000_000, 150_000
+    df = spark.range(n, numPartitions=16).select(((F.col("id") * 7919) % n).alias("k"),
+                                                 F.repeat(F.md5(F.col("id").cast("string")), 4).alias("payload"))
+    r = SP.first_n(df, ["k"], cap).agg(F.count("*"), F.countDistinct("k"), F.max("k"), F.min("k")).first()
+    assert tuple(r) == (cap, cap, cap - 1, 0)
+
+
+def test_first_n_several_keys_and_nulls(spark):
+    rows = [(None if i % 10 == 0 else i % 7, f"s{i % 13}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, b string, i long")
+    got = SP.first_n(df, ["a", "b", "i"], 123).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[:123]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_exact_percentile_of_a_dominant_value_and_of_many_groups(spark):
+    df = spark.range(300_000).select(F.when(F.col("id") % 10 < 9, F.lit(5.0)).otherwise(F.col("id") * 1.0).alias("v"))
+    vals = np.array([5.0 if i % 10 < 9 else float(i) for i in range(300_000)])
+    for q in (0.0, 0.5, 0.93, 1.0):
+        assert AN.exact_percentile(df, "v", q).first()["quantile"] == pytest.approx(np.quantile(vals, q), abs=1e-9)
+    many = spark.range(600_000).select((F.col("id") % 200_000).alias("g"), (F.col("id") * 1.0).alias("v"))
+    out = AN.exact_percentile(many, "v", 0.75, ["g"])
+    assert out.where(F.col("quantile") != F.col("g") + 300_000.0).count() == 0 and out.count() == 200_000
+
+
+def test_noise_on_long_vectors(spark):
+    from flowlab.functions.rand import MINSTD_A, MINSTD_M, stream_uniforms
+    got = spark.range(1).select(stream_uniforms(F.lit(12345), F.lit(10_000)).alias("u")).first()["u"]
+    want, x = [], 12345
+    for _ in range(10_000):
+        x = MINSTD_A * x % MINSTD_M
+        want.append(x / MINSTD_M)
+    assert got == want
 
 
 def test_split_needs_every_class_on_both_sides(spark):

@@ -53,3 +53,15 @@ def test_model_params_roundtrip(spark):
     x = np.random.default_rng(1).normal(size=(3, 8))
     assert np.allclose(MO.net_forward(x, back), MO.net_forward(x, net))
     assert [L.get("save", False) for L in back] == [True, False, False, False]
+
+
+def test_saving_a_basis_leaves_other_writers_alone(spark, tmp_path):
+    from flowlab.sources import state as S
+    basis = spark.createDataFrame([(0, 0, [1.0])], "component int, block_id int, vec array<double>")
+    S.save_basis(spark, str(tmp_path / "bases"), 0, "a", basis)
+    S.save_basis(spark, str(tmp_path / "bases"), 1, "b", basis)
+    S.save_basis(spark, str(tmp_path / "bases"), 1, "c", basis)
+    assert [(r["task_ord"], r["task"]) for r in S.load_bases(spark, str(tmp_path / "bases")).collect()] == [(0, "a"), (1, "c")]
+    for models in (["m1", "m2"], ["m1"]):
+        S.save_params(spark.createDataFrame([(m, 1.0) for m in models], "model string, w double"), str(tmp_path / "params"))
+    assert [r["model"] for r in spark.read.parquet(str(tmp_path / "params")).collect()] == ["m1"]

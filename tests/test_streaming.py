@@ -141,3 +141,44 @@ def test_late_rows_dropped_by_watermark(spark):
     assert got[t0] == 6 and all(got[t0 + dt.timedelta(hours=h)] == 6 for h in range(5))
     dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p.get("stateOperators", []))
     assert dropped == 1
+
+
+def test_exact_gap_stays_in_one_session(spark):
+    rows = [("u", 0), ("u", 1800), ("u", 3601), ("v", 5), ("v", 1806)]
+    a = spark.createDataFrame(rows, "user_id string, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    stream_form = sorted(map(tuple, ST.alert_sessions(a, "30 minutes", "user_id", None).collect()))
+    for kw in ({}, {"bucket_seconds": 600}, {"n_parts": 64}):
+        assert sorted(map(tuple, ST.batch_sessions(a, 1800, "user_id", **kw).collect())) == stream_form
+    assert [r[3] for r in stream_form] == [2, 1, 1, 1]
+
+
+def test_replayed_batch_is_not_written_twice(spark, tmp_path, monkeypatch):
+    """The sink's writer runs twice for one batch id, as after a failure."""
+    calls = {}
+
+    class Writer:
+        def foreachBatch(self, f):
+            calls["f"] = f
+            return self
+
+        def option(self, *a):
+            return self
+
+        trigger = option
+
+        def start(self):
+            return self
+
+        def awaitTermination(self):
+            pass
+
+    class Stream:
+        writeStream = Writer()
+
+    Writer.trigger = lambda self, **k: self
+    ST.foreach_batch_alerts(Stream(), str(tmp_path / "sink"), "unused")
+    batch = spark.createDataFrame([(1, "high"), (2, "low")], "flow_id long, severity string")
+    for batch_id in (0, 0, 1):
+        calls["f"](batch, batch_id)
+    got = spark.read.parquet(str(tmp_path / "sink")).groupBy("batch_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {0: 2, 1: 2}
