@@ -175,6 +175,51 @@ FROM docs d LEFT JOIN kept k ON d.r = k.r
 """
 
 
+def quality_sql() -> str:
+    """The rule ledger; the rules are the operator's own SQL."""
+    from flowlab.llm.quality_rules import RULES, mask, POLICIES
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+    base, used = mask(POLICIES["base"]), mask(POLICIES["v2"])
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, regexp_replace(t, '{blank}', '', 'g') AS bare FROM d),
+win AS (SELECT r, i, list_slice(ws, i + 1, i + 5) AS x FROM (SELECT r, ws, unnest(range(len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(DISTINCT l) AS own FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n - own, 0)::BIGINT AS n_dup_lines,
+        coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_lines,
+        length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
+        length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+        len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_letter_words,
+        length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {base}) <> 0 AS base_failed,
+       (fail_bits & {base | used}) = 0 AS kept, fail_bits FROM b"""
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, x FROM (
+        SELECT doc_id, list_slice(ws, i + 1, i + 5) AS x FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)
+        UNION ALL SELECT doc_id, ws FROM d WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+FROM (SELECT doc_id FROM documents) LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op4_mixing": OP4_SQL, "op5_license_scan": license_sql(), "op7_exact_dedup": OP7_SQL,
-            "op8_line_dedup": OP8_SQL}
+    """Where SQL can say it; the others are held against brute force in tests/llm."""
+    return {"op3_quality_rules": quality_sql(), "op4_mixing": OP4_SQL, "op5_license_scan": license_sql(),
+            "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
