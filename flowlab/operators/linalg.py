@@ -44,18 +44,31 @@ def to_blocks(df: DataFrame, row_id: str, vec: str, block: int) -> DataFrame:
     return b.select(row_id, "block_id", F.slice(vec, F.col("block_id") * block + 1, F.lit(block)).alias("sub"))
 
 
-def gram(blocks: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """G G^T as ``(i, j, value)``: per-block partial Grams summed by Spark."""
+ROWS_TOGETHER = 256   # gradient rows of one part of a block
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        ids = pdf[row_id].to_numpy()
-        x = np.stack(pdf["sub"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        g = x @ x.T
-        ii, jj = np.meshgrid(ids, ids, indexing="ij")
-        return pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "value": g.ravel()})
 
-    p = blocks.groupBy("block_id").applyInPandas(partial, "i long, j long, value double")
+def gram(blocks: DataFrame, row_id: str = "row_id", n_rows: int | None = None) -> DataFrame:
+    """G G^T as ``(i, j, value)``: partial Grams summed by Spark.  The rows of
+    a block are dealt into parts of about ROWS_TOGETHER, and every two parts
+    meet in one bounded group, so no group grows with the number of rows."""
+    n_rows = n_rows if n_rows is not None else blocks.select(row_id).distinct().count()
+    parts = max(1, math.ceil(n_rows / ROWS_TOGETHER))
+
+    def partial(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["sub"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        ids, part = pdf[row_id].to_numpy(), pdf["_part"].to_numpy()
+        left, right = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+        g = x[left] @ x[right].T
+        i, j = (a.ravel() for a in np.meshgrid(ids[left], ids[right], indexing="ij"))
+        if key[1] == key[2]:
+            return pd.DataFrame({"i": i, "j": j, "value": g.ravel()})
+        return pd.DataFrame({"i": np.concatenate([i, j]), "j": np.concatenate([j, i]), "value": np.tile(g.ravel(), 2)})
+
+    dealt = blocks.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(parts)))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    met = met.select("block_id", F.least("_part", "_other").alias("_x"), F.greatest("_part", "_other").alias("_y"), "_part",
+                     row_id, "sub")
+    p = met.groupBy("block_id", "_x", "_y").applyInPandas(partial, "i long, j long, value double")
     return p.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -80,7 +93,7 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
         raise ValueError(f"{n_rows} gradient rows: cap them first (filter_gradients keeps {MAX_ROWS})")
     blocks = to_blocks(df.select(row_id, vec), row_id, vec, block)
     # one row per i holding its N Gram entries (N <= MAX_GRAM_ROWS)
-    g = gram(blocks, row_id).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
+    g = gram(blocks, row_id, n_rows).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
     ids = sorted(r["i"] for r in g)
     empty = spark.createDataFrame([], "component int, block_id int, vec array<double>")
     if not ids:

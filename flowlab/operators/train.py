@@ -126,24 +126,23 @@ def nt_xent_grad(z1, z2, t=0.1):
 # ------------------------------------------------------------ reductions
 
 def _reduce(parts: DataFrame, n_params: int) -> tuple[np.ndarray, float, float, float]:
-    """Sum per-partition rows ``(chunk, g, loss, n, aux)`` chunk-wise in Spark."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.sum(np.stack(pdf["g"].map(np.asarray).to_numpy()), axis=0)
-        aux = np.sum(np.stack(pdf["aux"].map(np.asarray).to_numpy()), axis=0)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "g": [g.tolist()],
-                             "loss": [float(pdf["loss"].sum())], "n": [float(pdf["n"].sum())],
-                             "aux": [aux.tolist()]})
-
-    red = parts.groupBy("chunk").applyInPandas(add, SCHEMA).collect()
+    """Sum per-partition rows ``(chunk, g, loss, n, aux)`` in Spark: one row
+    per number, added up by the map-side aggregation first, so what is shuffled
+    and grouped has the size of the model whatever the number of tasks."""
+    row = F.concat("g", F.array("loss", "n"), "aux")
+    red = parts.select("chunk", F.posexplode(row).alias("i", "v")).groupBy("chunk", "i").agg(F.sum("v").alias("v"))
+    sums: dict[int, dict[int, float]] = {}
+    for r in red.collect():                  # n_params numbers and a few side sums
+        sums.setdefault(r["chunk"], {})[r["i"]] = r["v"]
     grad = np.zeros(n_params)
     loss = n = 0.0
     aux = np.zeros(1)
-    for r in red:
-        c = r["chunk"]
-        grad[c * CHUNK: c * CHUNK + len(r["g"])] = r["g"]
+    for c, by_index in sums.items():
+        values = np.array([by_index[i] for i in range(len(by_index))], dtype=np.float64)
+        size = min(CHUNK, n_params - c * CHUNK)
+        grad[c * CHUNK: c * CHUNK + size] = values[:size]
         if c == 0:
-            loss, n, aux = r["loss"], r["n"], np.asarray(r["aux"], dtype=np.float64)
+            loss, n, aux = float(values[size]), float(values[size + 1]), values[size + 2:]
     return grad, loss, n, aux
 
 
@@ -578,124 +577,6 @@ def train_mixmatch(df: DataFrame, x: str, y: str, sizes: list[int], unlabeled: D
     return layers, hist
 
 
-def train_autoencoder(df: DataFrame, x: str, sizes: list[int], epochs: int = 20, lr: float = 1e-3,
-                      seed: int = 0) -> tuple[list[dict[str, np.ndarray]], list[float]]:
-    """TR4: reconstruction MSE on (benign) rows, Adam."""
-    layers = init(sizes, seed)
-    opt = Adam(lr)
-
-    def step(pdf, params):
-        v = _stack(pdf, x)
-        out, acts = forward(v, params)
-        l, d = mse_grad(out, v)
-        g, _ = backward(acts, params, d)
-        return flatten(g), l, len(pdf), 0.0
-
-    w, hist = flatten(layers), []
-    for _ in range(epochs):
-        g, l, n, _ = gradient_pass(df, [x], layers, step)
-        w = opt.step(w, g / max(n, 1.0))
-        layers = unflatten(w, layers)
-        hist.append(l / max(n, 1.0))
-    return layers, hist
-
-
-def train_contrastive(pairs: DataFrame, enc_sizes: list[int], proj_sizes: list[int], epochs: int = 10,
-                      lr: float = 3e-4, temperature: float = 0.1, seed: int = 0):
-    """TR1: NT-Xent over batches of two views ``(batch_id, v1, v2)``; every
-    batch is one bounded group, gradients flow through projection and
-    encoder; Adam.  Returns (encoder, projection, loss history)."""
-    enc, proj = init(enc_sizes, seed), init(proj_sizes, seed + 1)
-    opt = Adam(lr)
-    n_enc = len(flatten(enc))
-
-    def step(pdf, params):
-        e, p = params
-        v1, v2 = _stack(pdf.sort_values("pos"), "v1"), _stack(pdf.sort_values("pos"), "v2")
-        h1, a1 = forward(v1, e)
-        h2, a2 = forward(v2, e)
-        z1, b1 = forward(h1, p)
-        z2, b2 = forward(h2, p)
-        loss, d1, d2 = nt_xent_grad(z1, z2, temperature)
-        gp1, dh1 = backward(b1, p, d1)
-        gp2, dh2 = backward(b2, p, d2)
-        ge1, _ = backward(a1, e, dh1)
-        ge2, _ = backward(a2, e, dh2)
-        g = np.concatenate([flatten(ge1) + flatten(ge2), flatten(gp1) + flatten(gp2)])
-        return g, loss, 1.0, 0.0
-
-    w = np.concatenate([flatten(enc), flatten(proj)])
-    hist = []
-    for _ in range(epochs):
-        g, l, nb, _ = _pair_pass(pairs, (enc, proj), step, len(w))
-        w = opt.step(w, g / max(nb, 1.0))
-        enc, proj = unflatten(w[:n_enc], enc), unflatten(w[n_enc:], proj)
-        hist.append(l / max(nb, 1.0))
-    return enc, proj, hist
-
-
-def train_contrastive_local(pairs: DataFrame, enc_sizes: list[int], proj_sizes: list[int], epochs: int = 10,
-                            lr: float = 3e-4, temperature: float = 0.1, seed: int = 0):
-    """TR1 with local steps: batches are hash-partitioned whole to tasks;
-    each task takes one Adam step per batch it owns (rows of a batch are
-    contiguous after ``sortWithinPartitions``), and the tasks' weight
-    changes are averaged by batch count.  Returns (encoder, projection,
-    loss history)."""
-    enc, proj = init(enc_sizes, seed), init(proj_sizes, seed + 1)
-    n_enc = len(flatten(enc))
-    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    data = pairs.select("batch_id", "pos", "v1", "v2").repartition(parts, "batch_id").sortWithinPartitions(
-        "batch_id", "pos")
-    w = np.concatenate([flatten(enc), flatten(proj)])
-    hist = []
-    for _ in range(epochs):
-        bc = pairs.sparkSession.sparkContext.broadcast((w, enc, proj))
-
-        def run(it):
-            start, e_like, p_like = bc.value
-            wl = start.copy()
-            opt = Adam(lr)
-            loss_sum, nb = 0.0, 0
-            buf = []
-
-            def step(rows):
-                nonlocal wl, loss_sum, nb
-                pdf = pd.concat(rows)
-                e, p = unflatten(wl[:n_enc], e_like), unflatten(wl[n_enc:], p_like)
-                v1, v2 = _stack(pdf, "v1"), _stack(pdf, "v2")
-                h1, a1 = forward(v1, e)
-                h2, a2 = forward(v2, e)
-                z1, b1 = forward(h1, p)
-                z2, b2 = forward(h2, p)
-                loss, d1, d2 = nt_xent_grad(z1, z2, temperature)
-                gp1, dh1 = backward(b1, p, d1)
-                gp2, dh2 = backward(b2, p, d2)
-                ge1, _ = backward(a1, e, dh1)
-                ge2, _ = backward(a2, e, dh2)
-                g = np.concatenate([flatten(ge1) + flatten(ge2), flatten(gp1) + flatten(gp2)])
-                if np.all(np.isfinite(g)):
-                    wl = opt.step(wl, g)
-                    loss_sum, nb = loss_sum + loss, nb + 1
-
-            for pdf in it:
-                for bid, grp in pdf.groupby("batch_id", sort=False):
-                    if buf and buf[0]["batch_id"].iloc[0] != bid:
-                        step(buf)
-                        buf = []
-                    buf.append(grp)
-            if buf:
-                step(buf)
-            if nb:
-                yield _emit((wl - start) * nb, loss_sum, nb, 0.0)
-
-        red = data.mapInPandas(run, SCHEMA)
-        dsum, loss, nb, _ = _reduce(red, len(w))
-        if nb:
-            w = w + dsum / nb
-        hist.append(loss / max(nb, 1.0))
-    return unflatten(w[:n_enc], enc), unflatten(w[n_enc:], proj), hist
-
-
 def train_contrastive_net_local(pairs: DataFrame, encoder: list[dict], projection: list[dict], epochs: int = 10,
                                 lr: float = 3e-4, temperature: float = 0.1, enc_dropout: float = 0.1, seed: int = 0):
     """TR1 on the reference layouts (encoder: [Dense relu, BN, Dropout] x 2 +
@@ -774,16 +655,6 @@ def train_contrastive_net_local(pairs: DataFrame, encoder: list[dict], projectio
     return encoder, projection, hist
 
 
-def _pair_pass(pairs, params, step, n_params):
-    bc = pairs.sparkSession.sparkContext.broadcast(params)
-
-    def run_group(pdf):
-        return _emit(*step(pdf, bc.value))
-
-    parts = pairs.select("batch_id", "pos", "v1", "v2").groupBy("batch_id").applyInPandas(run_group, SCHEMA)
-    return _reduce(parts, n_params)
-
-
 def capture_gradients(df: DataFrame, x: str, y: str, layers, batch: str = "batch_id",
                       weight: str | None = None) -> DataFrame:
     """TR5: one flattened loss gradient per ``batch`` group (bounded by the

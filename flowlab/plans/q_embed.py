@@ -77,6 +77,21 @@ def q_simclr_pairs(spark, sf_dir):
     return rounded(AU.simclr_views(e, "embedding", "vec_id").select("vec_id", "view1", "view2"))
 
 
+@register("fixmatch_views", f"SELECT vec_id, {_r6_list(_sql_noise('embedding', 0.02, 'w'))} AS view_weak, "
+                            f"{_r6_list(_sql_strong('embedding', 's'))} AS view_strong FROM embeddings")
+def q_fixmatch_views(spark, sf_dir):
+    e = emb(spark, sf_dir)
+    return rounded(AU.fixmatch_views(e, "embedding", "vec_id").select("vec_id", "view_weak", "view_strong"))
+
+
+@register("l2_normalize", """SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN norm = 0 THEN 0.0 ELSE x / norm END, 6)) AS unit
+FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
+      FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""")
+def q_l2_normalize(spark, sf_dir):
+    e = emb(spark, sf_dir)
+    return rounded(e.select("vec_id", A.l2_normalize(F.col("embedding")).alias("unit")))
+
+
 @register("mixup")
 def q_mixup(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("y"),

@@ -68,7 +68,7 @@ def path_exists(spark: SparkSession, path: str, file_only: bool = True) -> bool:
 def validate_label_column(df: DataFrame, label_col: str | None) -> None:
     """IO7: schema-only check, the error lists the columns."""
     if label_col is not None and label_col not in df.columns:
-        raise ValueError(f"Label column '{label_col}' not found in dataset. Columns available: {df.columns}")
+        raise ValueError(f"label column {label_col!r} not found among {df.columns}")
 
 
 def clean_header(names: list[str]) -> list[str]:
@@ -86,10 +86,20 @@ def clean_header(names: list[str]) -> list[str]:
 
 
 def _raw_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return []
-    return next(iter(csv.reader([first[0][0]])))
+    """Cells of the first line, read through the file system (any store that
+    Spark reads, compressed or not) without a Spark job per file."""
+    p, fs = _hadoop_fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        first = spark.read.text(path).limit(1).collect()
+        line = first[0][0] if first else None
+    else:
+        jvm = spark._jvm
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(fs.getConf()).getCodec(p)
+        stream = codec.createInputStream(fs.open(p)) if codec else fs.open(p)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+    return next(iter(csv.reader([line]))) if line else []
 
 
 def read_headered_csv(spark: SparkSession, path: str, label_col: str | None = None, typed: bool = True) -> DataFrame:
@@ -119,7 +129,7 @@ def resolve_kdd_path(spark: SparkSession, base: str, split: str) -> str:
         if path_exists(spark, c):
             return c
     expected = "\n  - ".join(cands)
-    raise FileNotFoundError(f"Could not find the KDD Cup 99 {split} file. Checked:\n  - {expected}")
+    raise FileNotFoundError(f"no KDD Cup 99 {split} capture; looked at:\n  - {expected}")
 
 
 def read_kdd(spark: SparkSession, path: str, null_label: str = "reject") -> DataFrame:
@@ -138,7 +148,7 @@ def find_csv_files(spark: SparkSession, base: str) -> list[str]:
     """IO5: a single .csv file, else every *.csv below ``base`` (sorted)."""
     p, fs = _hadoop_fs(spark, base)
     if not fs.exists(p):
-        raise FileNotFoundError(f"CICIDS2017 path not found: {base}")
+        raise FileNotFoundError(f"no such capture folder or file: {base}")
     st = fs.getFileStatus(p)
     if st.isFile():
         return [str(st.getPath().toUri().getPath())] if base.lower().endswith(".csv") else []
@@ -150,7 +160,7 @@ def find_csv_files(spark: SparkSession, base: str) -> list[str]:
         if f.isFile() and name.lower().endswith(".csv"):
             out.append(name)
     if not out:
-        raise FileNotFoundError(f"No CICIDS2017 CSV files found under: {base}")
+        raise FileNotFoundError(f"the capture folder holds no .csv file: {base}")
     return sorted(out)
 
 
@@ -166,7 +176,7 @@ def read_cic(spark: SparkSession, base: str, split: str | None = None, test_size
     frames = []
     for header, paths in groups.items():
         if "Label" not in header:
-            raise ValueError(f"CICIDS2017 label column not found in {paths[0]}")
+            raise ValueError(f"capture without a Label column: {paths[0]}")
         frames.append(_read_group(spark, paths, list(header)))
     df = L.handle_null_labels(SP.append_frames(frames), "Label", null_label)
     kinds = {r["column"]: r["kind"] for r in FT.infer_column_kinds(df.drop("Label", "source_file")).collect()}
@@ -177,7 +187,7 @@ def read_cic(spark: SparkSession, base: str, split: str | None = None, test_size
     if split is None:
         return df
     if split not in ("train", "test"):
-        raise ValueError("split must be either 'train' or 'test'")
+        raise ValueError("split is one of 'train', 'test'")
     keys = key_cols or ["_row_key"]
     if not key_cols:
         # content key: identical rows are interchangeable for the split
@@ -205,13 +215,13 @@ def load_dataset(spark: SparkSession, dataset: str, split: str, base: str, label
     """IO6: name dispatch (aliases kddcup99/kdd99, cicids2017/cic2017)."""
     key = normalise_dataset_name(dataset)
     if split not in {"train", "test"}:
-        raise ValueError("split must be either 'train' or 'test'")
+        raise ValueError("split is one of 'train', 'test'")
     if key in {"kddcup99", "kdd99"}:
         df = read_kdd(spark, resolve_kdd_path(spark, base, split))
     elif key in {"cicids2017", "cic2017"}:
         df = read_cic(spark, base, split, test_size, seed)
     else:
-        raise ValueError(f"Unsupported dataset '{dataset}'. Supported datasets: cicids2017, kddcup99.")
+        raise ValueError(f"unknown dataset {dataset!r}; known are cicids2017 and kddcup99")
     validate_label_column(df, label_col)
     return df
 

@@ -114,13 +114,15 @@ def test_local_sgd_head_learns_and_respects_projection(spark):
     assert np.allclose(basis.T @ (TR.flatten(l2) - w0), 0, atol=1e-9)
 
 
-def test_contrastive_local_loss_decreases(spark):
+def test_contrastive_loss_decreases(spark):
+    from flowlab.operators import models as MO
     rng = np.random.default_rng(13)
     base = rng.normal(size=(256, 8))
     rows = [(i // 32, i % 32, (base[i] + 0.05 * rng.normal(size=8)).tolist(), (base[i] + 0.05 * rng.normal(size=8)).tolist())
             for i in range(256)]
     pairs = spark.createDataFrame(rows, "batch_id long, pos int, v1 array<double>, v2 array<double>")
-    _, _, hist = TR.train_contrastive_local(pairs, [8, 16, 8], [8, 8, 4], epochs=4, lr=3e-3)
+    _, _, hist = TR.train_contrastive_net_local(pairs, MO.flow_encoder(8, 16, 8, seed=1), MO.projection_head(8, 4, seed=2),
+                                                epochs=6, lr=3e-3, enc_dropout=0.0)
     assert hist[-1] < hist[0]
 
 
