@@ -16,8 +16,9 @@ from flowlab.operators import linalg as LA
 from flowlab.operators import train as TR
 from flowlab.operators.metrics import class_weights
 from flowlab.plans.bindings import flows
-from flowlab.plans.catalog import register
+from flowlab.plans.catalog import register, rounded
 from flowlab.session import ensure_checkpoint_dir
+from flowlab.sources.tables import table
 from flowlab.plans.q_embed import BENIGN_MAX_LABEL, _labeled, emb
 
 
@@ -166,3 +167,35 @@ def q_flow_train_evaluate(spark, sf_dir):
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flow_train_evaluate/{uuid.uuid4().hex}"
     train, test = PL.flow_tables(spark, sf_dir)
     return PL.run_pipeline(train, test, out, ssl_epochs=2, task_epochs=3)
+
+
+STEP = 0.5
+DIMS = 64
+
+
+@register("head_gradient_steps", f"""
+WITH e AS (SELECT embedding::DOUBLE[] AS v, CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM embeddings),
+c AS (SELECT COUNT(*)::DOUBLE AS n, sum(y) AS ones FROM e),
+r AS (SELECT v, y, CASE WHEN y = 1 THEN n / (2 * ones) ELSE n / (2 * (n - ones)) END AS wt FROM e, c),
+g1 AS (SELECT j, -{STEP}::DOUBLE * sum(wt * (0.5::DOUBLE - y) * v[j + 1]) / sum(wt) AS w FROM r, range({DIMS}) d(j) GROUP BY j),
+b1 AS (SELECT -{STEP}::DOUBLE * sum(wt * (0.5::DOUBLE - y)) / sum(wt) AS b FROM r),
+l1 AS (SELECT list(w ORDER BY j) AS ws FROM g1),
+z AS (SELECT v, y, wt, wt * (1 / (1 + exp(-(list_dot_product(v, ws) + b))) - y) AS d FROM r, l1, b1),
+g2 AS (SELECT j, sum(d * v[j + 1]) / sum(wt) AS g FROM z, range({DIMS}) d(j) GROUP BY j)
+SELECT j::INT AS element, round(w - {STEP}::DOUBLE * g, 6) AS weight FROM g1 JOIN g2 USING (j)""")
+def q_head_gradient_steps(spark, sf_dir):
+    """Two class-weighted gradient steps of the linear head over all rows."""
+    from flowlab.operators import rounds as RO
+    e = table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("y"))
+    weights, _, _ = RO.head_steps(e, "embedding", "y", DIMS, steps=2, lr=STEP)
+    return rounded(spark.createDataFrame(list(enumerate(weights)), "element int, weight double"))
+
+
+@register("train_head_rounds")
+def q_train_head_rounds(spark, sf_dir):
+    """Pseudo-label rounds with a ``pyspark.ml`` head: every tenth row is
+    labelled; the scores of all rows."""
+    from flowlab.operators import rounds as RO
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("y"))
+    model, _ = RO.train_head_rounds(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "embedding", "y", "vec_id")
+    return rounded(RO.apply_head(e, model, "embedding").select("vec_id", "y", "p_attack"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowlab.operators import train as TR
@@ -199,3 +200,25 @@ def test_history_frame_from_local_rounds(spark):
     assert h[0]["loss_s"] > 0 and h[0]["loss_u"] is not None
     assert np.isnan(h[0]["loss_u"]) and not np.isnan(h[2]["loss_u"])   # no consistency loss during warm-up
     assert 0.0 <= h[2]["mask_rate"] <= 1.0
+
+
+def test_head_rounds_and_steps(spark):
+    from flowlab.operators import rounds as RO
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre * (1 if i % 3 == 0 else -1) + rng.normal(size=8)).tolist(), int(i % 3 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    weights, bias, losses = RO.head_steps(df, "v", "y", 8, steps=6)
+    assert losses[0] == pytest.approx(np.log(2)) and all(b < a for a, b in zip(losses, losses[1:]))
+    # the same steps in NumPy
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    wt = np.where(y == 1, 600 / (2 * y.sum()), 600 / (2 * (600 - y.sum())))
+    w, b = np.zeros(8), 0.0
+    for _ in range(6):
+        d = wt * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.5 * (x.T @ d) / wt.sum(), b - 0.5 * d.sum() / wt.sum()
+    assert np.allclose(weights, w) and bias == pytest.approx(b)
+    model, history = RO.train_head_rounds(df.where("id < 60"), df.where("id >= 60"), "v", "y", "id")
+    assert [h["round"] for h in history] == [0, 1, 2] and all(0 < h["mask_rate"] <= 1 for h in history)
+    scored = RO.apply_head(df, model, "v").selectExpr("avg(cast((p_attack >= 0.5) = (y = 1) as int))").first()[0]
+    assert scored >= 0.97
