@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 1000        # whole texts that a Python worker holds at once
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside, so
+    the memory of texts in flight stays small on both sides; the session's own
+    setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut_texts(df: DataFrame) -> DataFrame:
+    """``cut`` for a frame that sends whole texts, or sets of that size, through Python."""
+    with small_batches(df.sparkSession):
+        return cut(df)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII texts (bytes = characters) take the
     byte-wise ``lower``; others go through ``translate``, which leaves

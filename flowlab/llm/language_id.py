@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import utf8
+from flowlab.llm.common import cut_texts, small_batches, stay, utf8
 
 BUCKETS = 1 << 14
 CHUNK = 1 << 20            # bytes of one text that are looked at together
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n"))
     # at most BUCKETS rows a language
-    table = counts.toPandas()
+    with small_batches(docs.sparkSession):
+        table = counts.toPandas()
     languages = sorted(table["lang"].unique())
     freq = np.zeros((max(len(languages), 1), BUCKETS))
     index = {x: i for i, x in enumerate(languages)}
@@ -172,7 +173,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if languages:
         sums = [F.sum(F.col("hits")[b]).alias(f"h{b}") for b in range(code.shape[1])]
         right = rows.mapInArrow(check, "lang string, seen bigint, hits array<bigint>").groupBy("lang").agg(
-            F.sum("seen").alias("seen"), *sums).toPandas()              # one row a language
+            F.sum("seen").alias("seen"), *sums)
+        with small_batches(docs.sparkSession):
+            right = right.toPandas()                                    # one row a language
         trust = np.full(code.shape, 1.0)
         for _, r in right.iterrows():
             trust[index[r["lang"]]] = [(r[f"h{b}"] + 1) / (r["seen"] + 2) for b in range(code.shape[1])]
@@ -212,8 +215,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language can be told: neither ``und`` nor ambiguous."""
+    """The rows of ``docs`` whose language can be told: neither ``und`` nor
+    ambiguous.  Where ids are unique the few rejected ids are taken out, so
+    texts need not come back from Python; where they repeat, every row is
+    judged and passed on by itself."""
     model = fit(docs, id_col, text_col, lang_col)
+    told = (F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")
+    found = cut_texts(predict(docs, model, id_col, text_col).select(id_col, told.alias("kept")))
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return stay(docs, found, id_col)
     found = predict(docs, model, id_col, text_col, keep=docs.columns)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(told).select(*[F.col(f"`{c}`") for c in docs.columns])

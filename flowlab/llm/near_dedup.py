@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, stay, utf8
+from flowlab.llm.common import cut, cut_texts, stay, utf8
 from flowlab.llm.components import connected_components
 
 SHINGLE = 5
@@ -291,7 +291,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are their own component.  Of repeated rows (same id) every row is
     returned, ``kept`` marks those whose id is the component's.  ``trace``
     receives the sizes of the steps (each count is one more job)."""
-    rows = cut(signatures(docs, id_col, text_col))
+    rows = cut_texts(signatures(docs, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"),
                                                          F.first("sig").alias("sig"))
                   .withColumn("node", F.monotonically_increasing_id()))
@@ -299,11 +299,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(banded.join(shared.select("key"), "key"))
     label = cut(members.select("node").distinct().withColumn("label", F.col("node")))
-    sets = cut(shingle_sets(docs, classes.select("node", "id", "key").join(label.select("node"), "node"),
+    sets = cut_texts(shingle_sets(docs, classes.select("node", "id", "key").join(label.select("node"), "node"),
                             id_col, text_col).dropDuplicates(["node"]))
     sigs = classes.select("node", "sig")
     for part in (members.where(F.col("band") < FIRST), members):
-        found = cut(links(part.select("key", "node").join(label, "node"), sigs, sets))
+        found = cut_texts(links(part.select("key", "node").join(label, "node"), sigs, sets))
         if trace is not None:
             trace[f"links{len(trace)}"] = found.count()
         if not found.isEmpty():

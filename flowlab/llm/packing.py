@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut
+from flowlab.llm.common import cut_texts
 
 CAPACITY = 1024
 EOS = 2
@@ -42,17 +42,27 @@ class Encoder:
     through ``ranks``, the same vocabulary for a faster encoder; texts with
     other characters or a special token's string go through tokenizers."""
 
-    def __init__(self, vocab: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-        self.full = Tokenizer.from_file(vocab)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.quick = None
+    def __init__(self, vocab: str, special: list[str], ranks: str | None, pattern: str | None):
+        self.vocab, self.special = vocab, special
+        self._full = self.quick = None
         if ranks:
             import tiktoken
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @staticmethod
+    def special_tokens(vocab: str) -> list[str]:
+        from tokenizers import Tokenizer
+        return [t.content for t in Tokenizer.from_file(vocab).get_added_tokens_decoder().values()]
+
+    @property
+    def full(self):
+        if self._full is None:
+            from tokenizers import Tokenizer
+            self._full = Tokenizer.from_file(self.vocab)
+        return self._full
+
     def ids(self, text: str) -> np.ndarray:
         if self.quick is not None and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return np.array(self.quick.encode_ordinary(text), "<u4")
@@ -66,8 +76,10 @@ def token_pieces(docs: DataFrame, vocab: str, ranks: str | None = None, pattern:
     of the pieces of every row: the ids of its text and then ``eos``.  A
     document longer than ``capacity`` is cut from its end, so only the first
     piece may be shorter.  Null text counts as empty (one piece, ``eos``)."""
+    special = Encoder.special_tokens(vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab, ranks, pattern)
+        encoder = Encoder(vocab, special, ranks, pattern)
         for batch in batches:
             at, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -298,4 +310,4 @@ def packed_documents(docs: DataFrame, vocab: str, ranks: str | None = None, patt
     checkpointed."""
     pieces = token_pieces(docs, vocab, ranks, pattern, id_col, text_col, capacity, eos)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
-    return pack(cut(pieces if with_ids else pieces.drop("ids")), capacity)
+    return pack(cut_texts(pieces if with_ids else pieces.drop("ids")), capacity)

@@ -195,3 +195,16 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     first = steps["packing"].where("piece = 0").groupBy("doc_id").count()
     assert {r["doc_id"]: r["count"] for r in first.collect()} == {d: c for d, c in plan.items() if c}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == steps["packing"].count()
+
+
+def test_rejected_languages(spark, odd, rows):
+    """Rows are judged one by one where ids repeat; a rejected id goes where they don't."""
+    kept = language_id.accepted(odd)
+    assert kept.columns == odd.columns
+    letters = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    assert Counter(r["doc_id"] for r in kept.collect()) <= Counter(r[0] for r in letters)
+    unique = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(
+        ["der die das und nicht " * 9, "the and of to in that " * 9] * 20 + ["123", None])], "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"] for r in language_id.accepted(unique).collect()} == set(range(40))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
