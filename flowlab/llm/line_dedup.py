@@ -1,7 +1,7 @@
 """Line de-duplication by overlapping windows of three lines (DataFrame
 operators only).
 
-Lines are hashed (128 bits, white space at their ends ignored, blank lines
+Lines are hashed (128 bits, blanks at their ends ignored, empty lines
 passed over) and every three consecutive ones form a window.  A window found
 more than once in the whole table keeps its first occurrence, in the order of
 (id, text, line); the lines that later occurrences cover are merged and
