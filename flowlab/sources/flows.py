@@ -126,7 +126,8 @@ def resolve_kdd_path(spark: SparkSession, base: str, split: str) -> str:
         return base
     cands = [f"{base.rstrip('/')}/{c}" for c in KDD_CANDIDATES[split]]
     for c in cands:
-        if path_exists(spark, c):
+        # a file, or a folder of part files that a Spark job finished writing
+        if path_exists(spark, c) or path_exists(spark, f"{c}/_SUCCESS"):
             return c
     expected = "\n  - ".join(cands)
     raise FileNotFoundError(f"no KDD Cup 99 {split} capture; looked at:\n  - {expected}")
