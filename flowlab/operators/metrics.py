@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators.prefix import global_rank, running_totals
+from flowlab.operators.prefix import running_totals
 
 EPS_F1 = 1e-8
 
@@ -154,14 +154,20 @@ def score_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def curve_points(df: DataFrame, y: str = "y", p: str = "p", n_buckets: int | None = None) -> DataFrame:
     """Per distinct score s: pos/neg at s, tps/fps = counts with score >= s,
-    total positives P and negatives N (as columns), precision, recall, fpr."""
-    st = score_table(df, y, p)
+    total positives P and negatives N (as columns), precision, recall, fpr,
+    and the pos/neg of the next lower score (null at the lowest)."""
+    return points_of(score_table(df, y, p), n_buckets)
+
+
+def points_of(st: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """``curve_points`` of a table of distinct scores."""
     tot: dict = {}
-    cum = running_totals(st, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets, grand_totals=tot)
+    cum = running_totals(st, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets, grand_totals=tot,
+                         next_cols=["pos", "neg"])
     P, N = int(tot.get("pos") or 0), int(tot.get("neg") or 0)
     tps, fps = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
-        "score", "pos", "neg", tps.alias("tps"), fps.alias("fps"),
+        "score", "pos", "neg", "next_pos", "next_neg", tps.alias("tps"), fps.alias("fps"),
         F.lit(P).cast("long").alias("n_pos"), F.lit(N).cast("long").alias("n_neg"),
         (tps / (tps + fps)).alias("precision"),
         (F.lit(1.0) if P == 0 else tps / F.lit(float(P))).alias("recall"),
@@ -171,7 +177,10 @@ def curve_points(df: DataFrame, y: str = "y", p: str = "p", n_buckets: int | Non
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AG9: Mann-Whitney AUC, ties count one half; null for one class."""
-    cp = curve_points(df, y, p)
+    return roc_auc_of(curve_points(df, y, p))
+
+
+def roc_auc_of(cp: DataFrame) -> DataFrame:
     num = F.sum(F.col("pos") * (F.col("n_neg") - F.col("fps") + 0.5 * F.col("neg")))
     den = F.first("n_pos") * F.first("n_neg")
     return cp.agg(F.when(den > 0, num / den).alias("roc_auc"))
@@ -179,7 +188,10 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AG10: sum over thresholds of (recall step) x precision."""
-    cp = curve_points(df, y, p)
+    return average_precision_of(curve_points(df, y, p))
+
+
+def average_precision_of(cp: DataFrame) -> DataFrame:
     return cp.agg(F.when(F.first("n_pos") > 0, F.sum(F.col("pos") * F.col("precision")) / F.first("n_pos"))
                   .alias("avg_precision"))
 
@@ -188,30 +200,31 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", drop_intermediate: bool
     """AG11: (threshold, fpr, tpr) at every distinct score plus the (0, 0)
     anchor (threshold null).  ``drop_intermediate`` keeps only the first,
     the last and the corner points (non-zero second difference of fps or
-    tps), as the reference's default; neighbours come from equi-joins on a
-    global rank (unique keys), not from a single-partition window."""
-    cp = curve_points(df, y, p)
+    tps), as the reference's default.  The step into a point is its own
+    pos/neg, the step out of it is the next score's."""
+    return roc_curve_of(curve_points(df, y, p), drop_intermediate)
+
+
+def roc_curve_of(cp: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     if drop_intermediate:
-        r = global_rank(cp.select("score", "tps", "fps", "n_pos", "n_neg", "fpr"), "score", out_col="_r")
-        nb = r.select("_r", "tps", "fps")
-        prev = nb.select((F.col("_r") + 1).alias("_r"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
-        nxt = nb.select((F.col("_r") - 1).alias("_r"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))
-        j = r.join(prev, "_r", "left").join(nxt, "_r", "left")
-        corner = ((F.col("_fp0") - 2 * F.col("fps") + F.col("_fp2")) != 0) | \
-                 ((F.col("_tp0") - 2 * F.col("tps") + F.col("_tp2")) != 0)
-        cp = j.where(F.col("_tp0").isNull() | F.col("_tp2").isNull() | corner)
+        first = F.col("tps") + F.col("fps") == F.col("pos") + F.col("neg")
+        cp = cp.where(first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos"))
+                      | (F.col("next_neg") != F.col("neg")))
     pts = cp.select(F.col("score").alias("threshold"), F.col("fpr"),
                     F.when(F.col("n_pos") > 0, F.col("tps") / F.col("n_pos")).alias("tpr"))
-    anchor = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    anchor = cp.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(anchor)
 
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AG12: (threshold, precision, recall) at every distinct score plus the
     final (precision 1, recall 0) point (threshold null)."""
-    cp = curve_points(df, y, p)
+    return pr_curve_of(curve_points(df, y, p))
+
+
+def pr_curve_of(cp: DataFrame) -> DataFrame:
     pts = cp.select(F.col("score").alias("threshold"), "precision", "recall")
-    anchor = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
+    anchor = cp.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
     return pts.unionByName(anchor)
 
 
@@ -225,7 +238,10 @@ def _first_max(df: DataFrame, value: str, cols: list[str]) -> DataFrame:
 def best_f1_threshold(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """AG13: threshold maximising 2PR/(P+R+1e-8) over all distinct scores
     (predict positive when score >= threshold)."""
-    cp = curve_points(df, y, p)
+    return best_f1_of(curve_points(df, y, p))
+
+
+def best_f1_of(cp: DataFrame) -> DataFrame:
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(EPS_F1))
     pts = cp.select(F.col("score").alias("threshold"), "precision", "recall", f1.alias("f1"),
                     "tps", "fps", "n_pos", "n_neg")
@@ -243,7 +259,11 @@ def recall90_threshold(df: DataFrame, y: str = "y", p: str = "p", target: float
 def eval_report(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """P0 slice: F1-optimal threshold and the operating point there
     (precision, recall, f1, accuracy, weighted recall / F1, per-class recall)."""
-    b = best_f1_threshold(df, y, p)
+    return eval_report_of(curve_points(df, y, p))
+
+
+def eval_report_of(cp: DataFrame) -> DataFrame:
+    b = best_f1_of(cp)
     tp, fp = F.col("tps"), F.col("fps")
     fn, tn = F.col("n_pos") - F.col("tps"), F.col("n_neg") - F.col("fps")
     m = binary_weighted(tp, fp, fn, tn)

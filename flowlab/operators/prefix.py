@@ -45,21 +45,29 @@ def with_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], *,
                    descending: bool = False, inclusive: bool = True,
                    prefix: str = "cum_", n_buckets: int | None = None,
-                   tiebreak: list[str] | None = None, grand_totals: dict | None = None) -> DataFrame:
+                   tiebreak: list[str] | None = None, grand_totals: dict | None = None,
+                   next_cols: list[str] | None = None) -> DataFrame:
     """Append ``{prefix}{c}`` = sum of ``c`` over all rows ordered before the
     current row (and including it when ``inclusive``) by ``order_col``
     (then ``tiebreak``).  Exact; the only globally ordered data is the
     bucket-total table of at most ``n_buckets`` rows.  A ``grand_totals``
-    dict receives the column totals from the bucketing pass."""
+    dict receives the column totals from the bucketing pass.  ``next_cols``
+    (not-null columns, ``order_col`` unique) also adds ``next_{c}``, the value
+    in the row that follows: its own range holds it, or, for the last row of
+    a range, the table of ranges."""
     tiebreak = tiebreak or []
+    next_cols = next_cols or []
     b = with_buckets(df, order_col, n_buckets, totals=sum_cols if grand_totals is not None else None,
                      _out=grand_totals)
     bucket_order = F.col(_BKT).desc() if descending else F.col(_BKT).asc()
-    totals = b.groupBy(_BKT).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    first = F.max_by if descending else F.min_by
+    totals = b.groupBy(_BKT).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
+                                 *[first(F.col(c), F.col(order_col)).alias(f"_f_{c}") for c in next_cols])
     # at most n_buckets rows: a global window here is bounded work
     w_off = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _BKT, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
+        _BKT, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.lead(f"_f_{c}").over(Window.orderBy(bucket_order)).alias(f"_e_{c}") for c in next_cols]
     )
     keys: list[Column] = [F.col(order_col).desc() if descending else F.col(order_col).asc()]
     keys += [F.col(t).desc() if descending else F.col(t).asc() for t in tiebreak]
@@ -67,8 +75,10 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], *,
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     joined = b.join(F.broadcast(offsets), _BKT, "inner")
     cols = [F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w_in), F.lit(0)) for c in sum_cols]
+    following = Window.partitionBy(_BKT).orderBy(*keys)
     out = joined.select(*[F.col(c) for c in df.columns],
-                        *[v.alias(f"{prefix}{c}") for v, c in zip(cols, sum_cols)])
+                        *[v.alias(f"{prefix}{c}") for v, c in zip(cols, sum_cols)],
+                        *[F.coalesce(F.lead(c).over(following), F.col(f"_e_{c}")).alias(f"next_{c}") for c in next_cols])
     return out
 
 

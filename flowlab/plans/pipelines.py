@@ -27,33 +27,52 @@ from flowlab.operators import metrics as M
 from flowlab.operators import models as MO
 from flowlab.operators import split as SP
 from flowlab.operators import train as TR
+from flowlab.session import ensure_checkpoint_dir
 from flowlab.sources import flows as SRC
 from flowlab.sources import state as STATE
 
 TASKS = ["intrusion", "dos", "port_scan"]
 
 
-def evaluate_head(scored: DataFrame, y: str = "y", logits: str = "logits", calib: DataFrame | None = None) -> DataFrame:
-    """MO7: default (argmax) metrics, temperature fit (on ``calib``, the
-    evaluation rows themselves when not given), AUCs, F1-optimal threshold
-    and the operating point there, as ``(metric, class, value)`` rows."""
+def evaluation_tables(scored: DataFrame, y: str = "y", logits: str = "logits",
+                      calib: DataFrame | None = None) -> dict[str, DataFrame]:
+    """MO7 and the tables behind its plots: ``metrics`` (metric, class, value)
+    with default (argmax) metrics, the temperature (fitted on ``calib``, the
+    evaluation rows themselves when not given), AUCs and the F1-optimal
+    operating point; ``confusion``, ``roc_curve``, ``pr_curve`` and ``sweep``.
+
+    The rows are scored once, into a checkpoint; all curve tables come from
+    one checkpointed table of distinct scores.  A table of one class has no
+    AUC, operating point or curves beyond their anchors."""
     spark = scored.sparkSession
-    s = scored.select(F.col(y).cast("int").alias("y"), F.col(logits).alias("logits"))
-    probs = A.softmax(F.col("logits"))
-    pred = s.select("y", A.argmax(probs).alias("pred"))
-    base = M.prf_table(M.confusion(pred, "y", "pred"))
+    ensure_checkpoint_dir(spark)
+    s = scored.select(F.col(y).cast("int").alias("y"), F.col(logits).alias("logits")).checkpoint()
+    pred = s.select("y", A.argmax(A.softmax(F.col("logits"))).alias("pred"))
+    confusion = M.confusion(pred, "y", "pred").checkpoint()
     t = CA.fit_temperature(calib.select(F.col(y).cast("int").alias("y"), F.col(logits).alias("logits"))
                            if calib is not None else s, "logits", "y")
     cal = s.select("y", CA.calibrated_probs(F.col("logits"), t)[1].alias("p"))
+    points = M.points_of(M.score_table(cal).checkpoint()).checkpoint()
+    seen = points.select("n_pos", "n_neg").first()
     extra = [("temperature", None, float(t))]
-    if cal.select("y").distinct().count() == 2:
-        extra.append(("roc_auc", None, float(M.roc_auc(cal).first()[0])))
-        extra.append(("pr_auc", None, float(M.average_precision(cal).first()[0])))
-        op = M.eval_report(cal).first()
+    if seen and seen["n_pos"] and seen["n_neg"]:
+        extra.append(("roc_auc", None, float(M.roc_auc_of(points).first()[0])))
+        extra.append(("pr_auc", None, float(M.average_precision_of(points).first()[0])))
+        op = M.eval_report_of(points).first()
         for k in ("threshold", "precision", "recall", "f1", "accuracy", "recall_weighted", "f1_weighted"):
             extra.append((f"optimal_{k}", None, float(op[k])))
     ext = spark.createDataFrame(extra, "metric string, class int, value double")
-    return base.unionByName(ext)
+    return {"metrics": M.prf_table(confusion).unionByName(ext), "confusion": confusion,
+            "roc_curve": M.roc_curve_of(points, drop_intermediate=True), "pr_curve": M.pr_curve_of(points),
+            "sweep": M.threshold_sweep(cal)}
+
+
+def evaluate_head(scored: DataFrame, y: str = "y", logits: str = "logits", calib: DataFrame | None = None) -> DataFrame:
+    """MO7: the metric rows of :func:`evaluation_tables`."""
+    return evaluation_tables(scored, y, logits, calib)["metrics"]
+
+
+REPORT_TABLES = ["confusion", "roc_curve", "pr_curve", "sweep"]
 
 
 def _with_task_label(df: DataFrame, task: str) -> DataFrame:
@@ -120,7 +139,10 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
             STATE.save_basis(spark, f"{out_dir}/bases", i, task, basis)
             bases = STATE.basis_matrices(STATE.load_bases(spark, f"{out_dir}/bases"))
         ev = MO.apply_nets(_with_task_label(z_te, task).select("y", "z"), "z", {"logits": head}, ["y"])
-        m = evaluate_head(ev).withColumn("task", F.lit(task))
+        report = evaluation_tables(ev)
+        for name in REPORT_TABLES:
+            STATE.write_report(report[name], f"{out_dir}/{name}/task={task}")
+        m = report["metrics"].withColumn("task", F.lit(task))
         metrics.append(m)
         params.append(MO.params_table(spark, f"head_{task}", head))
         got = {r["metric"]: r["value"] for r in m.where("class IS NULL").select("metric", "value").collect()}
@@ -129,6 +151,11 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
     for m in metrics[1:]:
         out = out.unionByName(m)
     STATE.write_report(out, f"{out_dir}/metrics", ["task"])
+    # a trained head and its encoder are not touched again: its F1 holds at every later stage
+    held = spark.createDataFrame([(t, i, s) for i, t in enumerate(tasks) for s in range(i, len(tasks))],
+                                 "task string, task_ord int, stage int")
+    f1 = spark.read.json(f"{out_dir}/metrics").where("metric = 'f1_weighted'").select("task", F.col("value").alias("f1"))
+    STATE.write_report(M.forgetting_matrix(held.join(F.broadcast(f1), "task")), f"{out_dir}/forgetting")
     allp = params[0]
     for p in params[1:]:
         allp = allp.unionByName(p)
@@ -195,10 +222,10 @@ def run_sequence(spark: SparkSession, jobs: list[tuple[str, str]], out_dir: str,
 
 
 def report_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    """PL4: the tables behind the plots (history, metrics, bases)."""
-    return {"history": spark.read.parquet(f"{out_dir}/history"),
-            "metrics": spark.read.json(f"{out_dir}/metrics"),
-            "bases": spark.read.parquet(f"{out_dir}/bases")}
+    """PL4: the tables behind the plots (history, metrics, bases, and per task
+    the curves, the threshold sweep and the confusion matrix; task x stage F1)."""
+    out = {"history": spark.read.parquet(f"{out_dir}/history"), "bases": spark.read.parquet(f"{out_dir}/bases")}
+    return out | {name: spark.read.json(f"{out_dir}/{name}") for name in ["metrics", "forgetting", *REPORT_TABLES]}
 
 
 def synthetic_benchmark(spark: SparkSession, out_dir: str, n_train: int = 20000, n_test: int = 10000,

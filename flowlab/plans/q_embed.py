@@ -4,6 +4,7 @@ gradient memory (LA0-2, AG23-25) and alert routing (AL1-4, IO13)."""
 
 from __future__ import annotations
 
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from flowlab.operators import losses as LO
 from flowlab.operators import models as MO
 from flowlab.plans.bindings import scored_documents
 from flowlab.plans.catalog import register, rounded
-from flowlab.plans.q_eval import SCORED_DOCS, dlit
+from flowlab.plans.q_eval import BEST_F1, CURVE, SCORED_DOCS, _binary_metric_cols, _div0, dlit
 from flowlab.sources.tables import table
 
 DIM = 64
@@ -133,7 +134,7 @@ def q_temperature_grid(spark, sf_dir):
     return rounded(CA.nll_grid(_doc_logits(spark, sf_dir), "logits", "y", TEMPS, n_classes=2))
 
 
-def _temp_fit_sql(passes: int = 4, n: int = 64) -> str:
+def _temp_fit_ctes(passes: int = 4, n: int = 64) -> str:
     """The bracket-refinement fit unrolled: each pass is a CTE that scores
     its candidates over all rows and brackets the argmin for the next."""
     p0, p1 = _sql_softmax2("logit", "c.T")
@@ -148,16 +149,76 @@ def _temp_fit_sql(passes: int = 4, n: int = 64) -> str:
         ctes.append(f"""a{k} AS (SELECT j, T FROM n{k} ORDER BY nll, T LIMIT 1)""")
         ctes.append(f"""b{k + 1} AS (SELECT (SELECT T FROM c{k} WHERE j = greatest(a.j - 1, 0)) AS lo,
       (SELECT T FROM c{k} WHERE j = least(a.j + 1, {m - 1})) AS hi FROM a{k} a)""")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT round(T, 6) AS temperature FROM a{passes - 1}"
+    ctes.append(f"fitted AS (SELECT T FROM a{passes - 1})")
+    return "WITH " + ",\n".join(ctes)
 
 
-@register("temperature_fit", _temp_fit_sql())
+@register("temperature_fit", _temp_fit_ctes() + "\nSELECT round(T, 6) AS temperature FROM fitted")
 def q_temperature_fit(spark, sf_dir):
     d = _doc_logits(spark, sf_dir)
     t = CA.fit_temperature(d, "logits", "y", n_classes=2)
     return rounded(spark.createDataFrame([(t,)], "temperature double"))
 
 
+def _evaluation_ctes() -> str:
+    """Argmax and calibrated predictions of the scored documents, up to the
+    curve points and the F1-optimal row."""
+    _, p1 = _sql_softmax2("logit", "T")
+    return (_temp_fit_ctes() + f""",
+cal AS (SELECT y, CAST(logit > 0 AS INTEGER) AS yp, {p1} AS p FROM scored CROSS JOIN fitted)"""
+            + CURVE.replace("FROM scored", "FROM cal") + BEST_F1)
+
+
+def _metric_rows_sql() -> str:
+    m = _binary_metric_cols()
+    rows = [("temperature", "T", "fitted"), ("roc_auc", "auc", "area"), ("pr_auc", "ap", "area")]
+    rows += [(f"optimal_{k}", v, "op") for k, v in (
+        ("threshold", "score"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1"),
+        ("accuracy", m["accuracy"]), ("recall_weighted", m["recall_weighted"]), ("f1_weighted", m["f1_weighted"]))]
+    argmax = [("accuracy", "accuracy", "NULL"), ("precision_weighted", "precision_weighted", "NULL"),
+              ("recall_weighted", "recall_weighted", "NULL"), ("f1_weighted", "f1_weighted", "NULL")]
+    argmax += [(k, f"{k}_{c}", str(c)) for k in ("precision", "recall", "f1") for c in (0, 1)]
+    return _evaluation_ctes() + f""",
+area AS (SELECT SUM(CAST(pos AS DOUBLE) * (CAST(n_neg - fps AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(neg AS DOUBLE)))
+           / (CAST(MAX(n_pos) AS DOUBLE) * CAST(MAX(n_neg) AS DOUBLE)) AS auc,
+         SUM(CAST(pos AS DOUBLE) * precision) / CAST(MAX(n_pos) AS DOUBLE) AS ap FROM pts),
+op AS (SELECT score, precision, recall, f1, tps AS tp, fps AS fp, n_pos - tps AS fn, n_neg - fps AS tn,
+              n_pos AS n1, n_neg AS n0 FROM best),
+am AS (SELECT *, tp + fn AS n1, tn + fp AS n0 FROM (
+         SELECT CAST(SUM(y * yp) AS BIGINT) AS tp, CAST(SUM((1 - y) * yp) AS BIGINT) AS fp,
+                CAST(SUM(y * (1 - yp)) AS BIGINT) AS fn, CAST(SUM((1 - y) * (1 - yp)) AS BIGINT) AS tn FROM cal)),
+bm AS (SELECT {", ".join(f"{v} AS {k}" for k, v in m.items())},
+         {_div0("2 * tp", "2 * tp + fp + fn")} AS f1_1, {_div0("2 * tn", "2 * tn + fn + fp")} AS f1_0,
+         {_div0("tp", "tp + fp")} AS precision_1, {_div0("tn", "tn + fn")} AS precision_0 FROM am)
+""" + "\nUNION ALL ".join(
+        [f"SELECT '{k}' AS metric, CAST({c} AS INTEGER) AS class, round({v}, 6) AS value FROM bm" for k, v, c in argmax]
+        + [f"SELECT '{k}', CAST(NULL AS INTEGER), round({v}, 6) FROM {frm}" for k, v, frm in rows])
+
+
+@register("evaluate_head", _metric_rows_sql())
+def q_evaluate_head(spark, sf_dir):
+    """MO7: argmax metrics, temperature, areas and operating point, from rows scored once."""
+    from flowlab.plans.pipelines import evaluate_head
+    return rounded(evaluate_head(_doc_logits(spark, sf_dir)))
+
+
+@register("evaluation_curve", _evaluation_ctes() + """,
+nb AS (SELECT *, lag(tps) OVER w AS tp0, lead(pos) OVER w AS pos2, lead(neg) OVER w AS neg2 FROM pts
+       WINDOW w AS (ORDER BY score DESC))
+SELECT round(score, 6) AS threshold, round(fpr, 6) AS fpr, round(CAST(tps AS DOUBLE) / CAST(n_pos AS DOUBLE), 6) AS tpr
+FROM nb WHERE tp0 IS NULL OR pos2 IS NULL OR pos2 <> pos OR neg2 <> neg
+UNION ALL SELECT NULL, 0.0, 0.0""")
+def q_evaluation_curve(spark, sf_dir):
+    """PL4: the ROC table that an evaluation writes, read back from the report folder."""
+    from flowlab.plans.pipelines import evaluation_tables
+    from flowlab.session import ensure_checkpoint_dir
+    from flowlab.sources.state import write_report
+    path = f"{ensure_checkpoint_dir(spark)}/roc-{uuid.uuid4()}"
+    curve = evaluation_tables(_doc_logits(spark, sf_dir))["roc_curve"]
+    write_report(curve, path)
+    return rounded(spark.read.schema(curve.schema).json(path))
+
+
 _P0, _P1 = _sql_softmax2("logit", dlit(1.5))
 
 
