@@ -21,7 +21,7 @@ from flowlab.functions import arrays as A
 MAX_ROWS = 512        # fixed value: usual cap of a capture, for callers that want one
 MIN_NORM = 1e-12      # fixed value: rows at or below this norm are dropped
 ENERGY = 0.97         # fixed value: captured energy of the basis
-MAX_GRAM_ROWS = 2048  # N x N Gram matrices above this are refused (driver-side eigenproblem)
+MAX_GRAM_ROWS = 2048  # N x N Gram matrices above this stay distributed (_svd_wide)
 
 
 def valid_gradient(vec: Column) -> Column:
@@ -82,7 +82,8 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
 
     Returns ``(basis(component, block_id, vec), singular values kept)``.
     N <= D: eigen-decompose the N x N Gram on the driver, build U block by
-    block on executors, re-orthonormalise by Cholesky-QR (k x k).  An
+    block on executors, re-orthonormalise by Cholesky-QR (k x k).  More
+    rows than MAX_GRAM_ROWS go to Spark's own distributed decomposition.  An
     all-zero input gives an empty basis."""
     spark = df.sparkSession
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
@@ -90,7 +91,7 @@ def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, b
     if n_rows > dim > 0:
         return _svd_tall(df, vec, threshold, block)
     if n_rows > MAX_GRAM_ROWS:
-        raise ValueError(f"{n_rows} gradient rows: cap them first (filter_gradients keeps {MAX_ROWS})")
+        return _svd_wide(df, vec, n_rows, dim, threshold, block)
     blocks = to_blocks(df.select(row_id, vec), row_id, vec, block)
     # one row per i holding its N Gram entries (N <= MAX_GRAM_ROWS)
     g = gram(blocks, row_id, n_rows).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
@@ -166,6 +167,36 @@ def _svd_tall(df: DataFrame, vec: str, threshold: float, block: int) -> tuple[Da
     return spark.createDataFrame(rows, "component int, block_id int, vec array<double>"), s[:k]
 
 
+def _svd_wide(df: DataFrame, vec: str, n_rows: int, dim: int, threshold: float, block: int,
+              first: int = 16) -> tuple[DataFrame, np.ndarray]:
+    """Many rows of a still larger dimension: Spark's distributed SVD, which
+    multiplies the rows by one D-long vector per job and keeps k such vectors
+    on the driver.  k grows until the kept energy reaches ``threshold`` of
+    the squared norm of all rows, which one aggregate gives."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    spark = df.sparkSession
+    x = F.col(vec).cast("array<double>")
+    total = float(df.agg(F.sum(A.dot(x, x)).alias("e")).first()["e"] or 0.0)
+    empty = spark.createDataFrame([], "component int, block_id int, vec array<double>")
+    if total <= 0.0:
+        return empty, np.zeros(0)
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(x).alias("v")), "v").persist()
+    most, k = min(n_rows, dim - 1), first
+    while True:
+        found = RowMatrix(rows, n_rows, dim).computeSVD(min(k, most), computeU=False)
+        s = np.asarray(found.s.toArray())
+        if np.sum(s ** 2) >= threshold * total or len(s) < min(k, most) or k >= most:
+            break
+        k *= 4
+    rows.unpersist()
+    u = found.V.toArray()
+    keep = min(int(np.searchsorted(np.cumsum(s ** 2) / total, threshold)) + 1, len(s))
+    out = [(c, b, u[b * block:(b + 1) * block, c].tolist()) for c in range(keep) for b in range(math.ceil(dim / block))]
+    return spark.createDataFrame(out, empty.schema), s[:keep]
+
+
 def _component_gram(basis: DataFrame) -> np.ndarray:
     """U^T U for a blocked basis: per-block k x k partials summed by Spark."""
 

@@ -226,6 +226,25 @@ def test_pseudo_label_cuts(spark):
     assert got[0] == (0, 1.0) and got[1] == (0, 0.0) and got[2][0] == 1 and got[2][1] == 1.0
 
 
+def test_svd_basis_has_no_row_limit(spark, monkeypatch):
+    """Beyond MAX_GRAM_ROWS the distributed decomposition spans the same space."""
+    rng = np.random.default_rng(5)
+    g = rng.normal(size=(40, 5)) @ np.diag([9.0, 7.0, 5.0, 3.0, 1.0]) @ rng.normal(size=(5, 120))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(g)], "row_id long, vec array<double>")
+    monkeypatch.setattr(LA, "MAX_GRAM_ROWS", 8)
+    basis, s = LA.svd_basis(df, "row_id", "vec", block=50)
+    want_u, want_s, _ = np.linalg.svd(g.T, full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(want_s ** 2) / np.sum(want_s ** 2), LA.ENERGY)) + 1
+    assert np.allclose(s, want_s[:k], rtol=1e-6)
+    got = {}
+    for r in basis.collect():
+        got.setdefault(r["component"], {})[r["block_id"]] = r["vec"]
+    u = np.array([np.concatenate([got[c][b] for b in sorted(got[c])]) for c in sorted(got)])
+    assert np.allclose(np.abs(u @ want_u[:, :k]), np.eye(k), atol=1e-5)
+    zero = spark.createDataFrame([(i, [0.0] * 30) for i in range(10)], "row_id long, vec array<double>")
+    assert LA.svd_basis(zero, "row_id", "vec")[0].count() == 0
+
+
 def test_svd_basis_tall_matrix(spark):
     rng = np.random.default_rng(9)
     g = rng.normal(size=(40, 6)) @ np.diag([5, 4, 3, 0.1, 0.05, 0.01])
