@@ -123,3 +123,37 @@ def test_golden_confusion_matrices(spark, cm, acc, f1w):
            for r in M.prf_table(M.confusion(df, "y", "pred")).collect()}
     assert round(100 * prf[("accuracy", None)], 2) == acc
     assert round(100 * prf[("f1_weighted", None)], 2) == f1w
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_next_values_cross_the_ranges(spark, descending):
+    rng = np.random.default_rng(8)
+    keys = rng.permutation(200).astype(float)
+    df = spark.createDataFrame([(float(k), int(k) % 7) for k in keys], "k double, v int")
+    out = running_totals(df.repartition(5), "k", ["v"], n_buckets=16, descending=descending, next_cols=["v"]).collect()
+    line = sorted(out, key=lambda r: -r["k"] if descending else r["k"])
+    assert [r["next_v"] for r in line] == [r["v"] for r in line[1:]] + [None]
+
+
+def test_dropped_points_are_the_corners(spark):
+    rng = np.random.default_rng(4)
+    ys, ps = rng.integers(0, 2, 400), rng.integers(0, 60, 400) / 60
+    got = {r["threshold"] for r in M.roc_curve(_df(spark, ys, ps), drop_intermediate=True).collect()}
+    scores = sorted(set(ps), reverse=True)
+    step = [(sum((ps == s) & (ys == 1)), sum((ps == s) & (ys == 0))) for s in scores]
+    corner = {s for i, s in enumerate(scores) if i in (0, len(scores) - 1) or step[i] != step[i + 1]}
+    assert got == corner | {None}
+
+
+def test_evaluation_of_one_class_and_of_two(spark):
+    from flowlab.plans.pipelines import evaluation_tables
+    rng = np.random.default_rng(6)
+    ys, x = rng.integers(0, 2, 300), rng.normal(size=300).round(1)
+    rows = [(int(y), [0.0, float(v)]) for y, v in zip(ys, x)]
+    both = evaluation_tables(spark.createDataFrame(rows, "y int, logits array<double>"))
+    got = {(r["metric"], r["class"]): r["value"] for r in both["metrics"].collect()}
+    assert got["roc_auc", None] == pytest.approx(_auc_brute(ys, x))
+    assert got["accuracy", None] == pytest.approx(np.mean(ys == (x > 0)))
+    assert both["pr_curve"].count() == len(set(x)) + 1 and both["sweep"].count() == 50
+    one = evaluation_tables(spark.createDataFrame([(1, v) for _, v in rows], "y int, logits array<double>"))
+    assert "roc_auc" not in {r["metric"] for r in one["metrics"].collect()}

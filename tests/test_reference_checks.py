@@ -56,3 +56,13 @@ def test_synthetic_benchmark_end_to_end(spark):
     assert len(alerts) == 50
     assert {a["attack_type"] for a in alerts} <= {None, "intrusion", "dos", "port_scan", "zero-day / unknown"}
     assert all(0.0 <= a["anomaly_score"] <= 1.0 and a["ts"] is not None for a in alerts)
+    # the tables behind the plots
+    from flowlab.plans.pipelines import REPORT_TABLES, report_tables
+    tables = report_tables(spark, out)
+    assert set(tables) == {"history", "metrics", "bases", "forgetting", *REPORT_TABLES}
+    tasks = {"intrusion", "dos", "port_scan"}
+    assert all({r["task"] for r in tables[t].select("task").distinct().collect()} == tasks for t in REPORT_TABLES)
+    assert tables["sweep"].groupBy("task").count().where("count <> 50").count() == 0
+    assert {r["n"] for r in tables["confusion"].groupBy("task").agg(F.sum("n").alias("n")).collect()} == {200}
+    f1 = {r["task"]: r for r in tables["forgetting"].collect()}
+    assert f1["dos"]["0"] == 0.0 and all(abs(f1[t]["2"] - res["f1"][t]) < 1e-9 for t in tasks)

@@ -138,3 +138,13 @@ def test_unsw_style_pair_labels(spark):
     rows = df.select("Label", task_label(F.col("AttackCategory"), "dos").alias("dos"),
                      task_label(F.col("AttackCategory"), "port_scan").alias("scan")).collect()
     assert [(r["Label"], r["dos"], r["scan"]) for r in rows] == [("normal", 0, 0), ("attack", 1, 0), ("attack", 0, 1)]
+
+
+def test_capture_written_by_spark_is_found(spark, tmp_path):
+    """A folder of part files counts once the job that wrote it has finished."""
+    base = str(tmp_path)
+    spark.range(3).selectExpr("cast(id as string) as c").write.csv(f"{base}/kddcup.data")
+    assert S.resolve_kdd_path(spark, base, "train") == f"{base}/kddcup.data"
+    (tmp_path / "corrected").mkdir()
+    with pytest.raises(FileNotFoundError):
+        S.resolve_kdd_path(spark, base, "test")
