@@ -3,16 +3,18 @@
 Documents become token pieces of at most ``capacity`` ids.  Only the number of
 pieces of each length matters for the packing, so the search runs on a
 histogram of ``capacity`` counts: take the largest length that is left,
-enumerate the undominated fillings of the space beside it, apply one as often
-as the counts allow, and go on.  Branch and bound over the fillings prunes by
-waste; best-fit decreasing gives the first incumbent and the lower bounds end
-the search.  The result is a list of patterns with multiplicities; every piece
+enumerate the undominated fillings of the space beside it, apply one, as often
+as the counts allow or less often, and go on.  Branch and bound over fillings
+and multiplicities prunes by waste and by the lower bound of what is left;
+best-fit decreasing gives the first incumbent and the lower bounds end the
+search.  The result is a list of patterns with multiplicities; every piece
 then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from flowlab.llm.common import cut_texts
 
 CAPACITY = 1024
 EOS = 2
-CANDIDATES = 6           # fillings tried beside one largest length
-NODES = 400              # fillings the search applies, dives included
+NODES = 400              # patterns the search applies besides two a length, dives included
+STEPS = 1_000_000        # pieces the search lays while it enumerates fillings
 
 Pattern = tuple[tuple[int, ...], int]      # lengths of one sequence, how many of them
 
@@ -109,13 +111,12 @@ def lower_bound(counts: np.ndarray) -> int:
     """Martello and Toth's L2 bound on the number of sequences."""
     c = len(counts) - 1
     n, s = np.cumsum(counts), np.cumsum(counts * np.arange(c + 1))
-    best = -(-int(s[c]) // c)
-    for k in range(1, c // 2 + 1):
-        large, middle = int(n[c] - n[c - k]), int(n[c - k] - n[c // 2])
-        free = middle * c - int(s[c - k] - s[c // 2])
-        small = int(s[c // 2] - s[k - 1])
-        best = max(best, large + middle + max(0, -(-(small - free) // c)))
-    return best
+    k = np.arange(1, c // 2 + 1)
+    large, middle = n[c] - n[c - k], n[c - k] - n[c // 2]
+    free = middle * c - (s[c - k] - s[c // 2])
+    small = s[c // 2] - s[k - 1]
+    more = large + middle + np.maximum(0, -(-(small - free) // c))
+    return max(-(-int(s[c]) // c), int(more.max(initial=0)))
 
 
 def best_fit(counts: np.ndarray) -> list[Pattern]:
@@ -152,87 +153,169 @@ def apply(left: np.ndarray, fill: tuple[int, ...]) -> Pattern:
     return fill, times
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """True if the lengths of ``b`` fit into bins of the lengths of ``a``."""
-    def place(i: int, bins: tuple[int, ...]) -> bool:
-        if i == len(b):
-            return True
-        return any(place(i + 1, bins[:j] + (x - b[i],) + bins[j + 1:])
-                   for j, x in enumerate(bins) if x >= b[i] and x not in bins[:j])
-    return place(0, a)
+def bits(there: np.ndarray) -> int:
+    """The true places of ``there`` as bits of one integer."""
+    return int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
+
+def dominated(beside: tuple[int, ...], waste: int, others: int) -> bool:
+    """True if a length of ``others`` (bits) can stand in for some of the lengths
+    ``beside``: their sum fits into it, and it fits into their room and the waste."""
+    one, more = 0, 0                       # sums of one piece, and of several
+    for x in beside:
+        more |= (one | more) << x
+        one |= 1 << x
+    # an equal single piece is no change, every other sum up to ``waste`` below a length is one
+    larger = shifted(one | more | 1, waste) if waste else 0
+    return bool(others & (more | larger))
+
+
+def shifted(sums: int, waste: int) -> int:
+    """The sums plus 1 .. ``waste``."""
+    out, width = sums << 1, 1
+    while width < waste:
+        step = min(width, waste - width)
+        out |= out << step
+        width += step
+    return out
+
+
+class Spent(Exception):
+    """The search has used up its steps."""
 
 
-def fillings(left: np.ndarray, top: int) -> list[tuple[int, ...]]:
-    """Undominated fillings beside one piece of length ``top``, least waste
-    first, then the fewest pieces: exact ones of up to three further pieces,
-    and the best-fit one."""
+def fillings(left: np.ndarray, top: int, after: tuple | None = None, steps: list[int] | None = None
+             ) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings beside one piece of length ``top``, found one by
+    one: least waste first, then the fewest pieces, then the largest.  Those up
+    to ``after`` in this order are left out.  ``steps`` holds the number of
+    steps that may still be taken; Spent is raised when it runs out."""
     space = len(left) - 1 - top
     have = left.copy()
     have[top] -= 1
-    out: list[tuple[int, ...]] = []
-    if space > 0 and have[space] > 0:
-        out.append((top, space))                         # dominates every other filling
-        return out
-    there = np.flatnonzero(have[:space + 1] > 0)
-    there = there[there > 0][::-1]
-    for a in there[there * 2 >= space]:
-        b = space - int(a)
-        if b > 0 and have[b] > (a == b):
-            out.append((top, int(a), b))
-            if len(out) >= CANDIDATES:
-                break
-    if len(out) < CANDIDATES:
-        for a in there[:64]:
-            for b in there[(there <= a) & (there + a < space)][:64]:
-                c = space - int(a) - int(b)
-                if 0 < c <= b and have[c] > (c == b) + (c == a) and (a != b or have[a] > 1 + (c == a)):
-                    out.append((top, int(a), int(b), c))
-                    break
-            if len(out) >= CANDIDATES:
-                break
-    out.append(greedy(left, top))
-    keep: list[tuple[int, ...]] = []
-    for f in sorted(set(out), key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
-        if not any(dominates(k[1:], f[1:]) for k in keep):
-            keep.append(f)
-    return keep
+    have[0] = 0
+    there = np.flatnonzero(have[:space + 1] > 0).tolist()
+    all_bits = bits(have[:space + 1] > 0)
+    steps = [1 << 62] if steps is None else steps
+    reach = [1]                            # sums of k pieces, however often each is there
+    full = (1 << (space + 1)) - 1
+    low = there[0] if there else space + 1
+    used: dict[int, int] = {}
+
+    def take(n: int) -> None:
+        steps[0] -= n
+        if steps[0] < 0:
+            raise Spent
+
+    def parts(total: int, k: int, largest: int) -> Iterator[tuple[int, ...]]:
+        take(1)
+        if k == 0:
+            yield ()
+            return
+        hi = bisect.bisect_right(there, min(largest, total - (k - 1) * low))
+        for x in reversed(there[bisect.bisect_left(there, -(-total // k)):hi]):
+            for n in range(min(k, total // x, int(have[x])), 0, -1):
+                if reach[k - n] >> (total - n * x) & 1:
+                    used[x] = n
+                    for rest in parts(total - n * x, k - n, x - 1):
+                        yield (x,) * n + rest
+                    used[x] = 0
+
+    for total in range(space, -1, -1):
+        take(1 + total // low // 64)
+        if after is not None and total < after_total(after):
+            after = None
+        if after is not None and total > after_total(after):
+            continue
+        for k in range(0 if total == 0 else 1, (total // low if total else 0) + 1):
+            while len(reach) <= k:
+                take(1 + len(there) // 64)
+                sums = 0
+                for x in there:
+                    sums |= reach[-1] << x
+                reach.append(sums & full)
+            if not reach[k] >> total & 1 or after is not None and k < len(after) - 1:
+                continue
+            for beside in parts(total, k, space):
+                if after is not None and (k, tuple(-x for x in beside)) <= (len(after) - 1, tuple(-x for x in after[1:])):
+                    continue
+                others = all_bits
+                for x, n in used.items():
+                    if n >= have[x]:
+                        others &= ~(1 << x)
+                if not dominated(beside, space - total, others):
+                    yield (top, *beside)
+
+
+def after_total(filling: tuple[int, ...]) -> int:
+    return sum(filling[1:])
+
+
+def multiplicities(most: int) -> Iterator[int]:
+    """``most``, its halves, and then every other number down to 1."""
+    halves = []
+    n = most
+    while n:
+        halves.append(n)
+        n //= 2
+    yield from halves
+    yield from (n for n in range(most - 1, 0, -1) if n not in halves)
+
+
+def choices(left: np.ndarray, top: int, after: tuple | None, steps: list[int]) -> Iterator[Pattern]:
+    for fill in fillings(left, top, after, steps):
+        most = min(int(left[k]) // fill.count(k) for k in set(fill))
+        for times in multiplicities(most):
+            yield fill, times
 
 
 def solve(counts: np.ndarray) -> list[Pattern]:
     """Patterns with multiplicities that hold exactly the pieces of ``counts``
-    (index: length).  Ends at the lower bound or after NODES fillings."""
+    (index: length).  Depth first over filling and multiplicity; the fillings
+    beside equal lengths are taken in one order only.  Ends at the lower bound,
+    when nothing is left to try, or after NODES patterns or STEPS steps."""
     counts = np.asarray(counts, np.int64)
     c, bound = len(counts) - 1, lower_bound(counts)
-    total = int((counts * np.arange(c + 1)).sum())
+    lengths = np.arange(c + 1)
+    total = int((counts * lengths).sum())
     best = best_fit(counts)
     size = sum(t for _, t in best)
-    nodes = 0
-    # depth-first over the choice of filling; a frame is (counts, patterns so far, sequences, other fillings)
-    stack: list[tuple[np.ndarray, list[Pattern], int, list[tuple[int, ...]]]] = []
-    left, made, used = counts.copy(), [], 0
-    while size > bound:
-        waste = used * c - (total - int((left * np.arange(c + 1)).sum()))
-        if waste <= (size - 1) * c - total and left.any():
-            options = fillings(left, int(np.flatnonzero(left)[-1]))
-            if len(options) > 1:
-                stack.append((left.copy(), list(made), used, options[1:]))
-            made.append(apply(left, options[0]))
-            used += made[-1][1]
-            nodes += 1
-            if left.any():
+    nodes, steps = NODES + len(counts) * 2, [STEPS]
+    # a frame is (counts, free room of the sequences so far, sequences, patterns, what can follow)
+    stack = []
+
+    def enter(left: np.ndarray, waste: int, used: int, made: int, after: tuple | None) -> None:
+        top = int(np.flatnonzero(left)[-1])
+        after = after if after is not None and after[0] == top else None
+        stack.append((left, waste, used, made, choices(left, top, after, steps)))
+
+    made: list[Pattern] = []
+    if size > bound:
+        enter(counts.copy(), 0, 0, 0, None)
+    try:
+        while stack and size > bound and nodes > 0:
+            left, waste, used, depth, options = stack[-1]
+            slack = (size - 1) * c - total
+            fill, times = next(options, (None, 0))
+            if fill is None or waste + c - sum(fill) > slack:      # the later ones waste as much at least
+                stack.pop()
+                continue
+            now, spent = used + times, waste + times * (c - sum(fill))
+            if spent > slack:
                 continue
-        if not left.any() and used < size:
-            best, size = list(made), used
-        if nodes >= NODES + len(counts) * 2 or not stack:
-            break
-        # back to the deepest choice that is still open
-        left, made, used, options = stack.pop()
-        if len(options) > 1:
-            stack.append((left.copy(), list(made), used, options[1:]))
-        left, made = left.copy(), list(made)
-        made.append(apply(left, options[0]))
-        used += made[-1][1]
-        nodes += 1
+            nodes -= 1
+            del made[depth:]
+            made.append((fill, times))
+            rest = left.copy()
+            for k in set(fill):
+                rest[k] -= times * fill.count(k)
+            if not rest.any():
+                if now < size:
+                    best, size = list(made), now
+            elif now + lower_bound(rest) < size:
+                enter(rest, spent, now, depth + 1, fill)
+    except Spent:
+        pass
     return best
 
 

@@ -201,6 +201,47 @@ def test_search_is_near_the_optimum(seed):
     assert packing.lower_bound(counts) <= best == sum(t for _, t in found)
 
 
+@pytest.mark.parametrize("times", [1, 7, 1000])
+def test_search_branches_on_wasteful_fillings(times):
+    """No filling beside 521 is exact; the best one isn't best-fit's."""
+    counts = np.zeros(1025, int)
+    counts[[521, 276, 266]], counts[236] = 6 * times, 12 * times
+    assert sum(t for _, t in packing.best_fit(counts)) == 11 * times
+    assert sum(t for _, t in packing.solve(counts)) == 9 * times
+
+
+def test_fillings_are_all_the_undominated_ones():
+    def fit(b, bins):
+        return not b or any(fit(b[1:], bins[:j] + (x - b[0],) + bins[j + 1:]) for j, x in enumerate(bins) if x >= b[0])
+
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        left = np.bincount(rng.integers(1, 21, rng.integers(1, 12)), minlength=21)
+        top = int(np.flatnonzero(left)[-1])
+        every = [()]
+        for x in range(20, 0, -1):
+            have = int(left[x]) - (x == top)
+            every = [f + (x,) * n for f in every for n in range(have + 1) if sum(f) + n * x <= 20 - top]
+        want = {f for f in every if not any(g != f and fit(f, g) for g in every)}
+        got = [f[1:] for f in packing.fillings(left, top)]
+        assert set(got) == want and len(got) == len(want)
+        assert [(-sum(f), len(f)) for f in got] == sorted((-sum(f), len(f)) for f in got)
+        for k, f in enumerate(got):
+            assert [g[1:] for g in packing.fillings(left, top, (top, *f))] == got[k + 1:]
+
+
+def test_search_of_many_tiny_pieces_ends():
+    counts = np.zeros(1025, int)
+    counts[[1, 2, 3, 700, 513]] = 3001, 1500, 7, 20, 9
+    found = packing.solve(counts)
+    held = np.zeros(1025, int)
+    for f, times in found:
+        for x in f:
+            held[x] += times
+    assert (held == counts).all()
+    assert len(next(packing.fillings(np.array([0, 5000] + [0] * 1023), 1))) == 1024
+
+
 def test_html_blocks():
     page = ("<html><head><title>T</title><script>var t='</p>';</script></head><body><header>Site name here</header><nav><ul><li>"
             "<a href=x>Home</a></ul></nav><div class='sidebar'><p>Side text, here.</p></div><article><h1>A title</h1><p>First "
