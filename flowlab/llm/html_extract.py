@@ -2,8 +2,8 @@
 
 A page becomes a sequence of text blocks, each with its root-to-leaf path of
 block tags (with class and id names).  Text length and punctuation are
-aggregated per path, the ratios are smoothed along the page, fused, and the
-paths above a threshold are the content; their blocks, in page order, are the
+aggregated per path, the ratios are smoothed along the page, fused (those inside
+<article> or <main> count double), and the paths above a threshold are the content; their blocks, in page order, are the
 text.  Paths through elements that never hold the article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) are left out first.
 """
@@ -50,6 +50,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。！，？¿¡|\"'()-]")
 
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.15          # share of the strongest path's fused ratio
+WEIGHT = 2                # factor of the fused ratio inside <article> or <main>
 LINKS = 0.5               # a path is a list of links above this share of its text
 
 
@@ -187,11 +188,8 @@ def content_paths(found: list[Block]) -> set[str]:
             total[index[b.path]] += v
         return np.maximum(x, total / n)
 
-    fused = np.sqrt(smooth(text_ratio) * smooth(mark_ratio))
+    fused = np.sqrt(smooth(text_ratio) * smooth(mark_ratio)) * np.where(article > 0, WEIGHT, 1)
     keep = (fused >= THRESHOLD * fused.max()) & (links <= LINKS * np.maximum(chars, 1))
-    if article.any():
-        keep = (article > 0) & (links <= LINKS * np.maximum(chars, 1)) & (
-            keep | (fused >= 0.1 * THRESHOLD * fused.max()))
     return {p for p, k in zip(order, keep) if k}
 
 

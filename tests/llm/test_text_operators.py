@@ -254,6 +254,31 @@ def test_html_blocks():
         html_extract.main_text(broken)
 
 
+PARAGRAPHS = [f"Paragraph {i} tells, in some detail, what was found; it goes on for a while, with a clause or two, and then "
+              f"it ends. A second sentence follows, number {i}, so that the text is long enough." for i in range(6)]
+
+
+@pytest.mark.parametrize("card", [
+    "", "<article class=card><a href=/x>Read about the other thing</a></article>",
+    "<article><h2>Other</h2><p>A short teaser, with a few words of its own.</p></article>",
+    "<main><article><p>One teaser.</p></article><article><p>Another teaser.</p></article></main>"])
+def test_ratios_select_whatever_the_tag(card):
+    """The text stands in a plain div, with and without teaser cards in <article>."""
+    entry = "<div class=entry><h1>A title of the entry</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div>"
+    page = ("<html><body><nav><a href=/>Home</a></nav>{}<div class=meta><span>by us</span></div>"
+            "<ul class=places><li><a href=/a>One</a><li><a href=/b>Two</a></ul></body></html>")
+    for body in (entry + card, card + entry):
+        lines = html_extract.main_text(page.format(body)).split("\n")
+        assert [x for x in lines if x in PARAGRAPHS] == PARAGRAPHS and "A title of the entry" in lines
+        assert not {"Home", "One", "Two", "Read about the other thing"} & set(lines)
+
+
+def test_weak_paths_of_an_article_are_dropped():
+    page = "<article><div class=x>a b</div>" + "".join(f"<p>{p * 3}</p>" for p in PARAGRAPHS) * 3 + (
+        "<div class=tools>" + "<div><i>x</i></div>" * 30 + "</div></article>")
+    assert "x" not in html_extract.main_text(page).split("\n")
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", "<p>Some text, here.</p>" * 2)],
                                   "page_id long, url string, html string")
