@@ -36,15 +36,16 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
                  "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
          "th": {"tr", "table"}, "option": {"select"}}
-NOT_CONTENT = re.compile(
-    r"(^|[-_\s])(ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|aside|"
-    r"footer|foot|header|masthead|topbar|toolbar|comment\w*|respond|replies|disqus\w*|cookie\w*|consent|gdpr|notice|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|"
-    r"pagination|pager|widget\w*|copyright|legal|disclaimer|skip)($|[-_\s])", re.I)
+NOT_CONTENT = re.compile(                 # whole class names or ids
+    r"ads?|adverts?|advertisements?|advertising|adsense|sponsor(s|ed)?|promos?|promotions?|banner|nav(s|bar|igation)?|"
+    r"menus?|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|"
+    r"disqus|disqus_thread|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"search|share|sharing|social|related|recommend(ed|ations?)?|pagination|pager|widgets?|copyright|legal|disclaimer|"
+    r"skip", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?", re.S)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。！，？¿¡|\"'()-]")
 
@@ -63,6 +64,14 @@ class Block:
     text: str = ""
 
 
+def attributes(inside: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name, each with its whole value; the first of a name counts."""
+    found: dict[str, str] = {}
+    for a in _ATTR.finditer(inside):
+        found.setdefault(a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or "")
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, without those in elements that never hold the article."""
     out: list[Block] = []
@@ -144,21 +153,19 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m.group(3).rstrip().endswith("/") and tag in {"path", "circle", "rect"}:
             continue
         names, hidden = [], False
-        for a in _ATTR.finditer(m.group(3)):
-            key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
+        for key, value in attributes(m.group(3)).items():
             if key in ("class", "id"):
-                names.append(value.strip())
+                names += html.unescape(value).split()
             elif key == "role":
                 hidden |= value.strip().lower() in ROLES
-            elif key == "hidden" or key == "aria-hidden" and value == "true":
+            elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-        label = " ".join(n for n in names if n)
         inside = any(s[0] in ARTICLE for s in stack)
         out_of = hidden or tag == "head" or tag in NEVER and not (tag == "header" and inside) \
-            or bool(label) and tag not in ("html", "body", "article", "main") and bool(NOT_CONTENT.search(label))
-        stack.append((tag, tag + ("." + "-".join(label.split()) if label else ""), out_of))
+            or tag not in ("html", "body", "article", "main") and any(NOT_CONTENT.fullmatch(n) for n in names)
+        stack.append((tag, tag + ("." + "-".join(names) if names else ""), out_of))
         if tag == "a":
             links += 1
     flush()

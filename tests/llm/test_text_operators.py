@@ -279,6 +279,30 @@ def test_weak_paths_of_an_article_are_dropped():
     assert "x" not in html_extract.main_text(page).split("\n")
 
 
+def test_attributes_one_by_one():
+    assert html_extract.attributes(""" CLASS = 'a b' data-title="Hidden costs" href=/hidden-lake?id=nav x hidden id=y id=z""") == {
+        "class": "a b", "data-title": "Hidden costs", "href": "/hidden-lake?id=nav", "x": "", "hidden": "", "id": "y"}
+    assert html_extract.attributes(' a="x hidden=1" b=\'class="nav"\' c=""') == {"a": "x hidden=1", "b": 'class="nav"', "c": ""}
+    assert html_extract.attributes(' a=""hidden /') == {"a": "", "hidden": ""}
+
+
+@pytest.mark.parametrize("start", [
+    '<article data-title="Hidden costs">', '<div data-overflow="hidden">', '<div data-id="nav">', "<div data-class='menu'>",
+    '<div class="content with-sidebar">', '<div class="side-by-side">', '<div class="has-comments post" id=no-ads>',
+    '<div class=commentary>', '<div data-style="display: none" title="role=menu">'])
+def test_words_inside_values_hide_nothing(start):
+    body = "".join(f"<p>{p} By <a href='/hidden-lake'>the lake</a> it ends.</p>" for p in PARAGRAPHS)
+    want = "\n".join(f"{p} By the lake it ends." for p in PARAGRAPHS)
+    assert html_extract.main_text(f"<body>{start}{body}") == want
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", 'class="box menu"', "id=comments", "class='Sidebar'", "role=navigation",
+                                       'aria-hidden="true"', 'style="color:red; display: none"', 'title="a" hidden'])
+def test_whole_names_hide(attribute):
+    rest = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert html_extract.main_text(f"<body><div {attribute}>{rest}</div><div>{rest}</div>") == "\n".join(PARAGRAPHS)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", "<p>Some text, here.</p>" * 2)],
                                   "page_id long, url string, html string")
