@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlab.llm.common import cut, cut_texts, stay, utf8
 from flowlab.llm.components import connected_components
@@ -77,12 +78,17 @@ class Shingler:
         np.cumsum(_BYTE[text] * self.powers[:len(text)], out=total[1:])
         return mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
+    @staticmethod
+    def key(words: np.ndarray) -> bytes:
+        """128-bit key of a word sequence; b"" without words."""
+        return hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else b""
+
     def shingles(self, text: np.ndarray) -> tuple[np.ndarray, bytes]:
         """(sorted distinct shingle hashes, 128-bit key of the word sequence)."""
         w = self.words(text)
         if not len(w):
             return np.zeros(0, np.uint64), b""
-        key = hashlib.blake2b(w.tobytes(), digest_size=16).digest()
+        key = self.key(w)
         if len(w) < SHINGLE:
             return np.frombuffer(key[:8], np.uint64), key
         s = np.zeros(len(w) - SHINGLE + 1, np.uint64)
@@ -283,14 +289,9 @@ def relabel(label: DataFrame, new: DataFrame) -> DataFrame:
         "node", F.coalesce("component", "label").alias("label")))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trace: dict | None = None) -> DataFrame:
-    """Return id, n_shingles, component_id, kept per row of ``docs``.
-
-    ``component_id`` is the smallest id that links reach (null ids count only
-    where there is no other); rows without words are linked with nothing and
-    are their own component.  Of repeated rows (same id) every row is
-    returned, ``kept`` marks those whose id is the component's.  ``trace``
-    receives the sizes of the steps (each count is one more job)."""
+def linked(docs: DataFrame, id_col: str, text_col: str, trace: dict | None = None) -> DataFrame:
+    """Per row of ``docs``: id, n, key (null without words), label (equal in a
+    component, null without words), component_id and kept as in ``near_dedup``."""
     rows = cut_texts(signatures(docs, id_col, text_col))
     classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"),
                                                          F.first("sig").alias("sig"))
@@ -311,13 +312,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = classes.select("node", "id", "key").join(label, "node", "left").select(
         "key", "id", F.coalesce("label", "node").alias("label"))
     component = owned.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_key = owned.join(component, "label").select(F.col("key").alias("k"), "component_id")
+    by_key = owned.join(component, "label").select(F.col("key").alias("k"), "label", "component_id")
     out = rows.select("id", "n", "key").join(by_key, F.col("key") == F.col("k"), "left")
     owner = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), owner.alias("component_id"),
-                      F.col("id").eqNullSafe(owner).alias("kept"))
+    return out.select("id", "n", "key", "label", owner.alias("component_id"), F.col("id").eqNullSafe(owner).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trace: dict | None = None) -> DataFrame:
+    """Return id, n_shingles, component_id, kept per row of ``docs``.
+
+    ``component_id`` is the smallest id that links reach (null ids count only
+    where there is no other); rows without words are linked with nothing and
+    are their own component.  Of repeated rows (same id) every row is
+    returned, ``kept`` marks those whose id is the component's.  ``trace``
+    receives the sizes of the steps (each count is one more job)."""
+    return linked(docs, id_col, text_col, trace).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keyed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the key of the word sequence of every row (null without words) as column ``name``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            data, bounds = utf8(batch.column(batch.num_columns - 1))
+            keys = [shingler.key(shingler.words(data[a:b])) or None for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())],
+                                             [*batch.schema.names[:-1], name])
+
+    rows = docs.withColumn(name, F.col(f"`{text_col}`").cast("string"))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one a component."""
-    return stay(docs, near_dedup(docs, id_col, text_col), id_col)
+    """The rows of ``docs`` that stay, with all their columns: one a component.
+    Where ids repeat, rows are told apart by id and word sequence; of the rows
+    without words one stays for every id."""
+    found = cut(linked(docs, id_col, text_col).select("id", "key", "label", "kept"))
+    if found.groupBy("id").count().where("count > 1").isEmpty():
+        return stay(docs, found.withColumnRenamed("id", id_col), id_col)
+    # a component keeps one word sequence of its id, whatever else has that id
+    words = found.where("kept AND key IS NOT NULL").groupBy("label").agg(F.min(F.struct("key", "id")).alias("one"))
+    none = found.where("key IS NULL").select("id", "key").distinct()
+    one = words.select("one.id", "one.key").unionByName(none).toDF("_id", "_key")
+    rows = cut_texts(keyed(docs, text_col, "_word_key"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col("_word_key").eqNullSafe(F.col("_key"))
+    return rows.join(one, same, "left_semi").dropDuplicates([id_col, "_word_key"]).drop("_word_key")

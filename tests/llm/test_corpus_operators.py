@@ -75,6 +75,24 @@ def test_near_dedup_odd_rows(odd, rows, empty):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({r["doc_id"] for r in got if r["kept"]})
 
 
+def test_kept_rows_where_ids_repeat(spark):
+    """Unrelated texts under one id, null ids among them, all stay; near copies under one id leave one."""
+    words = [[f"{c}{i}" for i in range(40)] for c in "abcdefgh"]
+    a, b, c, d, e, f, g, h = map(" ".join, words)
+    near = {x[0][0]: " ".join(x[:39] + ["z"]) for x in words}
+    rows = [(None, a), (None, b), (None, a.upper()), (7, c), (7, d), (1, e), (5, near["e"]), (5, f),
+            (9, g), (9, near["g"]), (None, h), (None, near["h"]), (2, near["b"]), (3, ""), (3, None), (4, " ")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    got = near_dedup.kept_rows(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], (r["text"] or "").lower()) for r in got.collect())
+    assert kept[(5, f)] == 1 and kept[(5, near["e"])] == 0 and kept[(1, e)] == 1          # 5 also has a dropped near copy
+    assert kept[(None, a)] == 1 and kept[(None, b)] == 0 and kept[(2, near["b"])] == 1   # a near copy has a real id
+    assert kept[(7, c)] == kept[(7, d)] == 1
+    assert kept[(9, g)] + kept[(9, near["g"])] == 1 and kept[(None, h)] + kept[(None, near["h"])] == 1
+    assert sum(n for (i, _), n in kept.items() if i == 3) == 1 and kept[(4, " ")] == 1 and sum(kept.values()) == 10
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000), (None, 3)]
