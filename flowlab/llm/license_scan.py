@@ -2,17 +2,18 @@
 
 The templates below form an inverted index: word -> (template, position), with
 common words left out.  One pass over the texts keeps the places of index
-words only.  Their document frequencies give the IDF; each file looks up its
-highest-IDF licence words (the anchors of the templates), intersects the
-postings by relative position (file position minus template position) and
-verifies the mandatory key phrases at that place.
+words only.  Their document frequencies give the IDF.  Each file looks up the
+postings of its own highest-IDF words: of a template, as many of the words it
+has as leave too little IDF behind for a match without any of them, and none if
+all it has is too little or lacks a mandatory word.  The starts found (file
+position minus template position) are verified: IDF share and mandatory phrases.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import ascii_lower, cut
@@ -86,19 +87,34 @@ def places(docs: DataFrame, templates: list[Template], id_col: str, text_col: st
 
 
 def index(spark: SparkSession, rows: DataFrame, templates: list[Template]) -> DataFrame:
-    """The postings with their IDF, the anchor (the template's highest IDF) marked."""
+    """The postings with their IDF, and all_idf and all_keys of their template."""
     table = postings(templates)
     n = rows.count()
     # one row a vocabulary word: the document frequencies of the index words
     df = dict(rows.select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word")).groupBy("word").count().collect())
     scale = 1.0 + n
     idf = {w: scale / (1.0 + df.get(w, 0)) for _, w, _, _ in table}
-    anchor = {}
-    for t, w, i, _ in sorted(table, key=lambda p: (p[0], -idf[p[1]], p[2])):
-        anchor.setdefault(t, i)
-    rows_ = [(t, templates[t].label, templates[t].base, w, i, m, anchor[t] == i, idf[w]) for t, w, i, m in table]
-    return spark.createDataFrame(rows_, "template int, label string, base boolean, word string, at int, "
-                                        "mandatory boolean, anchor boolean, idf double").withColumn("idf", F.log("idf"))
+    rows_ = [(t, templates[t].label, templates[t].base, w, i, m, idf[w]) for t, w, i, m in table]
+    listed = spark.createDataFrame(rows_, "template int, label string, base boolean, word string, at int, "
+                                          "mandatory boolean, idf double").withColumn("idf", F.log("idf"))
+    whole = listed.groupBy("template").agg(F.sum("idf").alias("all_idf"),
+                                           F.sum(F.col("mandatory").cast("int")).alias("all_keys"))
+    return listed.join(whole, "template")
+
+
+def probes(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(row, template, word, at): the postings a file starts its lookup from.
+    The file's postings of a template are ranked by IDF; a place that matches
+    SHARE of the template holds one of those from which on SHARE is left."""
+    own = rows.select("row", F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
+    ranked = Window.partitionBy("row", "template").orderBy(F.desc("idf"), "at")
+    file = Window.partitionBy("row", "template")
+    return own.join(F.broadcast(listed), "word").select(
+        "row", "template", "word", "at", "all_idf", "all_keys",
+        F.sum(F.col("mandatory").cast("int")).over(file).alias("keys"),
+        F.sum("idf").over(ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest")).where(
+        (F.col("keys") == F.col("all_keys")) & (F.col("rest") >= F.col("all_idf") * (SHARE - 1e-9))).select(
+        "row", "template", "word", "at")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -111,17 +127,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates = TEMPLATES if templates is None else templates
     rows = cut(places(docs, templates, id_col, text_col))
     listed = index(docs.sparkSession, rows, templates)
-    whole = listed.groupBy("template").agg(F.sum("idf").alias("all_idf"),
-                                           F.sum(F.col("mandatory").cast("int")).alias("all_keys"))
     hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
+    starts = hits.join(probes(rows, listed), ["row", "word"]).select(
+        "row", "template", (F.col("pos") - F.col("at")).alias("start")).distinct()
     # the index has one row per template word, so its size is that of the list above
-    looked = hits.join(F.broadcast(listed), "word").select(
-        "row", "template", "label", "base", (F.col("pos") - F.col("at")).alias("start"), "mandatory", "anchor", "idf")
-    met = looked.groupBy("row", "template", "label", "base", "start").agg(
-        F.sum("idf").alias("idf"), F.sum(F.col("mandatory").cast("int")).alias("keys"), F.max("anchor").alias("anchor"))
+    met = starts.join(F.broadcast(listed), "template").withColumn("pos", F.col("start") + F.col("at")).join(
+        hits, ["row", "pos", "word"]).groupBy("row", "template", "label", "base", "start").agg(
+        F.sum("idf").alias("idf"), F.sum(F.col("mandatory").cast("int")).alias("keys"),
+        F.first("all_idf").alias("all_idf"), F.first("all_keys").alias("all_keys"))
     share = F.when(F.col("all_idf") > 0, F.least(F.col("idf") / F.col("all_idf"), F.lit(1.0))).otherwise(F.lit(1.0))
-    good = met.where("anchor").join(F.broadcast(whole), "template").withColumn("share", share).where(
-        (F.col("keys") == F.col("all_keys")) & (F.col("share") >= SHARE))
+    good = met.withColumn("share", share).where((F.col("keys") == F.col("all_keys")) & (F.col("share") >= SHARE))
     base = F.col("base")
 
     def names(only=None):

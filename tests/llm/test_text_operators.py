@@ -125,6 +125,43 @@ def test_license_places(spark, odd, rows, empty):
     assert license_scan.scan(odd).count() == len(rows) and license_scan.scan(empty).count() == 0
 
 
+def test_license_without_the_rarest_word(spark):
+    """The rarest word of a template is missing from the text, from every text, or is there at another place."""
+    bsd = "redistribution and use in source and binary forms with or without alteration are permitted"
+    fill = ["redistribution of binary forms in source permitted"] * 4 + ["other words"] * 40
+    texts = [bsd, "modification " + bsd, bsd.replace("alteration", "modification"), bsd.replace("binary", "other"), *fill]
+    for some in (texts, [t for t in texts if "modification" not in t]):
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+        for i, t in enumerate(some):
+            assert got[i]["labels"] == ("bsd" if "binary forms with" in t else ""), t
+        assert license_scan.SHARE <= got[0]["score"] < 1
+
+
+def test_license_lookup_loses_no_start(spark):
+    """Against every start of every template, in plain Python."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        words = [w for t in rng.sample(license_scan.TEMPLATES, rng.randint(0, 3)) for w in t.text.split() + ["x"] * rng.randint(0, 2)]
+        texts.append(" ".join(rng.choice(["y", "license", "source", "public"]) if rng.random() < 0.08 else w for w in words))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    listed = license_scan.postings(license_scan.TEMPLATES)
+    split = [t.split() for t in texts]
+    idf = {w: np.log((1 + len(texts)) / (1 + sum(w in s for s in split))) for _, w, _, _ in listed}
+    for i, words in enumerate(split):
+        labels, score = set(), 0.0
+        for t, template in enumerate(license_scan.TEMPLATES):
+            own = [p for p in listed if p[0] == t]
+            for start in range(-20, len(words)):
+                there = [(w, m) for _, w, at, m in own if 0 <= start + at < len(words) and words[start + at] == w]
+                share = sum(idf[w] for w, _ in there) / sum(idf[p[1]] for p in own)
+                if share >= license_scan.SHARE and sum(m for _, m in there) == sum(p[3] for p in own):
+                    labels.add(template.label)
+                    score = max(score, share)
+        assert got[i]["labels"] == ",".join(sorted(labels)) and abs(got[i]["score"] - score) < 1e-9
+
+
 def test_line_dedup(spark, odd, rows, empty):
     texts = ["a\nb\nc\nd", "x\na\nb\n\nc\ny", "a\nb", "q\nq\nq\nq\nq", None, "a\nb\nc\nd"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
