@@ -113,6 +113,12 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signature(low: np.ndarray) -> np.ndarray:
+    """A byte of every minimum, from its low end: unequal ones agree with
+    probability 1/256, however small the minima of a large set are."""
+    return (low & np.uint64(0xFF)).astype(np.uint8)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (set size), key (16 bytes, null for an empty set), bands, sig per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +132,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 key.append(k or None)
                 low = minima(s) if len(s) else None
                 bands.append(None if low is None else band_keys(low))
-                sig.append(None if low is None else (low >> np.uint64(56)).astype(np.uint8).tobytes())
+                sig.append(None if low is None else signature(low).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def test_near_dedup_matches_all_pairs(spark, block, monkeypatch):
     assert [got[i]["kept"] for i in range(len(texts))] == [i == c for i, c in enumerate(component)]
 
 
+@pytest.mark.parametrize("n", [20, 500, 5000])
+def test_signatures_of_unrelated_texts_differ(n):
+    shingler = near_dedup.Shingler()
+
+    def sig(word):
+        text = np.frombuffer(" ".join(f"{word}{i}" for i in range(n)).encode(), np.uint8)
+        return near_dedup.signature(near_dedup.minima(shingler.shingles(text)[0]))
+
+    assert (sig("a") == sig("A")).all() and (sig("a") == sig("b")).mean() < 0.1
+
+
 def test_near_dedup_odd_rows(odd, rows, empty):
     got = near_dedup.near_dedup(odd).collect()
     assert len(got) == len(rows) and near_dedup.near_dedup(empty).count() == 0
