@@ -28,6 +28,12 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocab": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 
 
+def piece_files() -> dict[str, str]:
+    """The second vocabulary of the alignment query: pieces with byte fallback, 32,000 ids."""
+    import public_tokenizers as P
+    return {"pieces": P.path("piece_bpe_32k.model")}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the cluster's shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

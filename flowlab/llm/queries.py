@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
-                         quality_rules, secret_scan)
-from flowlab.llm.common import UPPER, table, tokenizer_files
+                         quality_rules, secret_scan, token_alignment)
+from flowlab.llm.common import UPPER, piece_files, table, tokenizer_files
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "ambiguous")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.scored_alignment(table(spark, sf_dir, "documents"), **tokenizer_files(), **piece_files())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -82,7 +87,7 @@ def queries():
         "op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
         "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_near_dedup": op9_near_dedup,
-        "op10_language_id": op10_language_id, "pipeline": pipeline,
+        "op10_language_id": op10_language_id, "op11_token_alignment": op11_token_alignment, "pipeline": pipeline,
     }
 
 
