@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import (exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
+from flowlab.llm import (conversation_repair, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
                          quality_rules, secret_scan, token_alignment)
 from flowlab.llm.common import UPPER, piece_files, table, tokenizer_files
 
@@ -77,6 +77,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -87,7 +92,8 @@ def queries():
         "op1_packing": op1_packing, "op2_html_extract": op2_html_extract, "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
         "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_near_dedup": op9_near_dedup,
-        "op10_language_id": op10_language_id, "op11_token_alignment": op11_token_alignment, "pipeline": pipeline,
+        "op10_language_id": op10_language_id, "op11_token_alignment": op11_token_alignment,
+        "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline,
     }
 
 
