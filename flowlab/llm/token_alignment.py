@@ -29,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import small_batches
+from flowlab.llm.common import small_batches, utf8
 from flowlab.session import ensure_checkpoint_dir
 
+PART = 1 << 20          # bytes of text aligned together (a longer text by itself)
+ROWS = 256              # rows of an Arrow batch
+
 # letters, digits and signs up to U+024F: both byte-level libraries cut them alike
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 
@@ -154,6 +157,15 @@ def _leap(a: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray, ste
     return i, j
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts pass PART bytes."""
+    for batch in batches:
+        _, at = utf8(batch.column(1))
+        part = (at[:-1] - at[0]) // PART if batch.num_rows else at[:0]
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:]))
+
+
 def _bounds(counts: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
 
@@ -187,7 +199,7 @@ def align(docs: DataFrame, vocab: str, pieces: str, ranks: str | None = None, pa
         a_len, b_len = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
         # written forms of every id with what can follow it: inside a list, end of A's, end of B's, end of the text
         forms = [f"{i}{end}".encode() for i in range(max(len(a_bytes), width)) for end in (",", "|", ";", "")]
-        for batch in batches:
+        for batch in _parts(batches):
             a_rows, b_rows = [], []
             for text in batch.column(1).to_pylist():
                 a, b = encoders.ids(text) if text else ([], [])
@@ -195,12 +207,11 @@ def align(docs: DataFrame, vocab: str, pieces: str, ranks: str | None = None, pa
                     whole = b" " + text.encode()
                     if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
                         a, b = [], []
-                a_rows.append(a)
-                b_rows.append(b)
+                a_rows.append(np.array(a, np.int64))
+                b_rows.append(np.array(b, np.int64))
             rows = batch.num_rows
             a_at, b_at = _bounds([len(x) for x in a_rows]), _bounds([len(x) for x in b_rows])
-            a = np.fromiter((x for r in a_rows for x in r), np.int64, a_at[-1])
-            b = np.fromiter((x for r in b_rows for x in r), np.int64, b_at[-1])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *r]) for r in (a_rows, b_rows))
             del a_rows, b_rows
             full = np.flatnonzero(np.diff(a_at))
             # rows without tokens take no place; the others have as many bytes under A as under B
@@ -216,10 +227,10 @@ def align(docs: DataFrame, vocab: str, pieces: str, ranks: str | None = None, pa
             ends[i + j + 1 - b_sizes] = 1
             ends[i + j + 1] = 2
             ends[(a_at + b_at)[full + 1] - 1] = 3
-            codes = (ids * 4 + ends).tolist()
+            codes = ids * 4 + ends
             digests = []
             for r in range(rows):
-                part = codes[a_at[r] + b_at[r]:a_at[r + 1] + b_at[r + 1]]
+                part = codes[a_at[r] + b_at[r]:a_at[r + 1] + b_at[r + 1]].tolist()
                 digests.append(hashlib.sha256(b"".join([forms[c] for c in part])).hexdigest() if part else "")
             # links of a row by pair
             row = np.repeat(np.arange(rows), np.diff(g_at))
@@ -286,7 +297,7 @@ def scored_alignment(docs: DataFrame, vocab: str, pieces: str, ranks: str | None
     spark = docs.sparkSession
     tables = Tables(vocab, pieces)
     path = f"{ensure_checkpoint_dir(spark)}/alignment-{uuid.uuid4()}"
-    with small_batches(spark):
+    with small_batches(spark, ROWS):
         align(docs, vocab, pieces, ranks, pattern, id_col, text_col, tables=tables).write.option(
             "compression", "zstd").parquet(path)
     return link_scores(spark.read.parquet(path), tables)
