@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import (conversation_repair, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, packing,
-                         quality_rules, secret_scan, token_alignment)
+from flowlab.llm import (conversation_repair, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing,
+                         near_dedup, packing, pii, quality_rules, secret_scan, token_alignment)
 from flowlab.llm.common import UPPER, piece_files, table, tokenizer_files
 
 
@@ -37,19 +37,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+def _joined(spans):
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
 
-    def joined(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.BASE))
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE],
-                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,18 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
@@ -93,7 +107,7 @@ def queries():
         "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan, "op6_secret_scan": op6_secret_scan,
         "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup, "op9_near_dedup": op9_near_dedup,
         "op10_language_id": op10_language_id, "op11_token_alignment": op11_token_alignment,
-        "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline,
+        "op12_pii": op12_pii, "op13_conversation_repair": op13_conversation_repair, "pipeline": pipeline,
     }
 
 
