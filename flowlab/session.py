@@ -51,6 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a reliable checkpoint in the session's folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Parallelism floor for expensive row-wise stages (Python forward
     passes): when the input arrives in fewer partitions than the cluster has
