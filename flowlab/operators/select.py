@@ -186,12 +186,12 @@ def group_thresholds(df: DataFrame, x: str, groups: list[str], need: DataFrame,
     wide = f"size > {EDGE_ROWS} AND lo < hi"
     while not state.where(wide).isEmpty():
         near = on_groups(rows, state.where(wide).select(*groups, "lo", "hi", "need"), groups).where("_fl_v BETWEEN lo AND hi")
-        bins = near.groupBy(*groups, _bin(F.col("_fl_v"), F.col("lo"), F.col("hi"), bins).alias("b")).agg(
+        hist = near.groupBy(*groups, _bin(F.col("_fl_v"), F.col("lo"), F.col("hi"), bins).alias("b")).agg(
             F.count(F.lit(1)).alias("size"), F.min("_fl_v").alias("lo"), F.max("_fl_v").alias("hi"), F.first("need").alias("need"))
         # at most that many rows a group
         before = F.sum("size").over(Window.partitionBy(*groups).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-        bins = bins.withColumn("before", F.coalesce(before, F.lit(0))).where("before < need AND need <= before + size")
-        found = bins.select(*groups, "size", "lo", "hi", (F.col("need") - F.col("before")).alias("need"))
+        hist = hist.withColumn("before", F.coalesce(before, F.lit(0))).where("before < need AND need <= before + size")
+        found = hist.select(*groups, "size", "lo", "hi", (F.col("need") - F.col("before")).alias("need"))
         state = cut(state.where(f"NOT ({wide})").unionByName(found))
     flat = state.where("lo = hi").select(*groups, F.col("lo").alias("at"), F.col("need").alias("take"), F.col("size").alias("equal"))
     edge = on_groups(rows, state.where("lo < hi").select(*groups, "lo", "hi", "need"), groups).where("_fl_v BETWEEN lo AND hi")
