@@ -1,27 +1,28 @@
 """Gradient-memory linear algebra on tables (LA0-LA2, AG24-AG25).
 
-Gradient rows are split into blocks of the parameter axis, so no task ever
-holds a full D-long row set: the Gram matrix is a sum of per-block partial
-Grams, the basis U = G^T V S^-1 is produced block by block, and projection
-joins rows to the basis on ``block_id``.  Only N x N (N <= 512 captured
-batches) and k x k matrices reach the driver.
+Gradient rows are split into blocks of the parameter axis: the Gram matrix is
+a sum of per-block partial Grams, the basis comes block by block from one
+randomised pass over the rows, and projection joins rows to the basis on
+``block_id``.  Only width x width and k x k matrices reach the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
+from flowlab.session import cut
 
 MAX_ROWS = 512        # fixed value: usual cap of a capture, for callers that want one
 MIN_NORM = 1e-12      # fixed value: rows at or below this norm are dropped
 ENERGY = 0.97         # fixed value: captured energy of the basis
-MAX_GRAM_ROWS = 2048  # N x N Gram matrices above this stay distributed (_svd_wide)
 
 
 def valid_gradient(vec: Column) -> Column:
@@ -72,129 +73,156 @@ def gram(blocks: DataFrame, row_id: str = "row_id", n_rows: int | None = None) -
     return p.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
-def _energy_rank(s: np.ndarray, threshold: float) -> int:
-    energy = np.cumsum(s ** 2) / np.sum(s ** 2)
-    return int(np.searchsorted(energy, threshold)) + 1
+RANGE_WIDTH = 64            # width of the first random range; doubled until it holds the energy
+FACTORS_KEPT = 1 << 24      # numbers of random factors, and of partial products, that a task keeps
 
 
-def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, block: int = 4096) -> tuple[DataFrame, np.ndarray]:
-    """LA1: energy-truncated orthonormal basis of the row space of G.
+def random_factor(block_id: int, size: int, width: int) -> np.ndarray:
+    """Rows ``block_id`` of Omega: normal numbers from a counter, the same in every task."""
+    seed = int.from_bytes(hashlib.md5(f"omega|{block_id}|{width}".encode()).digest()[:8], "little")
+    return np.random.default_rng(seed).standard_normal((size, width))
 
-    Returns ``(basis(component, block_id, vec), singular values kept)``.
-    N <= D: eigen-decompose the N x N Gram on the driver, build U block by
-    block on executors, re-orthonormalise by Cholesky-QR (k x k).  More
-    rows than MAX_GRAM_ROWS go to Spark's own distributed decomposition.  An
-    all-zero input gives an empty basis."""
-    spark = df.sparkSession
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n_rows, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n_rows > dim > 0:
-        return _svd_tall(df, vec, threshold, block)
-    if n_rows > MAX_GRAM_ROWS:
-        return _svd_wide(df, vec, n_rows, dim, threshold, block)
-    blocks = to_blocks(df.select(row_id, vec), row_id, vec, block)
-    # one row per i holding its N Gram entries (N <= MAX_GRAM_ROWS)
-    g = gram(blocks, row_id, n_rows).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r")).collect()
-    ids = sorted(r["i"] for r in g)
-    empty = spark.createDataFrame([], "component int, block_id int, vec array<double>")
-    if not ids:
-        return empty, np.zeros(0)
-    pos = {v: k for k, v in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in g:
-        m[pos[r["i"]], [pos[e["j"]] for e in r["r"]]] = [e["value"] for e in r["r"]]
-    w, v = np.linalg.eigh(m)
-    order = np.argsort(w)[::-1]
-    w, v = np.maximum(w[order], 0.0), v[:, order]
-    keep = w > 1e-12
-    s, v = np.sqrt(w[keep]), v[:, keep]
-    if s.size == 0:
-        return empty, s
-    k = _energy_rank(s, threshold)
-    s, v = s[:k], v[:, :k]
-    bc = spark.sparkContext.broadcast((pos, v / s))
-
-    def ublock(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, vs = bc.value
-        rows = np.array([p[i] for i in pdf[row_id]])
-        x = np.stack(pdf["sub"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        u = x.T @ vs[rows]                       # (block, k)
-        return pd.DataFrame({"component": np.arange(u.shape[1], dtype=np.int32),
-                             "block_id": int(pdf["block_id"].iloc[0]), "vec": list(u.T)})
-
-    from flowlab.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    # U (k x D) feeds the Cholesky-QR Gram and the final basis: write it once
-    ub = blocks.groupBy("block_id").applyInPandas(ublock, "component int, block_id int, vec array<double>").checkpoint(
-        eager=True)
-    # Cholesky-QR: R from U^T U (k x k partial sums per block)
-    uu = _component_gram(ub)
-    r = np.linalg.cholesky(uu + 1e-300 * np.eye(len(uu))).T
-    rinv = np.linalg.inv(r)
-    bc2 = spark.sparkContext.broadcast(rinv)
-
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        ri = bc2.value
-        pdf = pdf.sort_values("component")
-        u = np.stack(pdf["vec"].map(np.asarray).to_numpy())   # (k, block)
-        q = (u.T @ ri).T
-        return pd.DataFrame({"component": pdf["component"].to_numpy(), "block_id": pdf["block_id"].to_numpy(),
-                             "vec": list(q)})
 
-    basis = ub.groupBy("block_id").applyInPandas(fix, "component int, block_id int, vec array<double>")
-    return basis, s
+def svd_basis(df: DataFrame, row_id: str, vec: str, threshold: float = ENERGY, block: int = 4096,
+              width: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """LA1: energy-truncated orthonormal basis of the row space of G (N x D).
 
+    Returns ``(basis(component, block_id, vec), singular values kept)``: the
+    fewest components of the range found whose energy is ``threshold`` of all.
 
-def _svd_tall(df: DataFrame, vec: str, threshold: float, block: int) -> tuple[DataFrame, np.ndarray]:
-    """N > D: eigen-decompose G^T G (D x D partial sums per partition,
-    reduced by Spark); its eigenvectors are the basis directly."""
-    from flowlab.operators.anomaly import moments
-    spark = df.sparkSession
-    clean = df.select(F.transform(vec, lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), 0.0)
-                                  .otherwise(x.cast("double"))).alias(vec))
-    _, _, gtg = moments(clean, vec)
-    w, u = np.linalg.eigh(gtg)
-    order = np.argsort(w)[::-1]
-    w, u = np.maximum(w[order], 0.0), u[:, order]
-    keep = w > 1e-12
-    s, u = np.sqrt(w[keep]), u[:, keep]
-    if s.size == 0:
-        return spark.createDataFrame([], "component int, block_id int, vec array<double>"), s
-    k = _energy_rank(s, threshold)
-    u = u[:, :k]
-    rows = [(c, b, u[b * block:(b + 1) * block, c].tolist()) for c in range(k)
-            for b in range(math.ceil(u.shape[0] / block))]
-    return spark.createDataFrame(rows, "component int, block_id int, vec array<double>"), s[:k]
-
-
-def _svd_wide(df: DataFrame, vec: str, n_rows: int, dim: int, threshold: float, block: int,
-              first: int = 16) -> tuple[DataFrame, np.ndarray]:
-    """Many rows of a still larger dimension: Spark's distributed SVD, which
-    multiplies the rows by one D-long vector per job and keeps k such vectors
-    on the driver.  k grows until the kept energy reaches ``threshold`` of
-    the squared norm of all rows, which one aggregate gives."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
+    Randomised range finder, one algorithm for any N and D: Y = G Omega spans
+    a range of ``width`` directions (Omega from a counter), Y = Q R, and the
+    decomposition of B = Q' G is that of G inside the range.  R needs only
+    Y'Y and B only Y'G, so one scan adds up Z = Y'G, block by block of the
+    parameters; Y'Y = Z Omega.  Width x width matrices reach the driver.  The
+    range is doubled until what it misses is a tenth of what may be dropped
+    (or it has min(N, D) directions and is exact).  Rows must be finite
+    (``filter_gradients``); no energy gives an empty basis.  Raises when the
+    energy isn't reached."""
     spark = df.sparkSession
     x = F.col(vec).cast("array<double>")
-    total = float(df.agg(F.sum(A.dot(x, x)).alias("e")).first()["e"] or 0.0)
+    stats = df.select(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d"), F.min(F.size("x")).alias("e"),
+                                        F.sum(A.dot(F.col("x"), F.col("x"))).alias("energy")).first()
+    n_rows, dim, total = int(stats["n"] or 0), int(stats["d"] or 0), float(stats["energy"] or 0.0)
     empty = spark.createDataFrame([], "component int, block_id int, vec array<double>")
+    if not math.isfinite(total):
+        raise ValueError("rows with NaN or infinite numbers have no basis")
+    if n_rows and stats["e"] != dim:
+        raise ValueError(f"rows of {stats['e']} and of {dim} numbers")
     if total <= 0.0:
         return empty, np.zeros(0)
-    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(x).alias("v")), "v").persist()
-    most, k = min(n_rows, dim - 1), first
+    most = min(n_rows, dim)
+    l = min(width or RANGE_WIDTH, most)
     while True:
-        found = RowMatrix(rows, n_rows, dim).computeSVD(min(k, most), computeU=False)
-        s = np.asarray(found.s.toArray())
-        if np.sum(s ** 2) >= threshold * total or len(s) < min(k, most) or k >= most:
+        z = cut(_range_product(df.select(x.alias("x")), dim, l, block))
+        s, rotate = _decompose(*_range_grams(z, l, block))
+        held = float(np.sum(s ** 2))
+        if l == most or held >= (1 - (1 - threshold) / 10) * total:
             break
-        k *= 4
-    rows.unpersist()
-    u = found.V.toArray()
-    keep = min(int(np.searchsorted(np.cumsum(s ** 2) / total, threshold)) + 1, len(s))
-    out = [(c, b, u[b * block:(b + 1) * block, c].tolist()) for c in range(keep) for b in range(math.ceil(dim / block))]
-    return spark.createDataFrame(out, empty.schema), s[:keep]
+        l = min(2 * l, most)
+    enough = threshold * total * (1 - 1e-9)
+    if held < enough:
+        raise ValueError(f"a range of {l} directions holds {held / total:.6f} of the energy, {threshold} is asked for")
+    k = min(int(np.searchsorted(np.cumsum(s ** 2), enough)) + 1, len(s))
+    turned = spark.sparkContext.broadcast(rotate[:, :k])
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = _stacked(pdf).T @ turned.value
+        return pd.DataFrame({"component": np.arange(u.shape[1], dtype=np.int32), "block_id": int(pdf["block_id"].iloc[0]),
+                             "vec": list(u.T)})
+
+    ub = cut(z.groupBy("block_id").applyInPandas(components, "component int, block_id int, vec array<double>"))
+    # rounding: components are made orthonormal once more (Cholesky-QR, k x k)
+    inverse = spark.sparkContext.broadcast(np.linalg.inv(np.linalg.cholesky(_component_gram(ub)).T))
+
+    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("component")
+        return pd.DataFrame({"component": pdf["component"].to_numpy(), "block_id": pdf["block_id"].to_numpy(),
+                             "vec": list((_stacked(pdf).T @ inverse.value).T)})
+
+    return ub.groupBy("block_id").applyInPandas(fix, "component int, block_id int, vec array<double>"), s[:k]
+
+
+def _stacked(pdf: pd.DataFrame) -> np.ndarray:
+    """The vectors of one block, by component."""
+    return np.stack(pdf.sort_values("component")["vec"].map(np.asarray).to_numpy())
+
+
+def _range_product(rows: DataFrame, dim: int, width: int, block: int) -> DataFrame:
+    """Z = (G Omega)' G as ``(component, block_id, vec)``: products of Arrow
+    batches, added up in the task and then by Spark.  A task keeps at most
+    FACTORS_KEPT random factors and partial sums; beyond that it draws the
+    factors again and passes the products on batch by batch."""
+    spans = [(b, b * block, min((b + 1) * block, dim)) for b in range(math.ceil(dim / block))]
+    keep = dim * width <= FACTORS_KEPT
+
+    def run(batches):
+        factors, sums = {}, {}
+
+        def factor(b, lo, hi):
+            if b in factors:
+                return factors[b]
+            out = random_factor(b, hi - lo, width)
+            if keep:
+                factors[b] = out
+            return out
+
+        def product(b, z):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, b, np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(width + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))],
+                ["component", "block_id", "vec"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            y = sum(g[:, lo:hi] @ factor(b, lo, hi) for b, lo, hi in spans)
+            for b, lo, hi in spans:
+                z = y.T @ g[:, lo:hi]
+                if keep:
+                    sums[b] = sums[b] + z if b in sums else z
+                else:
+                    yield product(b, z)
+        for b, z in sums.items():
+            yield product(b, z)
+
+    parts = rows.mapInArrow(run, "component int, block_id int, vec array<double>")
+    added = parts.select("component", "block_id", F.posexplode("vec").alias("i", "v")).groupBy("component", "block_id", "i").agg(
+        F.sum("v").alias("v"))
+    return added.groupBy("component", "block_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select(
+        "component", "block_id", F.transform("s", lambda e: e["v"]).alias("vec"))
+
+
+def _range_grams(z: DataFrame, width: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Z Omega and Z Z' (width x width): products of the blocks, summed by Spark."""
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = _stacked(pdf)
+        omega = random_factor(int(pdf["block_id"].iloc[0]), v.shape[1], width)
+        return pd.DataFrame({"component": np.arange(width, dtype=np.int32), "yy": list(v @ omega), "zz": list(v @ v.T)})
+
+    parts = z.groupBy("block_id").applyInPandas(partial, "component int, yy array<double>, zz array<double>")
+    rows = parts.select("component", F.posexplode(F.arrays_zip("yy", "zz")).alias("i", "v")).groupBy("component", "i").agg(
+        F.sum("v.yy").alias("yy"), F.sum("v.zz").alias("zz")).collect()
+    yy, zz = np.zeros((width, width)), np.zeros((width, width))
+    for r in rows:
+        yy[r["component"], r["i"]], zz[r["component"], r["i"]] = r["yy"], r["zz"]
+    return yy, zz
+
+
+def _decompose(yy: np.ndarray, zz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of B = Q'G, and what turns Z into its right singular
+    vectors.  Q = Y C with C = W L^-1/2 of Y'Y = W L W', without directions
+    that rounding can't tell from none."""
+    w, v = np.linalg.eigh((yy + yy.T) / 2)
+    told = w > 1e-11 * w[-1]
+    c = v[:, told] / np.sqrt(w[told])
+    e, u = np.linalg.eigh(c.T @ zz @ c)
+    order = np.argsort(e)[::-1]
+    e, u = e[order], u[:, order]
+    some = e > 1e-24 * e[0]
+    s = np.sqrt(e[some])
+    return s, c @ u[:, some] / s
 
 
 def _component_gram(basis: DataFrame) -> np.ndarray:

@@ -802,16 +802,35 @@ def q_project_nullspace(spark, sf_dir):
     return rounded(LA.project_frame(e.select("vec_id", "embedding"), "embedding", BASES, "projected", "sequential"))
 
 
-@register("svd_basis")
+@register("svd_basis", f"WITH {BM_SQL},\ne AS (SELECT CAST(row_id AS BIGINT) AS row_id, list_sum(list_transform(vec, "
+          "lambda x: x * x)) AS e FROM bm)\nSELECT row_id, round(e, 6) AS energy, round(e, 6) AS projected_energy FROM e")
 def q_svd_basis(spark, sf_dir):
-    basis, _ = LA.svd_basis(_batch_means(spark, sf_dir), "row_id", "vec", block=16)
-    return basis
-
-
-@register("spectrum")
+    """The whole basis (threshold 1) and the energy of every row on it: an
+    orthonormal basis of the row space keeps each row's energy."""
+    m = _batch_means(spark, sf_dir)
+    basis, _ = LA.svd_basis(m, "row_id", "vec", threshold=1.0, block=16)
+    on = LA.to_blocks(m, "row_id", "vec", 16).join(basis, "block_id").groupBy("row_id", "component").agg(
+        F.sum(A.dot(F.col("sub"), F.col("vec"))).alias("c")).groupBy("row_id").agg(F.sum(F.col("c") * F.col("c")).alias("p"))
+    own = m.select("row_id", A.dot(F.col("vec"), F.col("vec")).alias("energy"))
+    return rounded(own.join(on, "row_id").select(F.col("row_id").cast("long").alias("row_id"), "energy",
+                                                 F.col("p").alias("projected_energy")))
+
+
+@register("spectrum", f"""WITH {BM_SQL},
+x AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS i, row_id FROM bm),
+a AS (SELECT p.i, q.i AS j, sum(p.x * q.x) AS v FROM x p JOIN x q ON p.row_id = q.row_id GROUP BY p.i, q.i),
+b AS (SELECT p.i, q.j, sum(p.v * q.v) AS v FROM a p JOIN a q ON p.j = q.i GROUP BY p.i, q.j)
+SELECT round((SELECT sum(v) FROM a WHERE i = j), 6) AS energy, round((SELECT sum(v * v) FROM a), 6) AS energy_2,
+       round((SELECT sum(a.v * b.v) FROM a JOIN b ON a.i = b.i AND a.j = b.j), 6) AS energy_3,
+       round(1.0::DOUBLE, 6) AS last_cumulative""")
 def q_spectrum(spark, sf_dir):
-    _, s = LA.svd_basis(_batch_means(spark, sf_dir), "row_id", "vec", block=16)
-    return spark.createDataFrame(LA.spectrum(s), "component int, sigma double, sigma_norm double, energy double")
+    """AG25: power sums of the squared singular values against the traces of
+    (G'G), (G'G)^2 and (G'G)^3."""
+    _, s = LA.svd_basis(_batch_means(spark, sf_dir), "row_id", "vec", threshold=1.0, block=16)
+    table_of = spark.createDataFrame(LA.spectrum(s), "component int, sigma double, sigma_norm double, energy double")
+    e = F.pow("sigma", F.lit(2.0))
+    return rounded(table_of.agg(F.sum(e).alias("energy"), F.sum(e * e).alias("energy_2"), F.sum(e * e * e).alias("energy_3"),
+                                F.max("energy").alias("last_cumulative")))
 
 
 @register("basis_coverage")

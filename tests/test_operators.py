@@ -227,11 +227,11 @@ def test_pseudo_label_cuts(spark):
 
 
 def test_svd_basis_has_no_row_limit(spark, monkeypatch):
-    """Beyond MAX_GRAM_ROWS the distributed decomposition spans the same space."""
+    """A narrow first range spans the same space."""
     rng = np.random.default_rng(5)
     g = rng.normal(size=(40, 5)) @ np.diag([9.0, 7.0, 5.0, 3.0, 1.0]) @ rng.normal(size=(5, 120))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(g)], "row_id long, vec array<double>")
-    monkeypatch.setattr(LA, "MAX_GRAM_ROWS", 8)
+    monkeypatch.setattr(LA, "RANGE_WIDTH", 2)
     basis, s = LA.svd_basis(df, "row_id", "vec", block=50)
     want_u, want_s, _ = np.linalg.svd(g.T, full_matrices=False)
     k = int(np.searchsorted(np.cumsum(want_s ** 2) / np.sum(want_s ** 2), LA.ENERGY)) + 1
