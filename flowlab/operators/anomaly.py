@@ -4,7 +4,7 @@
   counts and running totals over value ranges;
 * isolation forest: one sampling pass (no row explosion), trees grown per
   ``tree_id`` group of <= 256 rows, scored with the broadcast forest;
-* Mahalanobis: partial moment sums per partition, reduced by Spark.
+* Mahalanobis: centred moments, merged pairwise block by block.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions import arrays as A
 from flowlab.functions.rand import uniform
+from flowlab.operators.models import arrow_matrix
 from flowlab.operators.prefix import value_ranges
 
 ANOMALY_CUT = 0.65  # fixed value: score at or above -> zero-day alert
@@ -209,55 +211,92 @@ def score_isolation_forest(df: DataFrame, vec: str, forest: DataFrame, keep: lis
 
 # ------------------------------------------------------------ Mahalanobis
 
-def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sum x and sum x x^T: per-partition partial sums in NumPy, reduced
-    element-wise by Spark (D + D^2 numbers per partition)."""
+MOMENT_BLOCK = 64       # side of a block of the co-moment matrix
+MERGED = 64             # partial results that one task merges in the first step
 
-    def partial(it):
-        n, s, ss = 0, None, None
-        for pdf in it:
-            if len(pdf) == 0:
+
+def _merge(n1: float, m1: np.ndarray, n2: float, m2: np.ndarray):
+    """Count and mean of two parts together, and the weight of their
+    difference in the co-moments (Chan, Golub and LeVeque)."""
+    n = n1 + n2
+    return n, m1 + (m2 - m1) * (n2 / n), n1 * n2 / n
+
+
+def centred_moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, mean and sum of (x - mean)(x - mean)' of the vectors.
+
+    Every Arrow batch is centred on its own mean; parts (count, mean,
+    co-moments) are merged pairwise, so nothing cancels however far the mean
+    is from zero.  The matrix is kept as the blocks of its upper triangle, and
+    each block is merged on its own."""
+    def partial(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            s = x.sum(axis=0) if s is None else s + x.sum(axis=0)
-            ss = x.T @ x if ss is None else ss + x.T @ x
-            n += len(x)
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    p = df.select(vec).mapInPandas(partial, "n long, s array<double>, ss array<double>")
-    red_s = p.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    red_ss = p.select(F.posexplode("ss").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    n = int(p.agg(F.sum("n")).first()[0] or 0)
-    s = np.array([r["x"] for r in sorted(red_s.collect(), key=lambda r: r["i"])])
-    ss = np.array([r["x"] for r in sorted(red_ss.collect(), key=lambda r: r["i"])])
-    d = len(s)
-    return n, s, ss.reshape(d, d)
+            x = arrow_matrix(batch.column(0))
+            n, mean = len(x), x.mean(axis=0)
+            c = (x - mean).T @ (x - mean)
+            if held is None:
+                held = (n, mean, c)
+            else:
+                total, both, w = _merge(held[0], held[1], n, mean)
+                gap = mean - held[1]
+                held = (total, both, held[2] + c + w * np.outer(gap, gap))
+        if held is not None:
+            n, mean, c = held
+            cuts = range(0, len(mean), MOMENT_BLOCK)
+            rows = [(i // MOMENT_BLOCK, j // MOMENT_BLOCK, n, mean[i:i + MOMENT_BLOCK], mean[j:j + MOMENT_BLOCK],
+                     c[i:i + MOMENT_BLOCK, j:j + MOMENT_BLOCK].ravel()) for i in cuts for j in cuts if i <= j]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*rows)], ["bi", "bj", "n", "mi", "mj", "c"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(r.n, np.asarray(r.mi), np.asarray(r.mj), np.asarray(r.c)) for r in pdf.itertuples()]
+        n, mi, mj, c = parts[0]
+        for n2, mi2, mj2, c2 in parts[1:]:
+            c = c + c2 + (n * n2 / (n + n2)) * np.outer(mi2 - mi, mj2 - mj).ravel()
+            _, mi, _ = _merge(n, mi, n2, mi2)
+            n, mj, _ = _merge(n, mj, n2, mj2)
+        first = pdf.iloc[0]
+        return pd.DataFrame({"bi": [first["bi"]], "bj": [first["bj"]], "n": [n], "mi": [mi], "mj": [mj], "c": [c]})
+
+    schema = "bi long, bj long, n long, mi array<double>, mj array<double>, c array<double>"
+    rows = df.select(F.transform(vec, lambda v: v.cast("double")).alias("x"))
+    parts = rows.mapInArrow(partial, schema)
+    once = parts.withColumn("part", F.spark_partition_id() % MERGED).groupBy("bi", "bj", "part").applyInPandas(merged, schema)
+    blocks = once.groupBy("bi", "bj").applyInPandas(merged, schema).collect()       # the matrix itself
+    if not blocks:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    mean = np.concatenate([b["mi"] for b in sorted((b for b in blocks if b["bi"] == b["bj"]), key=lambda b: b["bi"])])
+    out = np.zeros((len(mean), len(mean)))
+    for b in blocks:
+        i, j = b["bi"] * MOMENT_BLOCK, b["bj"] * MOMENT_BLOCK
+        c = np.asarray(b["c"]).reshape(len(b["mi"]), len(b["mj"]))
+        out[i:i + c.shape[0], j:j + c.shape[1]] = c
+        out[j:j + c.shape[1], i:i + c.shape[0]] = c.T
+    return int(blocks[0]["n"]), mean, out
 
 
 def fit_mahalanobis(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
     """DO1 fit: mean and pseudo-inverse of the sample covariance."""
-    n, s, ss = moments(df, vec)
-    mu = s / n
-    cov = (ss - n * np.outer(mu, mu)) / max(n - 1, 1)
-    return mu, np.linalg.pinv(cov)
+    n, mean, c = centred_moments(df, vec)
+    return mean, np.linalg.pinv(c / max(n - 1, 1))
 
 
 def mahalanobis(df: DataFrame, vec: str, mu: np.ndarray, inv: np.ndarray, keep: list[str]) -> DataFrame:
     """DO1 apply: sqrt((x-mu)^T S^-1 (x-mu)); (mu, S^-1) broadcast once."""
     bc = df.sparkSession.sparkContext.broadcast((mu, inv))
 
-    def apply(it):
+    def apply(batches):
         m, vinv = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) - m
-            out = pdf[keep].copy()
-            out["distance"] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, vinv, x), 0.0))
-            yield out
-
-    return df.select(*keep, vec).mapInPandas(apply, _schema(df, keep, "distance double"))
+        for batch in batches:
+            if batch.num_rows:
+                x = arrow_matrix(batch.column(len(keep))) - m
+                d = np.sqrt(np.maximum(((x @ vinv) * x).sum(axis=1), 0.0))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(d)], [*keep, "distance"])
+
+    rows = df.select(*keep, F.transform(vec, lambda v: v.cast("double")).alias("_fl_x"))
+    return rows.mapInArrow(apply, _schema(df, keep, "distance double"))
 
 
 def isolation_threshold(forest: DataFrame, train: DataFrame, vec: str, contamination: float = 0.05) -> float:

@@ -1,17 +1,16 @@
-"""End-to-end pipelines (PL1-PL5) and evaluation of a trained head (MO7).
+"""End-to-end pipelines (PL1-PL5), recapture (LA3) and evaluation of a trained head (MO7).
 
-One Spark application: DataFrames are handed from stage to stage, fitted
-state (features, weights, bases, metrics) is written as tables under
-``out_dir`` (a shared folder on a cluster), and every heavy step is a Spark
-job.  The training set is written once and re-read by each round, so a lost
-executor recomputes from that table, not from the raw capture.
+One Spark application: DataFrames are handed from stage to stage, every stage
+writes its tables under ``out_dir`` (a shared folder on a cluster) and is
+recorded, and every heavy step is a Spark job.  What a later stage reads is a
+table, so a lost executor recomputes from there, and a lost driver starts
+again after the last finished stage.
 """
 
 from __future__ import annotations
 
 import time
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +22,17 @@ from flowlab.operators import augment as AU
 from flowlab.operators import calibrate as CA
 from flowlab.operators import features as FT
 from flowlab.operators import linalg as LA
+from flowlab.operators import linear as LN
 from flowlab.operators import metrics as M
 from flowlab.operators import models as MO
+from flowlab.operators import rounds as RO
 from flowlab.operators import split as SP
-from flowlab.operators import train as TR
-from flowlab.session import ensure_checkpoint_dir
+from flowlab.operators.content_id import content_ids
+from flowlab.session import cut, ensure_checkpoint_dir
+from flowlab.sources import bank as BK
 from flowlab.sources import flows as SRC
 from flowlab.sources import state as STATE
+from flowlab.sources.bank import Stages, fingerprint
 
 TASKS = ["intrusion", "dos", "port_scan"]
 
@@ -81,6 +84,9 @@ def _with_task_label(df: DataFrame, task: str) -> DataFrame:
     return df.withColumn("y", L.task_label(F.col(col), task))
 
 
+STEPS = 4               # gradient steps of a head in an epoch
+
+
 def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[str] = TASKS,
                  ssl_epochs: int = 3, task_epochs: int = 5, embed_dim: int = 16, use_gpm: bool = True,
                  batch_size: int = 64, ae_epochs: int = 5, seed: int = 42) -> DataFrame:
@@ -88,82 +94,148 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
     benign embeddings (p95 cut) -> per task FixMatch head (projected against
     earlier tasks' bases) -> gradient capture -> basis -> evaluation.
     Writes the state a scoring job needs (feature state, model parameters,
-    head thresholds / temperatures, anomaly cut) and returns the metrics."""
+    head thresholds / temperatures, anomaly cut) and returns the metrics.
+
+    A chain of stages (``bank.Stages``): each writes its tables once and is
+    recorded; a rerun over the same inputs with the same parameters goes on
+    after the last recorded one.  The encoder and the autoencoder are linear
+    and solved in closed form, so ``ssl_epochs`` counts the view pairs a row
+    contributes and ``ae_epochs`` is ignored."""
     spark = train.sparkSession
-    st = FT.fit(FT.clean(train.drop("AttackLabel", "AttackCategory")), "Label")
-    st.save(spark, f"{out_dir}/feature_state")
+    stages = Stages(spark, out_dir, train=fingerprint(train), test=fingerprint(test))
     keep = ["_rid", "Label", "AttackCategory"]
-    tr = FT.transform(train.withColumn("_rid", F.monotonically_increasing_id()), st, None,
-                      keep=keep)
-    tr.write.mode("overwrite").parquet(f"{out_dir}/train_features")
-    tr = spark.read.parquet(f"{out_dir}/train_features")
-    te = FT.transform(test.withColumn("_rid", F.monotonically_increasing_id()), st, None, keep=keep)
-    dim = st.dim
-    # contrastive pretraining on two strong views, batches keyed by hash rank
-    b = SP.batches(tr.select("_rid", "features"), ["_rid"], batch_size, seed=seed)
-    pairs = b.select("batch_id", "pos", AU.strong(F.col("features"), F.col("_rid"), "s1").alias("v1"),
-                     AU.strong(F.col("features"), F.col("_rid"), "s2").alias("v2"))
-    enc, _, ssl_hist = TR.train_contrastive_net_local(
-        pairs, MO.flow_encoder(dim, 4 * embed_dim, embed_dim, seed=seed), MO.projection_head(embed_dim, embed_dim // 2,
-                                                                                              seed=seed + 1),
-        epochs=ssl_epochs, lr=1e-3)
-    z_tr = MO.apply_nets(tr, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
-    z_te = MO.apply_nets(te, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
-    # anomaly model: first-class job on benign training embeddings
-    benign = z_tr.where(F.col("Label") == "normal")
-    ae, _ = TR.train_autoencoder_net_local(benign, "z", MO.autoencoder(embed_dim, max(embed_dim // 4, 2), seed=seed),
-                                           epochs=ae_epochs)
-    rec = MO.apply_nets(benign.select("z"), "z", {"recon": ae}, ["z"])
-    ae_cut = AN.exact_percentile(rec.select(A.mse(F.col("z"), F.col("recon")).alias("err")), "err", 0.95).first()[0]
-    STATE.save_anomaly_params(spark, f"{out_dir}/anomaly_params", "autoencoder", float(ae_cut or 0.0))
-    params = [MO.params_table(spark, "encoder", enc), MO.params_table(spark, "autoencoder", ae)]
-    head_rows = []
-    bases: list[np.ndarray] = []
-    metrics = []
+
+    def features(folder: str) -> None:
+        st = FT.fit(FT.clean(train.drop("AttackLabel", "AttackCategory")), "Label")
+        st.save(spark, f"{folder}/state")
+        for name, df in (("train", train), ("test", test)):
+            FT.transform(content_ids(df, "_rid", ""), st, None, keep=keep).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    at = stages.run("features", features)
+    st = FT.FeatureState.load(spark, f"{at}/state")
+    tr, te = (spark.read.parquet(f"{at}/{name}") for name in ("train", "test"))
+
+    def encoder(folder: str) -> None:
+        rid = F.col("_rid")
+        pairs = tr.select("features", rid, F.explode(F.sequence(F.lit(0), F.lit(max(ssl_epochs, 1) - 1))).alias("e"))
+        rid = F.concat_ws(":", "_rid", "e")
+        views = cut(pairs.select(AU.strong(F.col("features"), rid, "s1", seed).alias("v1"),
+                                 AU.strong(F.col("features"), rid, "s2", seed).alias("v2")))
+        enc, _ = LN.contrastive_encoder(views, "v1", "v2", embed_dim)
+        MO.params_table(spark, "encoder", enc).write.mode("overwrite").parquet(folder)
+
+    enc_at = stages.run("encoder", encoder, ssl_epochs=ssl_epochs, embed_dim=embed_dim, seed=seed)
+    enc = MO.layers_from_table(spark.read.parquet(enc_at), "encoder")
+    dim = enc[-1]["W"].shape[1]
+
+    def embeddings(folder: str) -> None:
+        for name, df in (("train", tr), ("test", te)):
+            z = MO.apply_nets(df, "features", {}, keep, encoder=enc).withColumnRenamed("embedding", "z")
+            z.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    z_at = stages.run("embeddings", embeddings)
+    z_tr, z_te = (spark.read.parquet(f"{z_at}/{name}") for name in ("train", "test"))
+
+    def anomaly(folder: str) -> None:
+        benign = z_tr.where(F.col("Label") == "normal").select("z")
+        ae = LN.linear_autoencoder(benign, "z", min(max(embed_dim // 4, 2), dim))
+        MO.params_table(spark, "autoencoder", ae).write.mode("overwrite").parquet(f"{folder}/params")
+        rec = MO.apply_nets(benign, "z", {"recon": ae}, ["z"])
+        error = rec.select(A.mse(F.col("z"), F.col("recon")).alias("err"))
+        at95 = AN.exact_percentile(error, "err", 0.95).first()
+        STATE.save_anomaly_params(spark, f"{folder}/cut", "autoencoder", float(at95[0] if at95 else 0.0))
+
+    ae_at = stages.run("anomaly", anomaly)
+    bases: list[DataFrame] = []
+    head_at = {}
     for i, task in enumerate(tasks):
         lab = _with_task_label(z_tr, task)
-        cw = M.class_weights(lab, "y", cap=10.0).select(F.col("class").alias("y"), "weight")
-        lab = lab.join(F.broadcast(cw), "y")
-        x = lab.select(AU.weak(F.col("z"), F.col("_rid"), f"w{i}").alias("x"), "y", "weight")
-        unl = z_tr.select(AU.weak(F.col("z"), F.col("_rid"), f"uw{i}").alias("xw"),
-                          AU.strong(F.col("z"), F.col("_rid"), f"us{i}").alias("xs"))
-        head, hist = TR.train_head_net_local(x, "x", "y", MO.classifier_head(embed_dim, 2, seed=seed + i), unl,
-                                             "xw", "xs", weight="weight", epochs=task_epochs, warmup=1,
-                                             batch_size=batch_size, bases=bases if use_gpm else None, seed=seed + i)
-        TR.history_frame(spark, task, hist).write.mode("overwrite").parquet(f"{out_dir}/history/task={task}")
+        spans = STATE.basis_matrices(bases[0] if len(bases) == 1 else SP.append_frames(bases)) if bases else []
+
+        def head(folder: str) -> None:
+            cw = M.class_weights(lab, "y", cap=10.0).select(F.col("class").alias("y"), "weight")
+            rows = lab.join(F.broadcast(cw), "y")                   # one row a class
+            w, bias, hist = RO.train_fixmatch(rows, "z", "_rid", "y", "weight", dim, task_epochs, STEPS, bases=spans,
+                                              seed=seed + i)
+            MO.params_table(spark, f"head_{task}", RO.linear_head(w, bias)).write.mode("overwrite").parquet(f"{folder}/params")
+            STATE.history_table(spark, task, hist).write.mode("overwrite").parquet(f"{folder}/history")
+            if use_gpm:
+                numbered = SP.batches(rows.select("_rid", "z", "y", "weight"), ["_rid"], batch_size, seed=seed)
+                _, basis = capture_basis(numbered, "z", "y", "batch_id", RO.linear_head(w, bias), "weight")
+                basis.select(F.lit(i).alias("task_ord"), F.lit(task).alias("task"), "component", "block_id", "vec").write.mode(
+                    "overwrite").parquet(f"{folder}/basis")
+
+        head_at[task] = stages.run(f"head_{task}", head, order=i, epochs=task_epochs, gpm=use_gpm, batch=batch_size)
         if use_gpm:
-            gb = SP.batches(lab.select("_rid", "z", "y", "weight"), ["_rid"], batch_size, seed=seed)
-            grads = LA.filter_gradients(TR.capture_gradients_net(gb, "z", "y", head, weight="weight"), "vec",
-                                        "batch_id")
-            basis, _ = LA.svd_basis(grads.withColumnRenamed("batch_id", "row_id"), "row_id", "vec")
-            STATE.save_basis(spark, f"{out_dir}/bases", i, task, basis)
-            bases = STATE.basis_matrices(STATE.load_bases(spark, f"{out_dir}/bases"))
-        ev = MO.apply_nets(_with_task_label(z_te, task).select("y", "z"), "z", {"logits": head}, ["y"])
-        report = evaluation_tables(ev)
-        for name in REPORT_TABLES:
-            STATE.write_report(report[name], f"{out_dir}/{name}/task={task}")
-        m = report["metrics"].withColumn("task", F.lit(task))
-        metrics.append(m)
-        params.append(MO.params_table(spark, f"head_{task}", head))
-        got = {r["metric"]: r["value"] for r in m.where("class IS NULL").select("metric", "value").collect()}
-        head_rows.append((task, got.get("optimal_threshold"), got.get("temperature")))
-    out = metrics[0]
-    for m in metrics[1:]:
-        out = out.unionByName(m)
-    STATE.write_report(out, f"{out_dir}/metrics", ["task"])
-    # a trained head and its encoder are not touched again: its F1 holds at every later stage
-    held = spark.createDataFrame([(t, i, s) for i, t in enumerate(tasks) for s in range(i, len(tasks))],
-                                 "task string, task_ord int, stage int")
-    f1 = spark.read.json(f"{out_dir}/metrics").where("metric = 'f1_weighted'").select("task", F.col("value").alias("f1"))
-    STATE.write_report(M.forgetting_matrix(held.join(F.broadcast(f1), "task")), f"{out_dir}/forgetting")
-    allp = params[0]
-    for p in params[1:]:
-        allp = allp.unionByName(p)
-    STATE.save_params(allp, f"{out_dir}/model_params")
-    AL.head_params(spark, head_rows).write.mode("overwrite").parquet(f"{out_dir}/head_params")
+            bases.append(spark.read.parquet(f"{head_at[task]}/basis"))
+
+        def report(folder: str) -> None:
+            net = MO.layers_from_table(spark.read.parquet(f"{head_at[task]}/params"), f"head_{task}")
+            ev = MO.apply_nets(_with_task_label(z_te, task).select("y", "z"), "z", {"logits": net}, ["y"])
+            for name, df in evaluation_tables(ev).items():
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+        head_at[f"report_{task}"] = stages.run(f"report_{task}", report)
+
+    def publish(folder: str) -> None:
+        st.save(spark, f"{out_dir}/feature_state")
+        params, metrics, head_rows = [spark.read.parquet(enc_at), spark.read.parquet(f"{ae_at}/params")], [], []
+        for i, task in enumerate(tasks):
+            params.append(spark.read.parquet(f"{head_at[task]}/params"))
+            spark.read.parquet(f"{head_at[task]}/history").write.mode("overwrite").parquet(f"{out_dir}/history/task={task}")
+            found = {name: spark.read.parquet(f"{head_at[f'report_{task}']}/{name}") for name in ["metrics", *REPORT_TABLES]}
+            for name in REPORT_TABLES:
+                STATE.write_report(found[name], f"{out_dir}/{name}/task={task}")
+            metrics.append(found["metrics"].withColumn("task", F.lit(task)))
+            got = {r["metric"]: r["value"] for r in found["metrics"].where("class IS NULL").select("metric", "value").collect()}
+            head_rows.append((task, got.get("optimal_threshold"), got.get("temperature")))
+            if use_gpm:
+                STATE.save_basis(spark, f"{out_dir}/bases", i, task, bases[i])
+                BK.put(spark, f"{out_dir}/bank", "basis", i, task, bases[i])
+            BK.put(spark, f"{out_dir}/bank", "head", i, task, params[-1])
+        STATE.write_report(SP.append_frames(metrics), f"{out_dir}/metrics", ["task"])
+        # a trained head and its encoder are not touched again: its F1 holds at every later stage
+        held = spark.createDataFrame([(t, i, s) for i, t in enumerate(tasks) for s in range(i, len(tasks))],
+                                     "task string, task_ord int, stage int")
+        f1 = SP.append_frames(metrics).where("metric = 'f1_weighted'").select("task", F.col("value").alias("f1"))
+        STATE.write_report(M.forgetting_matrix(held.join(F.broadcast(f1), "task")), f"{out_dir}/forgetting")
+        STATE.save_params(SP.append_frames(params), f"{out_dir}/model_params")
+        spark.read.parquet(f"{ae_at}/cut").write.mode("overwrite").parquet(f"{out_dir}/anomaly_params")
+        AL.head_params(spark, head_rows).write.mode("overwrite").parquet(f"{out_dir}/head_params")
+
+    stages.run("publish", publish, tasks=tasks)
     return spark.read.json(f"{out_dir}/metrics")
 
 
+# ------------------------------------------------------------- recapture
+
+def capture_basis(rows: DataFrame, x: str, y: str, batch: str, net: list[dict],
+                  weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """TR5, LA0, LA1: (valid gradients, basis) of a linear head over all batches."""
+    w, bias = RO.head_weights(net)
+    found = cut(LA.filter_gradients(RO.capture_gradients(rows, x, y, batch, w, bias, weight), "vec", "batch_id"))
+    return found, LA.svd_basis(found, "batch_id", "vec")[0]
+
+
+def recapture(spark: SparkSession, bank: str, rows: DataFrame, x: str, y: str, batch: str, task_ord: int,
+              replace_index: int | None = None, weight: str | None = None) -> tuple[int, DataFrame]:
+    """LA3: the saved head ``task_ord`` of the bank, its gradients over all
+    batches of ``rows``, and their basis as a new entry of the bank: after the
+    last one, or in place of ``replace_index`` (IndexError where there is
+    none).  Returns the published version and the gradients."""
+    stored = {r["ord"]: r["name"] for r in BK.entries(spark, bank) if r["kind"] == "basis"}
+    names = {r["ord"]: r["name"] for r in BK.entries(spark, bank) if r["kind"] == "head"}
+    if task_ord not in names:
+        raise KeyError(f"the bank has no head {task_ord}")
+    if replace_index is not None and replace_index not in stored:
+        raise IndexError(f"replace_index must be one of {sorted(stored)}, not {replace_index}")
+    net = MO.layers_from_table(BK.get(spark, bank, "head", task_ord), f"head_{names[task_ord]}")
+    found, basis = capture_basis(rows, x, y, batch, net, weight)
+    at = replace_index if replace_index is not None else max(stored, default=-1) + 1
+    out = basis.select(F.lit(at).alias("task_ord"), F.lit(names[task_ord]).alias("task"), "component", "block_id", "vec")
+    return BK.put(spark, bank, "basis", at, names[task_ord], out), found
+
+
 def score_flow_table(spark: SparkSession, flows: DataFrame, state_dir: str, id_col: str = "flow_id",
                      with_timestamp: bool = True) -> DataFrame:
     """Inference entry point (AL5 with persisted state): feature state,

@@ -134,23 +134,18 @@ def q_temperature_grid(spark, sf_dir):
     return rounded(CA.nll_grid(_doc_logits(spark, sf_dir), "logits", "y", TEMPS, n_classes=2))
 
 
-def _temp_fit_ctes(passes: int = 4, n: int = 64) -> str:
-    """The bracket-refinement fit unrolled: each pass is a CTE that scores
-    its candidates over all rows and brackets the argmin for the next."""
-    p0, p1 = _sql_softmax2("logit", "c.T")
-    py = f"CASE WHEN y = 1 THEN {p1} ELSE {p0} END"
-    clip = f"least(greatest({py}, CAST('1e-15' AS DOUBLE)), CAST(1 AS DOUBLE) - CAST('1e-15' AS DOUBLE))"
-    ctes = [SCORED_DOCS, f"b0 AS (SELECT {dlit(1e-3)} AS lo, {dlit(10.0)} AS hi)"]
-    for k in range(passes):
-        m = n if k == 0 else max(n // 4, 8)
-        ctes.append(f"""c{k} AS (SELECT CAST(r.j AS INTEGER) AS j, exp(ln(b.lo) + (ln(b.hi) - ln(b.lo)) * CAST(r.j AS DOUBLE)
-      / CAST({m - 1} AS DOUBLE)) AS T FROM b{k} b CROSS JOIN range({m}) r(j))""")
-        ctes.append(f"""n{k} AS (SELECT c.j, c.T, avg(-ln({clip})) AS nll FROM scored CROSS JOIN c{k} c GROUP BY c.j, c.T)""")
-        ctes.append(f"""a{k} AS (SELECT j, T FROM n{k} ORDER BY nll, T LIMIT 1)""")
-        ctes.append(f"""b{k + 1} AS (SELECT (SELECT T FROM c{k} WHERE j = greatest(a.j - 1, 0)) AS lo,
-      (SELECT T FROM c{k} WHERE j = least(a.j + 1, {m - 1})) AS hi FROM a{k} a)""")
-    ctes.append(f"fitted AS (SELECT T FROM a{passes - 1})")
-    return "WITH " + ",\n".join(ctes)
+def _temp_fit_ctes() -> str:
+    """The slope of the loss in 1 / T changes sign once: bisection of the
+    logarithm, over the margins of the rows (other logit minus true one)."""
+    return f"""WITH RECURSIVE {SCORED_DOCS},
+mg AS (SELECT CASE WHEN y = 1 THEN -logit ELSE logit END AS d, COUNT(*) AS n FROM scored GROUP BY ALL),
+bi(i, lo, hi) AS (
+  SELECT 0, ln({dlit(0.1)}), ln({dlit(1000.0)})
+  UNION ALL
+  SELECT i + 1, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, sum(n * d / (1 + exp(-exp((lo + hi) / 2) * d))) AS g
+    FROM bi, mg WHERE i < 100 GROUP BY i, lo, hi)),
+fitted AS (SELECT exp(-(lo + hi) / 2) AS T FROM bi WHERE i = 100)"""
 
 
 @register("temperature_fit", _temp_fit_ctes() + "\nSELECT round(T, 6) AS temperature FROM fitted")
@@ -410,12 +405,38 @@ def q_env_thresholds(spark, sf_dir):
     return rounded(AN.exact_percentile(ev, "value", 0.95, ["event_type"], out_col="threshold"))
 
 
-@register("mahalanobis")
+def _mahalanobis_sql() -> str:
+    """Mean and covariance of the benign rows, the inverse by Gauss-Jordan
+    steps over (row, column, value)."""
+    return f"""WITH RECURSIVE x AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+mu AS (SELECT i, avg(x) AS m FROM x WHERE label <= {BENIGN_MAX_LABEL} GROUP BY i),
+d AS (SELECT vec_id, label, x.i, x.x - mu.m AS d FROM x JOIN mu ON x.i = mu.i),
+cov AS (SELECT p.i, q.i AS j, sum(p.d * q.d) / (COUNT(*) - 1) AS v FROM d p JOIN d q ON p.vec_id = q.vec_id
+        WHERE p.label <= {BENIGN_MAX_LABEL} GROUP BY p.i, q.i),
+gj AS (
+  SELECT 1 AS k, i, j, v FROM cov
+  UNION ALL SELECT 1, i, i + {DIM}, 1.0::DOUBLE FROM mu
+  UNION ALL SELECT 1, a.i, b.i + {DIM}, 0.0::DOUBLE FROM mu a JOIN mu b ON a.i <> b.i),
+steps AS (
+  SELECT k, i, j, v FROM gj
+  UNION ALL
+  SELECT k + 1, i, j, CASE WHEN i = k THEN prow / piv ELSE v - pcol * (prow / piv) END FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS prow,
+           max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS pcol,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER () AS piv
+    FROM steps WHERE k <= {DIM})),
+inv AS (SELECT i, j - {DIM} AS j, v FROM steps WHERE k = {DIM} + 1 AND j > {DIM})
+SELECT p.vec_id, round(sqrt(greatest(sum(p.d * inv.v * q.d), 0.0)), 6) AS distance
+FROM d p JOIN inv ON p.i = inv.i JOIN d q ON q.vec_id = p.vec_id AND q.i = inv.j GROUP BY p.vec_id"""
+
+
+@register("mahalanobis", _mahalanobis_sql())
 def q_mahalanobis(spark, sf_dir):
     e = emb(spark, sf_dir)
     benign = e.where(F.col("label") <= BENIGN_MAX_LABEL)
     mu, inv = AN.fit_mahalanobis(benign, "embedding")
-    return AN.mahalanobis(e, "embedding", mu, inv, ["vec_id"])
+    return rounded(AN.mahalanobis(e, "embedding", mu, inv, ["vec_id"]))
 
 
 @register("iforest")

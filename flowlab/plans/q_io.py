@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.operators import alerts as AL
+from flowlab.operators import content_id as CI
 from flowlab.operators import features as FT
 from flowlab.operators import metrics as M
 from flowlab.operators import models as MO
@@ -151,11 +152,29 @@ def q_stored_report(spark, sf_dir):
 
 @register("alert_sink", REGISTRY["stream_alerts"][1])
 def q_alert_sink(spark, sf_dir):
-    """IO14: alerts appended to a sink partitioned by severity and read back."""
+    """IO14: a run of alerts that is written twice is in the sink once."""
     path = scratch(spark, "alerts")
     a = ST.event_alerts(table(spark, sf_dir, "events")).select("flow_id", "attack_type", "anomaly_score", "severity")
-    AL.write_alerts(a, path)
-    return rounded(spark.read.schema(a.schema).parquet(path))
+    for _ in range(2):
+        AL.commit_alerts(a, path, "run-1")
+    return rounded(AL.committed_alerts(spark, path).select(*a.columns))
+
+
+def _sql_part(c: str) -> str:
+    text = f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE len({text}) || ':' || {text} END"
+
+
+@register("content_ids", f"""
+WITH r AS (SELECT event_type, user_id % 5 AS host, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 7 END AS port FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, host, port) - 1 AS k FROM r)
+SELECT event_type, host, port, 'flow_' || sha256(concat_ws('|', {_sql_part('event_type')}, {_sql_part('host')}, {_sql_part('port')}))
+       || '-' || CAST(k AS VARCHAR) AS flow_id FROM k""")
+def q_content_ids(spark, sf_dir):
+    """PR24: ids of rows with nulls and many repeats."""
+    r = table(spark, sf_dir, "events").select(
+        "event_type", (F.col("user_id") % 5).alias("host"), F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 7).alias("port"))
+    return CI.content_ids(r, "flow_id")
 
 
 @register("stream_dedup", f"""WITH {ALERTS_SQL}
