@@ -67,10 +67,10 @@ def row_seeds(*parts) -> list[Column]:
 
 
 def _literal(table: list[int]) -> Column:
-    """A multiplier table as one array literal, parsed on the JVM in a
-    single call (building it element by element from Python would cost one
-    gateway round trip per element)."""
-    return F.expr("CAST(array(" + ",".join(str(j) for j in table) + ") AS ARRAY<BIGINT>)")
+    """A multiplier table as one array literal: a string that is split and cast
+    when constants are folded, so the plan holds three nodes and not one for
+    every element."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
 def _jumps(n: Column) -> Column:

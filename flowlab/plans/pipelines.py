@@ -78,10 +78,13 @@ def evaluate_head(scored: DataFrame, y: str = "y", logits: str = "logits", calib
 REPORT_TABLES = ["confusion", "roc_curve", "pr_curve", "sweep"]
 
 
+def _task_label(df: DataFrame, task: str) -> DataFrame:
+    return df.withColumn("y", L.task_label(F.col("Label" if task == "intrusion" else "AttackCategory"), task))
+
+
 def _with_task_label(df: DataFrame, task: str) -> DataFrame:
-    col = "Label" if task == "intrusion" else "AttackCategory"
-    L.check_task_classes(df, col, task)
-    return df.withColumn("y", L.task_label(F.col(col), task))
+    L.check_task_classes(df, "Label" if task == "intrusion" else "AttackCategory", task)
+    return _task_label(df, task)
 
 
 STEPS = 4               # gradient steps of a head in an epoch
@@ -146,6 +149,11 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
         STATE.save_anomaly_params(spark, f"{folder}/cut", "autoencoder", float(at95[0] if at95 else 0.0))
 
     ae_at = stages.run("anomaly", anomaly)
+
+    def views(folder: str) -> None:
+        RO.fixmatch_views(z_tr, "z", "_rid", task_epochs, seed).drop("z").write.mode("overwrite").partitionBy("epoch").parquet(folder)
+
+    view_at = stages.run("views", views, epochs=task_epochs, seed=seed)
     bases: list[DataFrame] = []
     head_at = {}
     for i, task in enumerate(tasks):
@@ -154,13 +162,13 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
 
         def head(folder: str) -> None:
             cw = M.class_weights(lab, "y", cap=10.0).select(F.col("class").alias("y"), "weight")
-            rows = lab.join(F.broadcast(cw), "y")                   # one row a class
-            w, bias, hist = RO.train_fixmatch(rows, "z", "_rid", "y", "weight", dim, task_epochs, STEPS, bases=spans,
-                                              seed=seed + i)
+            drawn = _task_label(spark.read.parquet(view_at), task).join(F.broadcast(cw), "y")      # one row a class
+            w, bias, hist = RO.train_fixmatch(drawn, dim, STEPS, bases=spans)
             MO.params_table(spark, f"head_{task}", RO.linear_head(w, bias)).write.mode("overwrite").parquet(f"{folder}/params")
             STATE.history_table(spark, task, hist).write.mode("overwrite").parquet(f"{folder}/history")
             if use_gpm:
-                numbered = SP.batches(rows.select("_rid", "z", "y", "weight"), ["_rid"], batch_size, seed=seed)
+                rows = lab.join(F.broadcast(cw), "y").select("_rid", "z", "y", "weight")
+                numbered = SP.batches(rows, ["_rid"], batch_size, seed=seed)
                 _, basis = capture_basis(numbered, "z", "y", "batch_id", RO.linear_head(w, bias), "weight")
                 basis.select(F.lit(i).alias("task_ord"), F.lit(task).alias("task"), "component", "block_id", "vec").write.mode(
                     "overwrite").parquet(f"{folder}/basis")
@@ -180,6 +188,7 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
     def publish(folder: str) -> None:
         st.save(spark, f"{out_dir}/feature_state")
         params, metrics, head_rows = [spark.read.parquet(enc_at), spark.read.parquet(f"{ae_at}/params")], [], []
+        stored: list[tuple[str, int, str, DataFrame]] = []
         for i, task in enumerate(tasks):
             params.append(spark.read.parquet(f"{head_at[task]}/params"))
             spark.read.parquet(f"{head_at[task]}/history").write.mode("overwrite").parquet(f"{out_dir}/history/task={task}")
@@ -191,8 +200,9 @@ def run_pipeline(train: DataFrame, test: DataFrame, out_dir: str, tasks: list[st
             head_rows.append((task, got.get("optimal_threshold"), got.get("temperature")))
             if use_gpm:
                 STATE.save_basis(spark, f"{out_dir}/bases", i, task, bases[i])
-                BK.put(spark, f"{out_dir}/bank", "basis", i, task, bases[i])
-            BK.put(spark, f"{out_dir}/bank", "head", i, task, params[-1])
+                stored.append(("basis", i, task, bases[i]))
+            stored.append(("head", i, task, params[-1]))
+        BK.put_all(spark, f"{out_dir}/bank", stored)
         STATE.write_report(SP.append_frames(metrics), f"{out_dir}/metrics", ["task"])
         # a trained head and its encoder are not touched again: its F1 holds at every later stage
         held = spark.createDataFrame([(t, i, s) for i, t in enumerate(tasks) for s in range(i, len(tasks))],

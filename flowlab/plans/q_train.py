@@ -4,6 +4,7 @@ gradients and loss decrease."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from flowlab.plans.bindings import flows
 from flowlab.plans.catalog import register, rounded
 from flowlab.session import ensure_checkpoint_dir
 from flowlab.sources.tables import table
-from flowlab.plans.q_embed import BENIGN_MAX_LABEL, _labeled, emb
+from flowlab.plans.q_embed import BENIGN_MAX_LABEL, TASK_Y, TASKS, _labeled, emb
 
 
 def _task_frame(spark, sf_dir) -> DataFrame:
@@ -173,6 +174,76 @@ STEP = 0.5
 DIMS = 64
 
 
+def _recapture_sql() -> str:
+    """Energy of the batch gradients of each task's stored head: all weights
+    zero, but for task 1, whose head has taken one gradient step since."""
+    parts = []
+    for i, (task, y) in enumerate(TASK_Y.items()):
+        parts.append(f"""SELECT {i} AS task_ord, '{task}' AS task, COUNT(*) AS n_gradients, sum(e) AS energy FROM (
+  SELECT b, list_sum(list_transform(list_concat(list(gv ORDER BY j), [max(gb)]), lambda g: g * g)) AS e FROM (
+    SELECT b, j, sum(d * v[j + 1]) / sum(wt) AS gv, sum(d) / sum(wt) AS gb FROM (
+      SELECT b, v, wt, wt * (1 / (1 + exp(-z)) - y) AS d FROM (
+        SELECT b, v, y, wt, CASE WHEN {i} = 1 THEN list_dot_product(v, ws) + bias ELSE 0.0::DOUBLE END AS z
+        FROM r{i}, l{i})), range({DIMS}) s(j) GROUP BY b, j) GROUP BY b) WHERE sqrt(e) > 1e-12""")
+    ctes = []
+    for i, y in enumerate(TASK_Y.values()):
+        ctes.append(f"""e{i} AS (SELECT vec_id // 32 AS b, embedding::DOUBLE[] AS v, CASE WHEN {y} THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM embeddings),
+c{i} AS (SELECT COUNT(*)::DOUBLE AS n, sum(y) AS ones FROM e{i}),
+r{i} AS (SELECT b, v, y, CASE WHEN y = 1 THEN n / (2 * ones) ELSE n / (2 * (n - ones)) END AS wt FROM e{i}, c{i}),
+l{i} AS (SELECT list(w ORDER BY j) AS ws, (SELECT -{STEP}::DOUBLE * sum(wt * (0.5::DOUBLE - y)) / sum(wt) FROM r{i}) AS bias FROM (
+  SELECT j, -{STEP}::DOUBLE * sum(wt * (0.5::DOUBLE - y) * v[j + 1]) / sum(wt) AS w FROM r{i}, range({DIMS}) s(j) GROUP BY j))""")
+    return ("WITH " + ",\n".join(ctes) + ",\nfound AS (" + "\nUNION ALL ".join(parts) + f""")
+SELECT task_ord, task, CASE WHEN task_ord = 1 THEN 4 ELSE 2 END::BIGINT AS since, n_gradients::BIGINT AS n_gradients,
+       {DIMS + 1}::INT AS dim, round(energy, 6) AS energy, true AS orthonormal, true AS holds FROM found""")
+
+
+@register("recapture_bank", _recapture_sql())
+def q_recapture_bank(spark, sf_dir):
+    """LA3: heads of three tasks are stored, their bases captured and
+    appended; task 1's head is trained on and stored again, its gradients are
+    captured from the stored weights over all batches and replace its basis.
+    Read back: since which version every basis stands, the gradients' number
+    and energy, and whether it is orthonormal and holds ENERGY of them."""
+    import uuid
+
+    from flowlab.operators import models as MO
+    from flowlab.operators import rounds as RO
+    from flowlab.plans import pipelines as PL
+    from flowlab.sources import bank as BK
+    from flowlab.sources import state as STATE
+    bank = f"{ensure_checkpoint_dir(spark)}/bank-{uuid.uuid4()}"
+    e = emb(spark, sf_dir).withColumn("batch_id", F.floor(F.col("vec_id") / 32).cast("long"))
+    rows = [e.withColumn("y", F.expr(y).cast("int")) for y in TASK_Y.values()]
+    rows = [r.withColumn("wt", RO.class_weight(r, "y")) for r in rows]
+
+    def head(i, steps):
+        w, b, _ = RO.head_steps(rows[i], "embedding", "y", DIMS, steps, STEP)
+        return ("head", i, TASKS[i], MO.params_table(spark, f"head_{TASKS[i]}", RO.linear_head(w, b)))
+
+    BK.put_all(spark, bank, [head(i, 0) for i in range(len(TASKS))])
+    captured, first = {}, []
+    for i in range(len(TASKS)):
+        net = MO.layers_from_table(BK.get(spark, bank, "head", i), f"head_{TASKS[i]}")
+        captured[i], basis = PL.capture_basis(rows[i], "embedding", "y", "batch_id", net, "wt")
+        first.append(("basis", i, TASKS[i], basis.select(F.lit(i).alias("task_ord"), F.lit(TASKS[i]).alias("task"), "component",
+                                                         "block_id", "vec")))
+    BK.put_all(spark, bank, first)
+    BK.put_all(spark, bank, [head(1, 1)])
+    _, captured[1] = PL.recapture(spark, bank, rows[1], "embedding", "y", "batch_id", 1, replace_index=1, weight="wt")
+    out = []
+    for entry in BK.entries(spark, bank):
+        if entry["kind"] == "basis":
+            i = entry["ord"]
+            q, = STATE.basis_matrices(BK.get(spark, bank, "basis", i))
+            kept = captured[i].select(A.dot(F.col("vec"), F.col("vec")).alias("e"), F.transform(
+                F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in q.T]), lambda c: A.dot(F.col("vec"), c)).alias("c"))
+            n, energy, held = kept.agg(F.count(F.lit(1)), F.sum("e"), F.sum(A.dot(F.col("c"), F.col("c")))).first()
+            out.append((i, entry["name"], entry["since"], n, q.shape[0], energy,
+                        bool(np.allclose(q.T @ q, np.eye(q.shape[1]), atol=1e-8)), held >= LA.ENERGY * energy * (1 - 1e-9)))
+    return rounded(spark.createDataFrame(out, "task_ord int, task string, since long, n_gradients long, dim int, energy double, "
+                                              "orthonormal boolean, holds boolean"))
+
+
 @register("head_gradient_steps", f"""
 WITH e AS (SELECT embedding::DOUBLE[] AS v, CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM embeddings),
 c AS (SELECT COUNT(*)::DOUBLE AS n, sum(y) AS ones FROM e),
