@@ -2,8 +2,8 @@
 
 * exact quantiles without one task holding a whole group: (group, value)
   counts and running totals over value ranges;
-* isolation forest: one sampling pass (no row explosion), trees grown per
-  ``tree_id`` group of <= 256 rows, scored with the broadcast forest;
+* isolation forest: one sampling pass, all trees grown together level by level,
+  rows walked through the broadcast forest in expressions;
 * Mahalanobis: centred moments, merged pairwise block by block.
 """
 
@@ -21,6 +21,7 @@ from flowlab.functions import arrays as A
 from flowlab.functions.rand import uniform
 from flowlab.operators.models import arrow_matrix
 from flowlab.operators.prefix import value_ranges
+from flowlab.session import cut
 
 ANOMALY_CUT = 0.65  # fixed value: score at or above -> zero-day alert
 
@@ -101,112 +102,102 @@ def score_errors(err: Column, threshold: float) -> dict[str, Column]:
 
 # ------------------------------------------------------- isolation forest
 
-def _c(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    feat, thr, left, right, size = [], [], [], [], []
-
-    def node(idx: np.ndarray, depth: int) -> int:
-        me = len(feat)
-        feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), size.append(len(idx))
-        if depth >= max_depth or len(idx) <= 1:
-            return me
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        ok = np.where(hi > lo)[0]
-        if len(ok) == 0:
-            return me
-        f = int(rng.choice(ok))
-        t = float(rng.uniform(lo[f], hi[f]))
-        feat[me], thr[me] = f, t
-        l_idx, r_idx = idx[sub[:, f] < t], idx[sub[:, f] >= t]
-        left[me] = node(l_idx, depth + 1)
-        right[me] = node(r_idx, depth + 1)
-        return me
-
-    node(np.arange(len(x)), 0)
-    return feat, thr, left, right, size
+def _average_path(n: Column) -> Column:
+    """Mean path length of an unsuccessful search among n rows."""
+    x = n.cast("double")
+    return F.when(n <= 1, F.lit(0.0)).when(n == 2, F.lit(1.0)).otherwise(
+        F.lit(2.0) * (F.ln(F.greatest(x - 1.0, F.lit(1.0))) + F.lit(EULER)) - F.lit(2.0) * (x - 1.0) / x)
 
 
-def fit_isolation_forest(df: DataFrame, vec: str, row_id: str, n_trees: int = 200, max_samples: int = 256,
-                         seed: int = 42) -> DataFrame:
-    """TR6: one sampling pass keeps about n_trees * max_samples rows and
-    deals them to trees (each row in one tree); each tree (<= max_samples
-    rows) grows in its own group.  Returns the forest table."""
-    n = df.count()
-    psi = max(min(max_samples, n), 2)
+EULER = 0.5772156649        # fixed value of the path-length formula
+
+
+def forest_sample(df: DataFrame, vec: str, row_id: str, n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
+    """(tree_id, rid, v): about n_trees * psi rows, each dealt to trees by a
+    counter; a tree keeps its first ``psi`` rows in counter order."""
     want = 1.2 * n_trees * psi  # sampled rows in total: bounded by the forest size, not by n
     rate = min(1.0, want / max(n, 1))
-    copies = max(1, math.ceil(want / max(n, 1)))  # > 1 only when the table is smaller than the forest
-    s = df.select(F.col(row_id).alias("rid"), F.col(vec).alias("v")).where(
-        uniform(F.lit(seed), F.col(row_id), F.lit("if")) < F.lit(rate))
-    s = s.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    s = s.withColumn("tree_id", F.floor(uniform(F.lit(seed), F.col("rid"), F.col("_c"), F.lit("tree")) * n_trees)
-                     .cast("int"))
-    s = s.dropDuplicates(["tree_id", "rid"])
+    times = max(1, math.ceil(want / max(n, 1)))  # > 1 only when the table is smaller than the forest
+    s = df.select(F.col(row_id).alias("rid"), F.col(vec).cast("array<double>").alias("v")).where(
+        uniform(F.lit(seed), F.col("rid"), F.lit("if")) < F.lit(rate))
+    s = s.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    s = s.withColumn("tree_id", F.floor(uniform(F.lit(seed), F.col("rid"), F.col("_c"), F.lit("tree")) * n_trees).cast("int"))
+    s = s.drop("_c").dropDuplicates(["tree_id", "rid"])
     # groups hold about 1.2 * psi rows (bounded), so a per-tree window is cheap
     w = Window.partitionBy("tree_id").orderBy(uniform(F.lit(seed), F.col("rid"), F.col("tree_id")), "rid")
-    s = s.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= psi).drop("_c")
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tid = int(pdf["tree_id"].iloc[0])
-        pdf = pdf.sort_values("rid").head(psi)
-        x = np.stack(pdf["v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        rng = np.random.default_rng([seed, tid])
-        f, t, l, r, sz = _grow(x, rng, max_depth)
-        return pd.DataFrame({"tree_id": [tid], "feature": [f], "threshold": [t], "left": [l], "right": [r],
-                             "size": [sz], "n_samples": [len(x)]})
-
-    schema = ("tree_id int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
-              "size array<int>, n_samples int")
-    # the forest is bounded (n_trees x <= 2 * psi nodes): grow it once and keep it as a small local table
-    trees = s.groupBy("tree_id").applyInPandas(grow, schema).collect()
-    return df.sparkSession.createDataFrame(trees, schema)
-
-
-def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = (np.asarray(tree[k]) for k in ("feature", "threshold", "left", "right", "size"))
-    node = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x))
-    active = feat[node] >= 0
-    while active.any():
-        idx = np.where(active)[0]
-        nd = node[idx]
-        go_left = x[idx, feat[nd]] < thr[nd]
-        node[idx] = np.where(go_left, left[nd], right[nd])
-        depth[idx] += 1
-        active = feat[node] >= 0
-    adj = np.array([_c(s) for s in size])
-    return depth + adj[node]
+    return s.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= psi).drop("_k")
 
 
-def score_isolation_forest(df: DataFrame, vec: str, forest: DataFrame, keep: list[str]) -> DataFrame:
-    """MO6: s = 2^(-E[h(x)] / c(psi)) in [0, 1] with the forest broadcast
-    once (n_trees x nodes, bounded by 200 x 511)."""
-    trees = [r.asDict() for r in forest.collect()]
-    psi = max(t["n_samples"] for t in trees) if trees else 2
-    bc = df.sparkSession.sparkContext.broadcast(trees)
-    cpsi = _c(psi)
-
-    def score(it):
-        ts = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            h = np.mean([_path_lengths(x, t) for t in ts], axis=0)
-            out = pdf[keep].copy()
-            out["if_score"] = np.clip(2.0 ** (-h / cpsi), 0.0, 1.0)
-            yield out
+def fit_isolation_forest(df: DataFrame, vec: str, row_id: str, n_trees: int = 200, max_samples: int = 256,
+                         seed: int = 42) -> DataFrame:
+    """TR6: the forest as a table, one row a tree: ``feature`` (-1 for a leaf),
+    ``threshold`` and ``path`` (a leaf's path length) of its nodes in heap order
+    (the children of i are 2 i + 1 and 2 i + 2), and ``n_samples``.
+
+    All trees grow together, a level a job: bounds of every feature in every
+    node, a split of a feature that varies at a point between its bounds, both
+    drawn by a counter of (seed, tree, node).  The sample has at most n_trees *
+    max_samples rows, the forest 2 * max_samples nodes a tree."""
+    n = df.count()
+    psi = max(min(max_samples, n), 2)
+    depth = int(math.ceil(math.log2(psi)))
+    rows = cut(forest_sample(df, vec, row_id, n_trees, psi, n, seed).withColumn("node", F.lit(0)))
+    counts = rows.groupBy("tree_id").agg(F.count(F.lit(1)).cast("int").alias("n_samples"))
+    nodes = None
+    for level in range(depth + 1):
+        sizes = rows.groupBy("tree_id", "node").agg(F.count(F.lit(1)).alias("size"))
+        spans = rows.select("tree_id", "node", F.posexplode("v").alias("f", "x")).groupBy("tree_id", "node", "f").agg(
+            F.min("x").alias("lo"), F.max("x").alias("hi"))
+        wide = spans.where("hi > lo").groupBy("tree_id", "node").agg(F.array_sort(F.collect_list(F.struct("f", "lo", "hi"))).alias("c"))
+        pick = F.get("c", F.floor(uniform(F.lit(seed), F.col("tree_id"), F.col("node"), F.lit("f")) * F.size("c")).cast("int"))
+        cuts = wide.select("tree_id", "node", pick.alias("c")).select(
+            "tree_id", "node", F.col("c.f").alias("feature"),
+            (F.col("c.lo") + uniform(F.lit(seed), F.col("tree_id"), F.col("node"), F.lit("t")) * (F.col("c.hi") - F.col("c.lo")))
+            .alias("threshold"))
+        split = (F.col("feature").isNotNull()) & (F.col("size") > 1) & F.lit(level < depth)
+        found = cut(sizes.join(cuts, ["tree_id", "node"], "left").select(
+            "tree_id", "node", F.when(split, F.col("feature")).otherwise(-1).alias("feature"),
+            F.when(split, F.col("threshold")).otherwise(0.0).alias("threshold"),
+            F.when(split, 0.0).otherwise(F.lit(float(level)) + _average_path(F.col("size"))).alias("path")))
+        nodes = found if nodes is None else nodes.unionByName(found)
+        if level < depth:
+            moved = rows.join(found.where("feature >= 0").drop("path"), ["tree_id", "node"])
+            right = (F.get("v", F.col("feature")) >= F.col("threshold")).cast("int")
+            rows = cut(moved.select("tree_id", "rid", "v", (2 * F.col("node") + 1 + right).alias("node")))
+    heap = nodes.groupBy("tree_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("node", F.struct("feature", "threshold", "path")))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(2 ** (depth + 1) - 2))
+
+    def in_order(name, default):
+        return F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i)[name], F.lit(default)))
+
+    trees = heap.join(counts, "tree_id").select("tree_id", in_order("feature", -1).alias("feature"),
+                                                in_order("threshold", 0.0).alias("threshold"), in_order("path", 0.0).alias("path"),
+                                                "n_samples")
+    return cut(trees)
+
 
-    return df.select(*keep, vec).mapInPandas(score, _schema(df, keep, "if_score double"))
+def score_isolation_forest(df: DataFrame, vec: str, forest: DataFrame, keep: list[str]) -> DataFrame:
+    """MO6: s = 2^(-E[h(x)] / c(psi)) in [0, 1].  The forest (n_trees x 2 *
+    max_samples nodes) is one broadcast row; a tree is walked by as many steps
+    as it has levels, in expressions."""
+    whole = forest.agg(F.collect_list(F.struct("feature", "threshold", "path")).alias("_fl_trees"),
+                       _average_path(F.greatest(F.max("n_samples"), F.lit(2))).alias("_fl_c")).withColumn("_fl_one", F.lit(1))
+    levels = forest.select(F.max(F.size("path"))).first()[0]
+    depth = int(math.log2((levels or 1) + 1)) - 1
+
+    def leaf(tree):
+        def step(node, _):
+            feature = F.get(tree["feature"], node)
+            right = F.when(F.get(F.col("_fl_x"), feature) >= F.get(tree["threshold"], node), 1).otherwise(0)
+            return F.when(feature < 0, node).otherwise(2 * node + 1 + right)
+        return F.get(tree["path"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)) if depth else F.get(
+            tree["path"], F.lit(0))
+
+    rows = df.select(*keep, F.col(vec).cast("array<double>").alias("_fl_x")).withColumn("_fl_one", F.lit(1))
+    paths = F.aggregate(F.transform("_fl_trees", leaf), F.lit(0.0), lambda a, p: a + p) / F.size("_fl_trees")
+    score = F.pow(F.lit(2.0), -paths / F.col("_fl_c"))
+    return rows.join(F.broadcast(whole), "_fl_one").select(*keep, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("if_score"))
 
 
 # ------------------------------------------------------------ Mahalanobis

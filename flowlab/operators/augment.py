@@ -3,12 +3,10 @@ depends only on (seed, row id, element, view), never on partitioning."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.rand import row_seeds, stream_normals, stream_uniforms
+from flowlab.functions.rand import row_seeds, stream_normals, stream_uniforms, uniform
 
 
 def noise(v: Column, row_id: Column, stddev: float = 0.05, view: str = "n", seed: int = 42,
@@ -54,28 +52,39 @@ def fixmatch_views(df: DataFrame, vec: str, row_id: str, seed: int = 42) -> Data
                      strong(F.col(vec), F.col(row_id), "s", seed).alias("view_strong"))
 
 
+DRAWS = 64      # tries of the rejection sampler in one expression; all fail with probability below 1e-27 at alpha 0.75
+
+
+def beta(alpha: float, *parts) -> Column:
+    """A Beta(alpha, alpha) number from a counter (Johnk): the first pair
+    u^(1/alpha), v^(1/alpha) with sum up to 1, as its first share; 1/2 where
+    none of DRAWS pairs is accepted."""
+    def share(k):
+        a = F.pow(uniform(*parts, k, "u"), F.lit(1.0 / alpha))
+        b = F.pow(uniform(*parts, k, "v"), F.lit(1.0 / alpha))
+        return F.struct((a + b).alias("s"), a.alias("a"))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), share)
+    first = F.get(F.filter(tries, lambda t: (t["s"] <= 1) & (t["s"] > 0)), 0)
+    return F.coalesce(first["a"] / first["s"], F.lit(0.5))
+
+
 def mixup(batched: DataFrame, vec: str, y: str, n_classes: int = 2, alpha: float = 0.75,
           seed: int = 42) -> DataFrame:
     """AU6: per batch one lambda ~ Beta(alpha, alpha), lambda = max(l, 1-l);
     each row mixes with a permuted partner of its own batch, for x and the
-    one-hot target.  One group = one batch (bounded by the batch size)."""
+    one-hot target.  The partner of the n-th row is the n-th in hash order;
+    windows span one batch (bounded by the batch size)."""
     keep = [c for c in batched.columns if c not in (vec, y)]
-
-    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        bid = int(pdf["batch_id"].iloc[0])
-        rng = np.random.default_rng([seed, bid])
-        lam = rng.beta(alpha, alpha)
-        lam = max(lam, 1.0 - lam)
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        perm = rng.permutation(len(pdf))
-        x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        yy = np.eye(n_classes)[pdf[y].to_numpy().astype(int)]
-        out = pdf[keep].copy()
-        out["lam"] = lam
-        out["x_mix"] = list(lam * x + (1 - lam) * x[perm])
-        out["y_mix"] = list(lam * yy + (1 - lam) * yy[perm])
-        return out
-
-    schema = batched.select(*keep).schema.simpleString()[len("struct<"):-1]
-    return batched.groupBy("batch_id").applyInPandas(
-        mix, f"{schema},lam double,x_mix array<double>,y_mix array<double>")
+    own = Window.partitionBy("batch_id")
+    rows = batched.withColumn("_place", F.row_number().over(own.orderBy("pos"))).withColumn(
+        "_turn", F.row_number().over(own.orderBy(uniform(F.lit(seed), F.col("batch_id"), F.col("pos"), F.lit("perm")), "pos")))
+    partner = rows.select("batch_id", F.col("_turn").alias("_place"), F.col(vec).alias("_x2"), F.col(y).alias("_y2"))
+    pairs = rows.join(partner, ["batch_id", "_place"]).withColumn("_l", beta(alpha, F.lit(seed), F.col("batch_id")))
+    pairs = pairs.withColumn("lam", F.greatest(F.col("_l"), F.lit(1.0) - F.col("_l")))
+    lam, rest = F.col("lam"), F.lit(1.0) - F.col("lam")
+    classes = F.sequence(F.lit(0), F.lit(n_classes - 1))
+    return pairs.select(
+        *keep, "lam",
+        F.zip_with(vec, "_x2", lambda a, b: lam * a.cast("double") + rest * b.cast("double")).alias("x_mix"),
+        F.transform(classes, lambda c: lam * (F.col(y) == c).cast("double") + rest * (F.col("_y2") == c).cast("double")).alias("y_mix"))

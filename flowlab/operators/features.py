@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab.operators.prefix import rank_by_value
+from flowlab.session import broadcast_if_small, cut
 
 # Label / leakage columns never used as features.
 KNOWN_LABEL_COLUMNS = ["Label", "label", "attack_cat", "AttackLabel", "AttackCategory"]
@@ -172,10 +173,112 @@ def fit(df: DataFrame, label_col: str | None = "Label", drop_cols: list[str] | N
         voc[r["column"]].append((r["position"], r["value"]))
     st.vocab = {c: [v for _, v in sorted(vs)] for c, vs in voc.items()}
     if label_col and label_col in df.columns:
-        st.classes = sorted(r[0] for r in df.select(F.col(label_col).cast("string")).distinct().collect())
+        st.classes = sorted(r[0] for r in df.select(F.col(label_col).cast("string")).distinct().collect() if r[0] is not None)
     return st
 
 
+# ----------------------------------------------------------------- sparse
+
+SALTS = 16              # parts of the rows that share a value, where a vocabulary has to be joined by a shuffle
+
+
+@dataclass
+class SparseState:
+    """Fitted state whose vocabularies stay tables: ``vocab`` (column,
+    position, value); only one number a column reaches the driver."""
+    numeric: list[str]
+    categorical: list[str]
+    mean: dict[str, float]
+    std: dict[str, float]
+    sizes: dict[str, int]
+    vocab: DataFrame
+
+    @property
+    def dim(self) -> int:
+        return len(self.numeric) + sum(self.sizes[c] for c in self.categorical)
+
+    def offset(self, column: str) -> int:
+        """Place of a column's first value in the feature vector."""
+        before = self.categorical[:self.categorical.index(column)]
+        return len(self.numeric) + sum(self.sizes[c] for c in before)
+
+    def save(self, path: str) -> None:
+        """IO9: two tables; the vocabulary is written by the executors."""
+        rows = [("numeric", i, c, self.mean[c], self.std[c], None) for i, c in enumerate(self.numeric)]
+        rows += [("categorical", i, c, None, None, self.sizes[c]) for i, c in enumerate(self.categorical)]
+        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        self.vocab.sparkSession.createDataFrame(
+            rows, "kind string, ord int, column string, mean double, std double, size long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/columns")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "SparseState":
+        rows = sorted(spark.read.parquet(f"{path}/columns").collect(), key=lambda r: r["ord"])      # one row a column
+        numeric, categorical = ([r for r in rows if r["kind"] == k] for k in ("numeric", "categorical"))
+        return SparseState([r["column"] for r in numeric], [r["column"] for r in categorical],
+                           {r["column"]: r["mean"] for r in numeric}, {r["column"]: r["std"] for r in numeric},
+                           {r["column"]: r["size"] for r in categorical}, spark.read.parquet(f"{path}/vocab"))
+
+
+def fit_sparse(df: DataFrame, label_col: str | None = "Label", drop_cols: list[str] | None = None) -> SparseState:
+    """``fit`` for columns of any cardinality, on a cleaned frame."""
+    x = split_features(df, label_col, drop_cols)
+    numeric = [f.name for f in x.schema.fields if is_numeric(f.dataType)]
+    categorical = [c for c in x.columns if c not in numeric]
+    stats = scaler_stats(x, numeric).collect() if numeric else []
+    vocab = cut(vocabularies(x, categorical))
+    sizes = {r["column"]: r["n"] for r in vocab.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return SparseState(numeric, categorical, {r["column"]: r["mean"] for r in stats}, {r["column"]: r["std"] for r in stats},
+                       {c: sizes.get(c, 0) for c in categorical}, vocab)
+
+
+def positions(df: DataFrame, st: SparseState) -> DataFrame:
+    """``df`` with ``_pos_<column>``: the value's place in its vocabulary, null
+    where it is unseen.  A vocabulary that is measured and small is broadcast;
+    a larger one is joined by (value, salt), so a value that fills a third of
+    the rows is spread over SALTS tasks."""
+    out = df
+    for c in st.categorical:
+        table = st.vocab.where(F.col("column") == c).select(F.col("value").alias("_voc"), F.col("position").alias(f"_pos_{c}"))
+        small = broadcast_if_small(table, known_rows=st.sizes[c]) if st.sizes[c] < SMALL_VOCABULARY else broadcast_if_small(table)
+        value = F.col(f"`{c}`").cast("string")
+        if small is not table:
+            out = out.join(small, value == F.col("_voc"), "left").drop("_voc")
+            continue
+        rows = out.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]), F.lit(SALTS)))
+        salted = table.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        out = rows.join(salted, (value == F.col("_voc")) & (F.col("_salt") == F.col("_s")), "left").drop("_voc", "_s", "_salt")
+    return out
+
+
+SMALL_VOCABULARY = 1000     # values whose bytes needn't be measured
+
+
+def sparse_one_hot(df: DataFrame, st: SparseState, keep: list[str]) -> DataFrame:
+    """PR10: per categorical column ``<column>_size``, ``_indices`` and
+    ``_values``; an unseen value has no entry."""
+    cols = [F.col(f"`{k}`") for k in keep]
+    for c in st.categorical:
+        at = F.col(f"_pos_{c}")
+        cols += [F.lit(st.sizes[c]).cast("int").alias(f"{c}_size"),
+                 F.when(at.isNotNull(), F.array(at)).otherwise(F.array().cast("array<int>")).alias(f"{c}_indices"),
+                 F.when(at.isNotNull(), F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias(f"{c}_values")]
+    return positions(df, st).select(*cols)
+
+
+def sparse_features(df: DataFrame, st: SparseState, keep: list[str]) -> DataFrame:
+    """PR11: ``size``, ``indices`` and ``values`` of the feature vector: the
+    scaled numbers, then one entry for every categorical value that is known."""
+    found = F.filter(F.array(*[F.col(f"_pos_{c}") + F.lit(st.offset(c)) for c in st.categorical]).cast("array<int>"),
+                     lambda i: i.isNotNull())
+    scaled = F.array(*[(F.col(f"`{c}`").cast("double") - F.lit(st.mean[c])) / F.lit(st.std[c]) for c in st.numeric]).cast(
+        "array<double>")
+    places = F.array(*[F.lit(i) for i in range(len(st.numeric))]).cast("array<int>")
+    return positions(df, st).select(
+        *[F.col(f"`{k}`") for k in keep], F.lit(st.dim).cast("int").alias("size"), F.concat(places, found).alias("indices"),
+        F.concat(scaled, F.transform(found, lambda _: F.lit(1.0))).alias("values"))
+
+
 # ------------------------------------------------------------------ apply
 
 def align(df: DataFrame, st: FeatureState, keep: list[str] | None = None) -> DataFrame:

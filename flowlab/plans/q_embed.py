@@ -22,6 +22,7 @@ from flowlab.operators import models as MO
 from flowlab.plans.bindings import scored_documents
 from flowlab.plans.catalog import register, rounded
 from flowlab.plans.q_eval import BEST_F1, CURVE, SCORED_DOCS, _binary_metric_cols, _div0, dlit
+from flowlab.session import cut
 from flowlab.sources.tables import table
 
 DIM = 64
@@ -93,12 +94,28 @@ def q_l2_normalize(spark, sf_dir):
     return rounded(e.select("vec_id", A.l2_normalize(F.col("embedding")).alias("unit")))
 
 
-@register("mixup")
+def _mixup_sql() -> str:
+    u, v = (f"pow({sql_uniform('42', 'batch_id', 'k', chr(39) + x + chr(39))}, {dlit(1 / 0.75)})" for x in ("u", "v"))
+    return f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, CAST(label >= 5 AS INTEGER) AS y, CAST(vec_id // 32 AS BIGINT) AS batch_id,
+  CAST(vec_id % 32 AS INTEGER) AS pos FROM embeddings),
+draws AS (SELECT batch_id, k, {u} AS a, {v} AS b FROM (SELECT DISTINCT batch_id FROM e), range({AU.DRAWS}) r(k)),
+lam AS (SELECT batch_id, greatest(arg_min(a / (a + b), k), 1 - arg_min(a / (a + b), k)) AS lam FROM draws
+        WHERE a + b <= 1 AND a + b > 0 GROUP BY batch_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS place,
+      row_number() OVER (PARTITION BY batch_id ORDER BY {sql_uniform('42', 'batch_id', 'pos', chr(39) + 'perm' + chr(39))}, pos) AS shuffled FROM e)
+SELECT r.vec_id, r.batch_id, r.pos, round(lam, 6) AS lam,
+  list_transform(r.x, lambda a, i: round(lam * a + (1 - lam) * q.x[i], 6)) AS x_mix,
+  [round(lam * CAST(r.y = 0 AS INTEGER) + (1 - lam) * CAST(q.y = 0 AS INTEGER), 6),
+   round(lam * CAST(r.y = 1 AS INTEGER) + (1 - lam) * CAST(q.y = 1 AS INTEGER), 6)] AS y_mix
+FROM r JOIN r q ON q.batch_id = r.batch_id AND q.shuffled = r.place JOIN lam ON lam.batch_id = r.batch_id"""
+
+
+@register("mixup", _mixup_sql())
 def q_mixup(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("y"),
                                   F.floor(F.col("vec_id") / 32).cast("long").alias("batch_id"),
                                   (F.col("vec_id") % 32).cast("int").alias("pos"))
-    return AU.mixup(e, "embedding", "y")
+    return rounded(AU.mixup(e, "embedding", "y"))
 
 
 # ------------------------------------------------------------- calibration
@@ -439,14 +456,54 @@ def q_mahalanobis(spark, sf_dir):
     return rounded(AN.mahalanobis(e, "embedding", mu, inv, ["vec_id"]))
 
 
-@register("iforest")
+TREES, PSI = 200, 256
+
+
+def _forest_sql(levels: int = 8) -> str:
+    """The forest level by level, and every row's walk through it.  ``levels``
+    is the depth for PSI rows; a smaller table makes shallower trees."""
+    u = sql_uniform
+    ctes = [f"b AS (SELECT vec_id AS rid, embedding::DOUBLE[] AS v FROM embeddings WHERE label <= {BENIGN_MAX_LABEL})",
+            f"""size AS (SELECT *, ceil(log2(psi)) AS depth, least(1.0::DOUBLE, {dlit(1.2)} * {TREES} * psi / n) AS rate,
+      greatest(1, ceil({dlit(1.2)} * {TREES} * psi / n))::BIGINT AS times
+      FROM (SELECT COUNT(*) AS n, greatest(least({PSI}, COUNT(*)), 2) AS psi FROM b))""",
+            f"""dealt AS (SELECT DISTINCT rid, CAST(floor({u('42', 'rid', 'c', "'tree'")} * {TREES}) AS INTEGER) AS t
+      FROM b, size, range(1, times + 1) r(c) WHERE {u('42', 'rid', "'if'")} < rate)""",
+            f"""s0 AS (SELECT t, dealt.rid, v, 0 AS node FROM (
+      SELECT t, rid, row_number() OVER (PARTITION BY t ORDER BY {u('42', 'rid', 't')}, rid) AS k FROM dealt) dealt
+      JOIN b ON b.rid = dealt.rid, size WHERE k <= psi)""",
+            "w0 AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, t, 0 AS node FROM embeddings, (SELECT DISTINCT t FROM s0))"]
+    for d in range(levels + 1):
+        ctes += [f"f{d} AS (SELECT t, node, i, min(x) AS lo, max(x) AS hi FROM (SELECT t, node, unnest(v) AS x, "
+                 f"generate_subscripts(v, 1) AS i FROM s{d}) GROUP BY t, node, i)",
+                 f"c{d} AS (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY i) - 1 AS k, COUNT(*) OVER (PARTITION BY t, node) AS m "
+                 f"FROM f{d} WHERE hi > lo)",
+                 f"p{d} AS MATERIALIZED (SELECT t, node, i, lo + {u('42', 't', 'node', chr(39) + 't' + chr(39))} * (hi - lo) AS thr FROM c{d}, size "
+                 f"WHERE {d} < depth AND k = CAST(floor({u('42', 't', 'node', chr(39) + 'f' + chr(39))} * m) AS BIGINT))",
+                 f"l{d} AS (SELECT t, node, {d} + {_sql_path('COUNT(*)')} AS path FROM s{d} ANTI JOIN p{d} USING (t, node) GROUP BY t, node)",
+                 f"s{d + 1} AS MATERIALIZED (SELECT t, rid, v, 2 * node + 1 + CAST(v[i] >= thr AS INTEGER) AS node FROM s{d} JOIN p{d} USING (t, node))",
+                 f"w{d + 1} AS MATERIALIZED (SELECT vec_id, label, v, t, 2 * node + 1 + CAST(v[i] >= thr AS INTEGER) AS node FROM w{d} JOIN p{d} USING (t, node))"]
+    paths = "\n  UNION ALL ".join(f"SELECT vec_id, label, path FROM w{d} JOIN l{d} USING (t, node)" for d in range(levels + 1))
+    ctes += [f"paths AS ({paths})", "psi AS (SELECT max(n) AS n FROM (SELECT COUNT(*) AS n FROM s0 GROUP BY t))",
+             f"""scored AS (SELECT vec_id, label, least(greatest(pow(2.0::DOUBLE, -avg(path) / (SELECT {_sql_path('greatest(n, 2)')} FROM psi)), 0.0), 1.0)
+      AS s FROM paths GROUP BY vec_id, label)""",
+             f"cut AS (SELECT quantile_cont(s, 0.95) AS c FROM scored WHERE label <= {BENIGN_MAX_LABEL})"]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, label, round(s, 6) AS if_score, s > c AS is_anomaly FROM scored, cut"
+
+
+def _sql_path(n: str) -> str:
+    return (f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln(greatest({n} - 1, 1)::DOUBLE) + {dlit(AN.EULER)}) "
+            f"- 2.0::DOUBLE * ({n} - 1) / ({n})::DOUBLE END")
+
+
+@register("iforest", _forest_sql())
 def q_iforest(spark, sf_dir):
     e = emb(spark, sf_dir)
     benign = e.where(F.col("label") <= BENIGN_MAX_LABEL)
-    forest = AN.fit_isolation_forest(benign, "embedding", "vec_id")
-    cut = AN.isolation_threshold(forest, benign, "embedding")
-    s = AN.score_isolation_forest(e, "embedding", forest, ["vec_id", "label"])
-    return s.withColumn("is_anomaly", F.col("if_score") > F.lit(cut))
+    forest = AN.fit_isolation_forest(benign, "embedding", "vec_id", TREES, PSI)
+    s = cut(AN.score_isolation_forest(e, "embedding", forest, ["vec_id", "label"]))
+    at = AN.exact_percentile(s.where(F.col("label") <= BENIGN_MAX_LABEL), "if_score", 0.95).first()[0]
+    return rounded(s.withColumn("is_anomaly", F.col("if_score") > F.lit(at)))
 
 
 # ------------------------------------------------------------------ alerts
@@ -823,6 +880,17 @@ def q_project_nullspace(spark, sf_dir):
     return rounded(LA.project_frame(e.select("vec_id", "embedding"), "embedding", BASES, "projected", "sequential"))
 
 
+@register("project_blocked", f"SELECT vec_id, {_r6_list(_sql_project('list_transform(embedding, lambda x: CAST(x AS DOUBLE))', BASES[0]))} "
+          "AS projected FROM embeddings")
+def q_project_blocked(spark, sf_dir):
+    """LA2 on blocked tables, for parameter axes of any length."""
+    rows = [(c, b, BASES[0][16 * b:16 * b + 16, c].tolist()) for c in range(BASES[0].shape[1]) for b in range(DIM // 16)]
+    basis = spark.createDataFrame(rows, "component int, block_id int, vec array<double>")
+    out = LA.project_blocked(LA.to_blocks(emb(spark, sf_dir), "vec_id", "embedding", 16), basis, "vec_id")
+    whole = out.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "sub"))).alias("s"))
+    return rounded(whole.select("vec_id", F.flatten(F.transform("s", lambda b: b["sub"])).alias("projected")))
+
+
 @register("svd_basis", f"WITH {BM_SQL},\ne AS (SELECT CAST(row_id AS BIGINT) AS row_id, list_sum(list_transform(vec, "
           "lambda x: x * x)) AS e FROM bm)\nSELECT row_id, round(e, 6) AS energy, round(e, 6) AS projected_energy FROM e")
 def q_svd_basis(spark, sf_dir):

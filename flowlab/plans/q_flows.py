@@ -242,22 +242,28 @@ def q_fit_vocab(spark, sf_dir):
     return FT.vocabularies(d, CAT)
 
 
-def _sql_one_hot(c: str) -> str:
-    return (f"(SELECT list(CASE WHEN v = {c} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ORDER BY v) "
-            f"FROM (SELECT DISTINCT {c} AS v FROM clean))")
+VOCAB_SQL = ",\n" + ",\n".join(f"voc_{c} AS (SELECT list(DISTINCT {c} ORDER BY {c}) AS vocab FROM clean)" for c in CAT)
 
 
-VOCAB_SQL = ",\n" + ",\n".join(f"voc_{c} AS (SELECT list(DISTINCT {c} ORDER BY {c}) AS vocab FROM clean)" for c in CAT)
+def _sql_place(c: str) -> str:
+    """0-based place of a row's value in the vocabulary."""
+    return f"CAST(list_position(voc_{c}.vocab, clean.{c}) - 1 AS INTEGER)"
+
+
+VOCABS = " ".join(f"CROSS JOIN voc_{c}" for c in CAT)
+
+
+def _sparse_state(spark, sf_dir) -> FT.SparseState:
+    d = dirty_flows(spark, sf_dir).select(*NUM, *CAT, "Label")
+    return FT.fit_sparse(FT.clean(d, numeric=NUM), label_col="Label")
 
 
 @register("one_hot", CLEAN_SQL + VOCAB_SQL + "\nSELECT flow_id, " + ", ".join(
-    f"list_transform(voc_{c}.vocab, lambda v: CASE WHEN v = clean.{c} THEN CAST(1 AS DOUBLE) "
-    f"ELSE CAST(0 AS DOUBLE) END) AS oh_{c}" for c in CAT)
-    + " FROM clean " + " ".join(f"CROSS JOIN voc_{c}" for c in CAT))
+    f"CAST(len(voc_{c}.vocab) AS INTEGER) AS {c}_size, [{_sql_place(c)}] AS {c}_indices, [CAST(1 AS DOUBLE)] AS {c}_values"
+    for c in CAT) + f" FROM clean {VOCABS}")
 def q_one_hot(spark, sf_dir):
-    st = _fitted_state(spark, sf_dir)
     d = FT.clean(dirty_flows(spark, sf_dir).select("flow_id", *NUM, *CAT), numeric=NUM)
-    return d.select("flow_id", *[FT.one_hot(c, st).alias(f"oh_{c}") for c in CAT])
+    return FT.sparse_one_hot(d, _sparse_state(spark, sf_dir), ["flow_id"])
 
 
 @register("encode_labels", CLEAN_SQL + """,
@@ -269,18 +275,28 @@ def q_encode_labels(spark, sf_dir):
     return d.select("flow_id", "Label", FT.encode_label(F.col("Label"), st).alias("label_id"))
 
 
-@register("feature_vectors", CLEAN_SQL + STATS_SQL + VOCAB_SQL + """,
+def _sql_offset(c: str) -> str:
+    return " + ".join([str(len(NUM)), *[f"len(voc_{x}.vocab)" for x in CAT[:CAT.index(c)]]])
+
+
+@register("feature_vectors", CLEAN_SQL + STATS_SQL + VOCAB_SQL + f""",
 cls AS (SELECT list(DISTINCT Label ORDER BY Label) AS classes FROM clean)
-SELECT flow_id, list_transform(list_concat(["""
-          + ", ".join(f"({c} - m_{c}) / s_{c}" for c in NUM) + "], "
-          + ", ".join(f"list_transform(voc_{c}.vocab, lambda v: CASE WHEN v = clean.{c} THEN CAST(1 AS DOUBLE) "
-                      f"ELSE CAST(0 AS DOUBLE) END)" for c in CAT)
-          + "), lambda x: round(x, 6)) AS features, CAST(list_position(classes, Label) - 1 AS INTEGER) AS y "
-          + "FROM clean CROSS JOIN stats CROSS JOIN cls " + " ".join(f"CROSS JOIN voc_{c}" for c in CAT))
+SELECT flow_id, CAST({len(NUM)} + {" + ".join(f"len(voc_{c}.vocab)" for c in CAT)} AS INTEGER) AS size,
+  [{", ".join(f"{i}::INTEGER" for i in range(len(NUM)))}, {", ".join(f"CAST({_sql_place(c)} + {_sql_offset(c)} AS INTEGER)" for c in CAT)}] AS indices,
+  list_transform([{", ".join(f"({c} - m_{c}) / s_{c}" for c in NUM)}, {", ".join("CAST(1 AS DOUBLE)" for _ in CAT)}], lambda x: round(x, 6)) AS "values",
+  CAST(list_position(classes, Label) - 1 AS INTEGER) AS y
+FROM clean CROSS JOIN stats CROSS JOIN cls {VOCABS}""")
 def q_feature_vectors(spark, sf_dir):
-    st = _fitted_state(spark, sf_dir)
-    d = dirty_flows(spark, sf_dir).select("flow_id", *NUM, *CAT, "Label")
-    return rounded(FT.transform(d, st, label_col="Label", keep=["flow_id"]))
+    st, labels = _sparse_state(spark, sf_dir), _classes(spark, sf_dir)
+    d = FT.clean(dirty_flows(spark, sf_dir).select("flow_id", *NUM, *CAT, "Label"), numeric=NUM)
+    x = FT.sparse_features(d, st, ["flow_id", "Label"])
+    return rounded(x.select("flow_id", "size", "indices", "values", FT.encode_label(F.col("Label"), labels).alias("y")))
+
+
+def _classes(spark, sf_dir) -> FT.FeatureState:
+    """The label classes alone (two)."""
+    found = dirty_flows(spark, sf_dir).select("Label").distinct().collect()
+    return FT.FeatureState([], [], classes=sorted(r[0] for r in found))
 
 
 @register("align_schema", f"""

@@ -96,12 +96,14 @@ def q_cic_folder(spark, sf_dir):
 
 @register("stored_features", REGISTRY["feature_vectors"][1])
 def q_stored_features(spark, sf_dir):
-    """IO9: the feature state is saved, loaded and applied."""
+    """IO9: the feature state, its vocabularies as tables, is saved, loaded and applied."""
     path = scratch(spark, "features")
-    QF._fitted_state(spark, sf_dir).save(spark, path)
-    st = FT.FeatureState.load(spark, path)
-    d = QF.dirty_flows(spark, sf_dir).select("flow_id", *QF.NUM, *QF.CAT, "Label")
-    return rounded(FT.transform(d, st, label_col="Label", keep=["flow_id"]))
+    QF._sparse_state(spark, sf_dir).save(path)
+    st = FT.SparseState.load(spark, path)
+    d = FT.clean(QF.dirty_flows(spark, sf_dir).select("flow_id", *QF.NUM, *QF.CAT, "Label"), numeric=QF.NUM)
+    x = FT.sparse_features(d, st, ["flow_id", "Label"])
+    return rounded(x.select("flow_id", "size", "indices", "values",
+                            FT.encode_label(F.col("Label"), QF._classes(spark, sf_dir)).alias("y")))
 
 
 @register("stored_heads", REGISTRY["head_scores"][1])
