@@ -192,3 +192,64 @@ def q_stream_dedup(spark, sf_dir):
     once = ST.dedup_alerts(a, ["user_id", "attack_type", "hour"]).select("user_id", "attack_type", "hour")
     ST.run_available(once, f"{path}/out", f"{path}/state")
     return spark.read.schema(once.schema).parquet(f"{path}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+# ------------------------------------------------- streams run twice
+
+# The first half of the events in time arrives first; the rest arrives after a
+# restart, together with a tenth of the rows of a day and more before it.
+ARRIVAL_SQL = f"""{ALERTS_SQL},
+half AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS mid FROM events),
+told AS (SELECT s.*, CAST(flow_id AS BIGINT) % 10 = 3 AND epoch_us(ts) < mid - 86400000000 AS late, epoch_us(ts) < mid AS early
+         FROM sev s, half)"""
+
+
+def _in_two_parts(spark: SparkSession, sf_dir: str, path: str, query) -> None:
+    """Run ``query(stream of events)`` to its end over the first part of the
+    events, then again, from the same checkpoint, after the second came in."""
+    ev = table(spark, sf_dir, "events").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    lo, hi = ev.agg(F.min("_us"), F.max("_us")).first()
+    at = lo + (hi - lo) // 2
+    late = (F.col("event_id") % 10 == 3) & (F.col("_us") < at - 86_400_000_000)
+    first = (F.col("_us") < at) & ~late
+    for part in (first, ~first):
+        ev.where(part).drop("_us").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        query(ST.event_alerts(ST.events_stream(spark, f"{path}/in")))
+
+
+@register("stream_windows", f"""WITH {ARRIVAL_SQL},
+mark AS (SELECT (SELECT max(ts) FROM told WHERE early AND NOT late) - INTERVAL 2 hours AS one, (SELECT max(ts) FROM told) - INTERVAL 2 hours AS two),
+w AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, severity, early AND NOT late AS first_part FROM told)
+SELECT window_start, window_start + INTERVAL 1 hour AS window_end, severity, CAST(COUNT(*) AS BIGINT) AS n FROM w, mark
+WHERE (first_part OR window_start + INTERVAL 1 hour > one) AND window_start + INTERVAL 1 hour <= two GROUP BY ALL""")
+def q_stream_windows(spark, sf_dir):
+    """ST2 as a stream with state: hourly counts, stopped and started again;
+    rows behind the watermark are left out, open windows aren't written."""
+    path = scratch(spark, "windows")
+    _in_two_parts(spark, sf_dir, path, lambda a: ST.run_available(
+        ST.alert_counts(a, "1 hour", watermark="2 hours"), f"{path}/out", f"{path}/state"))
+    return spark.read.parquet(f"{path}/out")
+
+
+@register("stream_sessions", f"""WITH {ARRIVAL_SQL},
+a AS (SELECT user_id, time_bucket(INTERVAL 10 minutes, ts) AS ts, early AND NOT late AS first_part FROM told WHERE attack_type IS NOT NULL),
+mark AS (SELECT (SELECT max(ts) FROM a WHERE first_part) - INTERVAL 2 hours AS one, (SELECT max(ts) FROM a) - INTERVAL 2 hours AS two),
+kept AS (SELECT user_id, ts FROM a, mark WHERE first_part OR ts + INTERVAL 30 minutes > one),
+g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 minutes THEN 1 ELSE 0 END AS nw
+      FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g),
+f AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 minutes AS session_end, CAST(COUNT(*) AS BIGINT) AS n
+      FROM s GROUP BY user_id, sid)
+SELECT f.* FROM f, mark WHERE session_end <= two""")
+def q_stream_sessions(spark, sf_dir):
+    """ST4 as a stream with state: bursts of attacks per user on a grid of ten
+    minutes, so gaps of exactly half an hour occur; stopped and started again."""
+    path = scratch(spark, "sessions")
+
+    def run(alerts):
+        grid = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 600) * 600)
+        attacks = alerts.where(F.col("attack_type").isNotNull()).withColumn("ts", grid)
+        ST.run_available(ST.alert_sessions(attacks, "30 minutes", watermark="2 hours"), f"{path}/out", f"{path}/state")
+
+    _in_two_parts(spark, sf_dir, path, run)
+    return spark.read.parquet(f"{path}/out")
