@@ -1,9 +1,9 @@
 """Deterministic automaton over bytes for a set of regular expressions.
 
-``compile_rules`` parses each rule, joins them in one non-deterministic
-automaton that may start anywhere, determinises it (subset construction over
-byte classes) and minimises it (partition refinement).  The result is a
-table ``next[state, class]`` with the rules accepted in each state.
+``Automaton`` parses each rule, joins them in one non-deterministic automaton
+that may start anywhere, determinises it (subset construction over byte
+classes) and minimises it (partition refinement).  The result is a table
+``next[state, class]`` with the rules accepted in each state.
 
 ``Automaton.scan`` reads every byte once.  Many stretches of the text advance
 in step: a stretch may begin wherever the last three byte classes lead every
@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-_P, _C = re._parser, re._constants  # the standard library's regex parser
+EVERY = frozenset(range(256))
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,115 @@ class Rule:
         return m is not None and len(m.group(self.group)) >= self.min_length
 
 
+# ---------------------------------------------------------------- patterns
+
+class Pattern:
+    """A pattern as nested tuples: ("set", bytes), ("cat", parts), ("or",
+    branches), ("repeat", part, least, most or None).  Literals, escapes, ``.``,
+    classes, groups, alternatives and greedy repeats are known; anything else
+    raises ValueError."""
+
+    def __init__(self, pattern: str, ignore_case: bool = False):
+        self.text, self.at, self.fold = pattern, 0, ignore_case
+        self.tree = self._branches()
+        if self.at < len(pattern):
+            raise ValueError(f"unmatched ) in {pattern!r}")
+
+    def _peek(self) -> str:
+        return self.text[self.at:self.at + 1]
+
+    def _take(self) -> str:
+        if self.at >= len(self.text):
+            raise ValueError(f"{self.text!r} ends too early")
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def _branches(self):
+        out = [self._sequence()]
+        while self._peek() == "|":
+            self.at += 1
+            out.append(self._sequence())
+        return out[0] if len(out) == 1 else ("or", out)
+
+    def _sequence(self):
+        parts = []
+        while self._peek() not in ("", "|", ")"):
+            parts.append(self._repeats(self._atom()))
+        return ("cat", parts)
+
+    def _atom(self):
+        ch = self._take()
+        if ch == "(":
+            if self.text.startswith("?:", self.at):
+                self.at += 2
+            elif self._peek() == "?":
+                raise ValueError(f"unsupported group in {self.text!r}")
+            inner = self._branches()
+            if self._take() != ")":
+                raise ValueError(f"missing ) in {self.text!r}")
+            return inner
+        if ch == "[":
+            return ("set", self._class())
+        if ch == ".":
+            return ("set", EVERY - {10})
+        if ch in "*+?{^$":
+            raise ValueError(f"unsupported {ch} in {self.text!r}")
+        return ("set", self._folded({self._escape() if ch == "\\" else ord(ch)}))
+
+    def _escape(self) -> int:
+        ch = self._take()
+        if ch == "x":
+            return int(self._take() + self._take(), 16)
+        if ch in "tnrfv":
+            return {"t": 9, "n": 10, "r": 13, "f": 12, "v": 11}[ch]
+        if ch.isalnum():
+            raise ValueError(f"unsupported escape {ch} in {self.text!r}")
+        return ord(ch)
+
+    def _class(self) -> frozenset[int]:
+        negate = self._peek() == "^"
+        self.at += negate
+        out, first = set(), True
+        while first or self._peek() != "]":
+            first, low = False, self._member()
+            if self._peek() == "-" and self.text[self.at + 1:self.at + 2] != "]":
+                self.at += 1
+                out.update(range(low, self._member() + 1))
+            else:
+                out.add(low)
+        self.at += 1
+        out = self._folded(out)
+        return EVERY - out if negate else out
+
+    def _member(self) -> int:
+        ch = self._take()
+        return self._escape() if ch == "\\" else ord(ch)
+
+    def _folded(self, members: set[int]) -> frozenset[int]:
+        if max(members) > 127:
+            raise ValueError(f"a rule's characters are ASCII: {self.text!r}")
+        if self.fold:
+            members = members | {ord(chr(b).swapcase()) for b in members if chr(b).isalpha()}
+        return frozenset(members)
+
+    def _repeats(self, part):
+        while self._peek() and self._peek() in "*+?{":
+            ch = self._take()
+            if ch == "{":
+                stop = self.text.index("}", self.at)
+                low, comma, high = self.text[self.at:stop].partition(",")
+                self.at = stop + 1
+                least, most = int(low), int(low) if not comma else int(high) if high else None
+            else:
+                least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[ch]
+            if self._peek() and self._peek() in "?+":
+                raise ValueError(f"unsupported kind of repeat in {self.text!r}")
+            part = ("repeat", part, least, most)
+        return part
+
+
+# ---------------------------------------------------------------- automata
+
 class _Nfa:
     """Thompson construction; ``backwards`` reads the pattern from its end."""
 
@@ -47,72 +157,50 @@ class _Nfa:
         self.moves.append([])
         return len(self.eps) - 1
 
-    def _bytes(self, op, av, fold: bool) -> frozenset[int]:
-        if op is _C.LITERAL:
-            out = {av}
-        elif op is _C.NOT_LITERAL:
-            return frozenset(range(256)) - self._bytes(_C.LITERAL, av, fold)
-        elif op is _C.ANY:
-            return frozenset(range(256)) - {10}
-        else:
-            out, negate = set(), False
-            for kind, x in av:
-                if kind is _C.NEGATE:
-                    negate = True
-                elif kind is _C.LITERAL:
-                    out.add(x)
-                elif kind is _C.RANGE:
-                    out.update(range(x[0], x[1] + 1))
-                else:
-                    raise ValueError(f"unsupported class item {kind}")
-            if negate:
-                return frozenset(range(256)) - frozenset(out)
-        if fold:
-            out |= {ord(chr(b).swapcase()) for b in out if b < 128 and chr(b).isalpha()}
-        return frozenset(out)
-
-    def add(self, items, at: int, fold: bool) -> int:
-        """Append the parsed items after state ``at``; the state after them."""
-        for op, av in (reversed(list(items)) if self.backwards else items):
-            if op is _C.SUBPATTERN:
-                at = self.add(av[3], at, fold)
-            elif op is _C.BRANCH:
-                end = self.state()
-                for branch in av[1]:
-                    begin = self.state()
-                    self.eps[at].append(begin)
-                    self.eps[self.add(branch, begin, fold)].append(end)
-                at = end
-            elif op is _C.MAX_REPEAT:
-                least, most, sub = av
-                for _ in range(least):
-                    at = self.add(sub, at, fold)
-                if most is _C.MAXREPEAT:
-                    begin = self.state()
-                    self.eps[at].append(begin)
-                    self.eps[self.add(sub, begin, fold)].append(begin)
-                    at = begin
-                else:
-                    end = self.state()
-                    for _ in range(most - least):
-                        self.eps[at].append(end)
-                        at = self.add(sub, at, fold)
-                    self.eps[at].append(end)
-                    at = end
-            else:
-                to = self.state()
-                self.moves[at].append((self._bytes(op, av, fold), to))
-                at = to
-        return at
-
-    def closure(self, states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
-        while todo:
-            for t in self.eps[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
-                    todo.append(t)
-        return frozenset(seen)
+    def add(self, tree, at: int) -> int:
+        """Append a pattern after state ``at``; the state after it."""
+        if tree[0] == "set":
+            to = self.state()
+            self.moves[at].append((tree[1], to))
+            return to
+        if tree[0] == "cat":
+            for part in reversed(tree[1]) if self.backwards else tree[1]:
+                at = self.add(part, at)
+            return at
+        if tree[0] == "or":
+            end = self.state()
+            for branch in tree[1]:
+                begin = self.state()
+                self.eps[at].append(begin)
+                self.eps[self.add(branch, begin)].append(end)
+            return end
+        _, part, least, most = tree
+        for _ in range(least):
+            at = self.add(part, at)
+        if most is None:
+            begin = self.state()
+            self.eps[at].append(begin)
+            self.eps[self.add(part, begin)].append(begin)
+            return begin
+        end = self.state()
+        for _ in range(most - least):
+            self.eps[at].append(end)
+            at = self.add(part, at)
+        self.eps[at].append(end)
+        return end
+
+    def closures(self) -> list[int]:
+        """Bits of the states that each state reaches without a byte."""
+        out = []
+        for s in range(len(self.eps)):
+            seen, todo = 1 << s, [s]
+            while todo:
+                for t in self.eps[todo.pop()]:
+                    if not seen >> t & 1:
+                        seen |= 1 << t
+                        todo.append(t)
+            out.append(seen)
+        return out
 
     def classes(self) -> np.ndarray:
         """Byte -> class; bytes that no transition tells apart share one."""
@@ -121,33 +209,51 @@ class _Nfa:
         return np.array([keys.setdefault(tuple(b in s for s in sets), len(keys)) for b in range(256)], np.uint8)
 
     def determinise(self, start: int, accept: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of byte, next[state, class], accepted rule bits); state 0 is the start."""
-        cls = self.classes()
+        """(class of byte, next[state, class], accepted rule bits); state 0 is
+        the start.  A set of states is the bits of one number."""
+        cls, reach = self.classes(), self.closures()
         sample = [int(np.flatnonzero(cls == c)[0]) for c in range(int(cls.max()) + 1)]
-        first = self.closure([start])
-        number, todo, rows, bits = {first: 0}, [first], [], []
-        while todo:
-            now = todo.pop(0)
-            bits.append(sum({1 << accept[s] for s in now if s in accept}))
-            row = []
-            for byte in sample:
-                to = self.closure({t for s in now for on, t in self.moves[s] if byte in on})
+        # by state: what it reaches on each class, and on all classes alike
+        always, some = [0] * len(reach), [[] for _ in reach]
+        for s, moves in enumerate(self.moves):
+            for on, t in moves:
+                if len(on) == 256:
+                    always[s] |= reach[t]
+                else:
+                    some[s] += [(c, reach[t]) for c, byte in enumerate(sample) if byte in on]
+        number, todo, rows, bits = {reach[start]: 0}, [reach[start]], [], []
+        for now in todo:                    # grows while it is read
+            row, mask, rest, accepted = [0] * len(sample), 0, now, 0
+            while rest:
+                s = (rest & -rest).bit_length() - 1
+                rest &= rest - 1
+                mask |= always[s]
+                accepted |= 1 << accept[s] if s in accept else 0
+                for c, to in some[s]:
+                    row[c] |= to
+            row = [r | mask for r in row]
+            for to in row:
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
-                row.append(number[to])
-            rows.append(row)
+            rows.append([number[to] for to in row])
+            bits.append(accepted)
         return cls, np.array(rows, np.int32), np.array(bits, np.int64)
 
 
 def minimise(table: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge states that no input tells apart; the start stays state 0."""
+    """Merge states that no input tells apart (partition refinement); the start
+    stays state 0.  Rows are told apart by a random sum each, and by themselves
+    once the sums find nothing more."""
     _, block = np.unique(bits, return_inverse=True)
+    weights = np.random.default_rng(1).integers(1, 2 ** 63, table.shape[1] + 1, dtype=np.uint64)
     while True:
-        seen, new = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
-        new = new.reshape(-1)
-        if len(seen) == block.max() + 1:
-            break
+        rows = np.column_stack([block, block[table]]).astype(np.uint64)
+        new = np.unique(rows @ weights, return_inverse=True)[1].reshape(-1)
+        if new.max() == block.max():
+            new = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+            if new.max() == block.max():
+                break
         block = new
     rank = np.full(block.max() + 1, -1)
     for b in block:                       # number the blocks by first appearance
@@ -162,23 +268,25 @@ def minimise(table: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Automaton:
     STRETCH = 6                 # a stretch begins in every 2**6 bytes where one can
     SLICE = 4 << 20             # bytes whose classes are held at once
+    FEW = 16                    # stretches left that are walked one by one
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
         nfa = _Nfa()
         start = nfa.state()
-        nfa.moves[start].append((frozenset(range(256)), start))
+        nfa.moves[start].append((EVERY, start))
         accept = {}
         for k, rule in enumerate(rules):
             begin = nfa.state()
             nfa.eps[start].append(begin)
-            accept[nfa.add(_P.parse(rule.pattern), begin, rule.ignore_case)] = k
+            accept[nfa.add(Pattern(rule.pattern, rule.ignore_case).tree, begin)] = k
         self.cls, table, bits = nfa.determinise(start, accept)
         table, bits = minimise(table, bits)
         self.table, self.bits, self.n_classes = table, bits, table.shape[1]
         self.flat = np.ascontiguousarray(table.reshape(-1))
         self.known = self._known()
-        self.back = [self._backwards(r) for r in rules]
+        self.back = [self._single(r, True) for r in rules]
+        self.ahead = [self._single(r, False) for r in rules]
 
     def _known(self) -> np.ndarray:
         """State after three byte classes where it is the same from any state, else -1."""
@@ -194,10 +302,14 @@ class Automaton:
         return out.reshape(-1)
 
     @staticmethod
-    def _backwards(rule: Rule):
-        nfa = _Nfa(backwards=True)
+    def _single(rule: Rule, backwards: bool):
+        """One rule alone: from the end of a string backwards, or forwards from
+        any start; (classes, table, accepts, dead states)."""
+        nfa = _Nfa(backwards)
         start = nfa.state()
-        end = nfa.add(_P.parse(rule.pattern), start, rule.ignore_case)
+        if not backwards:
+            nfa.moves[start].append((EVERY, start))
+        end = nfa.add(Pattern(rule.pattern, rule.ignore_case).tree, start)
         cls, table, bits = nfa.determinise(start, {end: 0})
         dead = np.array([(table[s] == s).all() and not bits[s] for s in range(len(table))])
         return cls.tolist(), table.tolist(), bits.tolist(), dead.tolist()
@@ -249,6 +361,13 @@ class Automaton:
         alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")
         found, masks = [], []
         for step, k in enumerate(alive):
+            if k <= self.FEW:                           # the rest of a few long stretches, one by one
+                for j in range(k):
+                    at = int(starts[j]) + step
+                    states[j], pos, bits = self._walk(cls[at:int(starts[j] + lengths[j])], int(states[j]))
+                    found.append(np.array(pos, np.int64) + at)
+                    masks.append(np.array(bits, np.int64))
+                break
             pos = starts[:k] + step
             now = self.flat[states[:k] * c + cls[pos]]
             states[:k] = now
@@ -263,6 +382,24 @@ class Automaton:
         order = np.argsort(pos, kind="stable")
         return pos[order], mask[order], int(states[last])
 
+    @cached_property
+    def _lists(self) -> tuple[list[list[int]], list[int]]:
+        return self.table.tolist(), self.bits.tolist()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_lists"}       # a worker makes its own
+
+    def _walk(self, cls: np.ndarray, state: int) -> tuple[int, list[int], list[int]]:
+        """State after the bytes, and where (and what) they accept."""
+        table, accepts = self._lists
+        pos, bits = [], []
+        for i, c in enumerate(cls.tolist()):
+            state = table[state][c]
+            if accepts[state]:
+                pos.append(i)
+                bits.append(accepts[state])
+        return state, pos, bits
+
     def begin(self, k: int, text: bytes, last: int, least: int) -> int | None:
         """Smallest start >= ``least`` of a string of rule k that ends with byte ``last``."""
         cls, table, bits, dead = self.back[k]
@@ -278,20 +415,38 @@ class Automaton:
     def spans(self, text: bytes, ends: np.ndarray, masks: np.ndarray) -> list[tuple[int, int, int]]:
         """(start, rule, end) of the leftmost non-overlapping matches of every
         rule, from the accepted ends of one document.  Rules end in a repeated
-        class or a fixed string, so a match goes on to the end of its run."""
+        class or a fixed string, so a match goes on to the end of its run.
+
+        A run whose first end belongs to a string that began in the match
+        before is read once more, forwards from that match, by the rule alone;
+        such a pass goes on where the last one stopped, so a text is read at
+        most twice a rule."""
         out = []
         for k, rule in enumerate(self.rules):
             mine = ends[(masks >> k) & 1 == 1]
             if not len(mine):
                 continue
-            taken = 0
+            cls, table, bits, _ = self.ahead[k]
+            taken, at, state = 0, 0, 0
             for run in np.split(mine, np.flatnonzero(np.diff(mine) != 1) + 1):
-                stop = int(run[-1]) + 1
-                for e in run.tolist():
-                    start = self.begin(k, text, e, taken)
-                    if start is not None:
-                        taken = stop
-                        if rule.holds(text[start:stop]):
-                            out.append((start, k, stop))
-                        break
+                first, stop = int(run[0]), int(run[-1]) + 1
+                start = self.begin(k, text, first, taken)
+                if start is None:
+                    at, state = max((at, state), (taken, 0), key=lambda p: p[0])
+                    while at < stop and (at <= first or not bits[state]):
+                        state = table[state][cls[text[at]]]
+                        at += 1
+                    if at <= first or not bits[state]:
+                        continue
+                    start = self.begin(k, text, at - 1, taken)
+                if start is not None:
+                    taken, at, state = stop, stop, 0
+                    if rule.holds(text[start:stop]):
+                        out.append((start, k, stop))
         return sorted(out)
+
+
+@lru_cache(maxsize=8)
+def compiled(rules: tuple[Rule, ...]) -> Automaton:
+    """The automaton of a rule set, built once a session."""
+    return Automaton(list(rules))

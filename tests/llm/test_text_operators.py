@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -91,6 +92,48 @@ def test_automaton_matches_regex(machine):
     assert scan_all(machine, texts) == [plain_secrets(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", [
+    "secret: token: " + "a_" * 500_000, "token: " * 100_000 + "a" * 100_000, "secret: token: " + "abcdefgh " * 100_000,
+    "password = secret = " + "x" * 1_000_000, "f" * 1_000_000, "AKIA" * 250_000, "token=" * 150_000])
+def test_long_runs_are_read_in_linear_time(machine, text):
+    start = time.monotonic()
+    found = scan_all(machine, [text])
+    assert time.monotonic() - start < 2
+    assert found == [plain_secrets(text)]
+
+
+def test_starts_behind_a_consumed_match(machine):
+    rng = random.Random(11)
+    parts = ["token", "secret", ": ", "=", "a_", "token: ", "bcdefghi", " ", "api_key=", "0" * 9]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    assert scan_all(machine, texts) == [plain_secrets(t) for t in texts]
+
+
+def test_rules_are_compiled_once_and_fast():
+    automaton.compiled.cache_clear()
+    rules = tuple(secret_scan.BASE_RULES + secret_scan.EXTRA_RULES)
+    start = time.monotonic()
+    first = automaton.compiled(rules)
+    assert time.monotonic() - start < 6 and automaton.compiled(rules) is first
+
+
+@pytest.mark.parametrize("pattern", [r"a(?=b)", r"a*?", r"\d", "(a", "a)", "[é]", "^a", "a++", r"\1"])
+def test_patterns_beyond_the_automaton(pattern):
+    with pytest.raises(ValueError):
+        automaton.Pattern(pattern)
+
+
+@pytest.mark.parametrize("pattern", [r"ab?c*d+", r"(a|bc|)d", r"[^a-c\x20]+x", r"a{2}b{1,3}c{2,}", r"[]a-]+", r"\.\-\x41", "x(?:y|z)*", "."])
+def test_patterns_match_like_re(pattern):
+    rng = random.Random(pattern)
+    machine = automaton.Automaton([automaton.Rule("r", pattern)])
+    for _ in range(400):
+        text = "".join(rng.choice("abcdxyz ]-.A") for _ in range(rng.randint(1, 9)))
+        ends = {e for s in range(len(text)) for e in range(s + 1, len(text) + 1) if re.fullmatch(pattern, text[s:e])}
+        pos, _ = machine.scan(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert {int(p) + 1 for p in pos} == ends
+
+
 def test_automaton_slices_carry_the_state(machine, monkeypatch):
     text = "a" * 100 + " token = " + "Q" * 300 + " " + "0123456789abcdef" * 9
     monkeypatch.setattr(automaton.Automaton, "SLICE", 64)
