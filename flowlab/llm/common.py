@@ -91,6 +91,34 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 BROADCAST_ROWS = 200_000
+HOT_SHARE = 1000          # a key with at least 1/HOT_SHARE of all rows is hot: there are at most that many
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``values`` of ``table`` (one row a key, not
+    null; ``weight`` rows of ``rows`` have it, of ``total``).  Hot keys, at
+    most HOT_SHARE, come from a broadcast; in the shuffle join of the others
+    their rows are spread by a hash of their own, so no task gets them all."""
+    hot = F.broadcast(table.where(F.col(weight) * HOT_SHARE >= total).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot")))
+    both = rows.join(hot, [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    own = F.xxhash64(*[F.col(c) for c in rows.columns])
+    both = both.withColumn("_spread", F.when(F.col("_hot"), own).otherwise(F.lit(0)))
+    cold = table.where(F.col(weight) * HOT_SHARE < total).select(
+        *[F.col(k).alias(f"_cold_{k}") for k in keys], *[F.col(v).alias(f"_cold_{v}") for v in values],
+        F.lit(0).cast("long").alias("_cold_spread"))
+    # a hot row's spread is its own hash and meets no row; the others have 0
+    found = both.join(cold, [F.col(k) == F.col(f"_cold_{k}") for k in keys] + [F.col("_spread") == F.col("_cold_spread")], "left")
+    return found.select(*[F.col(c) for c in rows.columns],
+                        *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
 
 
 def stay(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
@@ -98,10 +126,11 @@ def stay(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     ``docs``) keeps.  Where ids are unique the dropped ids are taken out, from
     a broadcast list when that is counted and small, else by a shuffle; where
     ids repeat, one row stays for every kept id."""
-    found = cut(found.select(F.col(id_col).alias("_id"), "kept"))
-    own = F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
-    if found.groupBy("_id").count().where("count > 1").isEmpty():
-        gone = found.where(~F.col("kept")).select("_id")
+    name = unused(docs, "_id")
+    found = cut(found.select(F.col(id_col).alias(name), "kept"))
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col(name))
+    if found.groupBy(name).count().where("count > 1").isEmpty():
+        gone = found.where(~F.col("kept")).select(name)
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
         return docs.join(gone, own, "left_anti")
-    return docs.join(found.where("kept").select("_id").distinct(), own, "left_semi").dropDuplicates([id_col])
+    return docs.join(found.where("kept").select(name).distinct(), own, "left_semi").dropDuplicates([id_col])

@@ -8,9 +8,10 @@ levels, each grouping on the digest *and* the full normalised text:
 3. global: at most ``salts`` winners per text meet on their digest.
 
 So a text that fills a third of the table never reaches one task as more
-than ``salts`` rows.  Rows then look their class up by digest; a digest that
-holds several different texts (only a weak digest does) is resolved by the
-full text, too.
+than ``salts`` rows.  Rows then look their class up by digest, those of hot
+texts (a thousandth of all rows or more) in a broadcast of at most a thousand
+classes; a digest that holds several different texts (only a weak digest
+does) is resolved by the full text, too.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import ascii_lower, cut, stay
+from flowlab.llm.common import ascii_lower, cut, look_up, stay, unused
 
 
 def sha256(text: Column) -> Column:
@@ -62,8 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = F.col("members")[0]
     if found.where("n_texts > 1").isEmpty():
         ranked = rows.select("id", "digest", F.row_number().over(nth).alias("nth"))
-        joined = ranked.join(found.select("digest", member["keep_id"].alias("keep_id"),
-                                          member["group_size"].alias("group_size")), "digest")
+        lone = found.select("digest", member["keep_id"].alias("keep_id"), member["group_size"].alias("group_size"))
+        total = lone.agg(F.sum("group_size")).first()[0] or 0
+        joined = look_up(ranked, lone, ["digest"], ["keep_id", "group_size"], "group_size", total)
     else:
         # several texts under one digest: the text decides
         by_text = found.select("digest", F.explode("members").alias("m")).select(
@@ -86,8 +88,9 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     if repeated.isEmpty():
         return stay(docs, found, id_col)
     # rows share an id: match them by id and text, and keep one of equal rows
-    keep = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_digest").alias("_d"))
+    own_digest, key_id, key_digest = (unused(docs, name) for name in ("_digest", "_id", "_d"))
+    keep = found.where("kept").select(F.col(id_col).alias(key_id), F.col("text_digest").alias(key_digest))
     norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    held = docs.withColumn("_digest", sha256(norm)).join(
-        keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi")
-    return held.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key_id)) & (F.col(own_digest) == F.col(key_digest))
+    held = docs.withColumn(own_digest, sha256(norm)).join(keep, same, "left_semi")
+    return held.dropDuplicates([id_col, own_digest]).drop(own_digest)

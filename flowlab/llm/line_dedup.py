@@ -1,8 +1,8 @@
 """Line de-duplication by overlapping windows of three lines (DataFrame
 operators only).
 
-Lines are hashed (128 bits, blanks at their ends ignored, empty lines
-passed over) and every three consecutive ones form a window.  A window found
+Lines are hashed (128 bits, white space at their ends ignored, lines of
+nothing else passed over) and every three consecutive ones form a window.  A window found
 more than once in the whole table keeps its first occurrence, in the order of
 (id, text, line); the lines that later occurrences cover are merged and
 removed.  A removed line equals an earlier line of the table, and so a kept
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.llm.common import SPACES, cut, look_up
+
 WINDOW = 3
 
 
@@ -21,7 +23,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, mark (hash of the text), w1, w2 (window hash) and lines (the line
     numbers that it covers)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda l, i: F.struct(i.alias("i"), F.trim(l).alias("l")))
+    lines = F.transform(F.split(text, "\n"), lambda l, i: F.struct(i.alias("i"), F.trim(l, F.lit(SPACES)).alias("l")))
     hashed = F.transform(F.filter(lines, lambda x: x["l"] != ""), lambda x: F.struct(
         x["i"].alias("i"), F.xxhash64(x["l"]).alias("a"), F.xxhash64(x["l"], F.lit(1)).alias("b")))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), hashed.alias("h"))
@@ -39,8 +41,12 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrences cover, for the rows that have any."""
     w = windows(docs, id_col, text_col)
     place = F.struct("id", "mark", F.col("lines")[0].alias("at"))
-    repeated = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = w.join(repeated.select("w1", "w2", "first"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    counted = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    repeated = cut(counted.where("n > 1"))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    # only a window of a hot line is hot among the repeated ones
+    found = look_up(w, repeated, ["w1", "w2"], ["first"], "n", total)
+    later = found.where(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
     return later.select("id", "mark", F.explode("lines").alias("line")).groupBy("id", "mark").agg(
         F.array_sort(F.collect_set("line")).alias("removed"))        # at most the lines of one text
 

@@ -3,7 +3,8 @@
 Tokens are counted per source, the budget is shared over the sources by
 weight (a source that reaches its ceiling hands its excess on), and every
 document is emitted ``floor(rate)`` times plus one hash-seeded Bernoulli copy
-whose probability is the fraction of ``rate = target / source_size``.
+whose probability is the fraction of ``rate = target / source_size`` (nearly:
+of SEEDS draws that have exactly this probability the best one is taken).
 
 The Bernoulli draws come from one md5 per document.  ``seeds`` candidate
 draws are tried in the same aggregation and every source takes the seed whose
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, n_words
+from flowlab.llm.common import cut, n_words, unused
 
 WEIGHTS = (5, 2, 1)
 SEEDS = 32
@@ -64,9 +65,10 @@ def beside(rows: DataFrame, lists: DataFrame, source_col: str) -> DataFrame:
     """Join the per-source list to rows.  The list is broadcast when it is
     counted and small; longer lists are joined by a shuffle (AQE splits the
     partitions of a hot source)."""
-    side = lists.withColumnRenamed("source", "_s")
+    name = unused(rows, "_s")
+    side = lists.withColumnRenamed("source", name)
     side = F.broadcast(side) if lists.count() <= BROADCAST_SOURCES else side
-    return rows.join(side, F.col(f"`{source_col}`").eqNullSafe(F.col("_s"))).drop("_s")
+    return rows.join(side, F.col(f"`{source_col}`").eqNullSafe(F.col(name))).drop(name)
 
 
 def source_plan(rows: DataFrame, seed: str, seeds: int) -> DataFrame:
@@ -115,10 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``copies`` times (not at all for 0)."""
     rows = cut(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
                            n_words(F.col(f"`{text_col}`")).alias("size")))
-    lists = source_plan(rows, seed, seeds).select("source", "whole", "draw_below", "k").toDF(
-        "source", "_whole", "_draw_below", "_k")
+    whole, below, k, copy = (unused(docs, name) for name in ("_whole", "_draw_below", "_k", "_copy"))
+    lists = source_plan(rows, seed, seeds).select("source", "whole", "draw_below", "k").toDF("source", whole, below, k)
     joined = beside(docs, lists, source_col)
     a, b = draw_pair(id_key(id_col), seed)
-    copies = F.col("_whole") + F.when((a + F.col("_k") * b) % DRAW < F.col("_draw_below"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(
+    copies = F.col(whole) + F.when((a + F.col(k) * b) % DRAW < F.col(below), 1).otherwise(0)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

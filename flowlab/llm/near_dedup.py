@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlab.llm.common import cut, cut_texts, stay, utf8
+from flowlab.llm.common import cut, cut_texts, stay, unused, utf8
 from flowlab.llm.components import connected_components
 
 SHINGLE = 5
@@ -360,7 +360,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # a component keeps one word sequence of its id, whatever else has that id
     words = found.where("kept AND key IS NOT NULL").groupBy("label").agg(F.min(F.struct("key", "id")).alias("one"))
     none = found.where("key IS NULL").select("id", "key").distinct()
-    one = words.select("one.id", "one.key").unionByName(none).toDF("_id", "_key")
-    rows = cut_texts(keyed(docs, text_col, "_word_key"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col("_word_key").eqNullSafe(F.col("_key"))
-    return rows.join(one, same, "left_semi").dropDuplicates([id_col, "_word_key"]).drop("_word_key")
+    word_key, key_id, key = (unused(docs, name) for name in ("_word_key", "_id", "_key"))
+    one = words.select("one.id", "one.key").unionByName(none).toDF(key_id, key)
+    rows = cut_texts(keyed(docs, text_col, word_key))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key_id)) & F.col(word_key).eqNullSafe(F.col(key))
+    return rows.join(one, same, "left_semi").dropDuplicates([id_col, word_key]).drop(word_key)

@@ -155,7 +155,7 @@ FROM t JOIN g ON t.norm = g.norm
 
 
 def license_sql() -> str:
-    """The licence scan over exploded words, with the same templates."""
+    """Every start of every template, from exploded words, with the same templates."""
     from flowlab.llm.license_scan import SHARE, TEMPLATES, postings
     listed = ", ".join(f"({t}, '{TEMPLATES[t].label}', {TEMPLATES[t].base}, '{w}', {i}, {m})"
                        for t, w, i, m in postings(TEMPLATES))
@@ -168,12 +168,11 @@ hits AS (SELECT r, p, words[p + 1] AS word FROM (SELECT r, words, unnest(range(l
 df AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
 idx AS (SELECT listed.*, ln((1.0 + (SELECT count(*) FROM docs))::DOUBLE / (1.0 + coalesce(n, 0))) AS idf
         FROM listed LEFT JOIN df USING (word)),
-anchored AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY idf DESC, pos) = 1 AS anchor FROM idx),
 whole AS (SELECT template, sum(idf) AS all_idf, sum(mandatory::INT) AS all_keys FROM idx GROUP BY template),
-met AS (SELECT r, template, label, base, p - pos AS start, sum(idf) AS idf, sum(mandatory::INT) AS keys, bool_or(anchor) AS anchor
-        FROM hits JOIN anchored USING (word) GROUP BY ALL),
+met AS (SELECT r, template, label, base, p - pos AS start, sum(idf) AS idf, sum(mandatory::INT) AS keys
+        FROM hits JOIN idx USING (word) GROUP BY ALL),
 good AS (SELECT *, CASE WHEN all_idf > 0 THEN least(idf / all_idf, 1.0) ELSE 1.0 END AS share
-         FROM met JOIN whole USING (template) WHERE anchor AND keys = all_keys),
+         FROM met JOIN whole USING (template) WHERE keys = all_keys),
 per_row AS (
   SELECT r, sum(base::INT) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
@@ -188,7 +187,8 @@ FROM docs LEFT JOIN per_row USING (r)"""
 OP8_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs),
-solid AS (SELECT r, doc_id, text, trim(line) AS l, i, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM lines WHERE trim(line) <> ''),
+solid AS (SELECT r, doc_id, text, trim(line, blank) AS l, i, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM lines,
+          (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blank) WHERE trim(line, blank) <> ''),
 w AS (SELECT a.r, a.doc_id, a.text, a.l AS l1, b.l AS l2, c.l AS l3, [a.i, b.i, c.i] AS covers
       FROM solid a JOIN solid b ON a.r = b.r AND b.k = a.k + 1 JOIN solid c ON a.r = c.r AND c.k = a.k + 2),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id NULLS FIRST, text, covers[1]) AS nth FROM w),
@@ -201,10 +201,17 @@ FROM docs d LEFT JOIN kept k ON d.r = k.r
 
 
 def quality_sql() -> str:
-    """The rule ledger; the rules are the operator's own SQL."""
-    from flowlab.llm.quality_rules import RULES, mask, POLICIES
-    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
-    base, used = mask(POLICIES["base"]), mask(POLICIES["v2"])
+    """The rule ledger, with the rules and the policies written out: bits 1 and
+    2 are the base, version 2 asks for all eight."""
+    bits = """CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+  + CASE WHEN 5 * n_repeat_words > n_words THEN 2 ELSE 0 END
+  + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+  + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+  + CASE WHEN 5 * n_upper > 2 * n_letters THEN 16 ELSE 0 END
+  + CASE WHEN word_chars NOT BETWEEN 2 * n_words AND 15 * n_words THEN 32 ELSE 0 END
+  + CASE WHEN 2 * n_letter_words < n_words THEN 64 ELSE 0 END
+  + CASE WHEN 10 * n_marks > 3 * n_words THEN 128 ELSE 0 END"""
+    base, used = 3, 255
     blank = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

@@ -238,3 +238,36 @@ def test_rejected_languages(spark, odd, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["doc_id"] for r in language_id.accepted(unique).collect()} == set(range(40))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+CLASHING = ["_id", "_k", "_whole", "_s", "kept", "_digest", "_d", "_word_key", "_key", "_copy", "_draw_below", "_ID2", "p", "__id"]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_pipeline_stages_with_clashing_columns(spark, repeated):
+    """Every stage with columns of the names that the code itself would add."""
+    import corpus_pipeline
+    rows = [(i, f"text number {i} of the table with some words of its own {i * 7919}", "en", f"s{i % 3}", *[f"c{i}"] * len(CLASHING))
+            for i in range(30)]
+    rows += [(30, rows[0][1], "en", "s0", *["x"] * len(CLASHING))] + ([rows[3]] * 2 if repeated else [])
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+        assert got
+    assert len(exact_dedup.kept_rows(docs).collect()) == 30
+
+
+def test_look_up_of_hot_keys(spark, monkeypatch):
+    from flowlab.llm import common
+    rows = spark.range(3000).select((F.col("id") % 1000 * (F.col("id") % 3)).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")).where("k <> 5")
+    for share in (1000, 5, 1):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = {r["id"]: (r["k"], r["m"]) for r in common.look_up(rows, table, ["k"], ["m"], "n", 3000).collect()}
+        want = {r["k"]: r["m"] for r in table.collect()}
+        assert len(got) == 3000 and all(m == want.get(k) for k, m in got.values())

@@ -214,6 +214,16 @@ def test_line_dedup(spark, odd, rows, empty):
     assert line_dedup.line_dedup(odd).count() == len(rows) and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_white_space_lines_are_no_content(spark):
+    """Lines that end in CR, and lines of white space only."""
+    first = "alpha one\r\nbeta two\r\n\r\n\r\n\r\ngamma three\r\nlast\r"
+    second = "other\n\talpha one \nbeta two\x0b\n \t\ngamma three\nend"
+    blank = "\r\n\r\n\r\n\r\n\r"
+    df = spark.createDataFrame([(1, first), (2, second), (3, blank), (4, blank)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {1: (first, 0), 2: ("other\n \t\nend", 3), 3: (blank, 0), 4: (blank, 0)}
+
+
 def test_pieces_and_packing(spark, odd, rows, empty):
     from tokenizers import Tokenizer
     files = tokenizer_files()
