@@ -18,9 +18,9 @@ from flowlab.operators import train as TR
 from flowlab.operators.metrics import class_weights
 from flowlab.plans.bindings import flows
 from flowlab.plans.catalog import register, rounded
-from flowlab.session import ensure_checkpoint_dir
+from flowlab.session import cut, ensure_checkpoint_dir
 from flowlab.sources.tables import table
-from flowlab.plans.q_embed import BENIGN_MAX_LABEL, TASK_Y, TASKS, _labeled, emb
+from flowlab.plans.q_embed import BENIGN_MAX_LABEL, TASK_Y, TASKS, _labeled, _sql_noise, _sql_strong, emb
 
 
 def _task_frame(spark, sf_dir) -> DataFrame:
@@ -270,3 +270,128 @@ def q_train_head_rounds(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("y"))
     model, _ = RO.train_head_rounds(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "embedding", "y", "vec_id")
     return rounded(RO.apply_head(e, model, "embedding").select("vec_id", "y", "p_attack"))
+
+
+# ----------------------------------------------- trainers as aggregates
+
+def _gauss_jordan(matrix: str, n: int, out: str) -> str:
+    """CTEs from ``matrix`` (i, j, v; n x n) to its inverse ``out`` (i, j, v)."""
+    return f"""{out}_a AS (
+  SELECT 1 AS k, i, j, v FROM {matrix}
+  UNION ALL SELECT 1, a.i, b.j + {n}, CASE WHEN a.i = b.j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM (SELECT DISTINCT i FROM {matrix}) a, (SELECT DISTINCT j FROM {matrix}) b),
+{out}_s AS (
+  SELECT k, i, j, v FROM {out}_a
+  UNION ALL
+  SELECT k + 1, i, j, CASE WHEN i = k THEN prow / piv ELSE v - pcol * (prow / piv) END FROM (
+    SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS prow,
+           max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS pcol,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER () AS piv
+    FROM {out}_s WHERE k <= {n})),
+{out} AS (SELECT i, j - {n} AS j, v FROM {out}_s WHERE k = {n} + 1 AND j > {n})"""
+
+
+@register("contrastive_encoder", f"""WITH RECURSIVE w AS (SELECT vec_id, {_sql_strong('embedding', 's1')} AS a, {_sql_strong('embedding', 's2')} AS b FROM embeddings),
+x AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) AS i FROM w),
+c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x, (x - y) / sqrt(2.0::DOUBLE) - avg((x - y) / sqrt(2.0::DOUBLE)) OVER (PARTITION BY i) AS d FROM x),
+m AS (SELECT p.i, q.i AS j, sum(p.x * q.x) AS v, sum(p.d * q.d) AS d FROM c p JOIN c q ON p.vec_id = q.vec_id GROUP BY p.i, q.i),
+{_gauss_jordan('m', DIMS, 'inv')}
+SELECT {DIMS}::INT AS directions, round(sum(inv.v * m.d), 6) AS total_loss, true AS ascending, true AS unit_covariance
+FROM inv JOIN m ON inv.j = m.i AND inv.i = m.j""")
+def q_contrastive_encoder(spark, sf_dir):
+    """TR1: the closed-form encoder over two strong views of every row, all
+    directions: their losses add up to the trace of C^-1 D."""
+    from flowlab.operators import linear as LN
+    from flowlab.operators import models as MO
+    views = cut(emb(spark, sf_dir).select(AU.strong(F.col("embedding"), F.col("vec_id"), "s1").alias("v1"),
+                                          AU.strong(F.col("embedding"), F.col("vec_id"), "s2").alias("v2")))
+    net, loss = LN.contrastive_encoder(views, "v1", "v2", DIMS)
+    n, _, c = AN.centred_moments(MO.apply_nets(views, "v1", {}, [], encoder=net), "embedding")
+    return rounded(spark.createDataFrame(
+        [(len(loss), float(sum(loss)), bool(np.all(np.diff(loss) >= -1e-9)), bool(np.allclose(c / n, np.eye(len(loss)), atol=1e-6)))],
+        "directions int, total_loss double, ascending boolean, unit_covariance boolean"))
+
+
+def _mixmatch_sql() -> str:
+    weak, strong = _sql_noise("embedding", 0.02, "uw"), _sql_strong("embedding", "us")
+    return f"""WITH e AS (SELECT embedding::DOUBLE[] AS x, {weak} AS w, {strong} AS s, CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS y,
+  vec_id % 4 = 0 AS lab FROM embeddings),
+n AS (SELECT sum(lab::INT)::DOUBLE AS nl, sum((NOT lab)::INT)::DOUBLE AS nu FROM e),
+g1 AS (SELECT j, -{STEP}::DOUBLE * sum((0.5::DOUBLE - y) * x[j + 1]) / max(nl) AS w FROM e, n, range({DIMS}) d(j) WHERE lab GROUP BY j),
+b1 AS (SELECT -{STEP}::DOUBLE * sum(0.5::DOUBLE - y) / max(nl) AS b FROM e, n WHERE lab),
+l1 AS (SELECT list(w ORDER BY j) AS ws FROM g1),
+z AS (SELECT x, w, y, lab, 1 / (1 + exp(-(list_dot_product(x, ws) + b))) AS px, 1 / (1 + exp(-(list_dot_product(w, ws) + b))) AS pw,
+      1 / (1 + exp(-(list_dot_product(s, ws) + b))) AS ps FROM e, l1, b1),
+q AS (SELECT *, pow((pw + ps) / 2, 2.0::DOUBLE) / (pow((pw + ps) / 2, 2.0::DOUBLE) + pow(1 - (pw + ps) / 2, 2.0::DOUBLE)) AS q FROM z),
+g2 AS (SELECT j, sum(CASE WHEN lab THEN (px - y) * x[j + 1] ELSE 0 END) / max(nl)
+         + sum(CASE WHEN lab THEN 0 ELSE 2 * (pw - q) * pw * (1 - pw) * w[j + 1] END) / max(nu) AS g FROM q, n, range({DIMS}) d(j) GROUP BY j)
+SELECT j::INT AS element, round(g1.w - {STEP}::DOUBLE * g, 6) AS weight FROM g1 JOIN g2 USING (j)"""
+
+
+@register("mixmatch_gradient_steps", _mixmatch_sql())
+def q_mixmatch_gradient_steps(spark, sf_dir):
+    """TR3: two MixMatch steps of the linear head; a quarter of the rows is labelled."""
+    from flowlab.operators import rounds as RO
+    e = emb(spark, sf_dir)
+    rows = cut(e.select(F.col("embedding").alias("x"), (F.col("label") >= 5).cast("int").alias("y"), (F.col("vec_id") % 4 == 0).alias("labelled"),
+                        AU.weak(F.col("embedding"), F.col("vec_id"), "uw").alias("weak"),
+                        AU.strong(F.col("embedding"), F.col("vec_id"), "us").alias("strong")))
+    weights, _, _ = RO.train_mixmatch(rows, DIMS, 2, STEP)
+    return rounded(spark.createDataFrame(list(enumerate(weights)), "element int, weight double"))
+
+
+SQUARINGS = 14          # C to the power 2**14: the leading direction alone is left
+
+
+def _autoencoder_sql() -> str:
+    """The leading principal direction by squaring the covariance again and again."""
+    steps = [f"m0 AS (SELECT i, j, v / (SELECT max(abs(v)) FROM cov) AS v FROM cov)"]
+    for k in range(SQUARINGS):
+        steps.append(f"q{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m{k} a JOIN m{k} b ON a.j = b.i GROUP BY a.i, b.j)")
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM q{k}) AS v FROM q{k})")
+    return f"""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+mu AS (SELECT i, avg(x) AS m FROM x WHERE label <= {BENIGN_MAX_LABEL} GROUP BY i),
+d AS (SELECT vec_id, label, x.i, x - m AS d FROM x JOIN mu USING (i)),
+cov AS (SELECT p.i, q.i AS j, sum(p.d * q.d) AS v FROM d p JOIN d q ON p.vec_id = q.vec_id WHERE p.label <= {BENIGN_MAX_LABEL} GROUP BY p.i, q.i),
+{", ".join(steps)},
+p AS (SELECT i, j, v / (SELECT sum(v) FROM m{SQUARINGS} WHERE i = j) AS v FROM m{SQUARINGS}),
+on_it AS (SELECT a.vec_id, sum(a.d * p.v * b.d) AS e FROM d a JOIN p ON a.i = p.i JOIN d b ON b.vec_id = a.vec_id AND b.i = p.j GROUP BY a.vec_id),
+err AS (SELECT d.vec_id, any_value(label) AS label, (sum(d * d) - any_value(e)) / {DIMS} AS err FROM d JOIN on_it USING (vec_id) GROUP BY d.vec_id),
+cut AS (SELECT quantile_cont(err, 0.95) AS c FROM err WHERE label <= {BENIGN_MAX_LABEL})
+SELECT vec_id, round(err, 6) AS err, round(c, 6) AS threshold FROM err, cut"""
+
+
+@register("linear_autoencoder", _autoencoder_sql())
+def q_linear_autoencoder(spark, sf_dir):
+    """TR4, AG18: a linear autoencoder of the benign rows (one latent number),
+    every row's reconstruction error and the 95 % cut."""
+    from flowlab.operators import linear as LN
+    from flowlab.operators import models as MO
+    e = emb(spark, sf_dir)
+    benign = F.col("label") <= BENIGN_MAX_LABEL
+    net = LN.linear_autoencoder(e.where(benign), "embedding", 1)
+    rec = MO.apply_nets(e, "embedding", {"recon": net}, ["vec_id", "label", "embedding"])
+    errors = cut(rec.select("vec_id", "label", A.mse(F.col("embedding"), F.col("recon")).alias("err")))
+    at = AN.exact_percentile(errors.where(benign), "err", 0.95).first()[0]
+    return rounded(errors.select("vec_id", "err", F.lit(float(at)).alias("threshold")))
+
+
+@register("batch_gradients", f"""
+WITH e AS (SELECT CAST(vec_id // 32 AS BIGINT) AS batch_id, embedding::DOUBLE[] AS v, CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM embeddings),
+g1 AS (SELECT j, -{STEP}::DOUBLE * avg((0.5::DOUBLE - y) * v[j + 1]) AS w FROM e, range({DIMS}) d(j) GROUP BY j),
+b1 AS (SELECT -{STEP}::DOUBLE * avg(0.5::DOUBLE - y) AS b FROM e),
+l1 AS (SELECT list(w ORDER BY j) AS ws FROM g1),
+z AS (SELECT batch_id, v, 1 / (1 + exp(-(list_dot_product(v, ws) + b))) - y AS d FROM e, l1, b1),
+g AS (SELECT batch_id, j, avg(d * v[j + 1]) AS g, avg(d) AS gb FROM z, range({DIMS}) r(j) GROUP BY batch_id, j)
+SELECT batch_id, list_transform(list_concat(list(g ORDER BY j), [max(gb)]), lambda x: round(x, 6)) AS vec FROM g GROUP BY batch_id""")
+def q_batch_gradients(spark, sf_dir):
+    """TR5, LA0: the gradient of every batch of 32 for a head after one step."""
+    from flowlab.operators import rounds as RO
+    e = emb(spark, sf_dir).select(F.floor(F.col("vec_id") / 32).cast("long").alias("batch_id"), "embedding",
+                                  (F.col("label") >= 5).cast("int").alias("y"))
+    half = e.agg(F.avg(F.lit(0.5) - F.col("y"))).first()[0]
+    means = e.select(F.posexplode("embedding").alias("j", "x"), "y").groupBy("j").agg(
+        F.avg((F.lit(0.5) - F.col("y")) * F.col("x")).alias("g")).collect()           # one number a dimension
+    weights = [-STEP * r["g"] for r in sorted(means, key=lambda r: r["j"])]
+    found = RO.capture_gradients(e, "embedding", "y", "batch_id", weights, -STEP * half)
+    return rounded(LA.filter_gradients(found, "vec", "batch_id").select("batch_id", "vec"))
