@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BKT = "_fl_bkt"
 
@@ -93,18 +94,22 @@ def global_rank(df: DataFrame, order_col: str, *, tiebreak: list[str] | None = N
 
 
 SAMPLE_PER_SPLIT = 64
-MAX_SPLITS = 256
+FANOUT = 256            # split points that one search in the plan tells apart
 
 
 def value_ranges(df: DataFrame, cols: list[str], out_col: str, n_parts: int | None = None) -> DataFrame:
     """Add ``out_col``: a range number that does not decrease with the order of
     ``cols`` (any sortable types, nulls first).  The split points come from a
     bounded random sample and enter the plan as literals, so every scan of
-    the result gives a row the same range."""
-    n = min(n_parts or _default_buckets(df), MAX_SPLITS)
+    the result gives a row the same range.  Up to FANOUT ranges are one search
+    tree; beyond that the tree finds a bundle of ranges and a broadcast table
+    of one row a bundle holds the split points inside, so the number of ranges
+    follows ``n_parts`` and not the length of an expression."""
+    n = n_parts or _default_buckets(df)
+    per_split = SAMPLE_PER_SPLIT if n <= FANOUT else SAMPLE_PER_SPLIT // 4
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    sample = df.select(row.alias("r")).orderBy(F.rand(11)).limit(n * SAMPLE_PER_SPLIT)
-    # at most MAX_SPLITS * SAMPLE_PER_SPLIT rows; sorted by Spark, so its order of values holds
+    sample = df.select(row.alias("r")).orderBy(F.rand(11)).limit(n * per_split)
+    # n * per_split rows of the order columns; sorted by Spark, so its order of values holds
     points = [r[0] for r in sample.distinct().orderBy("r").collect()]
     step = max(1, len(points) // n)
     splits = points[step::step]
@@ -113,14 +118,25 @@ def value_ranges(df: DataFrame, cols: list[str], out_col: str, n_parts: int | No
     def literal(point):
         return F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(point, types))])
 
-    def search(lo: int, hi: int):
-        """Number of splits at or below the row, between lo and hi."""
+    def search(bounds: list, lo: int, hi: int):
+        """Number of bounds at or below the row, between lo and hi."""
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(row < literal(splits[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return df.withColumn(out_col, search(0, len(splits)))
+        return F.when(row < literal(bounds[mid]), search(bounds, lo, mid)).otherwise(search(bounds, mid + 1, hi))
+
+    if len(splits) <= FANOUT:
+        return df.withColumn(out_col, search(splits, 0, len(splits)))
+    size = -(-len(splits) // FANOUT)
+    heads = splits[::size]                  # the first split point of every bundle
+    schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
+    inner = [(k, k * size - size if k else 0, splits[(k - 1) * size:k * size] if k else []) for k in range(len(heads) + 1)]
+    bundles = df.sparkSession.createDataFrame(inner, T.StructType([
+        T.StructField("_fl_bundle", T.IntegerType()), T.StructField("_fl_first", T.IntegerType()),
+        T.StructField("_fl_inner", T.ArrayType(schema))]))
+    found = df.withColumn("_fl_bundle", search(heads, 0, len(heads))).join(F.broadcast(bundles), "_fl_bundle")
+    below = F.size(F.filter("_fl_inner", lambda s: s <= row))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_fl_first") + below).alias(out_col))
 
 
 def rank_by_value(df: DataFrame, group_cols: list[str], order_col: str | list[str], out_col: str = "rank",

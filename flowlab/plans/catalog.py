@@ -79,4 +79,4 @@ def no_negative_zero(sql: str) -> str:
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from flowlab.plans import q_embed, q_eval, q_flows, q_io, q_pipeline, q_stream, q_train  # noqa: F401
+    from flowlab.plans import q_embed, q_eval, q_flows, q_io, q_models, q_pipeline, q_stream, q_train  # noqa: F401

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,21 @@ def test_evaluation_of_one_class_and_of_two(spark):
     assert both["pr_curve"].count() == len(set(x)) + 1 and both["sweep"].count() == 50
     one = evaluation_tables(spark.createDataFrame([(1, v) for _, v in rows], "y int, logits array<double>"))
     assert "roc_auc" not in {r["metric"] for r in one["metrics"].collect()}
+
+
+@pytest.mark.parametrize("fanout", [3, 4, 256])
+def test_ranges_beyond_one_search_tree(spark, monkeypatch, fanout):
+    from flowlab.operators import prefix as P
+    monkeypatch.setattr(P, "FANOUT", fanout)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, *range(50)])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(3)
+    got = P.value_ranges(df, ["g", "v"], "p", 40).collect()
+    order = sorted(got, key=lambda r: (r["g"] is not None, r["g"] or "", r["v"] is not None, r["v"] or 0))
+    assert len(got) == 800 and all(a["p"] <= b["p"] for a, b in zip(order, order[1:])) and len({r["p"] for r in got}) > 20
+    same = {}
+    assert all(same.setdefault((r["g"], r["v"]), r["p"]) == r["p"] for r in got)
+    ranked = P.rank_by_value(df.distinct(), ["g"], "v", "r", 40).collect()
+    for g in (None, "a", "b", "c"):
+        mine = sorted((r for r in ranked if r["g"] == g), key=lambda r: (r["v"] is not None, r["v"] or 0))
+        assert [r["r"] for r in mine] == list(range(len(mine)))
