@@ -76,15 +76,17 @@ def first_rows(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
     content.  A few aggregates find the threshold, the result is a filter."""
     if n <= 0 or not df.columns:
         return df.limit(0)
-    # an aggregate of the longest value, only where a column has no fixed length
     texts = [c for c in order_cols if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.octet_length(f"`{c}`")).alias(f"l{i}")
-                                                 for i, c in enumerate(texts)]).first()
+    longest = {}
+    if texts:               # the number of keys of a column without fixed length
+        row = df.agg(*[F.max(F.octet_length(f"`{c}`")).alias(f"l{i}") for i, c in enumerate(texts)]).first()
+        longest = {c: int(row[f"l{i}"] or 0) for i, c in enumerate(texts)}
+    keys = [k for c in order_cols for k in sort_keys(df, c, longest.get(c, 0))]
+    spans = [F.struct(F.min(f"k{i}").alias("lo"), F.max(f"k{i}").alias("hi")).alias(f"s{i}") for i in range(len(keys))]
+    row = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"), *spans).first()
     if row["n"] <= n:
         return df
-    longest = {c: int(row[f"l{i}"] or 0) for i, c in enumerate(texts)}
-    keys = [k for c in order_cols for k in sort_keys(df, c, longest.get(c, 0))]
-    edge, need, size = _narrow(df, keys, n, int(row["n"]))
+    edge, need, size = _narrow(df, keys, [row[f"s{i}"] for i in range(len(keys))], n, int(row["n"]))
     order = [F.col(f"`{c}`") for c in order_cols]
     point, need, equal = _point(edge, order, order_cols, need)
     types = [df.schema[c].dataType for c in order_cols]
@@ -97,7 +99,7 @@ def first_rows(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
     below, tied = df.where(scan & (own < at)), df.where(own == at)
     content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     halves = [F.shiftright(content, 32), content.bitwiseAND(F.lit(0xFFFFFFFF))]
-    edge, need, _ = _narrow(tied, halves, need, equal)
+    edge, need, _ = _narrow(tied, halves, [(-2 ** 31, 2 ** 31), (0, 2 ** 32)], need, equal)
     (h,), need, equal = _point(edge, [content], ["content"], need)
     if need == equal:
         return below.unionByName(tied.where(content <= h))
@@ -110,27 +112,23 @@ def first_rows(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
     return below.unionByName(tied.where(content < h)).unionByName(some)
 
 
-def _narrow(df: DataFrame, keys: list[Column], need: int, size: int) -> tuple[DataFrame, int, int]:
+def _narrow(df: DataFrame, keys: list[Column], spans: list, need: int, size: int) -> tuple[DataFrame, int, int]:
     """The rows that tie with the ``need``-th by ``keys`` as far as it takes to
-    have at most EDGE_ROWS (or all keys); how many of them are needed; how many they are."""
+    have at most EDGE_ROWS (or all keys); how many of them are needed; how many
+    they are.  ``spans``: (least, greatest) of every key, or bounds of them."""
     rows = df
-    for key in keys:
-        lo = hi = None
-        while size > EDGE_ROWS:
-            x = key.alias("x")
-            if lo is None:
-                seen = rows.select(x).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-                lo, hi = seen["lo"], seen["hi"]
-            if lo == hi:
-                break
-            bins = rows.select(x).groupBy(_bin(F.col("x").cast("double"), F.lit(float(lo)), F.lit(float(hi)), BINS).alias("b")).agg(
+    for key, (lo, hi) in zip(keys, spans):
+        while size > EDGE_ROWS and lo != hi:
+            share = _bin(F.col("x").cast("double"), F.lit(float(lo)), F.lit(float(hi)), BINS)
+            bins = rows.select(key.alias("x")).groupBy(share.alias("b")).agg(
                 F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()   # BINS rows
             for r in sorted(bins, key=lambda r: r["b"]):
                 if need <= r["n"]:
                     break
                 need -= r["n"]
+            if r["n"] < size:
+                rows = rows.where((key >= F.lit(r["lo"])) & (key <= F.lit(r["hi"])))
             lo, hi, size = r["lo"], r["hi"], r["n"]
-            rows = rows.where((key >= F.lit(lo)) & (key <= F.lit(hi)))
     return rows, need, size
 
 
