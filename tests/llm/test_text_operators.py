@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -444,3 +445,53 @@ def test_base_sha_of_the_query_is_over_sorted_spans(spark):
     for r in found:
         spans = ",".join(f"{secret_scan.BASE[k]}:{s}:{e}" for s, k, e in plain_secrets(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_language_of_every_text_in_plain_python(spark):
+    """Counts, codewords, classifiers, weights and decoding, with dicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+
+    def buckets(text):
+        fold = [b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in (text or "").encode()]
+        fold = [32, *fold, 32]
+        return [((a << 16 | b << 8 | c) * 2654435761 % 2 ** 32) >> 18 for a, b, c in zip(fold, fold[1:], fold[2:])]
+
+    train = [(t, lang) for i, t, lang in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5]
+    languages = sorted({lang for _, lang in train})
+    counts = {lang: {} for lang in languages}
+    for text, lang in train:
+        for b in buckets(text):
+            counts[lang][b] = counts[lang].get(b, 0) + 1
+    size = language_id.BUCKETS
+    total = {lang: sum(counts[lang].values()) + 0.5 * size for lang in languages}
+    n = len(languages)
+    splits = [[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for i in range(n)] for b in range(2 ** (n - 1) - 1)]     # every split once
+
+    def share(lang, b):
+        return (counts[lang].get(b, 0) + 0.5) / total[lang]
+
+    def margin(split, text):
+        yes, no = ([x for x, s in zip(languages, split) if s == sign] for sign in (1, -1))
+        seen = buckets(text)
+        return sum(math.log(sum(share(x, b) for x in yes) / len(yes)) - math.log(sum(share(x, b) for x in no) / len(no))
+                   for b in seen) / len(seen)
+
+    margins = {}
+    for _, text, _ in rows:
+        if text not in margins:
+            margins[text] = [margin(s, text) for s in splits]
+    trust = {}
+    for i, lang in enumerate(languages):
+        own = [t for t, x in train if x == lang]
+        hits = [(sum(margins[t][k] * s[i] > 0 for t in own) + 1) / (len(own) + 2) for k, s in enumerate(splits)]
+        trust[lang] = [h / sum(hits) for h in hits]
+    for r in language_id.predict(docs, language_id.fit(docs), keep=["doc_id", "text"]).collect():
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert r["lang_pred"] == "und"
+            continue
+        loss = [sum(w * math.log1p(math.exp(-language_id.SHARP * m * s[i])) for w, m, s in zip(trust[lang], margins[r["text"]], splits))
+                for i, lang in enumerate(languages)]
+        p = [math.exp(-language_id.SHARP * (x - min(loss))) for x in loss]
+        assert r["lang_pred"] == languages[loss.index(min(loss))] and abs(r["score"] - max(p) / sum(p)) < 1e-9
+        assert r["ambiguous"] == (sorted(loss)[1] - min(loss) < language_id.AMBIGUOUS)
