@@ -251,7 +251,64 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN n USING (doc_id) LEFT JOIN least_o
 """
 
 
+def _edit(kind: str, state: int, cost: str) -> str:
+    """An edit before the best rest from a state of the next row."""
+    return f"{{'c': s[{state}].c + {cost}, 'a': '{kind}' || s[{state}].a}}"
+
+
+def _due(initial: str, state: int) -> str:
+    """Keep the role that is due or give it; null for blank and repeated rows."""
+    return f"CASE WHEN fault IN ('b', 'd') THEN NULL WHEN r = '{initial}' THEN {_edit('K', state, 't')} ELSE {_edit('R', state, '2 + t')} END"
+
+
+# states 1 to 4: nothing yet, after system, after user, after assistant; s holds the best (cost, audit) from each to the end
+OP13_SQL = rf"""
+WITH RECURSIVE convs AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+src AS (SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+        FROM conversations c JOIN convs ON c.conv_id IS NOT DISTINCT FROM convs.conv_id),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ord(k[i])::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 20 AS kind FROM src),
+damaged AS (SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS fault FROM placed),
+seen AS (SELECT cid, COUNT(*) AS n, coalesce(max(turn) - min(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps,
+    COUNT(*) FILTER (WHERE fault = 'b') AS blank, COUNT(*) FILTER (WHERE fault = 'd') AS duplicate, COUNT(*) FILTER (WHERE fault = 't') AS truncated,
+    COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(r) OVER (PARTITION BY cid ORDER BY i) || r AS pair FROM f) GROUP BY cid),
+dp AS (
+  SELECT cid, n AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 4::BIGINT, 'a': 'II'}}, {{'c': 2::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}}] AS s FROM seen
+  UNION ALL
+  SELECT cid, i - 1, [list_min([s[1], {_edit('I', 3, '2')}, {_edit('II', 4, '4')}]), list_min([s[2], {_edit('I', 3, '2')}, {_edit('II', 4, '4')}]),
+                      list_min([s[3], {_edit('I', 4, '2')}]), list_min([s[4], {_edit('I', 3, '2')}])]
+  FROM (
+    SELECT cid, i, [
+      list_min([{_edit('D', 1, '3')}, {_due('u', 3)}, CASE WHEN r = 's' AND fault NOT IN ('b', 'd') THEN {_edit('K', 2, 't')} END]),
+      list_min([{_edit('D', 2, '3')}, {_due('u', 3)}]), list_min([{_edit('D', 3, '3')}, {_due('a', 4)}]),
+      list_min([{_edit('D', 4, '3')}, {_due('u', 3)}])] AS s
+    FROM (SELECT dp.cid, dp.i, s, r, fault, (fault = 't')::BIGINT AS t FROM dp JOIN f ON f.cid = dp.cid AND f.i = dp.i))),
+best AS (SELECT cid, s[1].c AS cost, s[1].a AS audit FROM dp WHERE i = 0),
+edits AS (SELECT cid, audit[p] AS e, p, len(regexp_replace(audit[1:p], 'I', '', 'g')) AS i
+          FROM (SELECT cid, audit, unnest(range(1, len(audit) + 1)) AS p FROM best)),
+kept AS (SELECT edits.cid, e, r, role, text, row_number() OVER (PARTITION BY edits.cid ORDER BY p) AS o
+         FROM edits LEFT JOIN f ON f.cid = edits.cid AND f.i = edits.i WHERE e <> 'D'),
+turned AS (SELECT *, o + coalesce(max(CASE WHEN o = 1 AND e = 'K' AND r = 's' THEN 1 END) OVER (PARTITION BY cid), 0) AS slot FROM kept),
+lines AS (SELECT cid, o, CASE WHEN e = 'K' THEN role WHEN slot % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+            || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM turned),
+hashes AS (SELECT cid, sha256(string_agg(line, chr(10) ORDER BY o)) AS h FROM lines GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM convs LEFT JOIN seen USING (cid) LEFT JOIN best USING (cid) LEFT JOIN hashes USING (cid)"""
+
+
 def oracle_sql():
     """Where SQL can say it; the others are held against brute force in tests/llm."""
     return {"op3_quality_rules": quality_sql(), "op4_mixing": OP4_SQL, "op5_license_scan": license_sql(),
-            "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL}
+            "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL,
+            "op13_conversation_repair": OP13_SQL}
