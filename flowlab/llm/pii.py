@@ -88,6 +88,7 @@ def base_spans(text: str) -> list[Span]:
 _AT = re.compile(r"\x20?@\x20?|\x20?[(\[]at[)\]]\x20?")
 _NUMBERS = re.compile(r"\+?\(?[0-9]++(?:[\x20().+/-]{1,3}[0-9]++)*+")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|(?s:.)")
+RUNS = 7                # digit runs of a number at most
 _AROUND = 12            # tokens of an address on either side of its at
 
 
@@ -178,10 +179,11 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[Candidate]]
     for i, first in enumerate(tokens):
         if not numeric[i] and first not in "+(":
             continue
-        count, chars = 0, set()
+        count, runs, chars = 0, 0, set()
         for j in range(i, min(i + LONGEST, len(tokens))):
             count += sizes[j]
-            if count > 19 or tokens[j] not in " ().+/-" and not numeric[j]:
+            runs += numeric[j]
+            if count > 19 or runs > RUNS or tokens[j] not in " ().+/-" and not numeric[j]:
                 break
             if not numeric[j]:
                 chars.add(tokens[j])
@@ -190,7 +192,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[Candidate]]
                 continue
             if count < 4:
                 continue
-            if numeric[i] and chars == {"."} and sum(numeric[i:j + 1]) == 4:
+            if numeric[i] and chars == {"."} and runs == 4:
                 add(i, j + 1, "ip")
             if numeric[i] and 12 <= count <= 19 and chars <= set(" .-/"):
                 add(i, j + 1, "card")
