@@ -168,44 +168,62 @@ def on_groups(df: DataFrame, table: DataFrame, groups: list[str]) -> DataFrame:
     return df.join(broadcast_if_small(other), same).drop(*[f"_fl_g{i}" for i in range(len(groups))])
 
 
-def group_thresholds(df: DataFrame, x: str, groups: list[str], need: DataFrame,
-                     bins: int | None = None) -> DataFrame:
+def unit_histogram(df: DataFrame, x: str, groups: list[str], bins: int | None = None) -> DataFrame:
+    """A first histogram of a number in [0, 1) that ``group_thresholds`` can
+    start from: groups, ``b``, ``size``, ``lo``, ``hi``.  Written, because group
+    sizes come from it as well."""
+    bins = bins or BINS
+    rows = df.select(*[F.col(f"`{g}`") for g in groups], F.col(x).cast("double").alias("_fl_v"))
+    return cut(rows.groupBy(*groups, F.floor(F.col("_fl_v") * bins).cast("int").alias("b")).agg(
+        F.count(F.lit(1)).alias("size"), F.min("_fl_v").alias("lo"), F.max("_fl_v").alias("hi")))
+
+
+def _holding(hist: DataFrame, groups: list[str], order: str, size: str) -> DataFrame:
+    """The line of every group's histogram that holds its ``need``-th row; the
+    rows needed of it as ``need``.  At most a histogram a group."""
+    before = F.sum(size).over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    found = hist.withColumn("_fl_before", F.coalesce(before, F.lit(0))).where(
+        F.col("_fl_before").between(0, F.col("need") - 1) & (F.col("need") <= F.col("_fl_before") + F.col(size)))
+    return found.withColumn("need", F.col("need") - F.col("_fl_before")).drop("_fl_before")
+
+
+def group_thresholds(df: DataFrame, x: str, groups: list[str], need: DataFrame, bins: int | None = None,
+                     first: DataFrame | None = None) -> DataFrame:
     """Where the first ``need`` rows of every group end by the not-null number
     ``x``: one row a group with ``at`` (the value of the last of them), ``take``
     (rows at that value that are needed) and ``equal`` (rows there).  ``need``
     has the groups and a column ``need``; groups that need no row are left
     out, groups that need more than they have take all.  ``bins``: value ranges
-    of a round (BINS)."""
+    of a round (BINS); ``first``: a ``unit_histogram`` to start from."""
     bins = bins or BINS
     rows = df.select(*[F.col(f"`{g}`") for g in groups], F.col(x).cast("double").alias("_fl_v"))
-    spans = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("size"), F.min("_fl_v").alias("lo"), F.max("_fl_v").alias("hi"))
-    state = cut(on_groups(spans, need.select(*groups, "need"), groups).where("need > 0").withColumn(
-        "need", F.least("need", "size")))
+    if first is None:
+        first = rows.groupBy(*groups).agg(F.lit(0).alias("b"), F.count(F.lit(1)).alias("size"), F.min("_fl_v").alias("lo"),
+                                          F.max("_fl_v").alias("hi"))
+    wanted = on_groups(first, need.select(*groups, "need"), groups).where("need > 0")
+    wanted = wanted.withColumn("need", F.least("need", F.sum("size").over(Window.partitionBy(*groups))))
+    state = cut(_holding(wanted, groups, "b", "size").select(*groups, "size", "lo", "hi", "need"))
     wide = f"size > {EDGE_ROWS} AND lo < hi"
     while not state.where(wide).isEmpty():
         near = on_groups(rows, state.where(wide).select(*groups, "lo", "hi", "need"), groups).where("_fl_v BETWEEN lo AND hi")
         hist = near.groupBy(*groups, _bin(F.col("_fl_v"), F.col("lo"), F.col("hi"), bins).alias("b")).agg(
             F.count(F.lit(1)).alias("size"), F.min("_fl_v").alias("lo"), F.max("_fl_v").alias("hi"), F.first("need").alias("need"))
-        # at most that many rows a group
-        before = F.sum("size").over(Window.partitionBy(*groups).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-        hist = hist.withColumn("before", F.coalesce(before, F.lit(0))).where("before < need AND need <= before + size")
-        found = hist.select(*groups, "size", "lo", "hi", (F.col("need") - F.col("before")).alias("need"))
+        found = _holding(hist, groups, "b", "size").select(*groups, "size", "lo", "hi", "need")
         state = cut(state.where(f"NOT ({wide})").unionByName(found))
     flat = state.where("lo = hi").select(*groups, F.col("lo").alias("at"), F.col("need").alias("take"), F.col("size").alias("equal"))
     edge = on_groups(rows, state.where("lo < hi").select(*groups, "lo", "hi", "need"), groups).where("_fl_v BETWEEN lo AND hi")
     # at most EDGE_ROWS values a group
     values = edge.groupBy(*groups, F.col("_fl_v").alias("at")).agg(F.count(F.lit(1)).alias("equal"), F.first("need").alias("need"))
-    before = F.sum("equal").over(Window.partitionBy(*groups).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    values = values.withColumn("before", F.coalesce(before, F.lit(0))).where("before < need AND need <= before + equal")
-    return cut(flat.unionByName(values.select(*groups, "at", (F.col("need") - F.col("before")).alias("take"), "equal")))
+    held = _holding(values, groups, "at", "equal")
+    return cut(flat.unionByName(held.select(*groups, "at", F.col("need").alias("take"), "equal")))
 
 
 def mark_first(df: DataFrame, x: str, groups: list[str], need: DataFrame, flag: str,
-               bins: int | None = None) -> DataFrame:
+               bins: int | None = None, first: DataFrame | None = None) -> DataFrame:
     """``df`` with ``flag``: whether the row is among the first ``need`` of its
     group by the not-null number ``x``, ties by content; ``need`` has every
     group of ``df`` once.  The big side is only filtered against a table of one row a group."""
-    at = group_thresholds(df, x, groups, need, bins)
+    at = group_thresholds(df, x, groups, need, bins, first)
     none = F.lit(None)
     points = at.unionByName(need.where("need <= 0").select(
         *groups, none.cast("double").alias("at"), none.cast("long").alias("take"), none.cast("long").alias("equal")))
