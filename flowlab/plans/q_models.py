@@ -102,27 +102,27 @@ def _score_sql() -> str:
     scaled = ", ".join(f"({c} - m_{c}) / s_{c}" for c in QF.NUM)
     stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in QF.NUM)
     vocab = ", ".join(f"list(DISTINCT {c} ORDER BY {c}) AS v_{c}" for c in QF.CAT)
-    nets = [sql_net("enc", "x", "f", ["flow_id"], enc)] + [sql_net(h, "enc", "out", ["flow_id"], heads[h]) for h in HEADS]
-    nets.append(sql_net("ae", "enc", "out", ["flow_id"], ae))
+    nets = [sql_net("enc", "x", "f", ["rid", "flow_id"], enc)] + [sql_net(h, "enc", "out", ["rid", "flow_id"], heads[h]) for h in HEADS]
+    nets.append(sql_net("ae", "enc", "out", ["rid", "flow_id"], ae))
     probs = {"dos": "1 / (1 + exp((dos.out[1] - dos.out[2]) / 1.5::DOUBLE))"}
     p = ", ".join(f"{probs.get(h, f'1 / (1 + exp({h}.out[1] - {h}.out[2]))')} AS p_{h}" for h in HEADS)
     cuts = {"dos": 0.6, "port_scan": 0.5, "intrusion": 0.5}
-    cand = " UNION ALL ".join(f"SELECT flow_id, {i} AS ord, '{h}' AS head, p_{h} AS p, p_{h} - {dlit(cuts[h])} AS margin FROM s WHERE p_{h} >= {dlit(cuts[h])}"
+    cand = " UNION ALL ".join(f"SELECT rid, {i} AS ord, '{h}' AS head, p_{h} AS p, p_{h} - {dlit(cuts[h])} AS margin FROM s WHERE p_{h} >= {dlit(cuts[h])}"
                               for i, h in enumerate(HEADS))
     return f"""WITH st AS (SELECT {stats}, {vocab} FROM lineitem),
-x AS (SELECT {QF.FLOW_ID_SQL} AS flow_id, list_concat(list_concat([{scaled}], {hot.split(', list_transform(')[0]}), list_transform({hot.split(', list_transform(')[1]}) AS f
+x AS (SELECT {QF.FLOW_ID_SQL} AS flow_id, row_number() OVER () AS rid, list_concat(list_concat([{scaled}], {hot.split(', list_transform(')[0]}), list_transform({hot.split(', list_transform(')[1]}) AS f
       FROM lineitem, st),
 {(","+chr(10)).join(nets)},
-e AS (SELECT enc.flow_id, {p}, list_sum(list_transform(ae.out, lambda v, i: (v - enc.out[i]) * (v - enc.out[i]))) / 4 AS err
-      FROM enc {" ".join(f"JOIN {h} USING (flow_id)" for h in HEADS)} JOIN ae USING (flow_id)),
+e AS (SELECT enc.rid, enc.flow_id, {p}, list_sum(list_transform(ae.out, lambda v, i: (v - enc.out[i]) * (v - enc.out[i]))) / 4 AS err
+      FROM enc {" ".join(f"JOIN {h} USING (rid)" for h in HEADS)} JOIN ae USING (rid)),
 thr AS (SELECT quantile_cont(err, 0.95) AS t FROM e),
 s AS (SELECT *, least(greatest(err / greatest(t, CAST('1e-08' AS DOUBLE)), 0.0), 1.0) AS score FROM e, thr),
 cand AS ({cand}),
-best AS (SELECT flow_id, arg_max(head, (margin, -ord)) AS head, arg_max(p, (margin, -ord)) AS p FROM cand GROUP BY flow_id)
+best AS (SELECT rid, arg_max(head, (margin, -ord)) AS head, arg_max(p, (margin, -ord)) AS p FROM cand GROUP BY rid)
 SELECT s.flow_id, CASE WHEN b.head IS NOT NULL THEN b.head WHEN score >= {dlit(0.65)} THEN 'zero-day / unknown' END AS attack_type,
   round(CASE WHEN b.head IS NOT NULL THEN b.p ELSE greatest(0.0::DOUBLE, {", ".join(f"p_{h}" for h in HEADS)}) END, 6) AS confidence,
   round(score, 6) AS anomaly_score, {QE.SEV_SQL} AS severity
-FROM s LEFT JOIN best b USING (flow_id)"""
+FROM s LEFT JOIN best b USING (rid)"""
 
 
 @register("score_flows_fixed", _score_sql())
