@@ -57,7 +57,7 @@ COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "replies", "di
 HARMLESS_BEFORE = {"has", "have", "with", "without", "no", "not", "non", "show", "shows", "hide", "hides", "is", "enable",
                    "enabled", "disable", "disabled", "category", "cat", "tag", "tags", "type", "format", "status", "term",
                    "topic", "template", "theme"}
-HARMLESS_AFTER = {"layout", "enabled", "disabled", "open", "closed", "visible", "hidden", "free", "less", "ready"}
+HARMLESS_AFTER = {"layout", "fixed", "sticky", "enabled", "disabled", "open", "closed", "visible", "hidden", "free", "less", "ready"}
 TITLE_WORDS = {"entry", "post", "article", "story", "content", "section", "chapter", "title"}      # before "header"
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
 
@@ -133,6 +133,8 @@ class Block:
     mark: int
     text: str
     link_chars: int
+    wrap: int           # path of the outermost element that a name marks (0: none)
+    named: int          # how many such elements hold the block
 
 
 def attributes(inside: str) -> dict[str, str]:
@@ -168,8 +170,8 @@ class Parser:
 
     def __init__(self):
         self.paths, self.blocks = Paths(), []
-        # tag, path, mark, index of the nearest block-level entry, of the nearest entry in LISTED
-        self.stack: list[tuple[str, int, int, int, int]] = []
+        # tag, path, mark, index of the nearest block-level entry, of the nearest entry in LISTED, wrap, named
+        self.stack: list[tuple[str, int, int, int, int, int, int]] = []
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.links = 0                  # open <a>
@@ -179,8 +181,8 @@ class Parser:
         if self.parts:
             text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                _, path, mark, *_ = self.stack[-1] if self.stack else ("", 0, 0)
-                self.blocks.append(Block(path, mark, text, self.link_chars))
+                _, path, mark, _, _, wrap, named = self.stack[-1] if self.stack else ("", 0, 0, -1, -1, 0, 0)
+                self.blocks.append(Block(path, mark, text, self.link_chars, wrap, named))
             self.parts, self.link_chars = [], 0
 
     def add(self, text: str) -> None:
@@ -200,14 +202,17 @@ class Parser:
             self.links -= tag == "a"
 
     def push(self, tag: str, inside: str) -> None:
-        _, path, mark, block, listed = self.stack[-1] if self.stack else ("", 0, 0, -1, -1)
+        _, path, mark, block, listed, wrap, named = self.stack[-1] if self.stack else ("", 0, 0, -1, -1, 0, 0)
+        own = 0
         if tag not in INLINE:
             names, own = element_mark(tag, attributes(inside), self.paths.article[path] >= 0)
             path = self.paths.child(path, tag, tag + ("." + "-".join(names) if names else ""))
-            mark, block = max(mark, own), len(self.stack)
+            block = len(self.stack)
         elif inside:
-            mark = max(mark, element_mark(tag, attributes(inside), True)[1])
-        self.stack.append((tag, path, mark, block, len(self.stack) if tag in LISTED else listed))
+            own = element_mark(tag, attributes(inside), True)[1]
+        wrap = wrap or (path if own == NAMED else 0)
+        self.stack.append((tag, path, max(mark, own), block, len(self.stack) if tag in LISTED else listed, wrap,
+                           named + (own == NAMED)))
         self.open[tag] += 1
         self.links += tag == "a"
 
@@ -351,18 +356,32 @@ def select(found: list[Block], paths: Paths) -> list[Block]:
     return out
 
 
+def is_prose(b: Block) -> bool:
+    return bool(len(b.text) >= SHORT and _PUNCTUATION.search(b.text) and b.link_chars <= LINKS * len(b.text))
+
+
 def reads_like_prose(found: list[Block], paths: Paths) -> bool:
     """Some block looks like a sentence, or stands in an <article> or <main>."""
-    return any(paths.article[b.path] >= 0 or len(b.text) >= SHORT and _PUNCTUATION.search(b.text)
-               and b.link_chars <= LINKS * len(b.text) for b in found)
+    return any(paths.article[b.path] >= 0 or is_prose(b) for b in found)
 
 
 def main_blocks(page: str) -> list[Block]:
+    """The selected blocks.  Where those without a mark don't read like prose,
+    the named element with most prose is taken for a wrapper of the page: what
+    only it marks comes in, what is marked again inside it stays out."""
     paths, found = blocks(page)
-    kept = select([b for b in found if not b.mark], paths)
+    plain = [b for b in found if not b.mark]
+    kept = select(plain, paths)
     if reads_like_prose(kept, paths):
         return kept
-    forgiven = select([b for b in found if b.mark <= NAMED], paths)
+    prose: Counter[int] = Counter()
+    for b in found:
+        if b.mark == NAMED and b.named == 1 and is_prose(b):
+            prose[b.wrap] += len(b.text)
+    wrapper = max(prose, key=lambda w: (prose[w], -w), default=0)
+    forgiven = select([b for b in found if not b.mark or wrapper and b.mark == NAMED and b.named == 1 and b.wrap == wrapper], paths)
+    if not reads_like_prose(forgiven, paths):
+        forgiven = select([b for b in found if b.mark <= NAMED], paths)
     if reads_like_prose(forgiven, paths) or not kept:
         kept = forgiven
     return kept or select(found, paths)

@@ -61,6 +61,12 @@ TEMPLATES = {
     "paragraphs inside links": (
         f"<div class=post><p><a href=/a>{A}</a></p><p><a href=/b>{B}</a></p><p>{C}</p></div>", TEXT),
     "the whole article in a div named legal": (f"{MENU}<div class=legal>{P3}</div>", TEXT),
+    "everything in a wrapper with a telling name": (
+        f"<div class='page-header-wide'><div class=header><p>{LONG}</p></div><div class=text>{P3}</div><div class=sidebar><p>{LONG}</p></div>"
+        f"<div class=footer><p>{LONG}</p></div></div>", TEXT),
+    "a wrapper named legal beside a sidebar": (
+        f"{MENU}<div class=legal>{P3}<p>{A}</p></div><div class=sidebar><p>{A}</p></div><div id=comments><p>{LONG}</p></div>", f"{TEXT}\n{A}"),
+    "a page class of a fixed header": (f"<div class='site header-fixed'><h1>Flood</h1>{P3}<div class=promo>{LONG}</div></div>", f"Flood\n{TEXT}"),
     "the whole article in a form": (f"{MENU}<form action=/x>{P3}<input></form>", TEXT),
     "blog theme": (
         f"<div id=page class='site'><header id=masthead class=site-header><h1>My blog</h1></header>{MENU}<div id=content "
