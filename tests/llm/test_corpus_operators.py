@@ -271,3 +271,24 @@ def test_look_up_of_hot_keys(spark, monkeypatch):
         got = {r["id"]: (r["k"], r["m"]) for r in common.look_up(rows, table, ["k"], ["m"], "n", 3000).collect()}
         want = {r["k"]: r["m"] for r in table.collect()}
         assert len(got) == 3000 and all(m == want.get(k) for k, m in got.values())
+
+
+def test_mixing_inclusion_frequencies(spark):
+    """Over many seeds a document gets its extra copy about as often as the
+    fraction of its source's rate says, although each source takes the best draw."""
+    rows = [(i, "w " * (1 + i * 7919 % 9), f"s{i % 3}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra, runs = Counter(), 12
+    for seed in range(runs):
+        for r in mixing.mix_plan(docs, seed=f"seed{seed}").collect():
+            rate = r["target"] / r["source_size"]
+            extra[r["doc_id"]] += r["copies"] - int(rate)
+            assert r["copies"] - int(rate) in (0, 1)
+    rates = {r["source"]: r["target"] / r["source_size"] % 1 for r in mixing.mix_plan(docs).collect()}
+    for source, fraction in rates.items():
+        mine = [extra[i] / runs for i, _, s in rows if s == source]
+        assert abs(sum(mine) / len(mine) - fraction) < 0.04
+        # as spread as independent draws are: no document is always or never chosen for its size
+        assert abs(np.var(mine) - fraction * (1 - fraction) / runs) < 0.012
+        by_size = [np.mean([extra[i] / runs for i, t, s in rows if s == source and (len(t) > 10) == big]) for big in (False, True)]
+        assert abs(by_size[0] - by_size[1]) < 0.1
