@@ -76,3 +76,16 @@ def test_a_run_computes_its_inputs_once(spark, tmp_path):
     df = df.mapInArrow(count, df.schema)
     PL.run_pipeline(df, df, str(tmp_path / "out"), ["intrusion", "dos"], ssl_epochs=1, task_epochs=1, embed_dim=4)
     assert seen.value == 600
+
+
+def test_a_split_capture_is_read_once_for_both_sides(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 5 / 10, "BENIGN" if i % 3 else "DDoS") for i in range(60)]
+    spark.createDataFrame(rows, "id int, value double, Label string").coalesce(1).write.option("header", True).csv(str(tmp_path / "cic/day0"))
+    want = [sorted(tuple(r) for r in SRC.load_dataset(spark, "cic2017", s, str(tmp_path / "cic")).collect()) for s in ("train", "test")]
+    reads, real = [], SRC.find_csv_files
+    monkeypatch.setattr(SRC, "find_csv_files", lambda *a: reads.append(1) or real(*a))
+    given = {}
+    monkeypatch.setattr(PL, "run_pipeline", lambda train, test, out, **k: given.update(train=train, test=test))
+    PL.run_named_dataset(spark, "CICIDS-2017", str(tmp_path / "cic"), str(tmp_path / "out"))
+    assert [sorted(tuple(r) for r in given[s].collect()) for s in ("train", "test")] == want
+    assert len(reads) == 1 and [len(w) for w in want] == [48, 12]
