@@ -98,3 +98,14 @@ def test_captures_of_a_pair_are_written_compressed(spark, tmp_path, monkeypatch)
         got = PL.labelled_csv(spark, path)
         assert got.count() == 150 and got.select("l_linenumber").distinct().first()[0] % 2 == rest
         assert dict(got.dtypes)["l_extendedprice"] == "double" and got.where("l_discount <> 0.05").isEmpty()
+
+
+def test_a_stored_capture_leaves_the_session_fit_for_models(spark, tmp_path):
+    """An Observation of the session can't be serialized, and models take the session along."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part.csv").write_text("a,label\n" + "".join(f"{i},{i % 2}\n" for i in range(20)))
+    got = SRC.store_headered_csv(spark, str(tmp_path / "in"), str(tmp_path / "t"), "label")
+    assert got.columns == ["a", "label"] and got.count() == 20
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(60)], "id long, v array<double>, y int")
+    _, history = RO.train_head_rounds(df.where("id < 20"), df.where("id >= 20"), "v", "y", "id", rounds=2)
+    assert [h["round"] for h in history] == [0, 1]
